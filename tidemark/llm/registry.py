@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding
+from . import chat, pii, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
+    "op2_pii": pii.op2,
     "op5_sharding": sharding.op5,
+    "op10_url_filters": urls.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op10_url_filters": urls.OP10_SQL,
 }
