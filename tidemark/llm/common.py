@@ -43,6 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str, most_rows: int = 1_000_000) -> DataFrame:
+    """df, of a few short columns, written; marked for broadcast only if it has most_rows at most, else joined by shuffle."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Distributed union-find over edges (a, b): one row (id, component) per node that has an edge, component being the
     smallest id of its connected component.
