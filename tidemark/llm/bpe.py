@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import map_arrow, table
 
 #: Fixed value: the pattern of byte-level tokenizers that cuts a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
                 ids = pa.array([c.encode(t or "") for t in part.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return docs.mapInArrow(work, _with(docs, "ids array<int>"))
+    return map_arrow(docs, work, _with(docs, "ids array<int>"))
 
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
@@ -196,7 +196,7 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
                 texts = pa.array([c.decode(i or []) for i in part.column("ids").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
-    return tokens.mapInArrow(work, _with(tokens, "decoded string"))
+    return map_arrow(tokens, work, _with(tokens, "decoded string"))
 
 
 def _with(df: DataFrame, more: str) -> str:
@@ -219,7 +219,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(id_col, text), work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow(function, schema), after this package has been sent to the executors once per application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def sized(df: DataFrame, name: str, most_rows: int = 1_000_000) -> DataFrame:
     """df, of a few short columns, written; marked for broadcast only if it has most_rows at most, else joined by shuffle."""
     df = written(df, name)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import sized, table, written
+from .common import map_arrow, sized, table, written
 from .lsh import classes, shared_keys_once
 from .textvec import U
 
@@ -102,14 +102,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     own = docs.withColumn("_id", F.col(id_col))
     lines = _lines(own, text)
     firsts = written(lines.groupBy("id", "id2").agg(F.min("at").alias("first"), F.count("*").alias("n")), "firsts")
-    shared = written(shared_keys_once(lines.select("id", "line").mapInArrow(_bands, "key long, id long")).where("key is not null").distinct(), "bands")
+    shared = written(shared_keys_once(map_arrow(lines.select("id", "line"), _bands, "key long, id long")).where("key is not null").distinct(), "bands")
     ids = sized(shared.select("id").distinct(), "candidates")
     texts = written(lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "lines")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"t{x}")) for x in "ab")
         near = F.expr(f"least(length(ta), length(tb)) >= {SIMILARITY / 2} * greatest(length(ta), length(tb))")
-        return pairs.join(a, "a").join(b, "b").where(near).mapInArrow(_close, "a long, b long")
+        return map_arrow(pairs.join(a, "a").join(b, "b").where(near), _close, "a long, b long")
 
     linked = classes(shared, verify)
     named = firsts.join(linked, "id", "left").select("id", "id2", "first", "n", "component")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import sized, table, written
+from .common import map_arrow, sized, table, written
 from .lsh import classes, shared_keys
 from .textvec import U
 
@@ -132,13 +132,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
-    prints = written(own.where("doc_id is not null and text is not null").mapInArrow(_bands, f"doc_id {kind}, h1 long, h2 long, keys array<long>"), "prints")
+    prints = written(map_arrow(own.where("doc_id is not null and text is not null"), _bands, f"doc_id {kind}, h1 long, h2 long, keys array<long>"), "prints")
     texts = written(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
     shared = written(shared_keys(texts.select("id", F.explode("keys").alias("key"))), "bands")
     wanted = sized(texts.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2"), "wanted")
     sets = written(
-        own.select(F.col("doc_id").alias("id"), "text", "h1", "h2").join(wanted, ["id", "h1", "h2"])
-        .select("id", "text").mapInArrow(_elements, f"id {kind}, elements array<long>"), "sets",
+        map_arrow(own.select(F.col("doc_id").alias("id"), "text", "h1", "h2").join(wanted, ["id", "h1", "h2"]).select("id", "text"), _elements, f"id {kind}, elements array<long>"), "sets",
     )
 
     def verify(pairs: DataFrame) -> DataFrame:

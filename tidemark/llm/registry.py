@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, minhash, pii, sharding, urls
+from . import bpe, chat, lines, minhash, pii, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
     "op2_pii": pii.op2,
+    "op3_toxicity": toxicity.op3,
     "op5_sharding": sharding.op5,
+    "op6_bpe": bpe.op6,
     "op7_minhash": minhash.op7,
     "op9_line_dedup": lines.op9,
     "op10_url_filters": urls.op10,
