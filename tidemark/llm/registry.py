@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lines, minhash, pii, sharding, toxicity, urls
+from . import bpe, chat, decontamination, lines, minhash, pii, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
     "op2_pii": pii.op2,
     "op3_toxicity": toxicity.op3,
+    "op4_decontamination": decontamination.op4,
     "op5_sharding": sharding.op5,
     "op6_bpe": bpe.op6,
     "op7_minhash": minhash.op7,
