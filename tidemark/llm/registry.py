@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, lines, minhash, pii, sharding, toxicity, urls
+from . import bpe, chat, decontamination, lines, minhash, pii, sharding, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
@@ -16,11 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.op5,
     "op6_bpe": bpe.op6,
     "op7_minhash": minhash.op7,
+    "op8_vectors": vectors.op8,
     "op9_line_dedup": lines.op9,
     "op10_url_filters": urls.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op8_vectors": vectors.OP8_SQL,
     "op10_url_filters": urls.OP10_SQL,
 }
