@@ -25,7 +25,7 @@ SYLLABLES = {
 }
 _WORD = r"\p{Lu}[\p{L}\p{M}'’-]+"
 #: One alternation, the more particular kinds first; kind_of() tells them apart again.
-EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 SECRET = r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?![ -]?\d)"
@@ -34,6 +34,14 @@ NAME = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \x{{A0}}]{_WORD}(?:[ \x{
 ENTITY = "|".join([EMAIL, IP, SECRET, CARD, PHONE, NAME])
 
 
+def may_have_entity(text: Column) -> Column:
+    """A quick look: every entity has a digit, an @ or an honorific. Text without any is not searched."""
+    named = F.lit(False)
+    for title in f"{MALE}|{FEMALE}|{NEUTRAL}".split("|"):
+        named = named | F.contains(text, F.lit(title))
+    return text.rlike("[0-9@]") | named
+
+
 def kind_of(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
@@ -148,7 +156,9 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     hash of the text, so that a large group of copies or rows without ids cost no more than one. Texts without an entity
     take no part in any shuffle. Empty docs give no rows; columns named like an added one are replaced.
     """
-    docs = docs.drop("n_entities", "text_before_sha256").withColumn("_mentions", F.regexp_extract_all(text, F.lit(ENTITY), 0))
+    docs = docs.drop("n_entities", "text_before_sha256")
+    none = F.array().cast("array<string>")
+    docs = docs.withColumn("_mentions", F.when(may_have_entity(F.col(text)), F.regexp_extract_all(text, F.lit(ENTITY), 0)).when(F.col(text).isNotNull(), none))
     hash_ = F.sha2(F.col(text), 256)
     hit = docs.where(F.size("_mentions") > 0).withColumn("_hash", hash_)
     texts = hit.groupBy("_hash").agg(F.first("_mentions").alias("ms"))
