@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Queries: each module registers its own."""
+
+from . import aggregates, filters, forecasting, functions_, joins_, sorts, sources_, streams  # noqa: F401
