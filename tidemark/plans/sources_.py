@@ -1 +1,94 @@
-"""To come."""
+"""Readers and sinks as queries: feed documents are rendered from the driver's tables, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..adapters import cte, load
+from ..registry import query
+from ..sources import feeds as S
+from ..sources.sinks import merge_state
+
+EV = cte("events")
+FEED_SQL = """select doc_id from documents where len(string_split_regex(trim(text), '\\s+')) + 1 >= 30 and doc_id >= 100 and not contains(text, '<') and not contains(text, '&')"""
+
+
+@query("s03_iteration", "select count(*) as n, sum(n_chars)::bigint as chars from documents")
+def _(spark, d):
+    return load(spark, d, "documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("s04_s05_rss", FEED_SQL)
+def _(spark, d):
+    t = load(spark, d, "documents").where("not contains(text, '<') and not contains(text, '&')")
+    day = F.date_format(F.timestamp_seconds(1704067200 + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    feed = F.concat(F.lit("<rss><channel><item><title>Headline</title><link>http://x.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), "text", F.lit("</description><pubDate>"), day, F.lit("</pubDate></item></channel></rss>"))
+    start = F.timestamp_seconds(F.lit(1704067200 + 99 * 60))
+    return S.rss_entries(t.select("doc_id", feed.alias("xml")), "xml", start, F.current_timestamp()).select("doc_id")
+
+
+@query("s08_fetch_window", "select c_custkey as id, greatest(coalesce(case when c_custkey % 3 > 0 then 1704067200 + c_custkey * 100 end, 1704067200), 1704067200)::bigint as start_s from customer")
+def _(spark, d):
+    now = F.timestamp_seconds(F.lit(1704067200 + 86400))
+    last = F.when(F.col("c_custkey") % 3 > 0, F.timestamp_seconds(1704067200 + F.col("c_custkey") * 100))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.unix_timestamp(S.fetch_start(last, now)).alias("start_s"))
+
+
+@query("s10_s11_sitemaps", "select 'http://x.example/a/' || o_orderkey::varchar as url, epoch(o_orderdate)::bigint as s from orders where o_orderdate >= timestamp '1996-03-01' and o_orderdate < timestamp '1996-04-01'")
+def _(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    entry = F.concat(F.lit("<url><loc>http://x.example/a/"), F.col("o_orderkey").cast("string"), F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>"))
+    maps = load(spark, d, "orders").groupBy(F.last_day("o_orderdate").alias("lastmod")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    near = S.prune_sitemaps(maps, "lastmod", F.lit("1996-03-15").cast("date"), 5)
+    at = lambda x: F.lit(x).cast("timestamp")
+    return S.urlset(near, "xml", at("1996-03-01"), at("1996-04-01")).select("url", F.unix_timestamp("published").alias("s"))
+
+
+@query("s13_anchors", r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href=["''][^"'']*["''][^>]*>.*?</a>')) as a from pages),
+t as (select page_id, regexp_extract(a, '(?i)href=["'']([^"'']*)["'']', 1) as href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(a, '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as x from a)
+select distinct page_id, href from t where length(x) >= 25""")
+def _(spark, d):
+    return S.anchors(load(spark, d, "pages").select("page_id", "html")).select("page_id", "href")
+
+
+@query("s14_s15_nearest_noon", EV + ", c as (select user_id, started_at::date as day, id, abs(hour(started_at) * 60 + minute(started_at) - 720) as m, started_at from events_) select user_id, day, arg_min(id, (m, started_at)) as id from c group by 1, 2")
+def _(spark, d):
+    e = load(spark, d, "events").select("user_id", F.to_date("started_at").alias("day"), "id", "started_at")
+    return S.nearest_noon(e, ["user_id", "day"], "started_at").select("user_id", "day", "id")
+
+
+@query("s18_s20_bodies", r"""select page_id, nullif(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]+property=["'']og:image["''][^>]+content=["'']([^"'']+)["'']', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as found from pages""")
+def _(spark, d):
+    html = F.col("html")
+    return load(spark, d, "pages").select("page_id", F.coalesce(S.og_image(html), S.first_of(html, r"(?is)<title[^>]*>(.*?)</title>")).alias("found"))
+
+
+@query("s21_s23_rates", "select c_custkey as id, c_acctbal + 2 as value from customer")
+def _(spark, d):
+    m = F.create_map(F.lit("9"), F.col("c_acctbal") + 1, F.lit("10"), F.col("c_acctbal") + 2, F.lit("2"), F.col("c_acctbal"))
+    return S.latest_observation(load(spark, d, "customer").select(F.col("c_custkey").alias("id"), m.alias("m")), "m").select("id", "value")
+
+
+@query("s24_quakes", "select event_id::varchar as usgs_id, user_id / 10 as magnitude from events where event_id % 10 <> 0")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    f = F.struct(F.when(F.col("event_id") % 10 != 0, F.col("event_id").cast("string")).alias("id"), F.struct((F.col("user_id") / 10).alias("mag"), F.lit(1704067200000).alias("time")).alias("properties"))
+    return S.quakes(e.select(F.to_json(F.struct(F.array(f).alias("features"))).alias("j")), "j").select("usgs_id", "magnitude")
+
+
+@query("s25_first_seen", EV + " select user_id, arg_min(id, (started_at, id)) as id from events_ group by 1")
+def _(spark, d):
+    return load(spark, d, "events").groupBy("user_id").agg(F.min_by("id", F.struct("started_at", "id")).alias("id"))
+
+
+@query("s26_daily_bars", cte("bars") + " select symbol, d, close from bars_ b where volume is not null and d >= (select max(d) - 3 from bars_ x where x.symbol = b.symbol)")
+def _(spark, d):
+    b = load(spark, d, "bars").where("close is not null and not isnan(close)")
+    last = b.groupBy("symbol").agg(F.date_sub(F.max("d"), 3).alias("start"))  # a row per symbol
+    return b.where("volume is not null").join(last, "symbol").where("d >= start").select("symbol", "d", "close")
+
+
+@query("s31_r11_merge_state", "select c_custkey as id, case when c_custkey % 3 = 0 then c_name || '!' else c_name end as name, c_custkey % 3 = 0 as is_active from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
+def _(spark, d):
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return merge_state(c.where("id % 2 = 0").withColumn("is_active", F.lit(True)), c.where("id % 3 = 0").select("id", F.concat("name", F.lit("!")).alias("name")), "id")

@@ -1 +1,74 @@
-"""To come."""
+"""Streaming operators as queries: a stream over the table's files, read once, must equal its batch twin."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..adapters import cte, load
+from ..registry import query
+from ..streaming import windows as W
+
+EV = cte("events")
+
+
+def _folder(spark, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base}/stream-{name}-{uuid.uuid4().hex}"
+
+
+def _stream(spark, d):
+    """The events table as a stream of files."""
+    path = f"{d}/events.parquet"
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return s.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("started_at"), "user_id", "event_type", "value", (1 + F.col("event_id") % 9).alias("article_count"))
+
+
+@query("r03_r05_tumbling_windows", "select floor(epoch(ts) / 259200)::bigint * 259200 as start_s, event_type, count(*) as n, sum(1 + event_id % 9)::bigint as articles, floor(max(epoch(ts)))::bigint as last_s from events group by 1, 2")
+def _(spark, d):
+    w = W.event_windows(_stream(spark, d), "started_at", ["event_type"])
+    return W.run(w, f"w_{uuid.uuid4().hex}", _folder(spark, "windows"), "complete")
+
+
+@query("r06_first_seen", "select user_id, event_type, true as seen from events group by 1, 2")
+def _(spark, d):
+    s = W.first_seen(_stream(spark, d), ["user_id", "event_type"], "started_at", "60 days")
+    return W.run(s, f"s_{uuid.uuid4().hex}", _folder(spark, "seen")).select("user_id", "event_type", F.lit(True).alias("seen"))
+
+
+@query("r08_r09_checkpoint_and_cadence", "select distinct user_id as source, ts::date as day from events where not (user_id % 2 = 0 and day(ts) % 3 = 0)")
+def _(spark, d):
+    days = load(spark, d, "events").select(F.col("user_id").alias("source"), F.to_date("started_at").alias("day")).distinct()
+    done = days.where("source % 2 = 0 and day(day) % 3 = 0")
+    return days.join(done, ["source", "day"], "left_anti")
+
+
+@query("r12_batch_summary", "select count(*) as n, max(value) as strongest from events")
+def _(spark, d):
+    return W.summary(spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("value", "magnitude"))
+
+
+@query("r13_r14_reap_and_prune", EV + " select id, case when started_at < timestamp '2024-01-20' and user_id % 2 = 0 then 'failed' else 'running' end as status from events_ where started_at >= timestamp '2024-01-05'")
+def _(spark, d):
+    e = load(spark, d, "events").where("started_at >= timestamp '2024-01-05'")
+    return e.select("id", F.when((F.col("started_at") < "2024-01-20") & (F.col("user_id") % 2 == 0), "failed").otherwise("running").alias("status"))
+
+
+@query("r15_retag", EV + " select id, case when topics like '%inflation%' then 2 when topics <> '' then 1 else 0 end + case when category = 'health' then 1 else 0 end as n_topics from events_")
+def _(spark, d):
+    e = load(spark, d, "events")
+    old = F.map_from_entries(F.transform(F.filter(F.split("topics", ","), lambda x: x != ""), lambda x: F.struct(x, F.lit(1.0))))
+    new = F.when(F.col("category") == "health", F.create_map(F.lit("public-health"), F.lit(0.5))).otherwise(F.expr("cast(map() as map<string, double>)"))
+    return e.select("id", F.size(F.map_concat(old, new)).alias("n_topics"))
+
+
+@query("r16_topic_refresh", "select c_custkey as slug, case when c_custkey % 3 = 0 then 'current' when c_custkey % 5 = 0 then 'grace' else 'stale' end as state from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
+def _(spark, d):
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("slug"))
+    j = c.where("slug % 2 = 0").withColumn("old", F.lit(True)).join(c.where("slug % 3 = 0").withColumn("seen", F.lit(True)), "slug", "full_outer")
+    return j.select("slug", F.when(F.col("seen"), "current").when(F.col("slug") % 5 == 0, "grace").otherwise("stale").alias("state"))
