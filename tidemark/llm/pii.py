@@ -123,10 +123,14 @@ def rendered(kind: Column, mention: Column, s: Column) -> Column:
     digits = F.array_join(F.transform(F.aggregate(chars, F.struct(F.lit(1).alias("i"), F.array().cast("array<string>").alias("out")), lambda acc, c: F.struct(
         (acc["i"] + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("i"),
         F.concat(acc["out"], F.array(F.when(c.rlike("[0-9]"), F.substring(s, acc["i"], F.lit(1))).otherwise(c))).alias("out")))["out"], lambda c: c), "")
-    upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
+    is_upper = lambda x: (x == F.upper(x)) & (x != F.lower(x))
+    upper = is_upper(mention)
+    before_at = lambda x: F.substring_index(x, "@", 1)
+    after_at = lambda x: F.substring_index(x, "@", -1)
+    email = F.concat(F.when(is_upper(before_at(mention)), F.upper(before_at(s))).otherwise(before_at(s)), F.lit("@"), F.when(is_upper(after_at(mention)), F.upper(after_at(s))).otherwise(after_at(s)))
     title = F.regexp_extract(mention, rf"^((?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \x{{A0}}])", 1)
     name = F.concat(title, F.initcap(F.element_at(F.split(s, r"\|"), -1)))
-    return F.when(kind.isin("card", "phone"), digits).when(kind == "name", name).when(upper, F.upper(s)).otherwise(s)
+    return F.when(kind.isin("card", "phone"), digits).when(kind == "name", name).when(kind == "email", email).when(upper, F.upper(s)).otherwise(s)
 
 
 def dictionary(entities: DataFrame, key: str, max_attempts: int = 24) -> DataFrame:
