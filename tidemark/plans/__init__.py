@@ -1,3 +1,3 @@
 """Queries: each module registers its own."""
 
-from . import aggregates, filters, forecasting, functions_, joins_, sorts, sources_, streams  # noqa: F401
+from . import aggregates, api, filters, forecasting, functions_, joins_, sorts, sources_, streams  # noqa: F401
