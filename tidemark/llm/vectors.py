@@ -109,7 +109,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
     every pair of blocks is one group, so a hot list is spread; a group returns sums and a spanning forest of its links.
     """
     kind = embeddings.schema[id_col].dataType.simpleString()
-    rows = embeddings.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<float>").alias("values"))
+    rows = embeddings.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("values"))
     finite = F.forall("values", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("values", lambda v: v != 0)
     good = rows.where("id is not null and label is not null and size(values) > 0").where(finite)
     copies = good.withColumn("h1", F.xxhash64("values")).withColumn("h2", F.xxhash64(F.lit(1), "values"))
