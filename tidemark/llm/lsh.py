@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -24,28 +24,36 @@ def shared_keys_once(bands: DataFrame) -> DataFrame:
     return seen.where("back is not null or ahead is not null").select("key", "id")
 
 
-def classes(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
-    """(id, component) of all ids that link with another: the components of the graph of verified candidate pairs.
+def classes(shared: DataFrame, payloads: DataFrame, close: Callable[[Column, Column], Column], rounds: int = 3, decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, component) of all ids that link with another: the components of the graph of close candidate pairs.
 
-    shared: rows (key, id) of keys with several ids; verify: takes pairs (a, b) and returns those that link.
+    shared: rows (key, id) of keys with several ids; payloads: (id, payload), what closeness is decided on; close: the
+    condition on two payloads; decide, if given: takes the pairs (a, b) that are close and returns those that link, where
+    close is only what must hold for that.
 
     No key emits all its pairs. In each of the rounds a key ties its members to one leader, another one in every round,
     but only those that aren't in the leader's component yet. What then is still apart within a key is compared exactly:
-    every member outside the key's largest component with all members of other components. So a link between ids that
-    share a key is never lost, and a large group of copies, soon one component, costs about its size.
+    every member outside the key's largest component with all members of other components, inside the join's condition, so
+    that only links come out. So a link between ids that share a key is never lost, and a large group of copies, soon one
+    component, costs about its size.
     """
     found: list[DataFrame] = []
     comp: DataFrame | None = None
+    side = lambda x: payloads.select(F.col("id").alias(x), F.col("payload").alias(f"payload_{x}"))
+    near = close(F.col("payload_a"), F.col("payload_b"))
 
     def now() -> DataFrame:
         if comp is None:
             return shared.withColumn("comp", F.col("id"))
         return shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
 
-    def tested(pairs: DataFrame, name: str) -> bool:
-        edges = written(verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), name)
+    def added(edges: DataFrame, name: str) -> bool:
+        edges = edges.select("a", "b").distinct()
+        edges = written(edges if decide is None else decide(edges), name)
+        if edges.isEmpty():
+            return False
         found.append(edges)
-        return not edges.isEmpty()
+        return True
 
     def joined() -> DataFrame:
         edges = found[0]
@@ -60,10 +68,9 @@ def classes(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds:
             .agg(F.min(F.struct(F.xxhash64("id", F.lit(r)), "id", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("lo <> hi").select("key", F.col("l.id").alias("leader"), F.col("l.comp").alias("leader_comp"))
         )
-        if not tested(rows.join(lead, "key").where("comp <> leader_comp").select(F.col("leader").alias("a"), F.col("id").alias("b")), "star"):
-            if comp is None:
-                comp = None
-            continue
+        pairs = rows.join(lead, "key").where("comp <> leader_comp").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+        if not added(pairs.join(side("a"), "a").join(side("b"), "b").where(near), "star"):
+            break  # another leader would be asked in vain by most; what is left is compared exactly
         comp = joined()
 
     rows = now()
@@ -71,8 +78,10 @@ def classes(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds:
         rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
         .agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.comp").alias("largest"))
     )
-    apart = rows.join(largest, "key").where("comp <> largest").select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"), "largest")
-    rest = apart.join(rows.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b")), "key").where("comp_a <> comp_b and (comp_b = largest or a < b)")
-    if tested(rest.select("a", "b"), "rest") or comp is None:
+    open_ = written(rows.join(largest, "key"), "open")
+    apart = open_.where("comp <> largest").select("key", "largest", F.col("id").alias("a"), F.col("comp").alias("comp_a")).join(side("a"), "a")
+    mates = open_.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b")).join(side("b"), "b")
+    rest = apart.join(mates, (apart["key"] == mates["key"]) & F.expr("comp_a <> comp_b and (comp_b = largest or a < b)") & near)
+    if added(rest, "rest"):
         comp = joined()
-    return comp
+    return comp if comp is not None else written(shared.select("id", F.col("id").alias("component")).limit(0), "classes")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -36,13 +36,31 @@ def dart_signatures(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: in
 
     Darts fall on the plane of (element and position within its weight, rank) with density one; which ones fall into a
     cell of that plane is decided by hashes of the cell alone, so that all documents see the same darts. A document takes
-    the darts below its weights and below the rank at which about k ln k + 2k have been met, deals them to coordinates by
+    the darts below its weights and below the rank at which about k ln k + 3k have been met, deals them to coordinates by
     hash and keeps the one of least rank in each. Documents with an empty coordinate double the rank. The work per
     document is about k ln k, however long it is. Documents without elements get the largest value throughout.
     """
     out = np.full(docs * k, _EMPTY, U)
+
+    def throw(e: np.ndarray, begin, length: float, cell, layer: int, low: float, width: float) -> None:
+        """The darts of one cell per element e: rank from begin, weight from low, named by (layer, cell)."""
+        u = tv.mix(eh[e] ^ (U((layer << 40) + 1) + (cell if isinstance(cell, np.ndarray) else U(cell))))
+        fallen = np.searchsorted(_poisson_cdf(length), u >> U(11), "right")
+        nth = 0
+        while (of := np.flatnonzero(fallen > nth)).size:
+            g = tv.mix(u[of] + U((nth + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            g2 = tv.mix(g)
+            mine = e[of]
+            height = low + width * ((g >> U(32)).astype(float) / 2.0**32)
+            rank = ((begin[of] if isinstance(begin, np.ndarray) else begin) + length * ((g2 >> U(24)).astype(float) / 2.0**40)) / width
+            keep = (height < ew[mine]) & (rank < theta[mine])
+            g2, mine, rank = g2[keep], mine[keep], rank[keep]
+            value = (rank.astype(np.float32).view(np.uint32).astype(U) << U(32)) | (tv.mix(g2) & U(0xFFFFFFFF))
+            np.minimum.at(out, ed[mine].astype(np.int64) * k + ((g2 & U(0xFFFFFF)) % U(k)).astype(np.int64), value)
+            nth += 1
+
     norm = np.bincount(doc, weight, minlength=docs)
-    todo, darts = norm > 0, k * math.log(k) + 2 * k
+    todo, darts = norm > 0, k * math.log(k) + 3 * k
     while todo.any():
         mine = todo[doc]
         eh, ew, ed = h[mine], weight[mine], doc[mine]
@@ -53,31 +71,12 @@ def dart_signatures(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: in
             if not len(tall):
                 break
             reach = theta[tall] * width  # ranks in units in which a cell's area is its length
-            begin, length, cell = 0.0, 0.125, 0
-            while True:
-                hit = tall[reach > begin]
-                if not len(hit):
-                    break
-                u = tv.mix(eh[hit] ^ U((layer << 40) + cell + 1))
-                fallen = np.searchsorted(_poisson_cdf(length), u >> U(11), "right")
-                nth = 0
-                while True:
-                    of = np.flatnonzero(fallen > nth)
-                    if not len(of):
-                        break
-                    g = tv.mix(u[of] + U((nth + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-                    g2 = tv.mix(g)
-                    e = hit[of]
-                    height = low + width * ((g >> U(32)).astype(float) / 2.0**32)
-                    rank = (begin + length * ((g2 >> U(24)).astype(float) / 2.0**40)) / width
-                    keep = (height < ew[e]) & (rank < theta[e])
-                    g, g2, e, rank = g[keep], g2[keep], e[keep], rank[keep]
-                    value = (rank.astype(np.float32).view(np.uint32).astype(U) << U(32)) | (tv.mix(g2) & U(0xFFFFFFFF))
-                    np.minimum.at(out, ed[e].astype(np.int64) * k + ((g2 & U(0xFFFFFF)) % U(k)).astype(np.int64), value)
-                    nth += 1
-                begin += length
-                length = begin if begin < 1 else 1.0
-                cell += 1
+            for begin, length, cell in ((0.0, 0.125, 0), (0.125, 0.125, 1), (0.25, 0.25, 2), (0.5, 0.5, 3)):
+                throw(tall[reach > begin], begin, length, cell, layer, low, width)
+            far = tall[reach > 1]  # cells of length one from there on, all at once
+            cells = np.ceil(reach[reach > 1]).astype(np.int64) - 1
+            nth_cell = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+            throw(np.repeat(far, cells), nth_cell + 1.0, 1.0, nth_cell.astype(U) + U(4), layer, low, width)
             low, width, layer = low + width, (width if layer == 0 else width * 2), layer + 1
         todo &= (out.reshape(docs, k) == _EMPTY).any(1)
         out.reshape(docs, k)[todo] = _EMPTY
@@ -140,14 +139,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         map_arrow(own.select(F.col("doc_id").alias("id"), "text", "h1", "h2").join(wanted, ["id", "h1", "h2"]).select("id", "text"), _elements, f"id {kind}, elements array<long>"), "sets",
     )
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
-        common = F.size(F.array_intersect("ea", "eb"))
-        least, most = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
-        close = (least >= SIMILARITY * most) & (common >= SIMILARITY * (least + most - common))
-        return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
+    def close(a: Column, b: Column) -> Column:
+        """Sets of numbered occurrences: their Jaccard similarity is the weighted one."""
+        least, most, common = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b)), F.size(F.array_intersect(a, b))
+        return (least >= SIMILARITY * most) & (common >= SIMILARITY * (least + most - common))
 
-    linked = classes(shared, verify)
+    linked = classes(shared, sets.select("id", F.col("elements").alias("payload")), close)
     of_text = texts.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("class_id"))
     # Copies of a text may be a third of all rows: the join is on the text's hash, unique on the right.
     named = prints.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id")

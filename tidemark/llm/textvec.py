@@ -73,7 +73,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.zeros(len(data), bool)
     after[:-1] = is_word[1:]
     end = np.flatnonzero(is_word & (~after | first[1:])) + 1
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    return start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
 
 
 def lower(column: pa.Array) -> pa.Array:
