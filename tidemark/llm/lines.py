@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -14,23 +14,27 @@ from .common import map_arrow, sized, table, written
 from .lsh import classes, shared_keys_once
 from .textvec import U
 
-N_CHARS, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
+N_CHARS, BANDS, ROWS, SIMILARITY = 8, 20, 6, 0.8
+_NONE = np.uint32(0xFFFFFFFF)
+#: At similarity 0.8 a mark differs with probability 0.2 * 15/16: 24 of 128 with a deviation of 4.4; the limit is 3.6 of those above.
+MARKS, MOST_DIFFERENT = 128, 40
 _rng = np.random.default_rng(9)
-_FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_FACTORS = _rng.integers(0, 1 << 32, MARKS, dtype=np.uint32) | np.uint32(1)
+_SHIFTS = _rng.integers(0, 1 << 32, MARKS, dtype=np.uint32)
 
 
 def char_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of all N_CHARS-character shingles of UTF-8 texts; a shorter text is one shingle, an empty one none."""
     rows = len(offsets) - 1
     at = np.flatnonzero((data & 0xC0) != 0x80)
-    row = np.searchsorted(offsets, at, "right") - 1
-    n = np.bincount(row, minlength=rows)
+    bounds = np.searchsorted(at, offsets)
+    n = np.diff(bounds)
+    row = np.repeat(np.arange(rows), n)
     whole = np.zeros(len(at), bool)
     if len(at) >= N_CHARS:
         whole[: len(at) - N_CHARS + 1] = row[: len(at) - N_CHARS + 1] == row[N_CHARS - 1 :]
     end = np.append(at[N_CHARS:], np.full(min(N_CHARS, len(at)), len(data)))
-    first = np.searchsorted(row, np.arange(rows))
+    first = bounds[:-1]
     short = (n > 0) & (n < N_CHARS)
     whole[first[short]] = True
     end[first[short]] = offsets[1:][short]
@@ -39,14 +43,27 @@ def char_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash signatures of the rows that have shingles: (row numbers, their signatures)."""
+    """MinHash signatures of the rows that have shingles: (row numbers, their signatures).
+
+    One hash per shingle: its remainder names the coordinate, where the least of its other bits stays. A coordinate that
+    got none takes the value of another, drawn by a hash of the coordinate and the attempt alone."""
     have = np.flatnonzero(np.bincount(row, minlength=rows))
-    begin = np.searchsorted(row, have)
-    short = (h >> U(32)).astype(np.uint32)
-    sig = np.empty((len(have), BANDS * ROWS), np.uint32)
-    for i in range(BANDS * ROWS if len(have) else 0):
-        sig[:, i] = np.minimum.reduceat((short ^ _SHIFTS[i]) * _FACTORS[i], begin)
-    return have, sig
+    k = BANDS * ROWS
+    at = np.zeros(rows, np.int64)
+    at[have] = np.arange(len(have))
+    sig = np.full(len(have) * k, _NONE, np.uint32)
+    np.minimum.at(sig, at[row] * k + (h % U(k)).astype(np.int64), ((h >> U(32)) & U(0xFFFFFFFE)).astype(np.uint32))
+    sig = sig.reshape(len(have), k)
+    full = sig.copy()
+    open_row, open_bin = np.nonzero(sig == _NONE)
+    attempt = 0
+    while len(open_row):
+        attempt += 1
+        taken = sig[open_row, (tv.mix(open_bin.astype(U) + U(attempt * 1_000_003)) % U(k)).astype(np.int64)]
+        full[open_row, open_bin] = taken
+        still = taken == _NONE
+        open_row, open_bin = open_row[still], open_bin[still]
+    return have, full
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +80,24 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_[first + have])], ["key", "id"])
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of shingles of each line, and four bits each of MARKS MinHash values, on hashes of their own."""
+    for batch in batches:
+        for first, data, offsets in tv.slices(tv.lower(batch.column("line")), 1 << 18):
+            n = len(offsets) - 1
+            h, row = char_shingles(data, offsets)
+            have = np.flatnonzero(np.bincount(row, minlength=n))
+            begin = np.searchsorted(row, have)
+            low = h.astype(np.uint32)
+            marks = np.zeros((n, MARKS // 16), U)
+            for i in range(MARKS if len(have) else 0):
+                least = np.minimum.reduceat((low ^ _SHIFTS[i]) * _FACTORS[i], begin)
+                marks[have, i // 16] |= (tv.mix(least.astype(U)) & U(15)) << U(4 * (i % 16))
+            part = batch.slice(first, n)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel().view(np.int64)), MARKS // 16).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line"), pa.array(np.bincount(row, minlength=n)), lists], ["id", "line", "n", "marks"])
+
+
 def _shingle_set(line: str) -> set[str]:
     line = line.lower()
     return {line[i : i + N_CHARS] for i in range(max(1, len(line) - N_CHARS + 1))}
@@ -71,7 +106,7 @@ def _shingle_set(line: str) -> set[str]:
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, last, left = [], None, set()
-        for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+        for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
             if a != last:
                 last, left = a, _shingle_set(a)
             right = _shingle_set(b)
@@ -95,7 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     rows stay, with the text that is left; it is empty if no line is. Rows that repeat both doc_id and text are one
     document and get one result. Empty docs give no rows; columns named like an added one are replaced.
 
-    Lines go by 64-bit hashes between the steps. Bands take one shuffle; verification sees the texts of candidates only;
+    Lines go by 64-bit hashes between the steps. Bands take one shuffle; exact verification sees the texts of pairs with near enough marks only;
     joins back to the documents broadcast only what is counted small.
     """
     docs = docs.drop("n_lines", "n_dropped")
@@ -104,14 +139,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     firsts = written(lines.groupBy("id", "id2").agg(F.min("at").alias("first"), F.count("*").alias("n")), "firsts")
     shared = written(shared_keys_once(map_arrow(lines.select("id", "line"), _bands, "key long, id long")).where("key is not null").distinct(), "bands")
     ids = sized(shared.select("id").distinct(), "candidates")
-    texts = written(lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "lines")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"t{x}")) for x in "ab")
-        near = F.expr(f"least(length(ta), length(tb)) >= {SIMILARITY / 2} * greatest(length(ta), length(tb))")
-        return map_arrow(pairs.join(a, "a").join(b, "b").where(near), _close, "a long, b long")
-
-    linked = classes(shared, verify)
+    texts = lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = written(map_arrow(texts, _marks, "id long, line string, n long, marks array<long>"), "lines")
+
+    def close(a: Column, b: Column) -> Column:
+        """What must hold of similar lines, but for one pair in 6,000 at the least similarity."""
+        differ = F.lit(0)
+        for i in range(MARKS // 16):
+            x = F.get(a["marks"], F.lit(i)).bitwiseXOR(F.get(b["marks"], F.lit(i)))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+            differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        return (F.least(a["n"], b["n"]) >= SIMILARITY / 2 * F.greatest(a["n"], b["n"])) & (differ <= MOST_DIFFERENT)
+
+    def decide(pairs: DataFrame) -> DataFrame:
+        a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
+        return map_arrow(pairs.join(a, "a").join(b, "b"), _close, "a long, b long")
+
+    linked = classes(shared, texts.select("id", F.struct("n", "marks").alias("payload")), close, decide=decide)
     named = firsts.join(linked, "id", "left").select("id", "id2", "first", "n", "component")
     groups = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
     keepers = (
