@@ -335,6 +335,13 @@ def test_lines_equal_brute_force(spark, texts):
     assert {r.doc_id: r.text for r in got} == expected and sum(r.n_dropped for r in got) == len(gone)
 
 
+def test_lines_of_a_repeated_unit(spark):
+    units = [("-", 20, 80), ("ha ", 10, 60), ("the ", 8, 90), ("=*", 9, 200)]
+    rows = [(2 * i + j, (u * n)[:-1] if u[-1] == " " else u * n) for i, (u, *ns) in enumerate(units) for j, n in enumerate(ns)] + [(100, "a line of its own, with nothing repeated in it")]
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 2 for d, _ in rows}
+
+
 def test_line_edges(spark, odd):
     r = collections.defaultdict(list)
     for x in lines.dedup_lines(odd).collect():

@@ -16,8 +16,8 @@ from .textvec import U
 
 N_CHARS, BANDS, ROWS, SIMILARITY = 8, 20, 6, 0.8
 _NONE = np.uint32(0xFFFFFFFF)
-#: At similarity 0.8 a mark differs with probability 0.2 * 15/16: 24 of 128 with a deviation of 4.4; the limit is 3.6 of those above.
-MARKS, MOST_DIFFERENT = 128, 40
+#: At similarity 0.8 a mark differs with probability 0.2 * 15/16: 24 of 128 with a deviation of 4.4; the limit is 5.4 of those above.
+MARKS, MOST_DIFFERENT = 128, 48
 _rng = np.random.default_rng(9)
 _FACTORS = _rng.integers(0, 1 << 32, MARKS, dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, MARKS, dtype=np.uint32)
@@ -42,6 +42,15 @@ def char_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return tv.span_hash(tv.prefix_sums(data), at[pick], end[pick]), row[pick]
 
 
+def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each row, each once."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[once], row[once]
+
+
 def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """MinHash signatures of the rows that have shingles: (row numbers, their signatures).
 
@@ -81,11 +90,11 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of shingles of each line, and four bits each of MARKS MinHash values, on hashes of their own."""
+    """The number of distinct shingles of each line, and four bits each of MARKS MinHash values, on hashes of their own."""
     for batch in batches:
         for first, data, offsets in tv.slices(tv.lower(batch.column("line")), 1 << 18):
             n = len(offsets) - 1
-            h, row = char_shingles(data, offsets)
+            h, row = distinct(*char_shingles(data, offsets))
             have = np.flatnonzero(np.bincount(row, minlength=n))
             begin = np.searchsorted(row, have)
             low = h.astype(np.uint32)
@@ -99,14 +108,13 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_set(line: str) -> set[str]:
-    line = line.lower()
     return {line[i : i + N_CHARS] for i in range(max(1, len(line) - N_CHARS + 1))}
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, last, left = [], None, set()
-        for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
+        for a, b in zip(*(tv.lower(batch.column(c)).to_pylist() for c in ("line_a", "line_b"))):
             if a != last:
                 last, left = a, _shingle_set(a)
             right = _shingle_set(b)
@@ -143,13 +151,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     texts = written(map_arrow(texts, _marks, "id long, line string, n long, marks array<long>"), "lines")
 
     def close(a: Column, b: Column) -> Column:
-        """What must hold of similar lines, but for one pair in 6,000 at the least similarity."""
+        """What must hold of similar lines; of marks, all but one pair in millions at the least similarity."""
         differ = F.lit(0)
         for i in range(MARKS // 16):
             x = F.get(a["marks"], F.lit(i)).bitwiseXOR(F.get(b["marks"], F.lit(i)))
             x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
             differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-        return (F.least(a["n"], b["n"]) >= SIMILARITY / 2 * F.greatest(a["n"], b["n"])) & (differ <= MOST_DIFFERENT)
+        return (F.least(a["n"], b["n"]) >= SIMILARITY * F.greatest(a["n"], b["n"])) & (differ <= MOST_DIFFERENT)
 
     def decide(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
