@@ -1,5 +1,7 @@
 """Golden cases, metamorphic checks and edge cases of the operators."""
 
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,14 @@ def test_features_and_labels(spark):
     assert {r.y_dir_1 for r in f[:-1]} <= {0, 1}
 
 
+def test_volume_z_of_sparse_volumes(spark):
+    rows = [("s", i, 100.0 + i % 7, float(i % 9) if i % 40 == 3 else None) for i in range(1_200)]
+    got = {r.t: r.vol_z for r in price_features(spark.createDataFrame(rows, "symbol string, t long, close double, volume double"), at="t").collect()}
+    for t in (2, 3, 90, 250, 700, 850, 1_199):
+        v = [x for _, i, _, x in rows if i <= t and x is not None][-20:]
+        assert got[t] == pytest.approx((v[-1] - statistics.mean(v)) / statistics.stdev(v) if len(v) > 2 else 0.0)
+
+
 def test_sigma_needs_twenty_returns(spark):
     s = trailing_sigma(_bars(spark), at="t").orderBy("t").collect()
     assert s[20].sigma is None and s[21].sigma is not None

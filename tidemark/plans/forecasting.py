@@ -21,25 +21,27 @@ TOPICS = list(R.TOPIC_SYMBOLS)
 def price_features(bars: DataFrame, by: str = "symbol", at: str = "d") -> DataFrame:
     """bars (by, at, close, volume) with returns, volatility, momentum, RSI, volume z-score, and the row's number `pos`.
 
-    All are windows over one sort by (symbol, time). The z-score takes the last 20 volumes that are there."""
+    All but the z-score are windows over one sort by (symbol, time). The z-score takes the last 20 volumes that are there,
+    over the rows with a volume alone; a row without one has that of the row before."""
     w = Window.partitionBy(by).orderBy(at)
     last = lambda n: w.rowsBetween(1 - n, 0)
     close = F.col("close")
     ret = lambda n: F.coalesce(close / F.lag("close", n).over(w) - 1, F.lit(0.0))
     b = bars.withColumn("pos", F.row_number().over(w) - 1).withColumn("diff", close - F.lag("close").over(w)).withColumn("logret", F.log(close / F.lag("close").over(w)))
     gain, loss = F.avg(F.greatest("diff", F.lit(0.0))).over(last(14)), F.avg(F.greatest(-F.col("diff"), F.lit(0.0))).over(last(14))
-    recent = F.collect_list("volume").over(w.rowsBetween(-60, 0))
-    recent = F.when(F.size(recent) > 20, F.slice(recent, F.size(recent) - 19, 20)).otherwise(recent)
-    b = b.withColumn("v", recent).withColumn("rsi_gain", gain).withColumn("rsi_loss", loss)
+    there = Window.partitionBy(by, F.isnull("volume")).orderBy(at)
+    b = b.withColumn("v", F.collect_list("volume").over(there.rowsBetween(-19, 0))).withColumn("rsi_gain", gain).withColumn("rsi_loss", loss)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = total(F.col("v")) / F.size("v")
+    mean = total(F.col("v")) / F.nullif(F.size("v"), F.lit(0))
     b = b.withColumn("vm", mean)
     b = b.withColumn("vs", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("vm")) * (x - F.col("vm"))) / F.nullif(F.size("v") - 1, F.lit(0))))
+    z = F.when((F.size("v") > 2) & (F.col("vs") > 0), (F.element_at("v", -1) - F.col("vm")) / F.col("vs")).otherwise(0.0)
+    b = b.withColumn("z", F.when(F.col("volume").isNotNull(), z))
     return b.select(
         by, at, "close", "pos", ret(1).alias("ret_1d"), ret(5).alias("ret_5d"), ret(20).alias("ret_20d"),
         F.coalesce(F.stddev_samp("logret").over(last(20)), F.lit(0.0)).alias("vol_20d"), (close / F.avg("close").over(last(20)) - 1).alias("mom_sma20"),
         F.when(F.col("pos") < 14, 0.5).when(F.col("rsi_loss") == 0, 1.0).otherwise(1 - 1 / (1 + F.col("rsi_gain") / F.col("rsi_loss"))).alias("rsi_14"),
-        F.when((F.size("v") > 2) & (F.col("vs") > 0), (F.element_at("v", -1) - F.col("vm")) / F.col("vs")).otherwise(0.0).alias("vol_z"),
+        F.coalesce(F.last("z", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("vol_z"),
     )
 
 
