@@ -177,6 +177,19 @@ def test_paraphrase_and_edges(spark, odd):
     assert decontamination.screen(docs, decontamination.build_index(docs, bench.limit(0))).where("size(matches) > 0").count() == 0
 
 
+def test_items_longer_than_a_window(spark):
+    rng = np.random.default_rng(4)
+    item = {i: [f"w{x}" for x in rng.integers(0, 5_000, n)] for i, n in ((1, 300), (2, 130), (3, 60), (4, 20), (5, 700))}
+    filler = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5_000, n))
+    reworded = lambda w: [f"x{i}" if i % 4 == 1 else x for i, x in enumerate(w)]
+    held = [(10 * i + j, f"{filler(37 * i)} {' '.join(f(w))} {filler(200)}") for i, w in item.items() for j, f in enumerate((list, reworded))]
+    none = [(90, filler(2_000)), (91, " ".join(item[1][:150])), (92, " ".join(item[5][350:]))]
+    docs = spark.createDataFrame(held + none, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w), f"{w[0]} {w[2]}") for i, w in item.items()], "item_id long, text string, answer string")
+    got = {r.doc_id: [m.item_id for m in r.matches] for r in decontamination.screen(docs, decontamination.build_index(docs, bench)).collect()}
+    assert got == {d: [d // 10] for d, _ in held} | {d: [] for d, _ in none}
+
+
 def test_lcs():
     assert decontamination.lcs_length([1, 2, 3, 2, 4], [2, 9, 3, 4, 4]) == 3 and decontamination.lcs_length([1], []) == 0
 
