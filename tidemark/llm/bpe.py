@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import collections
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, table
@@ -24,131 +29,201 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 class Automaton:
-    """The deterministic automaton whose paths are the tokenizations BPE gives, compiled merge by merge.
+    """The deterministic automaton whose paths are the tokenizations BPE gives, compiled merge by merge into tables.
 
     At first there is one state, with an arc for each byte back to itself. The gadget of merge (u, v) -> uv takes the
-    arc v out of the state reached by u, and adds, wherever u then v could be read, an arc uv to a copy of the state
-    that v led to. All arcs of one label lead to one state, so the state after token t is named t. A state's arcs are all
-    labels but those taken out; a copy shares what was taken out of its original before the copying, and a new label is
-    missing where its first part is. So a table needs three entries per merge: left and right part, and the place of the
-    merge in order. step() reads a transition off these tables, and remembers it.
-
-    The automaton has exactly one path over the bytes of a word; its labels are the encoding.
+    arc v out of the states reached by u, and adds, wherever u then v could be read, an arc uv to a copy of the state that
+    v led to. Later gadgets copy what is left. All arcs of one label lead to one state, so states are numbered as tokens,
+    and an arc (state, label) leads to the state `label`; the first state is the last number.
+
+    What a gadget takes out in the end is a rectangle: all copies of state u made after it, and all labels that are made
+    after it from v on. When tokens are ranked by a walk over the tree of left parts, the latest children first, these
+    labels are a run of ranks. So a state's table is a sorted list of runs of labels that have no arc (out_begin,
+    out_end, both plus the state times the number of ranks), and a transition is one binary search.
+
+    The automaton has exactly one path over the bytes of a word; its labels are the encoding. Every beginning of a word
+    has one path too, so the path grows byte by byte: `goto` leads to the longest text that some label begins with and
+    that the bytes read so far end with, `longest` names the longest label at its end, `shorter` the next one, and the
+    one of them is taken that has an arc from the state where it begins.
     """
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.specials = {a["content"]: a["id"] for a in spec["added_tokens"]}
+    def __init__(self, spec: bytes):
+        rules = json.loads(spec)
+        self.specials = {a["content"]: a["id"] for a in rules["added_tokens"]}
         byte = _byte_of_symbol()
-        vocab = spec["model"]["vocab"]
-        self.label = {i: bytes(byte[c] for c in s) for s, i in vocab.items() if all(c in byte for c in s)}
-        self.label |= {i: s.encode() for s, i in self.specials.items()}
-        self.order: dict[tuple[int, int], int] = {}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.made: dict[int, int] = {}
+        vocab = rules["model"]["vocab"]
         special = set(self.specials.values())
-        tokens = {i for i in vocab.values() if i not in special and len(self.label.get(i, b"")) == 1}
-        for k, merge in enumerate(spec["model"]["merges"]):
-            u, v = merge if isinstance(merge, list) else merge.split(" ")
-            self._gadget(vocab[u], vocab[v], vocab[u + v], k)
-            tokens.add(vocab[u + v])
-        self.memo: dict[tuple[int, int], bool] = {}
-        self.token = {self.label[i]: i for i in tokens}
-        # The lengths of the labels that begin with two given bytes, the longest first; a single byte is always a label.
-        begin: dict[bytes, set[int]] = {}
-        for t in self.token:
-            begin.setdefault(t[:2], {1}).add(len(t))
-        self.lengths = {e: sorted(n, reverse=True) for e, n in begin.items()}
-
-    def _gadget(self, u: int, v: int, uv: int, k: int) -> None:
-        self.order.setdefault((u, v), k)
-        if uv not in self.made:  # a label made twice keeps its first, earlier gadget
-            self.left[uv], self.right[uv], self.made[uv] = u, v, k
-
-    def step(self, state: int, label: int) -> bool:
-        """Whether the state after token `state` has an arc `label`."""
-        known = self.memo.get((state, label))
-        if known is None:
-            known = True
-            s, before = state, len(self.order) + 1  # what was taken out of s before the copying counts
-            while known:
-                p, upto = label, before
-                while True:
-                    k = self.order.get((s, p))
-                    if k is not None and k < before and k <= upto:
-                        known = False
-                        break
-                    if p not in self.left:
-                        break
-                    upto = self.made[p] if p == label else min(upto, self.made[p])
-                    p = self.left[p]
-                if s not in self.right:
+        spelled = {i: bytes(byte[c] for c in s) for s, i in vocab.items() if i not in special and all(c in byte for c in s)}
+        self.label = spelled | {i: s.encode() for s, i in self.specials.items()}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in rules["model"]["merges"]]
+        merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        self.size = max(self.label) + 2
+        self.start = self.size - 1
+        self.length = np.zeros(self.size, np.int32)
+        self._gadgets(merges)
+        self._reading({i: t for i, t in spelled.items() if len(t) == 1 or i in self.made})
+
+    def _gadgets(self, merges: list[tuple[int, int, int]]) -> None:
+        left: dict[int, int] = {}
+        right: dict[int, int] = {}
+        self.made: dict[int, int] = {}
+        children: dict[int, list[int]] = {}
+        first: dict[tuple[int, int], int] = {}
+        for k, (u, v, uv) in enumerate(merges):
+            first.setdefault((u, v), k)
+            if uv not in self.made:  # a label made twice keeps its earlier gadget
+                left[uv], right[uv], self.made[uv] = u, v, k
+                children.setdefault(u, []).append(uv)
+        # Ranks: every token, then what is made from it on its right, the latest first.
+        self.rank = np.zeros(self.size, np.int64)
+        end = np.zeros(self.size, np.int64)
+        at = 0
+        stack = [(t, False) for t in range(self.size) if t not in left]
+        while stack:
+            t, left_behind = stack.pop()
+            if left_behind:
+                end[t] = at
+                continue
+            self.rank[t] = at
+            at += 1
+            stack.append((t, True))
+            stack += [(c, False) for c in children.get(t, ())]
+        # The run of labels that each gadget takes out, by its left part and in order.
+        begin_of = {v: [self.made[c] for c in cs] for v, cs in children.items()}
+        runs: dict[int, list[tuple[int, int, int]]] = {}
+        for (u, v), k in first.items():
+            later = bisect.bisect_left(begin_of.get(v, []), k)
+            last = end[children[v][later]] if later < len(children.get(v, ())) else self.rank[v] + 1
+            runs.setdefault(u, []).append((k, self.rank[v], last))
+        table_of = {u: np.array(sorted(r), np.int64) for u, r in runs.items()}
+        states, begins, ends = [], [], []
+        for s in range(self.size - 1):
+            copied, before = s, len(merges)
+            while True:
+                got = table_of.get(copied)
+                if got is not None and (n := int(np.searchsorted(got[:, 0], before))):
+                    states.append(np.full(n, s, np.int64))
+                    begins.append(got[:n, 1])
+                    ends.append(got[:n, 2])
+                if copied not in right:
                     break
-                before = min(before, self.made[s])
-                s = self.right[s]
-            if len(self.memo) > 2_000_000:
-                self.memo.clear()
-            self.memo[state, label] = known
-        return known
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The one path over the word: arcs are tried from the longest label down, and a place from which no arc leads
-        on is not tried again."""
-        n, token, step, lengths = len(word), self.token, self.step, self.lengths
-        whole = token.get(word)
-        if whole is not None:
-            return [whole]
-        out: list[int] = []
-        places = [0]
-        dead = bytearray(n + 1)
-        longest = n
-        while places[-1] < n:
-            at = places[-1]
-            state = out[-1] if out else None
-            for size in lengths.get(word[at : at + 2], (1,)):
-                if size <= longest and at + size <= n and not dead[at + size]:
-                    label = token.get(word[at : at + size])
-                    if label is not None and (state is None or step(state, label)):
-                        out.append(label)
-                        places.append(at + size)
-                        longest = n
-                        break
-            else:
-                dead[at] = 1
-                places.pop()
-                out.pop()
-                longest = at - places[-1] - 1
+                before = self.made[copied]
+                copied = right[copied]
+        none = [np.empty(0, np.int64)]
+        shift = np.concatenate(none + states) * self.size
+        b, e = np.concatenate(none + begins) + shift, np.concatenate(none + ends) + shift
+        order = np.argsort(b, kind="stable")
+        b, upto = b[order], np.maximum.accumulate(e[order])
+        new = np.ones(len(b), bool)
+        new[1:] = b[1:] > upto[:-1]
+        self.out_begin, self.out_end = b[new], upto[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)] if len(b) else upto
+
+    def _reading(self, tokens: dict[int, bytes]) -> None:
+        """The table over bytes (goto) and the labels that end at its places: a trie with the longest suffix inside it."""
+        child: dict[tuple[int, int], int] = {}
+        ends_at: dict[int, int] = {}
+        for i, t in tokens.items():
+            self.length[i] = len(t)
+            node = 0
+            for x in t:
+                node = child.setdefault((node, x), len(child) + 1)
+            ends_at[node] = i
+        below: list[list[tuple[int, int]]] = [[] for _ in range(len(child) + 1)]
+        for (node, x), to in child.items():
+            below[node].append((x, to))
+        self.goto = np.zeros((len(below), 256), np.int32)
+        self.longest = np.full(len(below), -1, np.int32)
+        self.shorter = np.full(self.size, -1, np.int32)
+        suffix = [0] * len(below)
+        todo = collections.deque([0])
+        while todo:
+            node = todo.popleft()
+            if node:
+                self.goto[node] = self.goto[suffix[node]]
+                self.longest[node] = self.longest[suffix[node]]
+                if node in ends_at:
+                    self.shorter[ends_at[node]] = self.longest[node]
+                    self.longest[node] = ends_at[node]
+            for x, to in below[node]:
+                suffix[to] = int(self.goto[node, x]) if node else 0
+                self.goto[node, x] = to
+                todo.append(to)
+
+    def has_arc(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Whether there is an arc `label` from each state, for states and labels side by side."""
+        key = state.astype(np.int64) * self.size + self.rank[label]
+        run = np.searchsorted(self.out_begin, key, "right") - 1
+        return (run < 0) | (self.out_end[run] <= key)
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The labels of the one path over each word. Words of like length are read side by side, a byte at a time."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        at = 0
+        while at < len(order) and words[order[at]]:
+            longest = len(words[order[at]])
+            some = order[at : at + max(1, (1 << 20) // longest)]
+            some = [i for i in some if 2 * len(words[i]) >= longest or longest <= 16 and words[i]]
+            for i, ids in zip(some, self._walk([words[i] for i in some])):
+                out[i] = ids
+            at += len(some)
+        return out
+
+    def _walk(self, words: list[bytes]) -> list[list[int]]:
+        """words: the longest first, none of them empty."""
+        lengths = np.array([len(w) for w in words])
+        width = int(lengths[0])
+        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        reached = np.empty((width + 1, len(words)), np.int32)  # the state after so many bytes: the last label
+        reached[0] = self.start
+        place = np.zeros(len(words), np.int32)
+        for n in range(1, width + 1):
+            on = int(np.searchsorted(-lengths, -n, "right"))
+            place = self.goto[place[:on], text[:on, n - 1]]
+            label = self.longest[place]
+            todo = np.arange(on)
+            while len(todo):
+                arc = self.has_arc(reached[n - self.length[label], todo], label)
+                reached[n, todo[arc]] = label[arc]
+                todo, label = todo[~arc], self.shorter[label[~arc]]
+        out = []
+        for i, n in enumerate(lengths.tolist()):
+            ids, column = [], reached[: n + 1, i].tolist()
+            while n:
+                ids.append(column[n])
+                n -= int(self.length[column[n]])
+            out.append(ids[::-1])
         return out
 
 
 class Codec:
     """Whole texts: specials are cut out first, then words are looked up among those encoded before, or encoded."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
-        self.automaton = Automaton(path)
+    def __init__(self, spec: bytes, most_words: int = 400_000):
+        self.automaton = Automaton(spec)
         self.words = regex.compile(WORDS)
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.automaton.specials, key=len, reverse=True)) + ")") if self.automaton.specials else None
+        specials = self.automaton.specials
+        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
         self.known: dict[str, list[int]] = {}
         self.most_words = most_words
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, automaton = self.known, self.automaton
-        for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if i % 2:
-                out.append(automaton.specials[part])
-                continue
-            for word in self.words.findall(part):
-                ids = known.get(word)
-                if ids is None:
-                    ids = automaton.encode_word(word.encode())
-                    if len(word) < 64:
-                        if len(known) >= self.most_words:
-                            known.clear()
-                        known[word] = ids
-                out += ids
+    def _pieces(self, text: str) -> list[str]:
+        if self.cut is None or not self.cut.search(text):
+            return self.words.findall(text)
+        return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self.words.findall(part))]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        pieces = [self._pieces(t) for t in texts]
+        if len(self.known) > self.most_words:
+            self.known.clear()
+        known = self.known
+        known |= {s: [i] for s, i in self.automaton.specials.items()}
+        new = list({w for ws in pieces for w in ws}.difference(known))
+        known |= zip(new, self.automaton.encode_words([w.encode() for w in new]))
+        out = [list(itertools.chain.from_iterable(map(known.__getitem__, ws))) for ws in pieces]
+        for w in new:
+            if len(w) >= 64:  # long ones hardly come again
+                del known[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -156,40 +231,50 @@ class Codec:
         return b"".join(map(self.automaton.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[int, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(spec: bytes) -> Codec:
     """One codec per Python worker and vocabulary."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    key = hash(spec)
+    if key not in _codecs:
+        _codecs[key] = Codec(spec)
+    return _codecs[key]
+
+
+def vocabulary_bytes(docs: DataFrame, vocabulary: str) -> Broadcast:
+    """The vocabulary's file, read on the driver and sent to the executors, which need no path to it."""
+    with open(vocabulary, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs with ids, array<int>: the whole text's tokens as the vocabulary's own library gives them without adding
     special tokens; a special token's string in a text is that token. A null text is empty. No shuffle; memory is one
-    batch of texts and a bounded table of words. vocabulary is a path that every executor can open. Empty docs give no
-    rows; a column named ids is replaced."""
+    batch of texts and a bounded table of words. vocabulary is a path on the driver. Empty docs give no rows; repeated
+    rows are encoded alike; a column named ids is replaced."""
     docs = docs.drop("ids")
+    shared = vocabulary_bytes(docs, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
+        c = codec(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pa.array([c.encode(t or "") for t in part.column(text).to_pylist()], pa.list_(pa.int32()))
+                ids = pa.array(c.encode([t or "" for t in part.column(text).to_pylist()]), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
     return map_arrow(docs, work, _with(docs, "ids array<int>"))
 
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
-    """tokens (with ids) plus decoded, the text of the ids; null ids give an empty text."""
+    """tokens (with ids) plus decoded, the text of the ids; null or empty ids give an empty text, repeated rows the same
+    text. A number that the vocabulary doesn't have is an error. No rows, no result; a column named decoded is replaced."""
     tokens = tokens.drop("decoded")
+    shared = vocabulary_bytes(tokens, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
+        c = codec(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -205,18 +290,21 @@ def _with(df: DataFrame, more: str) -> str:
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, decoded again and hashed within one task, so
-    that ids and decoded texts never leave it."""
+    that ids and decoded texts never leave it. A null text is an empty one, a null doc_id stays null, repeated rows are
+    repeated; whole texts are taken whatever their length; no rows, no result; other columns don't matter."""
+    shared = vocabulary_bytes(docs, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
+        c = codec(shared.value)
         for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for t in batch.column(text):
-                ids = c.encode(t.as_py() or "")
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tokens = c.encode([t or "" for t in part.column(text).to_pylist()])
+                of_ids = [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for ids in tokens]
+                of_text = [hashlib.sha256(c.decode(ids).encode()).hexdigest() for ids in tokens]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col), pa.array([len(ids) for ids in tokens], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(docs.select(id_col, text), work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
