@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import components, map_arrow, sized, table, written
 
 COSINE = 0.93
-SUBSPACES, CODEWORDS, LIST_ROWS, BLOCK_ROWS = 16, 64, 1_000, 2_048
+SUBSPACES, CODEWORDS, LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 16, 64, 1_000, 1_024, 2_048
 
 
 @dataclass
@@ -65,18 +65,20 @@ def unit_vectors(values: pa.Array, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1)[:, None]
 
 
-def fit(vectors: DataFrame, rows: int, labels: int, width: int, sample_rows: int = 20_000, seed: int = 8) -> Quantiser:
-    """Centroids and codebooks from at most about sample_rows vectors, chosen by a hash of their values."""
+def fit(vectors: DataFrame, rows: int, levels: list[int], width: int, sample_rows: int = 20_000, seed: int = 8) -> dict[int, Quantiser]:
+    """For each of the numbers of lists, centroids and codebooks from at most 2 * sample_rows vectors, about sample_rows,
+    chosen by a hash of their values."""
     one_in = max(1, rows // sample_rows)
-    sample = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "values"), F.lit(one_in)) == 0).orderBy(F.xxhash64("values"), "id").limit(2 * sample_rows).select("values").toArrow()
+    sample = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "values"), F.lit(one_in)) == 0).orderBy(F.xxhash64("values"), "g").limit(2 * sample_rows).select("values").toArrow()
     x = unit_vectors(sample.column(0).combine_chunks(), width) if sample.num_rows else np.zeros((1, width))
     rng = np.random.default_rng(seed)
-    lists = int(np.clip(rows // max(1, labels * LIST_ROWS), 1, min(1_024, len(x))))
-    centroids = _k_means(x, lists, 10, rng)
-    nearest, _ = Quantiser(centroids, np.zeros((1, 1, width))).nearest(x)
-    parts = (x - centroids[nearest]).reshape(len(x), SUBSPACES, -1)
-    books = np.stack([_k_means(parts[:, k], min(CODEWORDS, len(x)), 10, rng) for k in range(SUBSPACES)])
-    return Quantiser(centroids, books)
+    out = {}
+    for lists in levels:
+        centroids = _k_means(x, min(lists, len(x)), 10, rng)
+        nearest, _ = Quantiser(centroids, np.zeros((1, 1, width))).nearest(x)
+        parts = (x - centroids[nearest]).reshape(len(x), SUBSPACES, -1)
+        out[lists] = Quantiser(centroids, np.stack([_k_means(parts[:, k], min(CODEWORDS, len(x)), 10, rng) for k in range(SUBSPACES)]))
+    return out
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,68 +102,77 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and vectors of a null label, link with
     nothing. Vectors of different widths count as filled up with zeros. Equal vectors are one row until the end, with
-    their number. vec_id must be unique; rows with a null vec_id get no links and a null component. No rows, no result.
-
-    A vector is kept in the list of its nearest centroid as residual codes. It looks for partners in its own list and in
-    every later list whose border (the plane half-way between the centroids) isn't farther than two linked vectors can
-    be, so no linked pair is missed. There, distances from code tables drop a partner only if they exceed that distance
-    by more than its code has lost; the rest is decided by exact cosines. Lists are cut into blocks of 2,048 rows and
-    every pair of blocks is one group, so a hot list is spread; a group returns sums and a spanning forest of its links.
+    their number. Rows that repeat a vec_id are vectors of their own. Rows with a null vec_id get no links and a null
+    component. No rows, no result; other columns don't matter.
+
+    A label has about as many inverted lists as thousands of vectors (1, 4, 16 up to 1,024). A vector is kept in the list
+    of its nearest centroid as residual codes. It looks for partners in its own list and in every later list whose border
+    (the plane half-way between the centroids) isn't farther than two linked vectors can be, so no linked pair is missed.
+    There, distances from code tables drop a partner only if they exceed that distance by more than its code has lost;
+    the rest is decided by exact cosines. Lists are cut into blocks of 2,048 rows and every pair of blocks is one group,
+    so a hot list is spread; a group returns sums and a spanning forest of its links.
     """
-    kind = embeddings.schema[id_col].dataType.simpleString()
-    rows = embeddings.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("values"))
+    rows = embeddings.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("values"))
     finite = F.forall("values", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("values", lambda v: v != 0)
     good = rows.where("id is not null and label is not null and size(values) > 0").where(finite)
     copies = good.withColumn("h1", F.xxhash64("values")).withColumn("h2", F.xxhash64(F.lit(1), "values"))
-    groups = written(copies.groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("values").alias("values")), "vectors")
-    total, labels, width = groups.agg(F.count("*"), F.countDistinct("label"), F.max(F.size("values"))).first()
-    empty = rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    groups = copies.groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("values").alias("values"))
+    groups = written(groups.withColumn("g", F.monotonically_increasing_id()), "vectors")
+    total, width = groups.agg(F.count("*"), F.max(F.size("values"))).first()
+    alone = lambda d: d.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
-        return empty
+        return alone(rows)
     width = -(-width // SUBSPACES) * SUBSPACES
-    quantiser = fit(groups, total, labels, width)
-    shared = embeddings.sparkSession.sparkContext.broadcast(quantiser)
+    of_size = F.least(F.lit(MOST_LISTS), F.pow(4, F.floor(F.log(4.0, F.greatest(F.lit(1.0), F.col("size") / LIST_ROWS)) + 0.5))).cast("int")
+    labels = sized(groups.groupBy("label").agg(F.count("*").alias("size")).select("label", of_size.alias("lists")), "labels")
+    levels = sorted(r.lists for r in labels.select("lists").distinct().collect())  # six at most
+    shared = embeddings.sparkSession.sparkContext.broadcast(fit(groups, total, levels, width))
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        between = np.sqrt(np.maximum(((q.centroids[:, None] - q.centroids[None]) ** 2).sum(2), 1e-24)) if len(q.centroids) <= 1_024 else None
+        quantisers = shared.value
+        between = {k: np.sqrt(np.maximum(((q.centroids[:, None] - q.centroids[None]) ** 2).sum(2), 1e-24)) for k, q in quantisers.items()}
+        raw = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
         for batch in batches:
-            x = unit_vectors(batch.column("values"), width)
-            own, d = q.nearest(x)
-            codes, lost = q.codes(x - q.centroids[own])
-            here = d[np.arange(len(x)), own]
-            border = (d - here[:, None]) / (2 * between[own])
-            probes = [np.flatnonzero((border[i] <= reach) & (np.arange(len(q.centroids)) > own[i])).astype(np.int32) for i in range(len(x))]
-            raw = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), batch.column("n"), pa.array(own.astype(np.int32)), pa.array(probes, pa.list_(pa.int32())), raw(x), raw(codes), pa.array(lost)],
-                ["id", "label", "n", "list", "probes", "x", "codes", "lost"],
-            )
+            of = batch.column("lists").to_numpy()
+            for level in np.unique(of).tolist():
+                part = batch.filter(pa.array(of == level))
+                q = quantisers[level]
+                x = unit_vectors(part.column("values"), width)
+                own, d = q.nearest(x)
+                codes, lost = q.codes(x - q.centroids[own])
+                here = d[np.arange(len(x)), own]
+                border = (d - here[:, None]) / (2 * between[level][own])
+                probes = [np.flatnonzero((border[i] <= reach) & (np.arange(len(q.centroids)) > own[i])).astype(np.int32) for i in range(len(x))]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in ("g", "label", "n", "lists")], pa.array(own.astype(np.int32)), pa.array(probes, pa.list_(pa.int32())), raw(x), raw(codes), pa.array(lost)],
+                    ["g", "label", "n", "lists", "list", "probes", "x", "codes", "lost"],
+                )
 
     label_kind = groups.schema["label"].dataType.simpleString()
-    index = written(map_arrow(groups.select("id", "label", "n", "values"), assign, f"id {kind}, label {label_kind}, n long, list int, probes array<int>, x binary, codes binary, lost double"), "index")
-    asks = index.select("id", "label", "n", F.col("list").alias("home"), F.explode(F.concat(F.array("list"), "probes")).alias("list"), "x").withColumn("home", F.col("home") == F.col("list"))
+    index = map_arrow(groups.join(labels, "label").select("g", "label", "n", "lists", "values"), assign, f"g long, label {label_kind}, n long, lists int, list int, probes array<int>, x binary, codes binary, lost double")
+    index = written(index, "index")
+    asks = index.select("g", "label", "n", "lists", F.col("list").alias("home"), F.explode(F.concat(F.array("list"), "probes")).alias("list"), "x").withColumn("home", F.col("home") == F.col("list"))
     blocks = lambda d, name: d.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
     sizes = sized(blocks(index, "kept_blocks").join(blocks(asks, "ask_blocks"), ["label", "list"]), "sizes")
     spread = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
-    own_block = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
+    own_block = lambda name: F.pmod(F.xxhash64("g"), F.col(name)).cast("int")
     none = lambda k: F.lit(None).cast(k)
-    kept = index.join(sizes, ["label", "list"]).select("id", "label", "n", "list", own_block("kept_blocks").alias("kb"), F.explode(spread("ask_blocks")).alias("ab"), "x", "codes", "lost")
-    asked = asks.join(sizes, ["label", "list"]).select("id", "label", "n", "list", F.explode(spread("kept_blocks")).alias("kb"), own_block("ask_blocks").alias("ab"), "x", none("binary").alias("codes"), none("double").alias("lost"), "home")
+    own = ["g", "label", "n", "lists", "list"]
+    kept = index.join(sizes, ["label", "list"]).select(*own, own_block("kept_blocks").alias("kb"), F.explode(spread("ask_blocks")).alias("ab"), "x", "codes", "lost")
+    asked = asks.join(sizes, ["label", "list"]).select(*own, F.explode(spread("kept_blocks")).alias("kb"), own_block("ask_blocks").alias("ab"), "x", none("binary").alias("codes"), none("double").alias("lost"), "home")
 
     def compare(group: pa.Table) -> pa.Table:
-        q = shared.value
         is_kept = np.asarray(group.column("lost").is_valid())
         k, a = group.filter(pa.array(is_kept)), group.filter(pa.array(~is_kept))
-        none_found = pa.table({"a": k.column("id").slice(0, 0), "b": k.column("id").slice(0, 0), "n": pa.array([], pa.int64())})
         if not k.num_rows or not a.num_rows:
-            return none_found
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n")})
+        q = shared.value[k.column("lists")[0].as_py()]
         matrix = lambda t, c, kind, w: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(-1, w)
         kx, ax = matrix(k, "x", float, width), matrix(a, "x", float, width)
         codes, lost = matrix(k, "codes", np.uint8, SUBSPACES), k.column("lost").to_numpy()
         centroid = q.centroids[k.column("list")[0].as_py()]
-        pairs_k, pairs_a = [], []
+        pairs_k, pairs_a = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at in range(0, len(ax), 512):
             part = ax[at : at + 512]
             tables = q.tables(part - centroid).astype(np.float32)
@@ -175,7 +186,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
                 pairs_a.append(ii[link] + at)
                 pairs_k.append(jj[link])
         pk, pa_ = np.concatenate(pairs_k), np.concatenate(pairs_a)
-        ids, inverse = np.unique(np.concatenate([k.column("id").to_numpy(), a.column("id").to_numpy()]), return_inverse=True)
+        ids, inverse = np.unique(np.concatenate([k.column("g").to_numpy(), a.column("g").to_numpy()]), return_inverse=True)
         weight = np.zeros(len(ids), np.int64)
         weight[inverse] = np.concatenate([k.column("n").to_numpy(), a.column("n").to_numpy()])
         nk, na = inverse[: len(kx)][pk], inverse[len(kx) :][pa_]
@@ -188,21 +199,22 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
         some = np.flatnonzero(links)
         root = _forest(len(ids), nk, na)
         tied = np.flatnonzero(root != np.arange(len(ids)))
-        to = k.schema.field("id").type
         return pa.table({
-            "a": pa.array(np.concatenate([ids[some], ids[tied]])).cast(to),
-            "b": pa.concat_arrays([pa.nulls(len(some), to), pa.array(ids[root[tied]]).cast(to)]),
+            "a": pa.array(np.concatenate([ids[some], ids[tied]])),
+            "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[root[tied]])]),
             "n": pa.array(np.concatenate([links[some], np.zeros(len(tied))]).astype(np.int64)),
         })
 
     both = kept.withColumn("home", F.lit(True)).unionByName(asked)
-    found = written(both.groupBy("label", "list", "kb", "ab").applyInArrow(compare, f"a {kind}, b {kind}, n long"), "links")
-    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    linked = components(found.where("b is not null").select("a", "b"))
-    of_group = groups.join(links, "id", "left").join(linked, "id", "left").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    found = written(both.groupBy("label", "list", "kb", "ab").applyInArrow(compare, "a long, b long, n long"), "links")
+    links = found.where("b is null").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("links"))
+    linked = written(components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "g"), "components")
+    least = groups.join(linked, "g").groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = linked.join(least, "component").select("g", "component_id")
+    of_group = groups.join(links, "g", "left").join(linked, "g", "left").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     named = copies.join(of_group, ["label", "h1", "h2"]).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     bad = rows.where(~F.coalesce(F.expr("id is not null and label is not null and size(values) > 0") & finite, F.lit(False)))
-    return named.unionByName(bad.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+    return named.unionByName(alone(bad))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
