@@ -43,10 +43,12 @@ def may_have_entity(text: Column) -> Column:
 
 
 def kind_of(m: Column) -> Column:
+    """The kind of a mention; null for a number of a card's length whose check digit isn't one."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(F.contains(m, F.lit("@")), "email").when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), "ip").when(whole(r"[0-9a-f]{32,64}") & m.rlike("[a-f]"), "secret")
-        .when(m.rlike(r"^\p{L}"), "name").when(m.rlike(r"[+(]") | whole(r"\d{3}[.-]\d{3}[.-]\d{4}"), "phone").otherwise("card")
+        .when(m.rlike(r"^\p{L}"), "name").when(m.rlike(r"[+(]") | whole(r"\d{3}[.-]\d{3}[.-]\d{4}"), "phone")
+        .when(_luhn_sum(F.regexp_replace(m, r"\D", "")) % 10 == 0, "card")
     )
 
 
@@ -74,15 +76,30 @@ def _pick(values: list[str], digest: Column, i: int) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.conv(F.substring(digest, i, 1), 16, 10).cast("int") % len(values)) + 1)
 
 
+#: Letters by script; letters of any other script become Latin ones.
+ALPHABETS = {
+    r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя",
+    r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
+    r"\p{IsLatin}": "àáâäçèéêëíîïñóôöúùûü",
+    r"\p{IsHan}": "安白成大方高和江金李林明平青山石天文王小新玉元云张正中周子",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにぬねの",
+    r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニヌネノ",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하고노도로모보소오조초코",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת",
+}
+
+
 def _mapped(s: Column, digest: Column) -> Column:
     """s with every digit and letter replaced by a keyed one of its class; case and all other characters stay."""
     def char(c: Column, i: Column) -> Column:
         h = F.conv(F.concat(_hex(digest, i * 2), _hex(digest, i * 2 + 1)), 16, 10).cast("int")
         of = lambda alphabet: F.substring(F.lit(alphabet), h % len(alphabet) + 1, F.lit(1))
-        return (
-            F.when(c.rlike("[0-9]"), of("0123456789")).when(c.rlike("[a-z]"), of("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            .when(c.rlike(r"\p{IsCyrillic}"), of("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{IsGreek}"), of("αβγδεζηθικλμνξοπρστυφχψω")).when(c.rlike(r"\p{Ll}"), of("àáâäçèéêëíîïñóôöúùûü")).otherwise(c)
-        )
+        out = F.when(c.rlike("[0-9]"), of("0123456789")).when(c.rlike("[a-z]"), of("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        for script_, alphabet in ALPHABETS.items():
+            out = out.when(c.rlike(rf"{script_}") & c.rlike(r"\p{L}"), of(alphabet))
+        return out.when(c.rlike(r"\p{L}"), of("abcdefghijklmnopqrstuvwxyz")).when(c.rlike(r"\p{N}"), of("0123456789")).otherwise(c)
+
     return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), char), "")
 
 
@@ -95,23 +112,24 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
-    """A candidate for the canonical form of an entity, drawn with the key."""
+    """A candidate for the canonical form of an entity, drawn with the key. Later attempts draw from more: surnames have
+    a syllable more each time; from the fourth attempt on e-mail addresses, and from the twelfth numbers, get longer."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), canon), 256)
     at = F.locate("@", canon)
     domain = F.substring(canon, at + 1, F.length(canon))
     tld = F.regexp_extract(domain, r"(\.[^.]+)$", 1)
-    email = F.concat(_mapped(F.substring(canon, F.lit(1), at - 1), digest), F.lit("@"), _mapped(F.substring(domain, F.lit(1), F.length(domain) - F.length(tld)), F.sha2(F.concat(F.lit(key), domain), 256)), tld)
+    longer = lambda n: F.conv(F.substring(F.sha2(digest, 256), 1, n), 16, 10) if n > 0 else F.lit("")
+    email = F.concat(_mapped(F.substring(canon, F.lit(1), at - 1), digest), longer(min(attempt - 3, 15)), F.lit("@"), _mapped(F.substring(domain, F.lit(1), F.length(domain) - F.length(tld)), F.sha2(F.concat(F.lit(key), domain), 256)), tld)
     octet = lambda i: (F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")).cast("string")
-    number = _mapped(canon, digest)
+    number = F.concat(_mapped(canon, digest), longer(min(attempt - 11, 15)))
     first = F.substring(canon, 1, 1)
     card = F.concat(first, F.substring(number, F.lit(2), F.length(number) - 2))
-    sound = F.concat(card, ((10 - _luhn_sum(F.concat(card, F.lit("0"))) % 10) % 10).cast("string"))
-    card = F.when(_luhn_sum(canon) % 10 == 0, sound).otherwise(F.concat(card, F.substring(number, -1, 1)))
+    card = F.concat(card, ((10 - _luhn_sum(F.concat(card, F.lit("0"))) % 10) % 10).cast("string"))
     secret = F.substring(F.concat(digest, F.sha2(digest, 256)), F.lit(1), F.length(canon))
     part = F.split(canon, r"\|")
     name = F.lit(None).cast("string")
     for (g, s), given in GIVEN.items():
-        surname = F.initcap(F.concat(*[_pick(SYLLABLES[s], digest, i) for i in (5, 6, 7, 8)]))
+        surname = F.initcap(F.concat(*[_pick(SYLLABLES[s], digest, i) for i in range(5, 9 + attempt)]))
         shown = F.when(F.contains(part[2], F.lit(" ")), F.concat(_pick(given, digest, 1), F.lit(" "), surname)).otherwise(surname)
         name = F.when((part[0] == g) & (part[1] == s), F.concat(F.lit(f"{g}|{s}|"), F.lower(shown))).otherwise(name)
     return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "secret", secret).when(kind == "name", name).when(kind == "phone", number).otherwise(card)
@@ -123,6 +141,7 @@ def rendered(kind: Column, mention: Column, s: Column) -> Column:
     digits = F.array_join(F.transform(F.aggregate(chars, F.struct(F.lit(1).alias("i"), F.array().cast("array<string>").alias("out")), lambda acc, c: F.struct(
         (acc["i"] + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("i"),
         F.concat(acc["out"], F.array(F.when(c.rlike("[0-9]"), F.substring(s, acc["i"], F.lit(1))).otherwise(c))).alias("out")))["out"], lambda c: c), "")
+    digits = F.concat(digits, F.substring(s, F.length(F.regexp_replace(mention, r"\D", "")) + 1, F.length(s)))  # of a longer surrogate
     is_upper = lambda x: (x == F.upper(x)) & (x != F.lower(x))
     upper = is_upper(mention)
     before_at = lambda x: F.substring_index(x, "@", 1)
@@ -133,10 +152,12 @@ def rendered(kind: Column, mention: Column, s: Column) -> Column:
     return F.when(kind.isin("card", "phone"), digits).when(kind == "name", name).when(kind == "email", email).when(upper, F.upper(s)).otherwise(s)
 
 
-def dictionary(entities: DataFrame, key: str, max_attempts: int = 24) -> DataFrame:
+def dictionary(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon): surrogates of a kind are distinct and none is itself an entity.
 
-    In each round the open entities draw anew; of those that draw the same, the first one keeps it unless it is taken."""
+    In each round the open entities draw anew; of those that draw the same, the first one keeps it unless it is taken.
+    Names, addresses and numbers get longer with the attempts, so they never run out. IP addresses and secrets have the
+    length they have: it is an error if a corpus holds so many of them (most of 2^32, or of 16^32) that 40 draws fail."""
     entities = written(entities.select("kind", "canon").distinct(), "entities")
     taken = entities.select("kind", F.col("canon").alias("surrogate"))
     open_, done = entities, None
@@ -156,30 +177,38 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     """docs with their entities replaced in text; adds n_entities (null for a null text) and text_before_sha256.
 
     Mentions of one entity (same digits, same name without title, any case) get one surrogate everywhere, different
-    entities different ones, and no surrogate is an entity of docs. Copies of a text are resolved once: mentions go by the
-    hash of the text, so that a large group of copies or rows without ids cost no more than one. Texts without an entity
-    take no part in any shuffle. Empty docs give no rows; columns named like an added one are replaced.
+    entities different ones, and no surrogate is an entity of docs. Numbers of a card's length without a valid check digit
+    stay. Copies of a text are resolved once: mentions go by the hash of the text, so that a large group of copies or rows
+    without ids cost no more than one. Texts without an entity take no part in any shuffle. Null and empty texts stay as
+    they are, long ones are searched whole, repeated rows get one result. Empty docs give no rows; columns named like an
+    added one are replaced, all others stay whatever their names.
     """
     docs = docs.drop("n_entities", "text_before_sha256")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     none = F.array().cast("array<string>")
-    docs = docs.withColumn("_mentions", F.when(may_have_entity(F.col(text)), F.regexp_extract_all(text, F.lit(ENTITY), 0)).when(F.col(text).isNotNull(), none))
-    hash_ = F.sha2(F.col(text), 256)
-    hit = docs.where(F.size("_mentions") > 0).withColumn("_hash", hash_)
-    texts = hit.groupBy("_hash").agg(F.first("_mentions").alias("ms"))
-    mention = texts.select("_hash", F.posexplode("ms").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    found = F.when(may_have_entity(F.col("text")), F.regexp_extract_all("text", F.lit(ENTITY), 0)).when(F.col("text").isNotNull(), none)
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").alias("text")).withColumn("mentions", found)
+    hash_ = F.sha2(F.col("text"), 256)
+    hit = rows.where(F.size("mentions") > 0).withColumn("hash", hash_)
+    texts = hit.groupBy("hash").agg(F.first("mentions").alias("mentions"))
+    mention = texts.select("hash", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
     mention = written(mention.withColumn("canon", canonical(F.col("kind"), F.col("mention"))), "mentions")
-    names = dictionary(mention, key)
+    names = dictionary(mention.where("kind is not null"), key)
+    shown = F.coalesce(rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), F.col("mention"))
     drawn = (
-        mention.join(names, ["kind", "canon"])
-        .select("_hash", F.struct("pos", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("out")).alias("m"))
-        .groupBy("_hash").agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["out"]).alias("_new"))
+        mention.join(names, ["kind", "canon"], "left")
+        .select("hash", F.struct("pos", shown.alias("out"), F.col("kind").isNotNull().cast("long").alias("is_entity")).alias("m"))
+        .groupBy("hash").agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["out"]).alias("new"), F.sum("m.is_entity").alias("n_entities"))
     )
-    gaps = F.split(F.col(text), ENTITY, -1)
-    new = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("_new").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
-    rest = docs.where(f"size(_mentions) = 0 or `{text}` is null")
-    columns = [c for c in docs.columns if c != "_mentions"]
-    of = lambda d, t: d.select(*[t.alias(c) if c == text else d[c] for c in columns], F.when(d[text].isNotNull(), F.size("_mentions").cast("long")).alias("n_entities"), hash_.alias("text_before_sha256"))
-    return of(hit.join(drawn, "_hash"), new).unionByName(of(rest, F.col(text)))
+    gaps = F.split("text", ENTITY, -1)
+    new = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("new").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
+
+    def result(d: DataFrame, new_text: Column, n: Column) -> DataFrame:
+        own = [new_text.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]
+        return d.select(*own, n.cast("long").alias("n_entities"), hash_.alias("text_before_sha256"))
+
+    rest = rows.where("size(mentions) = 0 or text is null")
+    return result(hit.join(drawn, "hash"), new, F.col("n_entities")).unionByName(result(rest, F.col("text"), F.when(F.col("text").isNotNull(), 0)))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
