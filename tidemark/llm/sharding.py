@@ -7,55 +7,54 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sized, table, written
 
 def two_pass_shuffle(
     docs: DataFrame, n_shards: int = 8, bucket_bytes: int = 32 << 20, seed: int = 17, text: str = "text"
 ) -> DataFrame:
     """docs in a uniformly random order, cut into n_shards shards; adds size, law, bucket, shard and slot.
 
-    Pass 1 scatters the records with a seeded hash into as many buckets as hold bucket_bytes each. Pass 2 gathers one
-    bucket at a time and permutes it by Fisher-Yates. The buckets one after the other are the new order; shards are equal
-    runs of it, so the law is `rows`: counts of shards are at most one apart. slot counts from 0 in each shard.
+    Pass 1 scatters the records with a seeded hash into as many buckets as hold bucket_bytes each, a bucket a task. Pass 2
+    permutes each bucket by Fisher-Yates and writes it to the shared folder. The buckets one after the other are the new
+    order; shards are equal runs of it, so the law is `rows`: counts of shards are at most one apart. slot counts from 0 in
+    each shard. What is counted and what is returned are the written buckets, so retries can't make them differ.
 
-    The hash takes the record's place in the input too, so that copies and rows without an id scatter as well as others;
-    hence docs must come from files or a checkpoint, whose order a retry repeats. A null text has size 1. Empty docs give
-    no rows. Columns of docs named like an added one are replaced.
+    The hash takes the record's place in the input, so that copies and rows without an id scatter as well as others. A
+    task holds one bucket: for 100 TB give bucket_bytes of some hundred MB, which makes some 100,000 of them. A null text
+    has size 1; a long one counts whole; columns of any type may be there. Empty docs give no rows. Columns of docs named
+    like an added one are replaced.
     """
-    added = ("size", "law", "bucket", "shard", "slot")
-    docs = docs.drop(*added)
-    spark = docs.sparkSession
+    docs = docs.drop("size", "law", "bucket", "shard", "slot")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    total, n = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n_buckets = max(n_shards, math.ceil(total / bucket_bytes))
 
-    place = F.monotonically_increasing_id()
-    bucket = F.pmod(F.xxhash64(F.lit(seed), place), F.lit(n_buckets)).cast("int")
-    scattered = docs.select(
-        bucket.alias("bucket"), F.xxhash64(F.lit(seed + 1), place).alias("draw"), F.struct(*[F.col(f"`{c}`") for c in docs.columns], size.alias("size")).alias("row")
-    )
-    gathered = (
-        scattered.repartition(n_buckets, "bucket")
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("draw", "row"))).alias("rows"))
-        .sortWithinPartitions("bucket")  # shuffle() draws from one stream per task: the order of buckets must not vary
-    )
-    dealt = gathered.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "record"))
+    place = docs.select(F.monotonically_increasing_id().alias("place"), F.struct(*[F.col(f"`{c}`") for c in docs.columns], size.alias("size")).alias("row"))
+    scattered = place.select(F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(n_buckets)).cast("int").alias("bucket"), F.xxhash64(F.lit(seed + 1), "place").alias("draw"), "place", "row")
+    gathered = scattered.repartitionById(n_buckets, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("draw", "place", "row")).alias("rows"))
+    # The order that a bucket has before it is permuted is that of the draws; only they are sorted, rows may have any type.
+    order = F.transform(F.sort_array(F.transform("rows", lambda x, i: F.struct(x["draw"].alias("draw"), x["place"].alias("place"), i.alias("i")))), lambda x: x["i"])
+    permuted = F.transform(F.shuffle(order, F.lit(seed)), lambda i: F.get("rows", i)["row"])
+    # shuffle() draws from one stream per task: the order of buckets must not vary.
+    dealt = gathered.sortWithinPartitions("bucket").select("bucket", F.posexplode(permuted).alias("pos", "row"))
+    dealt = written(dealt, "buckets")
 
     # Where each bucket begins: running counts, first of blocks of 1024 buckets, then within the blocks.
-    counts = scattered.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("block", F.expr("bucket div 1024"))
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("block", F.expr("bucket div 1024"))
     blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))
     blocks = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
     starts = counts.join(F.broadcast(blocks), "block").select(
         "bucket", (F.col("base") + F.sum("n").over(Window.partitionBy("block").orderBy("bucket")) - F.col("n")).alias("start")
     )
-    starts = F.broadcast(starts) if n_buckets <= 1_000_000 else starts  # 16 bytes a bucket: 16 MB at most
-    place = dealt.join(starts, "bucket").withColumn("place", F.col("start") + F.col("pos"))
+    starts = sized(starts, "starts")
+    n = starts.join(counts, "bucket").agg(F.coalesce(F.max(F.col("start") + F.col("n")), F.lit(0))).first()[0]
+    placed = dealt.join(starts, "bucket").withColumn("place", F.col("start") + F.col("pos"))
     shard = F.expr(f"cast((place * {n_shards}) div {max(n, 1)} as int)")
     first = F.expr(f"(shard * {n}L + {n_shards - 1}) div {n_shards}")
     return (
-        place.withColumn("shard", shard)
+        placed.withColumn("shard", shard)
         .withColumn("slot", (F.col("place") - first).cast("long"))
-        .select("record.row.*", F.lit("rows").alias("law"), "bucket", "shard", "slot")
+        .select("row.*", F.lit("rows").alias("law"), "bucket", "shard", "slot")
     )
 
 
@@ -66,8 +65,6 @@ def write_shards(shuffled: DataFrame, path: str) -> None:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is rows)."""
-    from .common import table
-
     return two_pass_shuffle(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "size",
