@@ -11,15 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_arrow, table, written
+from .common import forget, map_arrow, table, written
 from .textvec import U
 
-#: Seed words of the categories that the labels don't name. A labelled toxic text with a seed word is an
-#: example of the category; the last category is the label itself.
-SEEDS = {
-    "insult": ["idiot", "moron", "stupid", "loser", "clown"],
-    "contempt": ["worthless", "pathetic", "trash", "scum", "disgusting"],
-}
+#: What a label column must be for its category to hold, in the order of the chain; the last one decides.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic > 0"}
 PREFIXES = (4, 5, 6)
 
 
@@ -55,7 +51,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, row, nth = tv.occurrences(h, row)
+    order = np.argsort(row, kind="stable")
+    h, row, nth = tv.occurrences(h[order], row[order])
     return h[nth == 0], row[nth == 0]
 
 
@@ -89,21 +86,25 @@ def _fit_linear(feature: np.ndarray, row: np.ndarray, dense: np.ndarray, y: np.n
     return w
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, per_category: int = 1_500, folds: int = 3) -> Chain | None:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, max_rows: int = 20_000, per_category: int = 1_500, folds: int = 3) -> Chain | None:
     """The chain, fitted on max_rows labelled rows at most (those of the smallest hashes of doc_id); None without any.
 
+    categories: name to condition on labels (doc_id and any label columns), in the order of the chain; the last one
+    decides. A null condition is false, rows that repeat a doc_id hold what one of them holds, and rows of labels whose
+    deciding condition is null aren't labelled.
+
     Features are chosen and counted on the executors: per category the per_category ones with the largest positive
-    association. What comes to the driver is bounded: at most that many hashes, and for each of max_rows texts the
-    positions of the chosen features in it. Earlier probabilities enter later models as out-of-fold predictions. The
-    threshold is what one clean text in 1,000 passes out of fold, 0.1 at least and 0.5 at most."""
-    y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    association. The models of a category, one per fold and one on all rows, are fitted side by side in tasks that get
+    the sample: at most that many hashes, and for each of max_rows texts the positions of the chosen features in it.
+    Earlier probabilities enter later models as out-of-fold predictions. The threshold is what one clean text in 1,000
+    passes out of fold, 0.1 at least and 0.5 at most."""
+    categories = categories or CATEGORIES
+    names = list(categories)
+    held = [F.expr(f"max(cast(coalesce({condition}, false) as int))").alias(c) for c, condition in categories.items()]
+    y = labels.where("doc_id is not null").where(F.expr(f"({categories[names[-1]]}) is not null")).groupBy("doc_id").agg(*held)
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    names = [*SEEDS, "toxic"]
-    seeded = lambda words: F.lower("text").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])")
     sample = docs.select("doc_id", "text").where("doc_id is not null and text is not null").join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id"])
-    sample = written(
-        sample.select("doc_id", "text", *[(seeded(SEEDS[c]) & (F.col("toxic") > 0)).cast("int").alias(c) for c in SEEDS], (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled"
-    )
+    sample = written(sample.select("doc_id", "text", *names), "labelled")
     total = sample.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
     if not total[0]:
         return None
@@ -141,31 +142,42 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, per_ca
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, *[part.column(c) for c in names]], ["doc_id", "at", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_arrow(sample, pick, f"doc_id {kind}, at array<int>, " + ", ".join(f"{c} int" for c in names)).orderBy(F.xxhash64("doc_id")).toPandas()
-    at = [np.asarray(a, np.int64) for a in rows["at"]]
-    fold = np.arange(len(rows)) % folds
-    given = np.zeros((len(rows), 0))
-    lengths = np.array([len(a) for a in at])
-
-    def part(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [a for a, m in zip(at, mask) if m]
-        return (np.concatenate(own) if own else np.empty(0, np.int64)), np.repeat(np.arange(len(own)), lengths[mask])
-
+    rows = map_arrow(sample, pick, f"doc_id {kind}, at array<int>, " + ", ".join(f"{c} int" for c in names)).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    forget(sample, counts)
+    at = rows.column("at").combine_chunks()
+    row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((at.flatten().to_numpy(), row, {c: rows.column(c).to_numpy().astype(float) for c in names}))
+    given = np.zeros((len(at), 0))
     weights = []
-    every = np.ones(len(rows), bool)
     for c in names:
-        y_c = rows[c].to_numpy(float)
-        out = np.zeros(len(rows))
-        for k in range(folds):
-            train = fold != k if (fold != k).any() else every
-            w = _fit_linear(*part(train), given[train], y_c[train], len(known))
-            f, r = part(~train) if (~train).any() else part(every)
-            held = ~train if (~train).any() else every
-            z = np.bincount(r, w[f], minlength=held.sum()) + given[held] @ w[len(known) : -1] + w[-1]
-            out[held] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        weights.append(_fit_linear(*part(every), given, y_c, len(known)))
+        earlier = context.broadcast(given)
+
+        def fit(batches: Iterator[pa.RecordBatch], c: str = c, earlier=earlier) -> Iterator[pa.RecordBatch]:
+            """The model without each of the given folds, or of all rows, and its probabilities of the rows left out."""
+            (feature, row, y), dense = shared.value, earlier.value
+            rows = np.arange(len(dense))
+            for batch in batches:
+                for fold in batch.column("fold").to_pylist():
+                    inside = rows % folds != fold
+                    outside = ~inside if fold < folds else inside
+                    inside = inside if inside.any() else ~inside
+                    of = np.cumsum(inside) - 1
+                    w = _fit_linear(feature[inside[row]], of[row[inside[row]]], dense[inside], y[c][inside], len(known))
+                    z = np.bincount(row, w[feature], minlength=len(dense)) + dense @ w[len(known) : -1] + w[-1]
+                    p = 1 / (1 + np.exp(-np.clip(z[outside], -500, 500)))
+                    yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([w.tolist()]), pa.array([rows[outside].tolist()], pa.list_(pa.int64())), pa.array([p.tolist()], pa.list_(pa.float64()))], ["fold", "w", "row", "p"])
+
+        each = docs.sparkSession.range(0, folds + 1, 1, folds + 1).select(F.col("id").cast("int").alias("fold"))
+        models = map_arrow(each, fit, "fold int, w array<double>, row array<long>, p array<double>").collect()
+        out = np.zeros(len(at))
+        for m in models:
+            if m.fold < folds:
+                out[m.row] = m.p
+            else:
+                weights.append(np.array(m.w))
         given = np.column_stack([given, out])
-    clean = given[rows["toxic"].to_numpy() == 0, -1]
+    clean = given[rows.column(names[-1]).to_numpy() == 0, -1]
     threshold = float(np.clip(np.quantile(clean, 0.999), 0.1, 0.5)) if len(clean) else 0.5
     return Chain(names, known, weights, threshold)
 
@@ -174,9 +186,9 @@ def classify(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """docs plus p_<category> for each category of the chain and is_toxic: the last one reaches the threshold.
 
     Whole texts are scored, row by row and without a shuffle. A null or empty text has no features and gets what the
-    intercepts give. Without a chain all probabilities are 0. Empty docs give no rows; columns named like added ones are
-    replaced."""
-    names = chain.categories if chain else [*SEEDS, "toxic"]
+    intercepts give; repeated rows get the same. Without a chain all probabilities are 0. Empty docs give no rows; columns
+    named like added ones are replaced."""
+    names = chain.categories if chain else list(CATEGORIES)
     docs = docs.drop(*[f"p_{c}" for c in names], "is_toxic")
     if chain is None:
         return docs.select("*", *[F.lit(0.0).alias(f"p_{c}") for c in names], F.lit(False).alias("is_toxic"))
@@ -202,6 +214,6 @@ def classify(docs: DataFrame, chain: Chain | None) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, p_insult, p_contempt, p_toxic, is_toxic."""
+    """All documents: doc_id, p_low_quality, p_toxic, is_toxic."""
     docs = table(spark, sf_dir, "documents")
     return classify(docs.select("doc_id", "text"), fit_chain(docs, table(spark, sf_dir, "labels"))).drop("text")
