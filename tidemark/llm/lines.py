@@ -8,60 +8,71 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import textvec as tv
 from .common import map_arrow, sized, table, written
-from .lsh import classes, shared_keys_once
+from .lsh import classes, parity_sketch, shared_keys_once, sketch_columns
 from .textvec import U
 
-N_CHARS, BANDS, ROWS, SIMILARITY = 8, 20, 6, 0.8
+N_CHARS, BANDS, ROWS, SKETCH_WORDS = 8, 12, 5, 8
+#: A line is frequent if it has more than one in so many of all lines; there are no more frequent lines than that.
+FREQUENT = 10_000
 _NONE = np.uint32(0xFFFFFFFF)
-#: At similarity 0.8 a mark differs with probability 0.2 * 15/16: 24 of 128 with a deviation of 4.4; the limit is 5.4 of those above.
-MARKS, MOST_DIFFERENT = 128, 48
-_rng = np.random.default_rng(9)
-_FACTORS = _rng.integers(0, 1 << 32, MARKS, dtype=np.uint32) | np.uint32(1)
-_SHIFTS = _rng.integers(0, 1 << 32, MARKS, dtype=np.uint32)
-
-
-def char_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of all N_CHARS-character shingles of UTF-8 texts; a shorter text is one shingle, an empty one none."""
-    rows = len(offsets) - 1
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    bounds = np.searchsorted(at, offsets)
-    n = np.diff(bounds)
-    row = np.repeat(np.arange(rows), n)
-    whole = np.zeros(len(at), bool)
-    if len(at) >= N_CHARS:
-        whole[: len(at) - N_CHARS + 1] = row[: len(at) - N_CHARS + 1] == row[N_CHARS - 1 :]
-    end = np.append(at[N_CHARS:], np.full(min(N_CHARS, len(at)), len(data)))
-    first = bounds[:-1]
-    short = (n > 0) & (n < N_CHARS)
-    whole[first[short]] = True
-    end[first[short]] = offsets[1:][short]
-    pick = np.flatnonzero(whole)
-    return tv.span_hash(tv.prefix_sums(data), at[pick], end[pick]), row[pick]
-
-
-def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of each row, each once."""
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    once = np.ones(len(h), bool)
-    once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[once], row[once]
+_FACTOR = 0x9E37_79B9_7F4A_7C15
+_SPACE = b" \t\r\f\x0b"
+_IS_SPACE = np.isin(np.arange(256), list(_SPACE))
+
+
+def code_points(lines: list[str]) -> np.ndarray:
+    """Texts one after the other, a newline between them."""
+    return np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
+
+
+def spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start and end of each line."""
+    breaks = np.flatnonzero(points == 10)
+    return np.append(0, breaks + 1), np.append(breaks, len(points))
+
+
+def char_shingles(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of all N_CHARS-character shingles of spans, in order; a shorter span is one shingle, an empty one none."""
+    c = points.astype(U)
+    width, factor = 1, U(_FACTOR)
+    while width < N_CHARS and len(c) > width:  # c: hashes of all runs of so many characters
+        c = c[:-width] * factor + c[width:]
+        width, factor = 2 * width, factor * factor
+    n = end - start
+    long = n >= N_CHARS
+    count = np.where(long, n - N_CHARS + 1, n > 0)
+    out = np.empty(count.sum(), U)
+    row = np.repeat(np.arange(len(n)), count)
+    inside = np.zeros(len(points) + 1, np.int8)
+    inside[start[long]] = 1
+    inside[end[long] - N_CHARS + 1] = -1
+    of_long = long[row]
+    out[of_long] = c[np.cumsum(inside, dtype=np.int8)[: len(c)].view(bool)] if long.any() else 0
+    short = np.flatnonzero((n > 0) & ~long)
+    if len(short):
+        at, left = start[short], n[short]
+        h = left.astype(U)
+        for k in range(N_CHARS - 1):
+            h = np.where(k < left, h * U(_FACTOR) + points[np.minimum(at + k, len(points) - 1)], h)
+        out[~of_long] = h
+    return tv.mix(out), row
 
 
 def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """MinHash signatures of the rows that have shingles: (row numbers, their signatures).
 
-    One hash per shingle: its remainder names the coordinate, where the least of its other bits stays. A coordinate that
+    One hash per shingle: its upper half names the coordinate, where the least of its lower halves stays. A coordinate that
     got none takes the value of another, drawn by a hash of the coordinate and the attempt alone."""
     have = np.flatnonzero(np.bincount(row, minlength=rows))
     k = BANDS * ROWS
     at = np.zeros(rows, np.int64)
     at[have] = np.arange(len(have))
     sig = np.full(len(have) * k, _NONE, np.uint32)
-    np.minimum.at(sig, at[row] * k + (h % U(k)).astype(np.int64), ((h >> U(32)) & U(0xFFFFFFFE)).astype(np.uint32))
+    np.minimum.at(sig, at[row] * k + (((h >> U(32)) * U(k)) >> U(32)).astype(np.int64), h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
     sig = sig.reshape(len(have), k)
     full = sig.copy()
     open_row, open_bin = np.nonzero(sig == _NONE)
@@ -75,58 +86,134 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return have, full
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per line that isn't blank: where it stands, two hashes, and, where it comes first in a batch, its band keys."""
     for batch in batches:
-        id_ = batch.column("id").to_numpy()
-        once = np.unique(id_, return_index=True)[1]  # repeated lines of the batch are hashed once
-        id_ = id_[once]
-        for first, data, offsets in tv.slices(tv.lower(batch.column("line").take(pa.array(once))), 1 << 18):
-            have, sig = signatures(*char_shingles(data, offsets), len(offsets) - 1)
-            for b in range(BANDS):
-                key = np.full(len(have), b + 1, U)
-                for c in range(b * ROWS, (b + 1) * ROWS):
-                    key = tv.mix(key * U(31) + sig[:, c])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_[first + have])], ["key", "id"])
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of distinct shingles of each line, and four bits each of MARKS MinHash values, on hashes of their own."""
+        if not batch.num_rows:
+            continue
+        text = batch.column("text").cast(pa.large_string())
+        (_, data, offsets), *_ = tv.slices(text, len(text) + text.nbytes)
+        breaks = np.flatnonzero(data == 10)
+        start = np.sort(np.concatenate([offsets[:-1], breaks + 1]))  # a null text is an empty line
+        end = np.sort(np.concatenate([breaks, offsets[1:]]))
+        per_text = 1 + np.diff(np.searchsorted(breaks, offsets))
+        upto = np.append(0, np.cumsum(per_text))
+        raw = data.tobytes()
+        filled = end > start
+        filled[filled] = [bool(raw[s:e].strip(_SPACE)) if b else True for s, e, b in zip(start[filled].tolist(), end[filled].tolist(), _IS_SPACE[data[start[filled]]].tolist())]
+        kept = np.flatnonzero(filled)
+        row = np.repeat(np.arange(len(text)), per_text)[kept]
+        names = np.frombuffer(b"".join([xxh3_128_digest(raw[s:e]) for s, e in zip(start[kept].tolist(), end[kept].tolist())]), ">i8").reshape(-1, 2).astype(np.int64)
+        first = np.sort(np.unique(names[:, 0], return_index=True)[1])  # repeated lines of the batch are hashed once
+        low = tv.lower(text)
+        keys = []
+        for a, b in _runs(np.diff(offsets)):
+            wanted = kept[first[slice(*np.searchsorted(kept[first], (upto[a], upto[b])))]] - upto[a]
+            if len(wanted):
+                points = code_points([t or "" for t in low.slice(a, b - a).to_pylist()])
+                s, e = spans(points)
+                keys.append(band_keys(signatures(*char_shingles(points, s[wanted], e[wanted]), len(wanted))[1]))
+        has = np.zeros(len(kept), bool)
+        has[first] = True
+        flat = np.concatenate(keys).ravel().view(np.int64) if keys else np.empty(0, np.int64)
+        ends = pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32), mask=np.append(~has, False))
+        of = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc").take(of), batch.column("th").take(of), pa.array((kept - upto[row]).astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.ListArray.from_arrays(ends, pa.array(flat))],
+            ["doc", "th", "no", "id", "id2", "keys"],
+        )
+
+
+def _runs(sizes: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about `most` bytes each."""
+    of = (np.cumsum(sizes) - sizes) // most
+    cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(sizes)).tolist()
+    yield from zip(cuts, cuts[1:])
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """(rows, BANDS)"""
+    out = np.empty((len(sig), BANDS), U)
+    for b in range(BANDS):
+        key = np.full(len(sig), b + 1, U)
+        for c in range(b * ROWS, (b + 1) * ROWS):
+            key = tv.mix(key * U(31) + sig[:, c])
+        out[:, b] = key
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of texts, in lower case, with sketches of their shingles."""
     for batch in batches:
-        for first, data, offsets in tv.slices(tv.lower(batch.column("line")), 1 << 18):
-            n = len(offsets) - 1
-            h, row = distinct(*char_shingles(data, offsets))
-            have = np.flatnonzero(np.bincount(row, minlength=n))
-            begin = np.searchsorted(row, have)
-            low = h.astype(np.uint32)
-            marks = np.zeros((n, MARKS // 16), U)
-            for i in range(MARKS if len(have) else 0):
-                least = np.minimum.reduceat((low ^ _SHIFTS[i]) * _FACTORS[i], begin)
-                marks[have, i // 16] |= (tv.mix(least.astype(U)) & U(15)) << U(4 * (i % 16))
-            part = batch.slice(first, n)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel().view(np.int64)), MARKS // 16).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line"), pa.array(np.bincount(row, minlength=n)), lists], ["id", "line", "n", "marks"])
-
-
-def _shingle_set(line: str) -> set[str]:
-    return {line[i : i + N_CHARS] for i in range(max(1, len(line) - N_CHARS + 1))}
-
-
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep, last, left = [], None, set()
-        for a, b in zip(*(tv.lower(batch.column(c)).to_pylist() for c in ("line_a", "line_b"))):
-            if a != last:
-                last, left = a, _shingle_set(a)
-            right = _shingle_set(b)
-            common = len(left & right)
-            keep.append(common >= SIMILARITY * (len(left) + len(right) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """One row per line that isn't blank: where it stands, `at` (doc_id, hash of the text, number), and its hashes."""
-    line = docs.select(F.col("_id").alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("no", "line")).where(r"line rlike '\\S'")
-    return line.select(F.struct("doc_id", "th", "no").alias("at"), F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "line")
+        lines, ids, ids2 = [], [], []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            parts = text.split("\n")
+            for w in wanted:
+                lines.append(parts[w["no"]])
+                ids.append(w["id"])
+                ids2.append(w["id2"])
+        low = tv.lower(pa.array(lines, pa.large_string()))
+        for first, end in _runs(np.array([len(x) for x in lines], int)):
+            rows, of = end - first, slice(first, end)
+            h, row = _elements(low.slice(first, rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[of]), pa.array(ids2[of]), pa.array(np.bincount(row, minlength=rows)), *parity_sketch(h, row, rows, SKETCH_WORDS), low.slice(first, rows).cast(pa.string())],
+                ["id", "id2", "n", *sketch_columns(SKETCH_WORDS), "payload"],
+            )
+
+
+def _elements(payload: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of lines in lower case, sorted."""
+    points = code_points(payload.to_pylist())
+    return tv.distinct(*char_shingles(points, *spans(points)))
+
+
+def _is_blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\f\x0b")) == ""
+
+
+def _classes(rows: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, id2, component) of the lines that have a near one."""
+    # A line that much of the corpus holds takes part once; the others as they come, once per batch.
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = F.broadcast(firsts.where(F.col("n") > max(1, total // FREQUENT)).select("id", "id2"))
+    with_keys = lines.where("keys is not null").select("id", "id2", "keys")
+    each = with_keys.join(frequent, ["id", "id2"], "left_anti").unionByName(with_keys.join(frequent, ["id", "id2"]).groupBy("id", "id2").agg(F.first("keys").alias("keys")))
+    shared = written(shared_keys_once(each.select("id", F.explode("keys").alias("key"))), "bands")
+    ids = sized(shared.select("id").distinct(), "candidates")
+    wanted = firsts.join(ids, "id").groupBy(F.col("first.doc").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "id", "id2")).alias("wanted"))
+    wanted = sized(wanted, "wanted", 4_000_000, 3 * F.size("wanted"))
+    found = rows.join(wanted, F.expr("doc <=> d and th = t")).select("text", "wanted")
+    schema = "id long, id2 long, n long, " + "".join(f"{c} long, " for c in sketch_columns(SKETCH_WORDS)) + "payload string"
+    sets = written(map_arrow(found, _sets, schema).dropDuplicates(["id"]), "sets")
+    return classes(shared, sets, SKETCH_WORDS, _elements).join(sets.select("id", "id2"), "id")
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, Column, Column, Column]:
+    """(rows, text left, lines that aren't blank, lines dropped): rows hold each row of docs as `row`."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(text).alias("th"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    lines = written(map_arrow(rows.select("doc", "text", "th"), _lines, f"doc {kind}, th long, no int, id long, id2 long, keys array<long>"), "lines")
+    at = F.struct("doc", "th", "no")
+    firsts = written(lines.groupBy("id", "id2").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
+    named = firsts.join(_classes(rows, lines, firsts), ["id", "id2"], "left")
+    groups = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
+    keepers = (
+        named.where("component is not null").join(groups, "component").select("id", "id2", "keeper")
+        .unionByName(named.where("component is null and n > 1").select("id", "id2", F.col("first").alias("keeper")))
+    )
+    dropped = lines.select("id", "id2", at.alias("at")).join(sized(keepers, "keepers"), ["id", "id2"]).where("not (at <=> keeper)")
+    per_doc = sized(dropped.groupBy("at.doc", "at.th").agg(F.collect_set("at.no").alias("gone")), "dropped", 4_000_000, F.size("gone"))
+    per_doc = per_doc.select(F.col("doc").alias("d"), F.col("th").alias("t"), "gone")
+    rows = rows.join(per_doc, F.expr("doc <=> d and th = t"), "left")
+    all_lines = F.split("text", "\n")
+    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return (
+        rows,
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
+        F.coalesce(F.size(F.filter(all_lines, lambda x: ~_is_blank(x))), F.lit(0)).cast("long"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+    )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,51 +223,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     First is the order of doc_id (null before all), then of a hash of the text, then in the text. Blank lines stay. All
     rows stay, with the text that is left; it is empty if no line is. Rows that repeat both doc_id and text are one
-    document and get one result. Empty docs give no rows; columns named like an added one are replaced.
+    document and get one result. Empty docs give no rows; columns named like an added one are replaced, all others stay
+    whatever their names.
 
-    Lines go by 64-bit hashes between the steps. Bands take one shuffle; exact verification sees the texts of pairs with near enough marks only;
-    joins back to the documents broadcast only what is counted small.
+    12 bands of 5 find a pair of the least similarity with a probability of 0.991. Bands and links go by one 64-bit hash
+    of a line; of two lines that it doesn't tell apart, one takes part in them, and the second hash keeps the other out
+    of the result. Joins back to the documents broadcast only what is counted small.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    own = docs.withColumn("_id", F.col(id_col))
-    lines = _lines(own, text)
-    firsts = written(lines.groupBy("id", "id2").agg(F.min("at").alias("first"), F.count("*").alias("n")), "firsts")
-    shared = written(shared_keys_once(map_arrow(lines.select("id", "line"), _bands, "key long, id long")).where("key is not null").distinct(), "bands")
-    ids = sized(shared.select("id").distinct(), "candidates")
-    texts = lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    texts = written(map_arrow(texts, _marks, "id long, line string, n long, marks array<long>"), "lines")
-
-    def close(a: Column, b: Column) -> Column:
-        """What must hold of similar lines; of marks, all but one pair in millions at the least similarity."""
-        differ = F.lit(0)
-        for i in range(MARKS // 16):
-            x = F.get(a["marks"], F.lit(i)).bitwiseXOR(F.get(b["marks"], F.lit(i)))
-            x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-            differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-        return (F.least(a["n"], b["n"]) >= SIMILARITY * F.greatest(a["n"], b["n"])) & (differ <= MOST_DIFFERENT)
-
-    def decide(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-        return map_arrow(pairs.join(a, "a").join(b, "b"), _close, "a long, b long")
-
-    linked = classes(shared, texts.select("id", F.struct("n", "marks").alias("payload")), close, decide=decide)
-    named = firsts.join(linked, "id", "left").select("id", "id2", "first", "n", "component")
-    groups = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
-    keepers = (
-        named.where("component is not null").join(groups, "component").select("id", "id2", "keeper")
-        .unionByName(named.where("component is null and n > 1").select("id", "id2", F.col("first").alias("keeper")))
-    )
-    dropped = lines.drop("line").join(sized(keepers, "keepers"), ["id", "id2"]).where("not (at <=> keeper)")
-    per_doc = sized(dropped.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.no").alias("_drop")), "dropped")
-    per_doc = per_doc.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t")
-    all_lines = F.split(text, "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    own = own.withColumn("_th", F.xxhash64(text)).join(per_doc, F.expr("_id <=> _d and _th = _t"), "left")
-    return own.select(
-        *[F.when(F.col("_drop").isNull(), own[c]).otherwise(left).alias(c) if c == text else own[c] for c in docs.columns],
-        F.coalesce(F.size(F.filter(all_lines, lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    rows, left, n_lines, n_dropped = _deduplicated(docs, id_col, text)
+    return rows.select(*[left.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """As dedup_lines(), with the columns of docs alone; those of dropped lines get the new length of their text in `length`."""
+    rows, left, _, n_dropped = _deduplicated(docs, id_col, text)
+    own = {text: left}
+    if length is not None:
+        own[length] = F.when(n_dropped > 0, F.length(left).cast(docs.schema[length].dataType)).otherwise(F.col(f"row.`{length}`"))
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

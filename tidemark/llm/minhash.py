@@ -7,15 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import map_arrow, sized, table, written
-from .lsh import classes, shared_keys
+from .lsh import classes, parity_sketch, shared_keys, sketch_columns
 from .textvec import U
 
-N_WORDS, BANDS, ROWS, SIMILARITY = 5, 24, 6, 0.8
+N_WORDS, BANDS, ROWS, SKETCH_WORDS = 5, 24, 6, 16
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -109,14 +109,22 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h1"), part.column("h2"), lists], ["doc_id", "h1", "h2", "keys"])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbered occurrences of shingles: the Jaccard similarity of such sets is the weighted one."""
     for batch in batches:
-        for row, data, offsets in tv.slices(tv.lower(batch.column("text"))):
-            n = len(offsets) - 1
-            h, r, nth = _shingles(data, offsets)
-            flat = tv.mix(h + nth.astype(U) * U(0xD6E8FEB86659FD93)).view(np.int64)
-            ends = np.append(0, np.cumsum(np.bincount(r, minlength=n))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.slice(row, n).column("id"), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "elements"])
+        for first, data, offsets in tv.slices(tv.lower(batch.column("text"))):
+            rows = len(offsets) - 1
+            h, row, nth = _shingles(data, offsets)
+            h, row = tv.distinct(tv.mix(h + nth.astype(U) * U(0xD6E8FEB86659FD93)), row)
+            n = np.bincount(row, minlength=rows)
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(h.view(np.int64)))
+            marks = parity_sketch(h, row, rows, SKETCH_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.slice(first, rows).column("id"), pa.array(n), *marks, lists], ["id", "n", *sketch_columns(SKETCH_WORDS), "payload"])
+
+
+def _elements(payload: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(payload.offsets.to_numpy())
+    return payload.flatten().to_numpy().view(U), np.repeat(np.arange(len(payload)), n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,15 +144,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     shared = written(shared_keys(texts.select("id", F.explode("keys").alias("key"))), "bands")
     wanted = sized(texts.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2"), "wanted")
     sets = written(
-        map_arrow(own.select(F.col("doc_id").alias("id"), "text", "h1", "h2").join(wanted, ["id", "h1", "h2"]).select("id", "text"), _elements, f"id {kind}, elements array<long>"), "sets",
+        map_arrow(own.select(F.col("doc_id").alias("id"), "text", "h1", "h2").join(wanted, ["id", "h1", "h2"]).select("id", "text"), _sets, f"id {kind}, n long, " + "".join(f"{c} long, " for c in sketch_columns(SKETCH_WORDS)) + "payload array<long>"), "sets",
     )
 
-    def close(a: Column, b: Column) -> Column:
-        """Sets of numbered occurrences: their Jaccard similarity is the weighted one."""
-        least, most, common = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b)), F.size(F.array_intersect(a, b))
-        return (least >= SIMILARITY * most) & (common >= SIMILARITY * (least + most - common))
-
-    linked = classes(shared, sets.select("id", F.col("elements").alias("payload")), close)
+    linked = classes(shared, sets, SKETCH_WORDS, _elements)
     of_text = texts.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("class_id"))
     # Copies of a text may be a third of all rows: the join is on the text's hash, unique on the right.
     named = prints.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id")

@@ -12,15 +12,13 @@ from .common import sized, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier chain, fitted on the labelled ones of docs, finds toxic."""
     chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, chain).where("not is_toxic").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return toxicity.classify(rows, chain).where("not is_toxic").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every line once; n_chars, if there, follows the text. No document goes, though its text may become empty."""
-    out = lines.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return lines.without_repeated_lines(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    index = decontamination.build_index(docs, table(spark, sf_dir, "benchmark"))
-    return decontamination.screen(docs, index).where("size(matches) = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = decontamination.screen(docs.select(F.struct(*columns).alias("row"), "text"), table(spark, sf_dir, "benchmark"))
+    return found.where("size(matches) = 0").select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

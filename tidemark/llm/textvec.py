@@ -106,12 +106,29 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, rows: int, n: int) -> tup
     return hashes, of
 
 
+def sort_rows(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """hashes, of rows that stand one after the other, sorted within each row."""
+    out = hashes.copy()
+    cuts = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row)).tolist()
+    for s, e in zip(cuts, cuts[1:]):
+        out[s:e].sort()
+    return out
+
+
+def distinct(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that stand one after the other, each hash of a row once, sorted by (row, hash)."""
+    h = sort_rows(hashes, row)
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[once], row[once]
+
+
 def occurrences(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by (row, hash): hashes, rows, and the how-manieth of its kind each is, from 0."""
-    order = np.lexsort((hashes, row))
-    h, r = hashes[order], row[order]
+    """Of rows that stand one after the other, sorted by (row, hash): hashes, rows, and the how-manieth of its kind each
+    is, from 0."""
+    h = sort_rows(hashes, row)
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(new)
     nth = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
-    return h, r, nth
+    return h, row, nth
