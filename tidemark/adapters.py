@@ -30,6 +30,8 @@ select doc_id as id, source as source_code, lang, substr(text, 1, 60) as title,
   case doc_id % 5 when 0 then 'Ukraine' when 1 then 'Iran' when 2 then 'Germany' when 3 then 'Peru' end as country,
   case when doc_id % 9 = 0 then null else (doc_id % 65) / 64e0 end as intensity,
   case when doc_id % 8 = 0 then null else (doc_id % 129 - 64) / 64e0 end as sentiment,
+  case when doc_id % 10 = 0 then null else ((doc_id * 5) % 129 - 64) / 64e0 end as finbert,
+  case when doc_id % 13 = 0 then null else ((doc_id * 37) % 1441 - 720) / 8e0 end as latitude, ((doc_id * 53) % 2881 - 1440) / 8e0 as longitude,
   case doc_id % 6 when 0 then 'fetched' when 1 then 'annotated' when 2 then 'refine' else 'processed' end as stage,
   case doc_id % 4 when 0 then true when 1 then false end as is_deleted,
   doc_id % 3 as cluster

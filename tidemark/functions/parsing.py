@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import places
+
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
@@ -44,7 +46,7 @@ def circle(latitude: Column, longitude: Column, radius_nm: Column, points: int =
 
 
 def change_pct(value: Column, previous: Column) -> Column:
-    return F.when((previous != 0) & value.isNotNull(), (value - previous) / previous * 100)
+    return places(F.when((previous != 0) & value.isNotNull(), (value - previous) / previous * 100), 4)
 
 
 def js_round(x: Column) -> Column:

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbers import places
+
 # The routing tables.
 PANEL = ["CL=F", "GC=F", "BTC-USD", "SPY", "EURUSD=X"]
 TOPIC_SYMBOLS = {
@@ -121,7 +123,7 @@ def lookup_array(table: dict, key: Column) -> Column:
 
 
 def route(events: DataFrame, category="category", location="location_name", topics="topic_slugs", subs="sub_categories", sentiment="route_sentiment", intensity="intensity", panel=PANEL) -> DataFrame:
-    """One row more for each (event, symbol): symbol and weight, unrounded. Nothing is shuffled; rules are literals."""
+    """One row more for each (event, symbol): symbol and weight to 4 places. Nothing is shuffled; rules are literals."""
     c = F.col
     sub = F.coalesce(F.array_max(F.transform(subs, lambda s: lookup(SUB_CATEGORY_AFFINITY, s, 0.6))), F.lit(0.6))
     sent = asymmetric_sentiment(adjusted_sentiment(c(category), c(sentiment)))
@@ -130,15 +132,15 @@ def route(events: DataFrame, category="category", location="location_name", topi
     affinity = pair_lookup(SYMBOL_AFFINITY, c(category), c("symbol"), 0.6)
     size = F.least(sub * F.abs(affinity) * country_risk(c(location)) * F.greatest(F.least(F.abs(sent), F.lit(1.0)), F.lit(0.1)) * severity, F.lit(1.0))
     sign = F.when((sent >= 0) == (affinity >= 0), 1.0).otherwise(-1.0)
-    return out.withColumn("weight", sign * size)
+    return out.withColumn("weight", places(sign * size, 4))
 
 
 def importance(intensity: Column, weight: Column, bonus: Column, category: Column) -> Column:
-    """1 to 10: base 1 + 9 intensity, times the source's weight (null: 1), plus the bonus, not below the category's floor."""
+    """1 to 10: base 1 + 9 intensity, times the source's weight (null: 1), plus the bonus, not below the category's floor; to 2 places."""
     raw = (1 + 9 * intensity) * F.coalesce(weight, F.lit(1.0)) + bonus
-    return F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.greatest(raw, lookup(CATEGORY_FLOORS, category, 0.0))))
+    return places(F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.greatest(raw, lookup(CATEGORY_FLOORS, category, 0.0)))), 2)
 
 
 def intensity(category: Column, sub_category: Column, severity: Column) -> Column:
-    """Prior of the category plus lexical severity, within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), pair_lookup(INTENSITY_PRIORS, category, F.coalesce(sub_category, F.lit("other")), 0.2) + severity))
+    """Prior of the category plus lexical severity, within 0 and 1, to 4 places."""
+    return places(F.greatest(F.lit(0.0), F.least(F.lit(1.0), pair_lookup(INTENSITY_PRIORS, category, F.coalesce(sub_category, F.lit("other")), 0.2) + severity)), 4)

@@ -26,6 +26,8 @@ PAYWALL = (
     r"|sign in to read|become a (?:member|subscriber)"
 )
 PAYWALL_POSITION, GOOD_BODY_CHARS = 0.6, 600
+
+#: What words add to a severity.
 CASUALTIES = r"\b(\d[\d,]*)\s+(?:people\s+|persons\s+)?(?:dead|killed|deaths|died|injured|wounded|missing|feared dead)\b"
 MAGNITUDE = r"\bmagnitude[- ](\d(?:\.\d)?)\b"
 ESCALATION = r"\b(?:invasion|state of emergency|mass casualt\w*|catastroph\w*|unprecedented|historic|nuclear|declaration of war|martial law)\b"

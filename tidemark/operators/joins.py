@@ -6,18 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str], strict: bool = False) -> DataFrame:
+def _time_block(at: Column, kind: str, width: float) -> Column:
+    """Number of the block of `width` days (dates and timestamps) or units (numbers) that holds a time."""
+    if kind == "date":
+        at = F.datediff(at, F.lit("1970-01-01"))
+    elif kind.startswith("timestamp"):
+        at = F.unix_timestamp(at) / 86_400
+    return F.floor(at / width)
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str], strict: bool = False, width: float = 32) -> DataFrame:
     """left with the columns `take` of the last right row of the same key at or before left_at (before it, if strict).
 
-    One union and one window sorted by time, instead of a join on an inequality: cost is that of a sort. Of right rows at
-    one time the greatest wins. A null time meets nothing."""
+    One union and one window sorted by time within (key, block of time), instead of a join on an inequality: cost is that
+    of a sort, and a key with much of the rows is spread over its blocks. A block gets the last right row of earlier blocks
+    as one row more; what finds it is a window over one row per key and block. width: of a block, in days for dates and
+    timestamps, in units of the time for numbers. Of right rows at one time the greatest wins. A null time meets nothing."""
+    block = _time_block(F.col("_t"), right.schema[right_at].dataType.simpleString(), width).alias("_b")
     found = F.struct(F.col(right_at).alias("_at"), *take)
-    kind = right.select(found.alias("f")).schema["f"].dataType
-    r = right.where(F.col(right_at).isNotNull()).select(*by, F.col(right_at).alias("_t"), F.lit(1 if strict else 0).alias("_k"), found.alias("_f"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("_l"))
-    l = left.select(*by, F.col(left_at).alias("_t"), F.lit(0 if strict else 1).alias("_k"), F.lit(None).cast(kind).alias("_f"), F.struct("*").alias("_l"))  # noqa: E741
-    upto = Window.partitionBy(*by).orderBy("_t", "_k", "_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = r.unionByName(l).withColumn("_f", F.last("_f", ignorenulls=True).over(upto)).where("_l is not null")
-    return met.select("_l.*", *[F.when(F.col("_t").isNotNull(), F.col("_f")[c]).alias(c) for c in take])
+    of_left = left.select(F.struct("*").alias("l")).schema["l"].dataType
+    r = right.where(F.col(right_at).isNotNull()).select(*by, F.col(right_at).alias("_t"), found.alias("_f")).select("*", block)
+    l = left.where(F.col(left_at).isNotNull()).select(*by, F.col(left_at).alias("_t"), F.struct("*").alias("_l")).select("*", block)  # noqa: E741
+    kind = r.schema["_f"].dataType
+    last = r.groupBy(*by, "_b").agg(F.max("_f").alias("_f"))
+    asked = l.select(*by, "_b").distinct().withColumn("_f", F.lit(None).cast(kind))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.unionByName(asked).groupBy(*by, "_b").agg(F.max("_f").alias("_f")).withColumn("_f", F.last("_f", ignorenulls=True).over(earlier)).where("_f is not null")
+    none = F.lit(None).cast(of_left).alias("_l")
+    line = (
+        carried.select(*by, "_b", F.col("_f._at").alias("_t"), F.lit(0).alias("_k"), "_f", none)
+        .unionByName(r.select(*by, "_b", "_t", F.lit(2 if strict else 0).alias("_k"), "_f", none))
+        .unionByName(l.select(*by, "_b", "_t", F.lit(1).alias("_k"), F.lit(None).cast(kind).alias("_f"), "_l"))
+    )
+    upto = Window.partitionBy(*by, "_b").orderBy("_t", "_k", "_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = line.withColumn("_f", F.last("_f", ignorenulls=True).over(upto)).where("_l is not null").select("_l.*", *[F.col("_f")[c].alias(c) for c in take])
+    types = right.schema
+    return met.unionByName(left.where(F.col(left_at).isNull()).select("*", *[F.lit(None).cast(types[c].dataType).alias(c) for c in take]))
 
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int, by: list[str] | None = None) -> DataFrame:
@@ -36,6 +60,23 @@ def overlap_pairs(left: DataFrame, right: DataFrame, id_left: str, id_right: str
     return a.join(b, "_w").groupBy(id_left, id_right).agg(F.count("*").alias("common"), F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"))
 
 
+def similar_sets(rows: DataFrame, id_: str, tokens: str, num: int, den: int) -> DataFrame:
+    """(a, b) with a < b: rows whose sets of tokens have a Jaccard similarity of num/den or more.
+
+    Of two such sets, one has a token among the n - ceil(n * num/den) + 1 rarest of either: only those meet in an equality
+    join, so a common word brings no pairs; sizes must fit, and then the whole sets decide. Empty sets meet nothing."""
+    seen = rows.select(F.explode(tokens).alias("_w")).groupBy("_w").agg(F.count("*").alias("_n"))
+    words = rows.select(F.col(id_).alias("_id"), F.size(tokens).alias("_size"), F.explode(tokens).alias("_w")).join(seen, "_w")
+    ranked = words.groupBy("_id", "_size").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_ws"))
+    rare = ranked.select("_id", "_size", F.explode(F.slice("_ws", 1, F.expr(f"cast(_size - ceil(_size * {num} / {den}) + 1 as int)"))).alias("_x")).select("_id", "_size", "_x._w")
+    left = rare.select("_w", F.col("_id").alias("a"), F.col("_size").alias("na"))
+    right = rare.select("_w", F.col("_id").alias("b"), F.col("_size").alias("nb"))
+    pairs = left.join(right, "_w").where(f"a < b and {den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b").distinct()
+    of = lambda x: rows.select(F.col(id_).alias(x), F.col(tokens).alias(f"t{x}"))
+    common = "size(array_intersect(ta, tb))"
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(f"{den} * {common} >= {num} * (size(ta) + size(tb) - {common})").select("a", "b")
+
+
 def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """current plus the incoming rows whose key it doesn't have; the first of an incoming key by its whole row."""
     fresh = incoming.dropDuplicates().groupBy(*keys).agg(F.min(F.struct(*incoming.columns)).alias("r")).select("r.*")

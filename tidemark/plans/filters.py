@@ -114,9 +114,9 @@ def _(spark, d):
     return e.where(F.array_contains("slugs", "inflation") | (F.size("slugs") == 0)).select("id", (F.size("slugs") == 0).alias("untagged"))
 
 
-@query("f12_nested_map_predicate", EV + " select id from events_ where (id % 3 = 0 and intensity > 0.25) is false and id % 2 = 0")
+@query("f12_nested_map_predicate", EV + " select id from events_ where (id % 3 = 0 and intensity > 0.25) is false")
 def _(spark, d):
-    e = load(spark, d, "events").where("id % 2 = 0")
+    e = load(spark, d, "events")
     status = F.create_map(F.lit("route"), F.struct(((F.col("id") % 3 == 0) & (F.col("intensity") > 0.25)).alias("ok")))
     return e.withColumn("stage_status", status).where(F.col("stage_status")["route"]["ok"] == F.lit(False)).select("id")
 

@@ -21,10 +21,10 @@ def _(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("words"))
 
 
-@query("c02_jaccard", f"""with a as (select doc_id, {TOK.format('text')} as x, lead({TOK.format('text')}) over (order by doc_id) as y from documents where doc_id < 500)
+@query("c02_jaccard", f"""with a as (select doc_id, {TOK.format('text')} as x, lead({TOK.format('text')}) over (order by doc_id) as y from documents)
 select doc_id, case when len(x) > 0 and len(y) > 0 then len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) else 0 end::double as j from a where y is not null""")
 def _(spark, d):
-    t = load(spark, d, "documents").where("doc_id < 500").select("doc_id", T.tokens(F.col("text")).alias("x"))
+    t = load(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("x"))
     n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
     return t.join(n, "doc_id").select("doc_id", T.jaccard(F.col("x"), F.col("y")).alias("j"))
 
@@ -44,7 +44,7 @@ def _(spark, d):
     return load(spark, d, "events").select("id", R.asymmetric_sentiment(R.adjusted_sentiment(F.col("category"), F.coalesce("finbert", "sentiment"))).alias("s"))
 
 
-@query("c13_importance", cte("articles", "sources") + """ select a.id, greatest(1, least(10, greatest((1 + 9 * a.intensity) * coalesce(s.weight, 1.0) + 0.5, case category when 'conflict' then 6 when 'disaster' then 6 when 'health' then 5 when 'political' then 4 when 'economic' then 4 else 0 end)))::double as importance
+@query("c13_importance", cte("articles", "sources") + """ select a.id, round_even(greatest(1, least(10, greatest((1 + 9 * a.intensity) * coalesce(s.weight, 1.0) + 0.5, case category when 'conflict' then 6 when 'disaster' then 6 when 'health' then 5 when 'political' then 4 when 'economic' then 4 else 0 end)))::double, 2) as importance
  from articles_ a left join sources_ s on s.code = a.source_code where a.intensity is not null""")
 def _(spark, d):
     a = load(spark, d, "articles").where("intensity is not null").join(load(spark, d, "sources"), F.col("source_code") == F.col("code"), "left")
@@ -52,7 +52,7 @@ def _(spark, d):
 
 
 @query("c15_lexical_intensity", r"""with t as (select event_id as id, case event_id % 5 when 0 then 'Opinion: ' else '' end || 'At least ' || (event_id % 300)::varchar || case event_id % 3 when 0 then ' people killed' when 1 then ' wounded' else ' paid' end || case event_id % 4 when 0 then ' in magnitude 6.' || (event_id % 10)::varchar || ' quake' when 1 then ' in magnitude 7 quake, a historic loss' else '' end as x from events)
-select id, greatest(0, least(1, 0.7 + case when event_id_c >= 100 then 0.25 when event_id_c >= 10 then 0.15 when event_id_c is not null then 0.05 else 0 end + case id % 4 when 0 then 0.15 when 1 then 0.35 else 0 end - case id % 5 when 0 then 0.15 else 0 end))::double as intensity from (select *, case when id % 3 < 2 then id % 300 end as event_id_c from t)""")
+select id, round_even(greatest(0, least(1, 0.7 + case when event_id_c >= 100 then 0.25 when event_id_c >= 10 then 0.15 when event_id_c is not null then 0.05 else 0 end + case id % 4 when 0 then 0.15 when 1 then 0.35 else 0 end - case id % 5 when 0 then 0.15 else 0 end))::double, 4) as intensity from (select *, case when id % 3 < 2 then id % 300 end as event_id_c from t)""")
 def _(spark, d):
     x = F.concat(
         F.when(F.col("id") % 5 == 0, "Opinion: ").otherwise(""), F.lit("At least "), (F.col("id") % 300).cast("string"),
@@ -123,7 +123,7 @@ def _(spark, d):
     return q.select("id", "q.region", "q.latitude", "q.longitude", "q.upper_ft", F.size(P.circle(F.col("q.latitude"), F.col("q.longitude"), F.col("q.radius_nm"))).cast("long").alias("ring"))
 
 
-@query("c37_change_pct", cte("bars") + " select symbol, d, (close - p) / p * 100 as pct from (select *, lag(close) over (partition by symbol order by d) as p from bars_)")
+@query("c37_change_pct", cte("bars") + " select symbol, d, round_even((close - p) / p * 100, 4) as pct from (select *, lag(close) over (partition by symbol order by d) as p from bars_)")
 def _(spark, d):
     b = load(spark, d, "bars").withColumn("p", F.lag("close").over(Window.partitionBy("symbol").orderBy("d")))
     return b.select("symbol", "d", P.change_pct(F.col("close"), F.col("p")).alias("pct"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..adapters import cte, load
 from ..functions import routing as R
 from ..functions import text as T
-from ..operators.joins import as_of, cosine, insert_new, interval_join, overlap_pairs, upsert
+from ..functions.numbers import places
+from ..operators.joins import as_of, cosine, insert_new, interval_join, overlap_pairs, similar_sets, upsert
 from ..registry import query
 
 EV, AR, BA, HO = cte("events"), cte("articles"), cte("bars"), cte("hours")
@@ -69,7 +70,7 @@ def _(spark, d):
     names = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
     e = load(spark, d, "events").select("id", F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("symbol"), F.unix_timestamp("started_at").alias("s"))
     # The bar whose predecessor is the last one at or before s: an as-of on the predecessor.
-    met = as_of(e, b.where("prev_t is not null"), ["symbol"], "s", "prev_t", ["next_t", "ret"])
+    met = as_of(e, b.where("prev_t is not null"), ["symbol"], "s", "prev_t", ["next_t", "ret"], width=86_400)
     return met.where("s < next_t").select("id", "next_t", "ret")
 
 
@@ -81,12 +82,13 @@ def _(spark, d):
     return b.select("symbol", "d", "fifth", F.when(F.datediff(F.col("n.d"), "d") <= 4, F.col("n.close")).alias("within_4"))
 
 
-@query("j09_nearest", cte("bars") + """, e as (select c_custkey as id, date '1995-01-01' + (c_custkey * 7 % 2400)::int as at from customer), s as (select d, close from bars_ where symbol = '1-URGENT'),
-p as (select e.*, s.d as pd, s.close as pc from e asof left join s on e.at >= s.d), n as (select e.id, s.d as nd, s.close as nc from e asof left join s on e.at <= s.d)
+@query("j09_nearest", cte("bars") + """, e as (select c_custkey as id, ['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'][1 + (c_custkey % 5)::int] as symbol, date '1995-01-01' + (c_custkey * 7 % 2400)::int as at from customer),
+p as (select e.*, s.d as pd, s.close as pc from e asof left join bars_ s on e.symbol = s.symbol and e.at >= s.d), n as (select e.id, s.d as nd, s.close as nc from e asof left join bars_ s on e.symbol = s.symbol and e.at <= s.d)
 select p.id, case when nd is null or (pd is not null and p.at - pd <= nd - p.at) then pc else nc end as close from p join n using (id)""")
 def _(spark, d):
-    s = load(spark, d, "bars").where("symbol = '1-URGENT'").select(F.lit(1).alias("k"), F.datediff("d", F.lit("1995-01-01")).alias("day"), "close")
-    e = load(spark, d, "customer").select(F.lit(1).alias("k"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 2400).cast("int").alias("at"))
+    s = load(spark, d, "bars").select(F.col("symbol").alias("k"), F.datediff("d", F.lit("1995-01-01")).alias("day"), "close")
+    names = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+    e = load(spark, d, "customer").select(F.element_at(names, (F.col("c_custkey") % 5 + 1).cast("int")).alias("k"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 2400).cast("int").alias("at"))
     back = as_of(e, s.select("k", "day", F.col("day").alias("pd"), F.col("close").alias("pc")), ["k"], "at", "day", ["pd", "pc"])
     mirrored = s.select("k", (-F.col("day")).alias("m"), F.col("day").alias("nd"), F.col("close").alias("nc"))
     both = as_of(back.withColumn("am", -F.col("at")), mirrored, ["k"], "am", "m", ["nd", "nc"])
@@ -95,45 +97,49 @@ def _(spark, d):
 
 
 @query("j10_interval_join", cte("hours", "events") + """, e as (select id, sub_category, floor(epoch(started_at))::bigint as s from events_ where category = 'conflict')
-select h.symbol, h.t, count(*) as n, sum(e.id)::bigint as ids from hours_ h join e on e.s >= h.t - 86400 and e.s <= h.t where h.symbol = 'error' group by 1, 2""")
+select h.symbol, h.t, count(*) as n, sum(e.id)::bigint as ids from hours_ h join e on e.s >= h.t - 86400 and e.s <= h.t group by 1, 2""")
 def _(spark, d):
     e = load(spark, d, "events").where("category = 'conflict'").select("id", F.unix_timestamp("started_at").alias("s"))
-    h = load(spark, d, "hours").where("symbol = 'error'").select("symbol", "t", (F.col("t") - DAY).alias("lo"))
+    h = load(spark, d, "hours").select("symbol", "t", (F.col("t") - DAY).alias("lo"))
     return interval_join(e, h.withColumn("hi", F.col("t")), "s", "lo", "hi", DAY).groupBy("symbol", "t").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 TOK = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-zA-Z0-9]+'), lambda w: length(w) > 2 and not list_contains([" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "], w)))"
 
 
-@query("j12_c14_corroboration", AR + f""", t as (select id, source_code, unnest({TOK.format("title")}) as w, len({TOK.format("title")}) as n from articles_ where id % 5 < 2),
+@query("j12_c14_corroboration", AR + f""", t as (select id, source_code, unnest({TOK.format("title")}) as w, len({TOK.format("title")}) as n from articles_),
 p as (select a.id, b.source_code, b.id as other, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.w = b.w and a.source_code <> b.source_code group by 1, 2, 3)
 select id, least(0.5 * count(distinct source_code), 2.0)::double as bonus from p where c / (na + nb - c) >= 0.5 group by 1""")
 def _(spark, d):
-    a = load(spark, d, "articles").where("id % 5 < 2").select("id", "source_code", T.tokens(F.col("title")).alias("tokens"))
+    a = load(spark, d, "articles").select("id", "source_code", T.tokens(F.col("title")).alias("tokens"))
     return corroboration(a)
 
 
 def corroboration(articles: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(id, bonus): 0.5 for each other source with a title that similar, 2 at most. Equal token sets of one source are one
-    row before the join, so that a title filed a thousand times meets others once."""
+    """(id, bonus): 0.5 for each other source with a title that similar, 2 at most. Equal token sets are one row
+    before the join, so that a title filed a thousand times meets others once."""
     sets = articles.withColumn("key", F.sort_array("tokens")).where(F.size("tokens") > 0)
-    kinds = sets.groupBy("source_code", "key").agg(F.min("id").alias("kind"))
-    left = kinds.select("kind", F.col("key").alias("tokens"), "source_code")
-    right = left.select(F.col("kind").alias("other"), "tokens")
-    pairs = overlap_pairs(left, right, "kind", "other", "tokens").where(f"common / (n_left + n_right - common) >= {threshold}")
-    src = left.select(F.col("kind").alias("other"), F.col("source_code").alias("other_source"))
-    near = pairs.join(src, "other").join(left.select("kind", "source_code"), "kind").where("source_code <> other_source")
-    bonus = near.groupBy("kind").agg(F.least(0.5 * F.countDistinct("other_source"), F.lit(2.0)).alias("bonus"))
-    return sets.join(kinds, ["source_code", "key"]).join(bonus, "kind").select("id", "bonus")
+    sources = sets.select("key", "source_code").distinct()
+    kinds = sets.groupBy("key").agg(F.min("id").alias("kind"))
+    pairs = similar_sets(kinds, "kind", "key", *threshold.as_integer_ratio())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(kinds.select(F.col("kind").alias("a"), F.col("kind").alias("b")))
+    of = kinds.join(sources, "key").select("kind", "source_code")
+    # The sources of what a kind is near to, its own too, are counted once per kind; five tell as much as more.
+    near = both.join(of, F.col("b") == F.col("kind")).groupBy("a").agg(F.count_distinct("source_code").alias("n"), F.collect_set("source_code").alias("sources"))
+    mine = sets.join(kinds, "key").join(near, F.col("kind") == F.col("a"))
+    others = F.col("n") - F.array_contains("sources", F.col("source_code")).cast("int")
+    return mine.select("id", F.least(0.5 * others, F.lit(2.0)).alias("bonus")).where("bonus > 0")
 
 
-@query("j13_c03_topic_keywords", AR + f""", e as (select id, unnest({TOK.format("title")}) as w from articles_), k as (select p_partkey as topic, unnest({TOK.format("p_name || ' ' || p_type || ' the and with thre'")}) as w, len({TOK.format("p_name || ' ' || p_type || ' the and with thre'")}) as n from part where p_partkey <= 40)
-select id, topic, least(1.0, 0.3 + count(*) / any_value(n))::double as score from e join k using (w) group by 1, 2 having count(*) >= 1 and count(*) / any_value(n) >= 0.1""")
+@query("j13_c03_topic_keywords", AR + f""", e as (select id, unnest({TOK.format("title")}) as w from articles_), s as (select source_code as topic, arg_min(title, id) || ' ' || source_code as name from articles_ where title is not null group by 1), k as (select topic, unnest({TOK.format("name")}) as w, len({TOK.format("name")}) as n from s)
+select id, topic, round_even(least(1.0, 0.3 + count(*) / any_value(n))::double, 3) as score from e join k using (w) group by 1, 2 having count(*) >= 1 and count(*) / any_value(n) >= 0.1""")
 def _(spark, d):
     e = load(spark, d, "articles").select("id", T.tokens(F.col("title")).alias("tokens"))
-    k = load(spark, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("topic"), T.tokens(F.concat_ws(" ", "p_name", "p_type", F.lit("the and with thre"))).alias("tokens"))
+    # A topic per source, named like its first article.
+    names = load(spark, d, "articles").where("title is not null").groupBy(F.col("source_code").alias("topic")).agg(F.min_by("title", "id").alias("name"))
+    k = names.select("topic", T.tokens(F.concat_ws(" ", "name", "topic")).alias("tokens"))
     p = overlap_pairs(e, k, "id", "topic", "tokens").withColumn("frac", F.col("common") / F.col("n_right"))
-    return p.where("common >= 1 and frac >= 0.1").select("id", "topic", F.least(F.lit(1.0), 0.3 + F.col("frac")).alias("score"))
+    return p.where("common >= 1 and frac >= 0.1").select("id", "topic", places(F.least(F.lit(1.0), 0.3 + F.col("frac")), 3).alias("score"))
 
 
 @query("j14_j15_u08_prototypes", """with p as (select arg_min(embedding, vec_id)::double[] as proto, label as cat from embeddings where label is not null group by label),
@@ -162,18 +168,18 @@ def _values(rows: list[tuple]) -> str:
 ROUTE = EV + f""", topic(slug, k, symbol) as (values {_values([(t, i, s) for t, ss in R.TOPIC_SYMBOLS.items() for i, s in enumerate(ss)])}),
 rule(cat, region, o, k, symbol) as (values {_values([(c, r, o, i, s) for o, (c, r, ss) in enumerate(R.REGION_RULES) for i, s in enumerate(ss)])}),
 affinity(cat, symbol, a) as (values {_values([(c, s, a) for (c, s), a in R.SYMBOL_AFFINITY.items()])}), sub(name, a) as (values {_values(list(R.SUB_CATEGORY_AFFINITY.items()))}),
-risk(name, r) as (values {_values(list(R.COUNTRY_RISK.items()))}), base as (select *, coalesce(finbert, sentiment) as raw from events_ where id < 4000),
+risk(name, r) as (values {_values(list(R.COUNTRY_RISK.items()))}), base as (select *, coalesce(finbert, sentiment) as raw from events_),
 emitted as (select b.id, t.symbol from base b join topic t on list_contains(string_split(b.topics, ','), t.slug) union select b.id, r.symbol from base b join rule r on r.cat = b.category and (r.region = '' or contains(lower(coalesce(b.location_name, '')), r.region))),
 panel as (select distinct id, symbol from emitted where symbol in ('CL=F', 'GC=F', 'BTC-USD', 'SPY', 'EURUSD=X')),
 f as (select b.id, p.symbol, coalesce(s.a, 0.6)::double as sub, coalesce(a.a, 0.6)::double as aff, (select max(r)::double from (select 0.5 as r union all select r from risk where contains(lower(coalesce(b.location_name, '')), name))) as risk,
  case when raw > 0 and category in ('conflict', 'disaster') then raw * 0.5 else raw end as adj, intensity from base b join panel p using (id) left join sub s on s.name = b.sub_category left join affinity a on a.cat = b.category and a.symbol = p.symbol),
 g as (select *, case when adj is null then 0.5 when adj < 0 then greatest(-1.5, adj * 1.5) else greatest(0.3, adj) end::double as sent, case when intensity is null then 1.0 else 0.6 + 0.4 * greatest(0, least(intensity, 1)) end::double as sev from f)
-select id, symbol, case when (sent >= 0) = (aff >= 0) then 1.0 else -1.0 end::double * least(sub * abs(aff) * risk * greatest(least(abs(sent), 1), 0.1::double) * sev, 1) as weight from g"""
+select id, symbol, round_even(case when (sent >= 0) = (aff >= 0) then 1.0 else -1.0 end::double * least(sub * abs(aff) * risk * greatest(least(abs(sent), 1), 0.1::double) * sev, 1), 4) as weight from g"""
 
 
 @query("j17_j19_c07_c12_routing", ROUTE)
 def _(spark, d):
-    e = load(spark, d, "events").where("id < 4000").withColumn("topic_slugs", F.split("topics", ",")).withColumn("sub_categories", F.array("sub_category")).withColumn("route_sentiment", F.coalesce("finbert", "sentiment"))
+    e = load(spark, d, "events").withColumn("topic_slugs", F.split("topics", ",")).withColumn("sub_categories", F.array("sub_category")).withColumn("route_sentiment", F.coalesce("finbert", "sentiment"))
     return R.route(e).select("id", "symbol", "weight")
 
 
