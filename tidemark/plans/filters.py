@@ -171,16 +171,6 @@ def _(spark, d):
     return p.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.count_if(T.is_boilerplate(F.col("b"))).alias("chrome"))
 
 
-@query("f25_f28_stage_pending", AR + """ select id, case when stage = 'fetched' and (intensity is null or intensity < 0.25) then 'claimable' when stage = 'fetched' then 'leased' when stage = 'annotated' then 'refine' when stage = 'refine' then 'aggregate' else 'done' end as pending,
- published_s >= 1704067200 + 600000 as live from articles_ where is_deleted is distinct from true""")
-def _(spark, d):
-    a = alive(load(spark, d, "articles"))
-    claim = F.when(F.col("intensity") >= 0.25, 5).otherwise(None)  # hours since the claim; none, or stale at 6
-    free = claim.isNull() | (claim > 6)
-    pending = F.when((F.col("stage") == "fetched") & free, "claimable").when(F.col("stage") == "fetched", "leased").when(F.col("stage") == "annotated", "refine").when(F.col("stage") == "refine", "aggregate").otherwise("done")
-    return a.select("id", pending.alias("pending"), (F.col("published_s") >= 1704067200 + 600000).alias("live"))
-
-
 @query("f30_importance_bands", AR + """ select case when 10 * intensity >= 7 then 'high' when 10 * intensity >= 4 then 'medium' when intensity is not null then 'low' else 'none' end as band, count(*) as n from articles_ group by 1""")
 def _(spark, d):
     i = 10 * F.col("intensity")
@@ -188,7 +178,7 @@ def _(spark, d):
     return load(spark, d, "articles").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("f33_f34_reprocess_anti_join", AR + " select id from articles_ where not (stage = 'processed' and id % 2 = 0)")
+@query("f33_reprocess_anti_join", AR + " select id from articles_ where not (stage = 'processed' and id % 2 = 0)")
 def _(spark, d):
     a = load(spark, d, "articles")
     current = a.where("stage = 'processed' and id % 2 = 0").select("id")

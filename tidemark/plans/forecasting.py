@@ -175,7 +175,7 @@ def _(spark, d):
     return training_frame(load(spark, d, "hours"), routed_hours(spark, d))
 
 
-@query("w14_t09_latest_forecasts", cte("forecasts") + " select symbol, horizon_days, id, direction_prob from forecasts_ qualify row_number() over (partition by symbol, horizon_days order by generated_at desc, id desc) = 1")
+@query("w14_latest_forecasts", cte("forecasts") + " select symbol, horizon_days, id, direction_prob from forecasts_ qualify row_number() over (partition by symbol, horizon_days order by generated_at desc, id desc) = 1")
 def _(spark, d):
     # An aggregate, not a window: combined before the shuffle, however many forecasts a symbol has.
     g = load(spark, d, "forecasts").groupBy("symbol", "horizon_days").agg(F.max_by(F.struct("id", "direction_prob"), F.struct("generated_at", "id")).alias("r"))

@@ -93,7 +93,7 @@ def _(spark, d):
     return load(spark, d, "events").select("id", s.alias("s")).select("id", word("route").alias("route"), word("tag").alias("tag"), F.col("s")["route"]["error"].alias("error"))
 
 
-@query("c28_c29_translation_fallback", AR + " select id, case when id % 3 = 0 then 'ar ' || title else title end as shown from articles_")
+@query("c28_translation_fallback", AR + " select id, case when id % 3 = 0 then 'ar ' || title else title end as shown from articles_")
 def _(spark, d):
     m = F.create_map(F.lit("ar"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("ar "), "title")).otherwise(""))
     return load(spark, d, "articles").select("id", F.coalesce(F.nullif(m["ar"], F.lit("")), "title").alias("shown"))
@@ -114,7 +114,7 @@ def _(spark, d):
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), P.approximate_date(text).alias("approx"), F.unix_timestamp(at.cast("timestamp")).alias("notice_s"))
 
 
-@query("c34_c36_notices", """select s_suppkey as id, 'UUWV' as region, (s_suppkey % 90 + (s_suppkey % 60) / 60) * case when s_suppkey % 2 = 0 then 1 else -1 end as latitude, (s_suppkey % 180 + (s_suppkey % 60) / 60) * case when s_suppkey % 3 = 0 then -1 else 1 end as longitude, (s_suppkey % 450) * 100::double as upper_ft, 33::bigint as ring from supplier""")
+@query("c34_c35_notices", """select s_suppkey as id, 'UUWV' as region, (s_suppkey % 90 + (s_suppkey % 60) / 60) * case when s_suppkey % 2 = 0 then 1 else -1 end as latitude, (s_suppkey % 180 + (s_suppkey % 60) / 60) * case when s_suppkey % 3 = 0 then -1 else 1 end as longitude, (s_suppkey % 450) * 100::double as upper_ft, 33::bigint as ring from supplier""")
 def _(spark, d):
     k = F.col("s_suppkey")
     two, three = (lambda c: F.lpad(c.cast("string"), 2, "0")), (lambda c: F.lpad(c.cast("string"), 3, "0"))

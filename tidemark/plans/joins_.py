@@ -142,7 +142,7 @@ def _(spark, d):
     return p.where("common >= 1 and frac >= 0.1").select("id", "topic", places(F.least(F.lit(1.0), 0.3 + F.col("frac")), 3).alias("score"))
 
 
-@query("j14_j15_u08_prototypes", """with p as (select arg_min(embedding, vec_id)::double[] as proto, label as cat from embeddings where label is not null group by label),
+@query("j14_j15_prototypes", """with p as (select arg_min(embedding, vec_id)::double[] as proto, label as cat from embeddings where label is not null group by label),
 s as (select e.vec_id, p.cat, list_cosine_similarity(e.embedding::double[], p.proto) as s from embeddings e, p) select vec_id, arg_max(cat, (s, -cat)) as best, round(max(s), 6) as score, count(*) filter (where s >= 0.42) as matches from s group by 1""")
 def _(spark, d):
     e = load(spark, d, "embeddings")

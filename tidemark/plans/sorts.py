@@ -135,7 +135,7 @@ def _(spark, d):
     return p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(12).select(F.col("p_partkey").alias("id")).crossJoin(F.broadcast(p.agg(F.count("*").alias("total"))))  # one row
 
 
-@query("t21_t22_stratified_sample", AR + " select id from (select id, source_code, row_number() over (partition by source_code order by id * 7919 % 1009, id) as r from articles_) where r <= 5 order by source_code, id limit 60")
+@query("t22_stratified_sample", AR + " select id from (select id, source_code, row_number() over (partition by source_code order by id * 7919 % 1009, id) as r from articles_) where r <= 5 order by source_code, id limit 60")
 def _(spark, d):
     r = F.row_number().over(Window.partitionBy("source_code").orderBy(F.col("id") * 7919 % 1009, "id"))
     return load(spark, d, "articles").select("id", "source_code", r.alias("r")).where("r <= 5").orderBy("source_code", "id").limit(60).select("id")

@@ -63,7 +63,7 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", F.coalesce(S.og_image(html), S.first_of(html, r"(?is)<title[^>]*>(.*?)</title>")).alias("found"))
 
 
-@query("s21_s23_rates", "select c_custkey as id, c_acctbal + 2 as value from customer")
+@query("s23_rates", "select c_custkey as id, c_acctbal + 2 as value from customer")
 def _(spark, d):
     m = F.create_map(F.lit("9"), F.col("c_acctbal") + 1, F.lit("10"), F.col("c_acctbal") + 2, F.lit("2"), F.col("c_acctbal"))
     return S.latest_observation(load(spark, d, "customer").select(F.col("c_custkey").alias("id"), m.alias("m")), "m").select("id", "value")

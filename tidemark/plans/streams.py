@@ -16,6 +16,8 @@ EV = cte("events")
 def _folder(spark, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="tidemark-")
@@ -32,16 +34,16 @@ def _stream(spark, d):
 @query("r03_r05_tumbling_windows", "select floor(epoch(ts) / 259200)::bigint * 259200 as start_s, event_type, count(*) as n, sum(1 + event_id % 9)::bigint as articles, floor(max(epoch(ts)))::bigint as last_s from events group by 1, 2")
 def _(spark, d):
     w = W.event_windows(_stream(spark, d), "started_at", ["event_type"])
-    return W.run(w, f"w_{uuid.uuid4().hex}", _folder(spark, "windows"), "complete")
+    return W.run(w, _folder(spark, "windows"), "complete")
 
 
 @query("r06_first_seen", "select user_id, event_type, true as seen from events group by 1, 2")
 def _(spark, d):
     s = W.first_seen(_stream(spark, d), ["user_id", "event_type"], "started_at", "60 days")
-    return W.run(s, f"s_{uuid.uuid4().hex}", _folder(spark, "seen")).select("user_id", "event_type", F.lit(True).alias("seen"))
+    return W.run(s, _folder(spark, "seen")).select("user_id", "event_type", F.lit(True).alias("seen"))
 
 
-@query("r08_r09_checkpoint_and_cadence", "select distinct user_id as source, ts::date as day from events where not (user_id % 2 = 0 and day(ts) % 3 = 0)")
+@query("r08_checkpoint", "select distinct user_id as source, ts::date as day from events where not (user_id % 2 = 0 and day(ts) % 3 = 0)")
 def _(spark, d):
     days = load(spark, d, "events").select(F.col("user_id").alias("source"), F.to_date("started_at").alias("day")).distinct()
     done = days.where("source % 2 = 0 and day(day) % 3 = 0")
@@ -53,12 +55,6 @@ def _(spark, d):
     return W.summary(spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("value", "magnitude"))
 
 
-@query("r13_r14_reap_and_prune", EV + " select id, case when started_at < timestamp '2024-01-20' and user_id % 2 = 0 then 'failed' else 'running' end as status from events_ where started_at >= timestamp '2024-01-05'")
-def _(spark, d):
-    e = load(spark, d, "events").where("started_at >= timestamp '2024-01-05'")
-    return e.select("id", F.when((F.col("started_at") < "2024-01-20") & (F.col("user_id") % 2 == 0), "failed").otherwise("running").alias("status"))
-
-
 @query("r15_retag", EV + " select id, case when topics like '%inflation%' then 2 when topics <> '' then 1 else 0 end + case when category = 'health' then 1 else 0 end as n_topics from events_")
 def _(spark, d):
     e = load(spark, d, "events")

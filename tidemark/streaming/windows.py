@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import upsert
@@ -21,25 +21,56 @@ def first_seen(events: DataFrame, keys: list[str], at: str, ttl: str = "24 hours
     return events.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def run(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all files there are, once, into a table of memory (small results: tests, reports)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all files there are, once, into Parquet below folder, and gives what it wrote: all rows that were
+    appended, or the last complete (or updated) result. A batch that is retried writes its own files anew."""
+    spark, schema = stream.sparkSession, stream.schema
+    batches: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        batches.append(n)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    paths = [f"{folder}/out/batch={n}" for n in (sorted(set(batches)) if mode == "append" else batches[-1:])]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def upsert_sink(spark: SparkSession, path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer that keeps the last row of each key below path, one version per batch; a retried batch writes
-    its version anew, so the result is the same."""
+    its version anew, so the result is the same. Of older versions only the one before stays, which a retry would need."""
 
     def write(batch: DataFrame, n: int) -> None:
         new = batch.groupBy(*keys).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
         merged = upsert(spark.read.parquet(f"{path}/v={n - 1}"), new, keys, F.col(order)) if n else new
         merged.write.mode("overwrite").parquet(f"{path}/v={n}")
+        if n > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 
 
+def reaggregation_windows(now: Column, hours: int, grid_days: int = 3) -> tuple[Column, Column]:
+    """(from, to) in seconds of a trailing recomputation that late rows call for: the last `hours`, begun on a grid cell, so
+    that a cell is always recomputed whole and its upsert replaces it."""
+    cell = grid_days * 86_400
+    return F.floor((now - hours * 3_600) / cell) * cell, now
+
+
+def tiles(start: Column, end: Column, days: int = 30, grid_days: int = 3) -> Column:
+    """array<struct<start, end>> in seconds: history cut into tiles of `days`, rounded down to whole grid cells."""
+    width = max(days // grid_days, 1) * grid_days * 86_400
+    begin = F.floor(start / width) * width
+    return F.transform(F.sequence(begin, F.greatest(begin, end - 1), F.lit(width)), lambda t: F.struct(t.alias("start"), (t + width).alias("end")))
+
+
+def is_due(last: Column, now: Column, every_minutes: Column) -> Column:
+    """A stage runs if it never did, or its cadence has passed."""
+    return last.isNull() | (now - last >= every_minutes * 60)
+
+
 def summary(batch: DataFrame) -> DataFrame:
     """What is published after a batch."""
     return batch.agg(F.count("*").alias("n"), F.max("magnitude").alias("strongest"))
