@@ -66,6 +66,15 @@ def json_reply(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-z]*\s*", ""), r"\s*```$", ""), schema)
 
 
+def json_items(text: Column, schema: str) -> Column:
+    """The items of a reply that is one object or an array of them; those that aren't objects are left out, and a reply that
+    isn't JSON has none."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-z]*\s*", ""), r"\s*```$", ""))
+    one = F.from_json(bare, schema)
+    items = F.when(bare.startswith("["), F.from_json(bare, f"array<struct<{schema.replace(' ', ': ', 1)}>>")).when(bare.startswith("{") & one.isNotNull(), F.array(one))
+    return F.coalesce(F.filter(items, lambda x: x.isNotNull()), F.array().cast(f"array<struct<{schema.replace(' ', ': ', 1)}>>"))
+
+
 def merge_status(status: Column, stage: Column, ok: Column, at: Column, error: Column) -> Column:
     """map with the stage's entry replaced; success clears the error."""
     entry = F.struct(ok.alias("ok"), at.alias("at"), F.when(~ok, error).alias("error"))

@@ -33,6 +33,7 @@ DEMONYMS = {
     "colombian": "Colombia", "cuban": "Cuba", "ethiopian": "Ethiopia", "kenyan": "Kenya", "somali": "Somalia", "libyan": "Libya", "algerian": "Algeria", "moroccan": "Morocco",
     "tunisian": "Tunisia", "qatari": "Qatar",
 }
+#: Fixed value: what tells that a text is about the United States.
 US_CONTEXT = r"\bUS\b|(?i:\bU\.S\.?A?\b|\bunited states\b|\bamerican\b|\bwashington\b)"
 
 

@@ -109,7 +109,13 @@ def slug(name: Column, chars: int = 80) -> Column:
 def title_of_slug(url: Column) -> Column:
     """A headline from the last path segment: hyphens become blanks, words get capitals."""
     last = F.element_at(F.split(url_path(url), "/"), -1)
-    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[a-z]{2,5}$", ""), "[-_]+", " ")))
+    return title_case(F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[a-z]{2,5}$", ""), "[-_]+", " ")))
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters begins with a capital, also after digits and apostrophes."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
 
 
 def strip_citations(text: Column) -> Column:

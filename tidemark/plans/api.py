@@ -13,7 +13,7 @@ from ..operators.joins import cosine
 from ..registry import query
 from .filters import active_on, alive, capped, tri_state
 
-EV, BA, FC = cte("events"), cte("bars"), cte("forecasts")
+EV, AR, BA, FC = cte("events"), cte("articles"), cte("bars"), cte("forecasts")
 
 
 def event_detail(events: DataFrame, articles: DataFrame, event_id) -> DataFrame:
@@ -125,7 +125,7 @@ def _(spark, d):
     return newsletters(load(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct())
 
 
-GATE_TEXT = ["troops attack the town", "an earthquake and a flood", "the pope meets an envoy about the war", "a quiet festival", "blast at a factory", "patients fill the hospital", "drone strikes a refinery, fire"]
+GATE_TEXT = ["troops attack the town", "an earthquake and a flood", "the pope meets an envoy about the war", "a quiet festival", "blast at a factory", "patients fill the hospital", "drone strikes a refinery, fire", "crowds protest a law", "", "shot dead near the border", "the clinic closes"]
 _LIST = "[" + ", ".join(f"'{t}'" for t in GATE_TEXT) + "]"
 
 
@@ -133,24 +133,29 @@ def _re(p: str) -> str:
     return f"regexp_matches(x, '(?i){p}')"
 
 
-@query("c22_c23_evidence_gates", EV + f""", t as (select id, category as c, {_LIST}[1 + (id % 7)::int] as x from events_),
+@query("c22_c23_evidence_gates", AR + f""", t as (select id, category as c, coalesce(sub, 'x') as sub, coalesce(content, '') || ' ' || {_LIST}[1 + (id % 11)::int] as x from (select *, ['protest-policy', 'other', 'war'][1 + (id % 3)::int] as sub from articles_)),
 s as (select *, case when c = 'conflict' and not ({_re(E.MILITARY)} or {_re(E.ACTOR)}) and ({_re(E.NATURAL)} or {_re(E.ACCIDENT)}) then 'disaster' when c = 'disaster' and {_re(E.MILITARY)} and {_re(E.CONFLICT)} then 'conflict'
  when c = 'conflict' and not ({_re(E.MILITARY)} or {_re(E.ACTOR)}) and {_re(E.MEETING)} then 'political' else c end as s from t)
-select id, case when s = 'conflict' and not {_re(E.CONFLICT)} then 'general' when s = 'disaster' and not ({_re(E.NATURAL)} or {_re(E.ACCIDENT)}) then 'general' when s = 'health' and not {_re(E.HEALTH)} then 'economic' else s end as gated from s""")
+select id, case when c = 'political' and sub = 'protest-policy' and not {_re(E.PROTEST)} then 'other' else sub end as sub, case when s = 'conflict' and not {_re(E.CONFLICT)} then 'general' when s = 'disaster' and not ({_re(E.NATURAL)} or {_re(E.ACCIDENT)}) then 'general' when s = 'health' and not {_re(E.HEALTH)} then 'economic' else s end as gated from s""")
 def _(spark, d):
-    e = load(spark, d, "events").withColumn("x", F.element_at(F.array(*map(F.lit, GATE_TEXT)), (F.col("id") % 7 + 1).cast("int")))
-    return e.select("id", E.guarded(E.gated(F.col("category"), F.col("x")), F.col("x"), F.lit("economic")).alias("gated"))
+    more = F.element_at(F.array(*map(F.lit, GATE_TEXT)), (F.col("id") % len(GATE_TEXT) + 1).cast("int"))
+    e = load(spark, d, "articles").withColumn("x", F.concat(F.coalesce("content", F.lit("")), F.lit(" "), more)).withColumn("sub", F.element_at(F.array(F.lit("protest-policy"), F.lit("other"), F.lit("war")), (F.col("id") % 3 + 1).cast("int")))
+    gated = E.guarded(E.gated(F.col("category"), F.col("x")), F.col("x"), F.lit("economic"))
+    return e.select("id", E.sub_guarded(F.col("category"), F.col("sub"), F.col("x")).alias("sub"), gated.alias("gated"))
 
 
 COUNTRIES = ["Ukraine", "Russia", "Iran", "Peru", "Germany", "United Arab Emirates", "Georgia"]
 PLACE_TEXT = ["Fighting in the Gaza Strip and Russia", "Chinese authorities detain two", "nothing to see", "Biden wins Georgia recount in US", "the UAE and Iran sign", "Peruvian farmers and Kosovo"]
-PLACE_FOUND = ["Gaza Strip", "China", None, "United States", "UAE", "Kosovo"]
+DEMONYM = r"(?i)\b(" + "|".join(sorted(PL.DEMONYMS, key=lambda n: (-len(n), n))) + r")\b"
 
 
-@query("c17_c18_c21_find_place", EV + " select id, [" + ", ".join("null" if p is None else f"'{p}'" for p in PLACE_FOUND) + "][1 + (id % 6)::int] as place from events_")
+@query("c17_c18_c21_find_place", AR + f""", t as (select id, {PLACE_TEXT}[1 + (id % 6)::int] || '. ' || coalesce(content, '') as x from articles_), f as (select id, x, nullif(regexp_extract(x, '{PL.place_pattern(COUNTRIES)}', 1), '') as p, lower(regexp_extract(x, '{DEMONYM}', 1)) as w from t),
+c as (select id, x, coalesce(p, case w {" ".join(f"when '{k}' then '{v}'" for k, v in PL.DEMONYMS.items())} end) as place from f)
+select id, case when lower(place) = 'georgia' and regexp_matches(x, '{PL.US_CONTEXT}') then 'United States' else place end as place from c""")
 def _(spark, d):
-    x = F.element_at(F.array(*map(F.lit, PLACE_TEXT)), (F.col("id") % 6 + 1).cast("int"))
-    return load(spark, d, "events").select("id", PL.state_or_country(PL.find_place(x, COUNTRIES), x).alias("place"))
+    x = F.concat(F.element_at(F.array(*map(F.lit, PLACE_TEXT)), (F.col("id") % 6 + 1).cast("int")), F.lit(". "), F.coalesce("content", F.lit("")))
+    a = load(spark, d, "articles").select("id", x.alias("x"))
+    return a.select("id", PL.state_or_country(PL.find_place(F.col("x"), COUNTRIES), F.col("x")).alias("place"))
 
 
 @query("c20_city_conflicts", "select c_custkey as id, c_custkey % 3 = 1 as conflict from customer")
@@ -173,9 +178,9 @@ def _(spark, d):
 
 
 @query("s12_title_of_slug", r"""with p as (select page_id, string_split(trim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), '/')[-1] as last from pages)
-select page_id, trim(regexp_replace(regexp_replace(last, '\.[a-z]{2,5}$', ''), '[-_]+', ' ', 'g')) as title from p""")
+select page_id, coalesce(array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(regexp_replace(last, '\.[a-z]{2,5}$', ''), '[-_]+', ' ', 'g')), '\p{L}+|\P{L}+'), lambda w: upper(w[1]) || lower(w[2:])), ''), '') as title from p""")
 def _(spark, d):
-    return load(spark, d, "pages").select("page_id", F.lower(title_of_slug(F.col("url"))).alias("title"))
+    return load(spark, d, "pages").select("page_id", title_of_slug(F.col("url")).alias("title"))
 
 
 @query("u05_communities", """with t as (select vec_id as id, label as g, embedding::double[] as v from embeddings where label is not null), l as (select a.id as a, b.id as b from t a join t b on a.g = b.g and a.id < b.id where list_cosine_similarity(a.v, b.v) >= 0.55) select t.id, t.g as bucket, count(l.b) as links_above from t left join l on l.a = t.id group by 1, 2""")

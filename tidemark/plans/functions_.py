@@ -73,10 +73,14 @@ def _(spark, d):
     return load(spark, d, "customer").groupBy(F.lower("c_mktsegment").alias("name")).agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("id"))
 
 
-@query("c25_json_reply", """select event_id as id, try_cast(json_extract_string(props, '$.k') as bigint) as k, false as failed from events""")
-def _(spark, d):
-    p = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), P.json_reply(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k bigint").alias("r"))
-    return p.select("id", "r.k", F.col("r").isNull().alias("failed"))
+@query("c25_json_items", """select event_id as id, case event_id % 5 when 3 then 0 when 2 then 2 else 1 end as n, case event_id % 5 when 3 then 0 when 2 then try_cast(json_extract_string(props, '$.k') as bigint) + 7 when 4 then -1 else coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) end as k from events""")
+def _(spark, d):
+    props, i = F.col("props"), F.col("event_id") % 5
+    reply = F.when(i == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(i == 2, F.concat(F.lit("["), props, F.lit(', {"k": 7}]'))).when(i == 3, "I can't tell.").when(i == 4, '[{"other": 1}]').otherwise(props)
+    items = P.json_items(reply, "k bigint")
+    # An item without a number counts as -1.
+    total = F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x["k"], F.lit(-1)))
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.size(items).cast("long").alias("n"), total.alias("k"))
 
 
 @query("c26_usage_split", "select o_orderkey as id, o_custkey // 4 + case when o_orderkey % 4 < o_custkey % 4 then 1 else 0 end as tokens from orders")

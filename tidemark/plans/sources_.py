@@ -10,7 +10,10 @@ from ..sources import feeds as S
 from ..sources.sinks import merge_state
 
 EV = cte("events")
-FEED_SQL = """select doc_id from documents where len(string_split_regex(trim(text), '\\s+')) + 1 >= 30 and doc_id >= 100 and not contains(text, '<') and not contains(text, '&')"""
+#: The text of an HTML fragment, in DuckDB.
+STRIPPED = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+FEED_SQL = f"select doc_id from (select doc_id, {STRIPPED.format('text')} as t from documents) where t <> '' and len(string_split(t, ' ')) + 1 >= 30 and doc_id >= 100"
 
 
 @query("s03_iteration", "select count(*) as n, sum(n_chars)::bigint as chars from documents")
@@ -20,9 +23,10 @@ def _(spark, d):
 
 @query("s04_s05_rss", FEED_SQL)
 def _(spark, d):
-    t = load(spark, d, "documents").where("not contains(text, '<') and not contains(text, '&')")
+    t = load(spark, d, "documents")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     day = F.date_format(F.timestamp_seconds(1704067200 + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    feed = F.concat(F.lit("<rss><channel><item><title>Headline</title><link>http://x.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), "text", F.lit("</description><pubDate>"), day, F.lit("</pubDate></item></channel></rss>"))
+    feed = F.concat(F.lit("<rss><channel><item><title>Headline</title><link>http://x.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), escaped, F.lit("</description><pubDate>"), day, F.lit("</pubDate></item></channel></rss>"))
     start = F.timestamp_seconds(F.lit(1704067200 + 99 * 60))
     return S.rss_entries(t.select("doc_id", feed.alias("xml")), "xml", start, F.current_timestamp()).select("doc_id")
 
