@@ -1,14 +1,16 @@
 """Golden cases, metamorphic checks and edge cases of the operators."""
 
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import decisions as D
 from tidemark.functions import parsing as P
 from tidemark.functions import routing as R
 from tidemark.functions import text as T
-from tidemark.operators.joins import as_of, interval_join, upsert
+from tidemark.operators.joins import as_of, interval_join, similar_sets, upsert
 from tidemark.plans import filters
 from tidemark.plans.aggregates import aggregate_events
 from tidemark.plans.forecasting import event_features, folds, labels, leaks, price_features, trailing_sigma
@@ -119,11 +121,88 @@ def test_folds_do_not_leak(spark):
 
 def test_greedy_filter_is_not_a_self_join(spark):
     rows = [(1, "k", "alpha beta gamma delta"), (2, "k", "alpha beta gamma delta epsilon"), (3, "k", "beta gamma delta epsilon"), (4, "k", ""), (5, "k", "")]
-    got = greedy_titles(spark.createDataFrame(rows, "id int, k string, title string"), "k", "title", "id", 0.75)
+    got = greedy_titles(spark.createDataFrame(rows, "id int, k string, title string").withColumn("t", F.col("id")), "k", "title", "t", "id", 0.75)
     # 2 falls to 1 and so can't suppress 3; empty titles stay.
     assert sorted(r.id for r in got.collect()) == [1, 3, 4, 5]
 
 
+def test_greedy_titles_equal_brute_force(spark):
+    """Two keys, a short memory, and pauses after which all is forgotten."""
+    rng = random.Random(3)
+    rows, t = [], 0
+    for i in range(400):
+        t += rng.choice([10, 20, 30, 120])
+        rows.append((i, rng.choice("ab"), " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(rng.randint(0, 5))), t))
+    expected, state = [], {}
+    for i, k, title, t in rows:
+        last, kept = state.get(k, (None, []))
+        if last is not None and t - last > 100:
+            last, kept = None, []
+        s = set(title.split())
+        if not any(len(s & o) >= 0.75 * len(s | o) for o in kept if s):
+            expected.append(i)
+            if s:
+                last, kept = t, [*kept, s][-4:]
+        state[k] = last, kept
+    got = greedy_titles(spark.createDataFrame(rows, "id int, k string, title string, t int"), "k", "title", "t", "id", 0.75, 4, 100)
+    assert sorted(r.id for r in got.collect()) == expected
+
+
+def test_as_of_over_blocks(spark):
+    """Blocks without a right row, before all of them, ties, strictness, null times and keys, by brute force."""
+    rng = random.Random(4)
+    right = [(rng.choice("ab"), rng.randrange(0, 1_000) if rng.random() > 0.05 else None, i) for i in range(60)]
+    left = [(rng.choice("abc"), rng.randrange(-100, 1_300) if rng.random() > 0.05 else None, i) for i in range(300)]
+    r, l = spark.createDataFrame(right, "k string, t long, v int"), spark.createDataFrame(left, "k string, at long, id int")  # noqa: E741
+    for strict in (False, True):
+        got = {x.id: x.v for x in as_of(l, r, ["k"], "at", "t", ["v"], strict, width=50).collect()}
+        for k, at, i in left:
+            before = [(t, v) for q, t, v in right if q == k and t is not None and at is not None and (t < at if strict else t <= at)]
+            assert got[i] == (max(before)[1] if before else None)
+        assert len(got) == len(left)
+
+
+def test_similar_sets_equal_brute_force(spark):
+    rng = random.Random(5)
+    sets = [(i, sorted({rng.choice("abcdefghijkl") * 3 for _ in range(rng.randint(0, 7))})) for i in range(120)]
+    for num, den in ((1, 2), (3, 4)):
+        got = {(r.a, r.b) for r in similar_sets(spark.createDataFrame(sets, "id int, tokens array<string>"), "id", "tokens", num, den).collect()}
+        assert got == {(i, j) for i, a in sets for j, b in sets if i < j and a and b and den * len(set(a) & set(b)) >= num * len(set(a) | set(b))}
+
+
+def test_communities_of_a_large_bucket(spark, monkeypatch):
+    from tidemark.operators import vectors as V
+
+    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    rows = [(i, 0 if i % 5 else 1, [x + rng.gauss(0, 0.1) for x in base[i % 20]]) for i in range(150)] + [(200, None, base[0]), (201, 0, None), (202, 0, [0.0] * 8)]
+    got = {r.id: r.community for r in V.communities(spark.createDataFrame(rows, "id long, bucket int, vector array<double>"), 0.9).collect()}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    of = {i: i for i, *_ in rows}
+    for _ in range(len(rows)):
+        before = dict(of)
+        for i, b, v in rows:
+            for j, c, w in rows:
+                if b is not None and b == c and v and w and norm(v) * norm(w) > 0 and sum(map(lambda x, y: x * y, v, w)) / norm(v) / norm(w) >= 0.9:
+                    of[i] = of[j] = min(of[i], of[j])
+        if of == before:
+            break
+    assert got == of
+
+
+def test_body_of_pages(spark):
+    pages = [
+        "<p>" + "A long sentence of the story, told in full. " * 3 + "</p><nav><p>Home and a menu that is long enough to pass.</p></nav><p>Menu</p>",
+        "<header><p>Head lines of the site, and more of them.</p></header><article><p>First part of it, a real sentence.</p><p><a href='x'>Only links here</a></p></article><p>After the article, not its text.</p>",
+        "<div class='sidebar wide'><p>Side matter that should be dropped from it.</p></div><p>The body itself stays here.</p>",
+        "<p>Subscribe to read the rest of this story today.</p>", "", None, "<p>" + "Word after word. " * 400 + "</p>",
+    ]
+    got = [r.b for r in spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", D.body_of(F.col("html")).alias("b")).orderBy("i").collect()]
+    assert got[0] == ("A long sentence of the story, told in full. " * 3).strip() and got[1] == "First part of it, a real sentence." and got[2] == "The body itself stays here."
+    assert got[3:6] == [None] * 3 and len(got[6]) == 4_000
+
+
 def test_streaks(spark):
     rows = [("a", i, e) for i, e in enumerate([True, True, False, True, True, True])]
     got = {(r["first"], r.length) for r in streaks(spark.createDataFrame(rows, "k string, t int, e boolean"), "k", "t", "e").collect()}
@@ -140,11 +219,12 @@ def test_filters(spark):
 
 
 def test_aggregation_of_nothing_and_ties(spark):
-    schema = "id long, source_code string, title string, published_s long, city string, country string, category string, sentiment double, intensity double, cluster long"
+    schema = "id long, source_code string, title string, published_s long, city string, country string, category string, sentiment double, intensity double, cluster long, finbert double, latitude double, longitude double"
     assert aggregate_events(spark.createDataFrame([], schema)).count() == 0
-    rows = [(2, "b", "t", 10, "X", "Y", None, None, 0.5, 0), (1, "a", "t", 20, "X", "Y", "general", 0.25, 0.5, 0), (3, "a", "t", 5, None, "Y", None, None, None, 0)]
+    rows = [(2, "b", "t", 10, "X", "Y", None, None, 0.5, 0, None, 1.0, None), (1, "a", "t", 20, "X", "Y", "general", 0.25, 0.5, 0, 0.5, 2.0, None), (3, "a", "t", 5, None, "Y", None, None, None, 0, None, None, None)]
     e = aggregate_events(spark.createDataFrame(rows, schema)).collect()
     assert len(e) == 1 and (e[0].representative, e[0].article_count, e[0].sources) == (1, 2, "a,b")
+    assert (e[0].title, e[0].latitude, e[0].longitude, e[0].avg_finbert) == ("t", 1.5, None, 0.5)
     assert e[0].intensity == pytest.approx(0.56)
 
 

@@ -9,7 +9,7 @@ from ..adapters import cte, load
 from ..functions import evidence as E
 from ..functions import places as PL
 from ..functions.text import title_of_slug
-from ..operators.joins import cosine
+from ..operators.vectors import communities
 from ..registry import query
 from .filters import active_on, alive, capped, tri_state
 
@@ -183,11 +183,8 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", title_of_slug(F.col("url")).alias("title"))
 
 
-@query("u05_communities", """with t as (select vec_id as id, label as g, embedding::double[] as v from embeddings where label is not null), l as (select a.id as a, b.id as b from t a join t b on a.g = b.g and a.id < b.id where list_cosine_similarity(a.v, b.v) >= 0.55) select t.id, t.g as bucket, count(l.b) as links_above from t left join l on l.a = t.id group by 1, 2""")
+@query("u05_communities", """with t as (select vec_id as id, label as g, embedding::double[] as v from embeddings where label is not null), l as materialized (select a.id as a, b.id as b from t a join t b on a.g = b.g and a.id <> b.id where list_cosine_similarity(a.v, b.v) >= 0.55),
+r as (with recursive w(a, b) as (select id, id from t union select w.a, l.b from w join l on w.b = l.a where l.b < w.a or l.b > w.a) select a, min(b) as c from w group by a) select t.id, t.g as bucket, r.c as community from t join r on r.a = t.id""")
 def _(spark, d):
-    t = load(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), F.col("label").alias("bucket"), "embedding")
-    b = t.select(F.col("id").alias("b"), F.col("bucket").alias("k"), F.col("embedding").alias("e"))
-    # A bucket is one place, category and three-day cell: small by construction; links are tested in the join's condition.
-    linked = t.join(b, (F.col("bucket") == F.col("k")) & (F.col("id") < F.col("b")) & (cosine(F.col("embedding"), F.col("e")) >= 0.55))
-    n = linked.groupBy("id").agg(F.count("*").alias("n"))
-    return t.join(n, "id", "left").select("id", "bucket", F.coalesce("n", F.lit(0)).alias("links_above"))
+    t = load(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"))
+    return communities(t).join(t.select("id", "bucket"), "id").select("id", "bucket", "community")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,47 +11,48 @@ from pyspark.sql import functions as F
 
 from ..adapters import cte, load
 from ..functions import text as T
-from ..operators.joins import cosine
+from ..operators.vectors import merged
 from ..registry import query
 
 EV, AR, BA = cte("events"), cte("articles"), cte("bars")
 
 
-def greedy_titles(articles: DataFrame, by: str, title: str, order: str, threshold: float = 0.75, memory: int = 2_000) -> DataFrame:
-    """Rows of each key, in order, unless their title is that similar to one of the last `memory` titles kept before.
+def greedy_titles(articles: DataFrame, by: str, title: str, at: str, order: str, threshold: float = 0.75, memory: int = 2_000, ttl: int = 86_400) -> DataFrame:
+    """Rows of each key, by time and `order`, unless their title is that similar to one of the last `memory` titles kept
+    before; all are forgotten `ttl` seconds after the last one was kept.
 
     A suppressed title suppresses nothing itself, so this can't be a self anti-join. Rows of a key come as a sorted stream;
-    what is remembered of it is bounded, however many rows the key has. Titles without tokens are always kept."""
+    what is remembered of it is bounded, however many rows the key has, and found by its tokens. Titles without tokens are
+    always kept."""
     schema = articles.schema
     sets = articles.withColumn("_tokens", T.tokens(F.col(title)))
-    sets = sets.repartition(by).sortWithinPartitions(by, order)
+    sets = sets.repartition(by).sortWithinPartitions(by, at, order)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, []
+        key, last, kept, holders, n = None, None, {}, {}, 0
         for f in frames:
             keep = []
-            for k, tokens in zip(f[by], f["_tokens"]):
-                if k != key:
-                    key, kept = k, []
+            for k, t, tokens in zip(f[by], f[at], f["_tokens"]):
+                if k != key or (last is not None and t - last > ttl):
+                    key, last, kept, holders = k, None, {}, {}
                 s = frozenset(tokens)
-                near = bool(s) and any(len(s & o) >= threshold * len(s | o) for o in kept)
+                common = Counter(i for w in s for i in holders.get(w, ()))
+                near = any(c >= threshold * (len(s) + len(kept[i]) - c) for i, c in common.items())
                 keep.append(not near)
                 if s and not near:
-                    kept = [*kept[1 - memory :], s] if len(kept) >= memory else [*kept, s]
+                    kept[n], last = s, t
+                    for w in s:
+                        holders.setdefault(w, set()).add(n)
+                    n += 1
+                    if len(kept) > memory:
+                        i = next(iter(kept))
+                        for w in kept.pop(i):
+                            holders[w].discard(i)
             yield f.loc[keep].drop(columns="_tokens")
 
     return sets.mapInPandas(work, schema)
 
 
-def merge_similar(topics: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, canonical): topics (id, group, n_keywords, vector) tied to the one of their group with the most keywords (then the
-    smallest id), if their cosine with it reaches the threshold; else each stays its own."""
-    best = topics.groupBy("group").agg(F.max_by(F.struct("id", "vector"), F.struct("n_keywords", -F.col("id"))).alias("c"))
-    j = topics.join(best, "group", "left")
-    near = F.coalesce(cosine(F.col("vector"), F.col("c.vector")) >= threshold, F.lit(False))
-    return j.select("id", F.when(near, F.col("c.id")).otherwise(F.col("id")).alias("canonical"))
-
-
 def streaks(rows: DataFrame, by: str, at: str, empty: str) -> DataFrame:
     """Runs of consecutive empty rows per key: (key, first, length)."""
     w = Window.partitionBy(by).orderBy(at)
@@ -105,15 +107,19 @@ def _(spark, d):
     return load(spark, d, "part").groupBy(F.col("p_brand").alias("slug")).agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("id"))
 
 
-@query("t12_merge_similar", """with t as (select vec_id as id, label as g, vec_id % 17 as n, embedding::double[] as v from embeddings), b as (select g, arg_max({'id': id, 'v': v}, (n, -id)) as c from t where g is not null group by g)
-select t.id, case when list_cosine_similarity(t.v, b.c.v) >= 0.85 then b.c.id else t.id end as canonical from t left join b using (g)""")
+@query("t12_merge_similar", """with t as (select vec_id as id, label as g, list_distinct(list_transform(range(1, 2 + (vec_id % 4)::int), lambda i: 'k' || (vec_id * i % 23)::varchar)) as kw, embedding::double[] as v from embeddings),
+l as (select a.id as a, b.id as b from t a join t b on a.g = b.g and list_cosine_similarity(a.v, b.v) >= 0.85 where a.id <> b.id), r as (with recursive w(a, b) as (select id, id from t union select w.a, l.b from w join l on w.b = l.a) select a as id, min(b) as c from w group by 1),
+m as (select r.c, arg_max(t.id, (len(kw), -t.id)) as canonical, list_sort(list_distinct(flatten(list(kw)))) as kws from t join r using (id) group by 1) select id, canonical, case when id = canonical then array_to_string(kws, ',') end as keywords from t join r using (id) join m using (c)""")
 def _(spark, d):
-    return merge_similar(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), (F.col("vec_id") % 17).alias("n_keywords"), F.col("embedding").alias("vector")))
+    v = F.col("vec_id")
+    words = F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), 1 + v % 4), lambda i: F.concat(F.lit("k"), (v * i % 23).cast("string"))))
+    t = load(spark, d, "embeddings").select(v.alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"), words.alias("keywords"))
+    return merged(t).select("id", "canonical", F.array_join(F.array_sort("keywords"), ",").alias("keywords"))
 
 
 @query("t13_greedy_titles")
 def _(spark, d):
-    return greedy_titles(load(spark, d, "articles").select("id", "source_code", "title"), "source_code", "title", "id")
+    return greedy_titles(load(spark, d, "articles").select("id", "source_code", "title", "published_s"), "source_code", "title", "published_s", "id")
 
 
 @query("t14_t17_set_operations", "select k from (select c_custkey as k from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0) where k % 5 <> 0 and k in (select o_custkey from orders)")
