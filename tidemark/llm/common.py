@@ -1,150 +1,11 @@
-"""What several operators share: reading tables, cutting lineage in the shared folder, connected components."""
+"""What several operators share: reading tables; tables between steps and connected components are those of all operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import weakref
-from collections.abc import Iterator
-from pathlib import Path
+from pyspark.sql import DataFrame, SparkSession
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..operators.tables import components, forget, map_arrow, shared_folder, ship_package, sized, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset in local mode, as in tests, a temporary one of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-    except Exception:  # noqa: BLE001  the session has ended
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here, and lost executors cost nothing.
-
-    The files go by forget(), or when the Python process ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    again = spark.read.schema(df.schema).parquet(path)
-    _paths[again] = path
-    return again
-
-
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes the files of tables that written() gave; nothing may still have to read them."""
-    for df in tables:
-        if df in _paths:
-            _delete(df.sparkSession, _paths.pop(df))
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp()
-        atexit.register(shutil.rmtree, folder, True)
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-        _shipped.add(context.applicationId)
-
-
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow(function, schema), with this package on the executors."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
-
-
-def sized(df: DataFrame, name: str, most_rows: int = 1_000_000, length: Column | None = None) -> DataFrame:
-    """df written; marked for broadcast only if it has most_rows of a few short columns at most, else joined by shuffle.
-
-    length: of a row's one longer column, in short values; its sum counts in place of the rows."""
-    df = written(df, name)
-    n = df.agg(F.count("*") if length is None else F.coalesce(F.sum(length + 1), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= most_rows else df
-
-
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a batch as stars around the smallest node of what the batch alone connects."""
-    for batch in batches:
-        ids, of = np.unique(np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]), return_inverse=True)
-        a, b = of[: batch.num_rows], of[batch.num_rows :]
-        root = np.arange(len(ids))
-        while (root[a] != root[b]).any():
-            least = root.copy()
-            np.minimum.at(least, root[a], root[b])
-            np.minimum.at(least, root[b], root[a])
-            while (least[least] != least).any():
-                least = least[least]
-            root = least[root]
-        tied = np.flatnonzero(root != np.arange(len(ids)))
-        kind = batch.schema.field("a").type
-        yield pa.RecordBatch.from_arrays([pa.array(ids[tied], kind), pa.array(ids[root[tied]], kind)], ["a", "b"])
-
-
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Distributed union-find over edges (a, b): one row (id, component) per node that has an edge, component being the
-    smallest id of its connected component.
-
-    Batches of edges become stars where they lie. Then the large-star and small-star contractions alternate, whose
-    rounds grow with the logarithm of a component's size; both aggregate before they shuffle, the join may split a hub's
-    rows, and each round is written to the shared folder, the one before it deleted. Empty edges give an empty table;
-    loops, repeated edges and either order are fine, nulls are left out.
-    """
-    kind = edges.schema["a"].dataType.simpleString()
-    pairs = map_arrow(edges.where("a is not null and b is not null and a <> b").select("a", "b"), _local_forest, f"a {kind}, b {kind}")
-    pairs = written(pairs.distinct(), "edges")
-    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = state(pairs)
-    for _ in range(max_rounds):
-        # Large star: every neighbour above a node is tied to the least of the node and its neighbours.
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # Small star: a node and its neighbours below it are tied to the least of those.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a <> b")
-            .distinct()
-        )
-        former, pairs = pairs, written(small, "components")
-        forget(former)
-        now = state(pairs)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
