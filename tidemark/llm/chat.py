@@ -34,12 +34,14 @@ def _role_in(role: Column) -> Column:
 
 
 def reconstruct(log: DataFrame, block: int = 64) -> DataFrame:
-    """Final messages (conv_id, turn, part, role, text) of an event log (conv_id, seq, kind, turn, role, text).
+    """The events that count in the end (conv_id, turn, seq, role, text, begins) of an event log (conv_id, seq, kind, turn,
+    role, text).
 
-    kind `message` or `delta` adds its text to the turn; `edit` and `regenerate` drop what the turn and all later turns
-    had so far and begin the turn anew with their text; other kinds are taken for `delta`. Events are folded by
-    (conv_id, seq). Repeated seq keep every row, in the order of turn, role, text. Null texts and roles are empty, a null
-    turn counts as 0, a null conv_id is a conversation of its own. part numbers the texts of a turn in order.
+    kind `message` begins a message of its own; `delta` adds its text to the last message of the turn; `edit` and
+    `regenerate` drop what the turn and all later turns had so far and begin the turn anew with their text; other kinds
+    are taken for `delta`. Events are folded by (conv_id, seq). Repeated seq and repeated rows keep every row, in the order
+    of turn, role, text. Null texts and roles are empty, a null turn counts as 0, a null conv_id is a conversation of its
+    own. An empty log gives no rows; other columns don't matter.
 
     A conversation may hold much of the log: its events are dealt by (conv_id, block of seq), and what the blocks know
     of each other is one row per block.
@@ -63,18 +65,22 @@ def reconstruct(log: DataFrame, block: int = 64) -> DataFrame:
         .withColumn("next", F.least("later", F.min(reset).over(inside)))
         .where("next is null or next > turn")
     )
-    return live.select("conv_id", "turn", "seq", "role", "text")
+    return live.select("conv_id", "turn", "seq", "role", "text", F.col("kind").isin("message", "edit", "regenerate").alias("begins"))
 
 
 def render(events: DataFrame, block: int = 64) -> DataFrame:
-    """One row (conv_id, formatted) per conversation of live events: each turn is START role newline text END.
-
-    The events of one turn are joined in order; the turn has the role of its first event. Turns are put together within
-    blocks of turns first, so that the last step has one row per block. One conversation is one string: Spark's limit of
-    2 GB for a value holds."""
-    turns = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    shown = F.concat(F.lit(START), _role_out(F.element_at("parts", 1)["role"]), F.lit("\n"), escape(text), F.lit(END))
+    """One row (conv_id, formatted) per conversation of live events: each message is START role newline text END.
+
+    A message is an event that begins one, or the first of its turn, with the events up to the next such, joined in order;
+    it has the role of its first event. Messages are put together within blocks of turns first, so that the last step has
+    one row per block. One conversation is one string: Spark's limit of 2 GB for a value holds."""
+    turns = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text", "begins"))).alias("parts"))
+    first = F.filter(F.transform("parts", lambda p, i: F.when(p["begins"] | (i == 0), i)), lambda i: i.isNotNull())
+    turns = turns.withColumn("first", first)
+    upto = lambda k: F.coalesce(F.get("first", k + 1), F.size("parts"))
+    text = lambda i, k: F.array_join(F.transform(F.slice("parts", i + 1, upto(k) - i), lambda p: p["text"]), "")
+    message = lambda i, k: F.concat(F.lit(START), _role_out(F.get("parts", i)["role"]), F.lit("\n"), escape(text(i, k)), F.lit(END))
+    shown = F.array_join(F.transform("first", message), "")
     joined = lambda key: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "shown"))), lambda x: x["shown"]), "")
     blocks = turns.select("conv_id", "turn", F.floor(F.col("turn") / block).alias("block"), shown.alias("shown")).groupBy("conv_id", "block").agg(joined("turn").alias("shown"))
     return blocks.groupBy("conv_id").agg(joined("block").alias("formatted"))
@@ -146,9 +152,9 @@ with c as (
 ), e as (
   select *, regexp_replace(text, '([<\\[])(\\\\*)(\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|/?s>|/?INST\\]|<SYS>>|</SYS>>)', '\\1\\2\\\\\\3', 'g') as shown from c
 )
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        sum(12 + length(role) + 1 + length(shown) + 11)::bigint as formatted_chars
 from e group by conv_id
 """
