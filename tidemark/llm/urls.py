@@ -52,15 +52,17 @@ def as_of_lists(captures: DataFrame, entries: DataFrame, block_seconds: int = BL
     A capture meets, for each pattern of its URL, the entry whose interval holds its time (valid_from <= ts < valid_to). It
     is blocked if one of these says listed; pattern, entry_id and the interval are of the listed entry with the longest
     pattern, then the greatest text. matches counts the entries met, listed or not. Captures without a URL, host or time
-    meet nothing and are kept. capture_id must be unique.
+    meet nothing and are kept. What a capture meets depends on its URL and time alone: captures that share both, or repeat
+    a capture_id, are probed once and get the same. Entries that repeat all but their entry_id follow each other in its
+    order. Empty captures give no rows, empty entries match none; columns of captures named like an added one are replaced.
 
     The as-of step is one union of entries and probes with a window by (pattern, block of time), so that a pattern with a
     third of all rows is split by time; a block gets the last entry of earlier blocks as one row more.
     """
     spans = validity_intervals(entries, block_seconds).withColumn("entry", F.struct("valid_from", "entry_id", "listed", "valid_to"))
     block = lambda c: F.floor(F.unix_timestamp(c) / block_seconds)
-    probes = captures.where("ts is not null").select("capture_id", "ts", F.explode(patterns_of(F.col("url"))).alias("pattern"))
-    probes = probes.withColumn("block", block("ts"))
+    asked = captures.where("url is not null and ts is not null").select("url", "ts").distinct()
+    probes = asked.select("url", "ts", F.explode(patterns_of(F.col("url"))).alias("pattern")).withColumn("block", block("ts"))
     known = spans.select("pattern", block("valid_from").alias("block"), "entry")
     last = known.groupBy("pattern", "block").agg(F.max("entry").alias("entry"))
     wanted = probes.select("pattern", "block").distinct().withColumn("entry", F.lit(None).cast(last.schema["entry"].dataType))
@@ -70,21 +72,20 @@ def as_of_lists(captures: DataFrame, entries: DataFrame, block_seconds: int = BL
         .select("pattern", "block", F.last("entry", ignorenulls=True).over(earlier).alias("entry")).where("entry is not null")
     )
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    id_type = captures.schema["capture_id"].dataType
     entry_type = last.schema["entry"].dataType
     line = (
-        known.select("pattern", "block", F.col("entry.valid_from").alias("at"), F.lit(1).alias("kind"), F.col("entry.entry_id").alias("order_id"), "entry", none("capture_id", id_type))
-        .unionByName(carried.select("pattern", "block", F.timestamp_seconds(F.col("block") * block_seconds).alias("at"), F.lit(0).alias("kind"), F.col("entry.entry_id").alias("order_id"), "entry", none("capture_id", id_type)))
-        .unionByName(probes.select("pattern", "block", F.col("ts").alias("at"), F.lit(2).alias("kind"), none("order_id", spans.schema["entry_id"].dataType), none("entry", entry_type), "capture_id"))
+        known.select("pattern", "block", F.col("entry.valid_from").alias("at"), F.lit(1).alias("kind"), F.col("entry.entry_id").alias("order_id"), "entry", none("url", "string"))
+        .unionByName(carried.select("pattern", "block", F.timestamp_seconds(F.col("block") * block_seconds).alias("at"), F.lit(0).alias("kind"), F.col("entry.entry_id").alias("order_id"), "entry", none("url", "string")))
+        .unionByName(probes.select("pattern", "block", F.col("ts").alias("at"), F.lit(2).alias("kind"), none("order_id", spans.schema["entry_id"].dataType), none("entry", entry_type), "url"))
     )
     upto = Window.partitionBy("pattern", "block").orderBy("at", "kind", "order_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = line.withColumn("entry", F.last("entry", ignorenulls=True).over(upto)).where("kind = 2 and entry is not null")
     best = F.struct(F.length("pattern").alias("n"), "pattern", "entry")
-    verdict = met.groupBy("capture_id").agg(
+    verdict = met.groupBy("url", F.col("at").alias("ts")).agg(
         F.count("*").alias("matches"), F.max("entry.listed").alias("blocked"), F.max(F.when(F.col("entry.listed"), best)).alias("best")
     )
     own = captures.drop("host", "matches", "blocked", "pattern", "entry_id", "valid_from", "valid_to")
-    return own.withColumn("host", host_of(F.col("url"))).join(verdict, "capture_id", "left").select(
+    return own.withColumn("host", host_of(F.col("url"))).join(verdict, ["url", "ts"], "left").select(
         *[own[c] for c in own.columns], "host", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("blocked", F.lit(False)).alias("blocked"),
         "best.pattern", "best.entry.entry_id", "best.entry.valid_from", "best.entry.valid_to",
     )
