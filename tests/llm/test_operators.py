@@ -85,6 +85,15 @@ def test_chat_template_is_reversible(spark):
     assert all(x.formatted.count("<|im_start|>") == 1 and x.formatted.count("<|im_end|>") == 1 for x in r)
 
 
+def test_chat_of_repeated_rows_long_texts_and_deltas(spark):
+    long = "<s>word " * 100_000
+    log = [(1, 0, "message", 0, "user", "a"), (1, 0, "message", 0, "assistant", "b"), (1, 1, "message", 1, "user", "x"), (1, 1, "message", 1, "user", "x"), (2, 0, "message", 0, "assistant", long), (3, 0, "delta", 0, "assistant", "d0 ")]
+    log += [(3, i, "delta", 0, "assistant", f"d{i} ") for i in range(1, 300)] + [(3, 300, "message", 0, "assistant", "new"), (3, 301, "delta", 0, "assistant", "er")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, turn long, role string, text string").withColumn("begins", F.lit("mine"))
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.format_chats(df).collect()}
+    assert got == {1: [("assistant", "b"), ("user", "a"), ("user", "x"), ("user", "x")], 2: [("assistant", long)], 3: [("assistant", "".join(f"d{i} " for i in range(300))), ("assistant", "newer")]}
+
+
 def test_chat_of_nothing(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, seq long, kind string, turn long, role string, text string")).count() == 0
 
@@ -285,6 +294,21 @@ def test_items_longer_than_a_window(spark):
     assert got == {d: [d // 10] for d, _ in held} | {d: [] for d, _ in none}
 
 
+def test_recall_of_paraphrases(spark):
+    """More items than the rank of their space; each stands once in other words (a quarter changed) among running text."""
+    rng = np.random.default_rng(11)
+    p = 1 / np.arange(1, 4_001)
+    draw = lambda n: [f"w{x}" for x in rng.choice(4_000, n, p=p / p.sum())]
+    items = {i: draw(int(rng.integers(16, 60))) for i in range(300)}
+    held = [(i, " ".join(draw(150) + [f"x{j}" if j % 4 == 2 else w for j, w in enumerate(item)] + draw(150))) for i, item in items.items()]
+    clean = [(1_000 + i, " ".join(draw(400))) for i in range(200)]
+    docs = spark.createDataFrame(held + clean, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w), f"{w[0]} {w[3]} {w[-1]}") for i, w in items.items()], "item_id long, text string, answer string")
+    got = {r.doc_id: {m.item_id for m in r.matches} for r in decontamination.screen(docs, bench).collect()}
+    found, wrong = sum(i in got[i] for i in items), sum(bool(got[d]) for d, _ in clean)
+    assert found >= 0.9 * len(items) and wrong <= 2, (found, wrong)
+
+
 def test_lcs():
     assert decontamination.lcs_length([1, 2, 3, 2, 4], [2, 9, 3, 4, 4]) == 3 and decontamination.lcs_length([1], []) == 0
 
@@ -565,6 +589,8 @@ def test_url_intervals_and_edges(spark):
     e = spark.createDataFrame(entries, "entry_id long, pattern string, listed boolean, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r.capture_id: (r.blocked, r.entry_id) for r in urls.as_of_lists(c, e).collect()}
     assert got == {1: (False, None), 2: (True, 1), 3: (True, 3), 4: (True, 3), 5: (False, None), 6: (False, None), 7: (False, None)}
+    twice = urls.as_of_lists(c.unionByName(c.where("capture_id = 3")), e).where("capture_id = 3").collect()
+    assert [(r.matches, r.entry_id) for r in twice] == [(2, 3)] * 2
     assert urls.as_of_lists(c, e.limit(0)).where("blocked").count() == 0 and urls.as_of_lists(c.limit(0), e).count() == 0
 
 
