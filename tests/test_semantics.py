@@ -1,6 +1,8 @@
 """Golden cases, metamorphic checks and edge cases of the operators."""
 
+import math
 import random
+import re
 import statistics
 
 import pytest
@@ -13,7 +15,7 @@ from tidemark.functions import text as T
 from tidemark.operators.joins import as_of, interval_join, similar_sets, upsert
 from tidemark.plans import filters
 from tidemark.plans.aggregates import aggregate_events
-from tidemark.plans.forecasting import event_features, folds, labels, leaks, price_features, trailing_sigma
+from tidemark.plans.forecasting import event_features, fit_direction, folds, labels, leaks, price_features, trailing_sigma, walk_forward
 from tidemark.plans.sorts import greedy_titles, streaks
 from tidemark.sources import feeds
 
@@ -240,3 +242,60 @@ def test_upsert_sink_repeats(spark, tmp_path):
     a, b = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("a", 2)], [("a", 5), ("b", 1)]))
     sink(a, 0), sink(b, 1), sink(b, 1)
     assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/t/v=1").select("k", "v").collect()} == {("a", 5), ("b", 1)}
+
+
+def test_model_is_judged_on_later_rows(spark):
+    """A direction that one feature tells: held-out rows only, each once, after the rows of their fit."""
+    rng = random.Random(7)
+    rows = [("s", t, x := rng.gauss(0, 1), rng.gauss(0, 1), int(x + rng.gauss(0, 0.3) > 0)) for t in range(600)]
+    frame = spark.createDataFrame(rows, "symbol string, t long, a double, b double, y int")
+    model, calibration, begin = fit_direction(frame, ["a", "b"], "y", trees=3)
+    assert 450 < begin < 500
+    p = walk_forward(frame, ["a", "b"], "y", [200, 300, 400, 500], 200, trees=3).collect()
+    assert sorted(r.t for r in p) == list(range(201, 501)) and all(r.origin < r.t <= r.origin + 100 for r in p)
+    assert sum((r.p > 0.5) == r.y for r in p) / len(p) > 0.85
+    assert walk_forward(frame.where("y = 1"), ["a"], "y", [200, 300], 100) is None
+
+
+def test_summary_by_brute_force(spark):
+    texts = ["One. Two! Three? Four.", "A" * 400 + ". Next.", "", None, "no end", "First sentence here.  Second  one.\nThird " + "x" * 340 + ". Fourth.", "a.b c. d"]
+
+    def expected(text):
+        parts = re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", text or "").strip())[:3]
+        out = ""
+        for s in parts:
+            if out and len(out) + len(s) + 1 > 350:
+                break
+            out = f"{out} {s}".strip()
+        return out[:350]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.summary(F.col("t")).alias("s")).orderBy("i")
+    assert [r.s for r in df.collect()] == [expected(t) for t in texts]
+
+
+def test_training_frame_by_brute_force(spark, sf):
+    """Features of some bars of the tables, each worked out from the raw rows before it."""
+    import tidemark.plans  # noqa: F401
+    from tidemark.adapters import load
+    from tidemark.plans.forecasting import routed_hours
+    from tidemark.registry import QUERIES
+
+    bars, events = {}, [r for r in routed_hours(spark, sf).collect() if r.weight]
+    for r in load(spark, sf, "hours").collect():
+        bars.setdefault(r.symbol, []).append((r.t, r.close))
+    frame = QUERIES["w13_training_frame"](spark, sf).collect()
+    assert len(frame) == sum(max(0, len(b) - 25 - 5) for b in bars.values())
+    for r in random.Random(8).sample(frame, 40):
+        at = sorted(bars[r.symbol])
+        i = [t for t, _ in at].index(r.t)
+        near = [e for e in events if e.symbol == r.symbol and r.t - 7 * 86_400 <= e.s <= r.t]
+        days = lambda n: [e for e in near if r.t - e.s <= n * 86_400]  # noqa: B023, E731
+        assert r.ret_5d == pytest.approx(at[i][1] / at[i - 5][1] - 1) and r.y_ret_5 == pytest.approx(at[i + 5][1] / at[i][1] - 1) and r.pos == i
+        for n in (1, 3, 7):
+            assert r[f"evw_sum_{n}d"] == pytest.approx(sum(e.weight for e in days(n))) and r[f"evw_cnt_{n}d"] == len(days(n))
+            assert r[f"evw_maxabs_{n}d"] == max((abs(e.weight) for e in days(n)), default=0)
+        assert r.evw_decay_7d == pytest.approx(sum(e.weight * math.exp(-(r.t - e.s) / 86_400 / 3) for e in near))
+        scores = [e.finbert for e in days(3) if e.finbert is not None]
+        assert r.news_finbert_mean == pytest.approx(sum(scores) / len(scores) if scores else 0) and r.news_finbert_min == min(scores, default=0)
+        assert r.cat_conflict == sum(e.category == "conflict" for e in days(3)) and r.topic_crypto == any("crypto" in e.topics for e in near)
+        assert r[f"sym_{r.symbol}"] == 1 and sum(r[f"sym_{s}"] for s in bars) == 1

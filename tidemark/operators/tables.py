@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -73,10 +74,24 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def _give_back() -> None:
+    """Memory that was freed goes back to the system: workers wait between tasks, and live as long as the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow(function, schema), with this package on the executors."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _give_back()
+
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(work, schema)
 
 
 def sized(df: DataFrame, name: str, most_rows: int = 1_000_000, length: Column | None = None) -> DataFrame:

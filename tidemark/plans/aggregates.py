@@ -188,7 +188,46 @@ def _(spark, d):
     return load(spark, d, "forecasts").where("realized_return is not null").groupBy(b.alias("bin")).agg(F.avg("direction_prob").alias("pred_mean"), F.avg((F.col("realized_return") > 0).cast("int")).alias("emp_freq"), F.count("*").alias("n"))
 
 
-@query("a30_a32_coverage_and_hit_rate", EV + """ select category, avg(case when location_name is null then 0 else 1 end) as located, avg(case when (sentiment >= 0) = (finbert >= 0) then 1 else 0 end) filter (where sentiment is not null and finbert is not null) as hit_rate from events_ group by 1""")
+def coverage(landmarks: DataFrame) -> DataFrame:
+    """One row: how many landmarks (n_articles, n_events, max_importance, n_routed, max_abs_move) there are, and the share
+    of them with articles, events, an importance, routed events and a move, to 3 places; shares of nothing are 0."""
+    share = lambda c, name: places(F.coalesce(F.avg(F.when(c, 1).otherwise(0)), F.lit(0.0)), 3).alias(name)
+    some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    return landmarks.agg(
+        F.count("*").alias("landmarks"), share(some("n_articles"), "with_articles"), share(some("n_events"), "with_events"), share(F.col("max_importance").isNotNull(), "with_importance"),
+        share(some("n_routed"), "with_routed"), share(F.col("max_abs_move").isNotNull(), "with_price_move"),
+    )
+
+
+def discrimination(days: DataFrame, is_landmark: str) -> DataFrame:
+    """One row: means of intensity, importance and move over landmark days and over others, to 4 places."""
+    mean = lambda c, landmark, name: places(F.avg(F.when(F.col(is_landmark) == landmark, F.col(c))), 4).alias(name)
+    return days.agg(*[mean(c, of, f"{name}_{kind}") for c, name in (("max_intensity", "intensity"), ("max_importance", "importance"), ("max_abs_move", "move")) for of, kind in ((True, "landmark"), (False, "random"))])
+
+
+MARKED = EV + """, l as (select started_at::date as day, location_name, day(started_at) % 3 = 0 as is_landmark, count(*) filter (where intensity > 0.9) as n_articles, count(*) filter (where category = 'conflict') as n_events, max(intensity * 10) filter (where id % 4 = 0) as max_importance,
+ count(*) filter (where topics <> '' and intensity > 0.8) as n_routed, max(abs(sentiment)) filter (where id % 16 = 1) as max_abs_move, max(intensity) as max_intensity from events_ where location_name is not null group by 1, 2, 3)"""
+
+
+def _marked(spark, d) -> DataFrame:
+    e = load(spark, d, "events").where("location_name is not null")
+    return e.groupBy(F.to_date("started_at").alias("day"), "location_name", (F.dayofmonth("started_at") % 3 == 0).alias("is_landmark")).agg(
+        F.count_if(F.col("intensity") > 0.9).alias("n_articles"), F.count_if(F.col("category") == "conflict").alias("n_events"), F.max(F.when(F.col("id") % 4 == 0, F.col("intensity") * 10)).alias("max_importance"),
+        F.count_if((F.col("topics") != "") & (F.col("intensity") > 0.8)).alias("n_routed"), F.max(F.when(F.col("id") % 16 == 1, F.abs("sentiment"))).alias("max_abs_move"), F.max("intensity").alias("max_intensity"),
+    )
+
+
+@query("a30_coverage", MARKED + """ select count(*) as landmarks, round_even(avg((n_articles > 0)::int), 3) as with_articles, round_even(avg((n_events > 0)::int), 3) as with_events, round_even(avg((max_importance is not null)::int), 3) as with_importance, round_even(avg((n_routed > 0)::int), 3) as with_routed, round_even(avg((max_abs_move is not null)::int), 3) as with_price_move from l where is_landmark""")
+def _(spark, d):
+    return coverage(_marked(spark, d).where("is_landmark"))
+
+
+@query("a30_discrimination", MARKED + " select " + ", ".join(f"round_even(avg({c}) filter (where is_landmark = {of}), 4) as {name}_{kind}" for c, name in (("max_intensity", "intensity"), ("max_importance", "importance"), ("max_abs_move", "move")) for of, kind in (("true", "landmark"), ("false", "random"))) + " from l")
+def _(spark, d):
+    return discrimination(_marked(spark, d), "is_landmark")
+
+
+@query("a32_a47_hit_rate", EV + """ select category, avg(case when location_name is null then 0 else 1 end) as located, avg(case when (sentiment >= 0) = (finbert >= 0) then 1 else 0 end) filter (where sentiment is not null and finbert is not null) as hit_rate from events_ group by 1""")
 def _(spark, d):
     both = F.col("sentiment").isNotNull() & F.col("finbert").isNotNull()
     hit = F.when(both, F.when((F.col("sentiment") >= 0) == (F.col("finbert") >= 0), 1).otherwise(0))
@@ -231,13 +270,20 @@ def _(spark, d):
     return load(spark, d, "events").groupBy(F.to_date("started_at").alias("day"), F.col("category").alias("symbol")).agg(F.sum("sentiment").alias("net"), F.count("*").alias("n"), F.avg("finbert").alias("finbert"))
 
 
-@query("a37_a38_cause_effect", EV + """, c as (select unnest(list_concat([category], list_filter(string_split(topics, ','), lambda x: x <> ''))) as cause, sub_category as symbol, sentiment as w from events_ where sentiment is not null),
-g as (select cause, symbol, sum(w) as net from c group by 1, 2) select * from g where abs(net) >= 0.08 * (select max(abs(net)) from g)""")
+def strong_edges(edges: DataFrame, most_causes: int = 8, share: float = 0.08) -> DataFrame:
+    """Edges (cause, symbol, net) of the 8 causes with the largest sums of absolute weights, that have 8 % of the largest
+    edge of all or more. The two small tables, of one row and of 8, are broadcast."""
+    most = edges.agg(F.max(F.abs("net")).alias("most"))
+    top = edges.groupBy("cause").agg(F.sum(F.abs("net")).alias("total")).orderBy(F.desc("total"), "cause").limit(most_causes).select("cause")
+    return edges.join(F.broadcast(top), "cause").join(F.broadcast(most), F.abs("net") >= share * F.col("most")).select("cause", "symbol", "net")
+
+
+@query("a37_a38_cause_effect", EV + """, c as (select unnest(list_concat([category, location_name], list_filter(string_split(topics, ','), lambda x: x <> ''))) as cause, sub_category as symbol, sentiment as w from events_ where sentiment is not null),
+g as (select cause, symbol, sum(w) as net from c where cause is not null group by 1, 2), t as (select cause from g group by 1 order by sum(abs(net)) desc, cause limit 8) select * from g where cause in (select cause from t) and abs(net) >= 0.08 * (select max(abs(net)) from g)""")
 def _(spark, d):
-    causes = F.concat(F.array("category"), F.filter(F.split("topics", ","), lambda x: x != ""))
-    g = load(spark, d, "events").where("sentiment is not null").select(F.explode(causes).alias("cause"), F.col("sub_category").alias("symbol"), F.col("sentiment").alias("w")).groupBy("cause", "symbol").agg(F.sum("w").alias("net"))
-    most = g.agg(F.max(F.abs("net")).alias("most"))
-    return g.join(F.broadcast(most), F.abs("net") >= 0.08 * F.col("most")).select("cause", "symbol", "net")  # one row
+    causes = F.concat(F.array("category", "location_name"), F.filter(F.split("topics", ","), lambda x: x != ""))
+    g = load(spark, d, "events").where("sentiment is not null").select(F.explode(causes).alias("cause"), F.col("sub_category").alias("symbol"), F.col("sentiment").alias("w")).where("cause is not null")
+    return strong_edges(g.groupBy("cause", "symbol").agg(F.sum("w").alias("net")))
 
 
 @query("a39_pressure_gauge", EV + """, g as (select started_at::date as day, sum(abs(sentiment)) as pressure from events_ group by 1), r as (select *, cume_dist() over (order by pressure) as share from g)
@@ -272,7 +318,23 @@ def _(spark, d):
     return load(spark, d, "articles").groupBy("source_code", F.expr("published_s div 86400").alias("day")).agg(F.count("*").alias("fetched"), F.count_if(~F.col("is_deleted").eqNullSafe(True)).alias("saved"))
 
 
-@query("a48_a50_label_drift", "select l.quality, l.toxic, count(*) as n, count(*) filter (where d.n_chars % 2 <> l.quality) as drift from labels l join documents d using (doc_id) group by 1, 2")
+def gold_misses(gold: DataFrame, predicted: DataFrame, key: str, most_chars: int = 50) -> DataFrame:
+    """(key, got, expected, title, right, accuracy): gold (key, expected, title) against predicted (key, got); a row without
+    a prediction is a miss; accuracy is of the whole set."""
+    met = gold.join(predicted, key, "left").withColumn("right", F.coalesce(F.col("got") == F.col("expected"), F.lit(False)))
+    total = met.agg(F.avg(F.col("right").cast("int")).alias("accuracy"))  # one row
+    return met.crossJoin(F.broadcast(total)).select(key, "got", "expected", F.substring("title", 1, most_chars).alias("title"), "right", "accuracy")
+
+
+@query("a48_gold_misses", AR + """, g as (select a.id, case when l.toxic = 1 then 'conflict' else 'economic' end as expected, a.title from labels l join articles_ a on a.id = l.doc_id), p as (select id, category as got from articles_ where category is not null), m as (select g.*, p.got, coalesce(p.got = g.expected, false) as ok from g left join p using (id))
+select id, got, expected, title[1:50] as title, (select avg(ok::int) from m) as accuracy from m where not ok""")
+def _(spark, d):
+    a = load(spark, d, "articles")
+    gold = load(spark, d, "labels").join(a.select("id", "title"), F.col("doc_id") == F.col("id")).select("id", F.when(F.col("toxic") == 1, "conflict").otherwise("economic").alias("expected"), "title")
+    return gold_misses(gold, a.where("category is not null").select("id", F.col("category").alias("got")), "id").where("not right").drop("right")
+
+
+@query("a50_label_drift", "select l.quality, l.toxic, count(*) as n, count(*) filter (where d.n_chars % 2 <> l.quality) as drift from labels l join documents d using (doc_id) group by 1, 2")
 def _(spark, d):
     j = load(spark, d, "labels").join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return j.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") % 2 != F.col("quality")).alias("drift"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..adapters import cte, load
 from ..functions import routing as R
+from ..functions.numbers import places
 from ..operators.joins import interval_join
+from ..operators.tables import written
 from ..registry import query
 from .joins_ import ROUTE
 
@@ -83,11 +85,13 @@ def event_features(bars: DataFrame, routed: DataFrame, by: str = "symbol", at: s
     return bars.select(by, at).join(g, [by, at], "left").select(by, at, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
 
 
-def training_frame(bars: DataFrame, routed: DataFrame | None, horizons=(1, 5), by: str = "symbol", at: str = "t", day: int = 86400) -> DataFrame:
-    """Features and labels of every bar with 25 before it and the longest horizon after it."""
+def training_frame(bars: DataFrame, routed: DataFrame | None, horizons=(1, 5), by: str = "symbol", at: str = "t", day: int = 86400, symbols: tuple[str, ...] = ()) -> DataFrame:
+    """Features and labels of every bar with 25 before it and the longest horizon after it; with `symbols`, a column each
+    that tells whose bar it is."""
     frame = price_features(bars, by, at).join(labels(bars, horizons, by, at), [by, at])
     if routed is not None:
         frame = frame.join(event_features(bars, routed, by, at, day), [by, at])
+    frame = frame.withColumns({f"sym_{s}": (F.col(by) == s).cast("double") for s in symbols})
     return frame.where((F.col("pos") >= MIN_HISTORY) & F.col(f"y_ret_{max(horizons)}").isNotNull())
 
 
@@ -112,18 +116,44 @@ def leaks(folded: DataFrame, at: str) -> DataFrame:
     return g.where("last > origin or first <= origin")
 
 
-def fit_direction(frame: DataFrame, features: list[str], label: str):
-    """Boosted trees for the direction, then isotonic calibration of their probability on the last fifth of the rows."""
-    from pyspark.ml.classification import GBTClassifier
+def _assembled(frame: DataFrame, features: list[str], label: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(frame.withColumn("label", F.col(label).cast("double")))
+
+
+def fit_direction(frame: DataFrame, features: list[str], label: str, at: str = "t", trees: int = 10, seed: int = 7):
+    """Boosted trees for the direction, fitted on the first three fifths of the time, and isotonic calibration of their
+    probability on the fourth; the last fifth is seen by neither: (model, calibration, where it begins)."""
+    from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(frame.withColumn("label", F.col(label).cast("double")))
-    edge = rows.agg(F.percentile_approx("t", 0.8)).first()[0]
-    model = GBTClassifier(maxIter=10, maxDepth=3, seed=7).fit(rows.where(F.col("t") <= edge))
-    held = model.transform(rows.where(F.col("t") > edge)).select(vector_to_array("probability")[1].alias("p"), "label")
-    return model, IsotonicRegression(featuresCol="p").fit(held)
+    rows = _assembled(frame, features, label)
+    first, second = rows.agg(F.percentile_approx(at, F.array(F.lit(0.6), F.lit(0.8)))).first()[0]
+    model = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed).fit(rows.where(F.col(at) <= first))
+    held = model.transform(rows.where((F.col(at) > first) & (F.col(at) <= second))).select(vector_to_array("probability")[1].alias("p"), "label")
+    return model, IsotonicRegression(featuresCol="p").fit(held), second
+
+
+def walk_forward(frame: DataFrame, features: list[str], label: str, origins: list[int], window: int, at: str = "t", least: int = 50, trees: int = 5, seed: int = 7) -> DataFrame | None:
+    """(origin, by, at, label, p) of the rows after each origin up to the next, from trees fitted on the window before it.
+    Origins with too few rows, or rows of one direction, are left out; None if all are. One fit per origin: origins are
+    few, rows may be many."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    rows, out = _assembled(frame, features, label), None
+    for origin, following in zip(origins, origins[1:]):
+        train = rows.where((F.col(at) > origin - window) & (F.col(at) <= origin))
+        n, directions = train.agg(F.count("*"), F.count_distinct("label")).first()
+        if n < least or directions < 2:
+            continue
+        test = rows.where((F.col(at) > origin) & (F.col(at) <= following))
+        p = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed).fit(train).transform(test)
+        p = p.select(F.lit(origin).alias("origin"), "symbol", at, F.col(label).alias("y"), vector_to_array("probability")[1].alias("p"))
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 @query("w01_w07_price_features", BA + """, w as (select *, row_number() over s - 1 as pos, close - lag(close) over s as diff, ln(close / lag(close) over s) as lr from bars_ window s as (partition by symbol order by d)),
@@ -172,7 +202,7 @@ def _(spark, d):
 
 @query("w13_training_frame")
 def _(spark, d):
-    return training_frame(load(spark, d, "hours"), routed_hours(spark, d))
+    return training_frame(load(spark, d, "hours"), routed_hours(spark, d), symbols=("click", "error", "purchase", "signup", "view"))
 
 
 @query("w14_latest_forecasts", cte("forecasts") + " select symbol, horizon_days, id, direction_prob from forecasts_ qualify row_number() over (partition by symbol, horizon_days order by generated_at desc, id desc) = 1")
@@ -241,14 +271,30 @@ def _(spark, d):
     return g.select(F.coalesce("origin", F.lit(-1)).cast("long").alias("origin"), "n", F.round("m", 6).alias("mae_model"), F.round("z", 6).alias("mae_zero"), F.round((1 - F.col("m") / F.col("z")) * 100, 4).alias("improvement_pct"))
 
 
-@query("a28_t08_precision_at_k", ROUTE.replace("as weight from g", "as weight from g)", 1).replace("select id, symbol, round_even(case when (sent", ", routed as (select id, symbol, round_even(case when (sent", 1) + """,
-k as (select *, row_number() over (partition by id order by abs(weight) desc, symbol) as r from routed), m as (select symbol, count(*) as n from routed group by 1)
-select symbol, count(*) as slots, count(*) filter (where id % 3 = 0) as hits, avg((weight > 0)::int) filter (where id % 3 = 0) as direction from k where r <= 2 group by 1""")
+def precision_at_k(routed: DataFrame, moves: DataFrame, k: int = 3) -> DataFrame:
+    """One row: of each event's k symbols of the largest weights, those with a usable move (event, symbol, ret, affected),
+    how many were affected, beside the share of all pairs of an event and a symbol; and how often the direction of an
+    affected one was right. To 4 places; shares of nothing are null. Of equal weights the smaller symbol counts first."""
+    first = F.slice(F.sort_array(F.collect_list(F.struct((-F.abs("weight")).alias("o"), "symbol", "weight"))), 1, k)
+    top = routed.groupBy("event").agg(first.alias("t")).select("event", F.explode("t").alias("t")).select("event", "t.symbol", "t.weight")
+    met = top.join(moves, ["event", "symbol"])
+    base = moves.join(routed.select("event").distinct(), "event", "left_semi").agg(places(F.avg(F.col("affected").cast("int")), 4).alias("random_baseline"))
+    right = F.when(F.col("affected"), ((F.col("weight") > 0) == (F.col("ret") > 0)).cast("int"))
+    hits = met.agg(F.count_distinct("event").alias("n_events"), F.count("*").alias("slots"), F.count_if("affected").alias("hits"), places(F.avg(F.col("affected").cast("int")), 4).alias("precision_at_k"), places(F.avg(right), 4).alias("direction_accuracy_on_hits"))
+    return hits.crossJoin(F.broadcast(base))  # one row each
+
+
+@query("a28_t08_precision_at_k", ROUTE.replace("select id, symbol, round_even(case when (sent", ", routed as (select id, symbol, round_even(case when (sent", 1).replace("4) as weight from g", "4) as weight from g)", 1) + """,
+m as (select id as event, s.symbol, ((id * 7 + length(s.symbol) * 3) % 13 - 6)::double as ret, (id * 5 + length(s.symbol)) % 3 = 0 as affected from events_, (values ('CL=F'), ('GC=F'), ('BTC-USD'), ('SPY')) s(symbol) where id % 10 <> 0),
+k as (select *, row_number() over (partition by id order by abs(weight) desc, symbol) as r from routed), t as (select k.id, m.*, k.weight from k join m on m.event = k.id and m.symbol = k.symbol where r <= 2)
+select count(distinct id) as n_events, count(*) as slots, count(*) filter (where affected) as hits, round_even(avg(affected::int), 4) as precision_at_k, round_even(avg(((weight > 0) = (ret > 0))::int) filter (where affected), 4) as direction_accuracy_on_hits, (select round_even(avg(affected::int), 4) from m where event in (select id from routed)) as random_baseline from t""")
 def _(spark, d):
-    e = load(spark, d, "events").withColumn("topic_slugs", F.split("topics", ",")).withColumn("sub_categories", F.array("sub_category")).withColumn("route_sentiment", F.coalesce("finbert", "sentiment"))
-    top = R.route(e).select("id", "symbol", "weight", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.abs("weight")), "symbol")).alias("r")).where("r <= 2")
-    hit = F.col("id") % 3 == 0
-    return top.groupBy("symbol").agg(F.count("*").alias("slots"), F.count_if(hit).alias("hits"), F.avg(F.when(hit, (F.col("weight") > 0).cast("int"))).alias("direction"))
+    e = load(spark, d, "events")
+    routes = R.route(e.withColumns({"topic_slugs": F.split("topics", ","), "sub_categories": F.array("sub_category"), "route_sentiment": F.coalesce("finbert", "sentiment")})).select(F.col("id").alias("event"), "symbol", "weight")
+    pairs = e.where("id % 10 <> 0").select(F.col("id").alias("event"), F.explode(F.array(*map(F.lit, ("CL=F", "GC=F", "BTC-USD", "SPY")))).alias("symbol"))
+    i, n = F.col("event"), F.length("symbol")
+    moves = pairs.select("event", "symbol", ((i * 7 + n * 3) % 13 - 6).cast("double").alias("ret"), ((i * 5 + n) % 3 == 0).alias("affected"))
+    return precision_at_k(routes, moves, 2)
 
 
 @query("c38_c39_decision", cte("forecasts") + """ select id, case when direction_prob > 0.55 then 'up' when direction_prob < 0.45 then 'down' else 'flat' end as direction, abs(direction_prob - 0.5) * 2 as confidence, (direction_prob > 0.5) = (realized_return > 0) as is_correct from forecasts_""")
@@ -257,15 +303,26 @@ def _(spark, d):
     return load(spark, d, "forecasts").select("id", F.when(p > 0.55, "up").when(p < 0.45, "down").otherwise("flat").alias("direction"), (F.abs(p - 0.5) * 2).alias("confidence"), ((p > 0.5) == (F.col("realized_return") > 0)).alias("is_correct"))
 
 
-@query("u15_u17_direction_model")
+def _frame(spark, d) -> tuple[DataFrame, list[str]]:
+    frame = written(training_frame(load(spark, d, "hours"), routed_hours(spark, d)), "frame")
+    return frame, [c for c in frame.columns if c not in ("symbol", "t", "close", "pos") and not c.startswith("y_")]
+
+
+@query("u15_u16_direction_model")
 def _(spark, d):
-    frame = training_frame(load(spark, d, "hours"), routed_hours(spark, d))
-    features = [c for c in frame.columns if c not in ("symbol", "t", "close", "pos") and not c.startswith("y_")]
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    frame = frame.repartition("symbol").cache()
-    model, calibration = fit_direction(frame, features, "y_dir_1")
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(frame)
-    p = model.transform(rows).select("symbol", "t", "y_dir_1", vector_to_array("probability")[1].alias("p"))
+    frame, features = _frame(spark, d)
+    model, calibration, begin = fit_direction(frame, features, "y_dir_1")
+    p = model.transform(_assembled(frame.where(F.col("t") > begin), features, "y_dir_1")).select("symbol", "t", "y_dir_1", vector_to_array("probability")[1].alias("p"))
     return calibration.setFeaturesCol("p").transform(p).select("symbol", "t", "y_dir_1", F.col("prediction").alias("direction_prob"))
+
+
+@query("u17_walk_forward_model")
+def _(spark, d):
+    frame, features = _frame(spark, d)
+    lo, hi = frame.agg(F.min("t"), F.max("t")).first()
+    step = (hi - lo) // 5
+    p = walk_forward(frame, features, "y_dir_1", [lo + step * i for i in range(2, 6)], 2 * step)
+    right = ((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int")
+    return p.groupBy("origin").agg(F.count("*").alias("n_test"), F.avg(right).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))

@@ -50,9 +50,9 @@ def _(spark, d):
 
 @query("s13_anchors", r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href=["''][^"'']*["''][^>]*>.*?</a>')) as a from pages),
 t as (select page_id, regexp_extract(a, '(?i)href=["'']([^"'']*)["'']', 1) as href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(a, '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as x from a)
-select distinct page_id, href from t where length(x) >= 25""")
+select distinct page_id, href from t where length(x) >= 8""")
 def _(spark, d):
-    return S.anchors(load(spark, d, "pages").select("page_id", "html")).select("page_id", "href")
+    return S.anchors(load(spark, d, "pages").select("page_id", "html"), least=8).select("page_id", "href")
 
 
 @query("s14_s15_nearest_noon", EV + ", c as (select user_id, started_at::date as day, id, abs(hour(started_at) * 60 + minute(started_at) - 720) as m, started_at from events_) select user_id, day, arg_min(id, (m, started_at)) as id from c group by 1, 2")

@@ -50,11 +50,11 @@ def prune_sitemaps(index: DataFrame, lastmod: str, day: Column, most: int = MAX_
     return index.where(F.col(lastmod).isNull() | (F.datediff(F.to_date(lastmod), day) >= -7)).orderBy(near.asc_nulls_last(), *index.columns).limit(most)
 
 
-def anchors(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Links of front pages with a headline of 25 characters or more, in page order, the first of equal ones."""
+def anchors(pages: DataFrame, html: str = "html", url: str = "url", least: int = MIN_ANCHOR_CHARS) -> DataFrame:
+    """Links of front pages with a headline of 25 characters (`least`) or more, in page order, the first of equal ones."""
     found = pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*href=["'][^"']*["'][^>]*>.*?</a>"""), F.lit(0))).alias("rank", "_a"))
     a = found.select(*pages.columns, "rank", F.regexp_extract("_a", r"""(?i)href=["']([^"']*)["']""", 1).alias("href"), strip_html(F.col("_a")).alias("anchor"))
-    return a.where(F.length("anchor") >= MIN_ANCHOR_CHARS).groupBy(*[c for c in pages.columns if c not in (html,)], "href").agg(F.min("rank").alias("rank"), F.min_by("anchor", "rank").alias("anchor"))
+    return a.where(F.length("anchor") >= least).groupBy(*[c for c in pages.columns if c not in (html,)], "href").agg(F.min("rank").alias("rank"), F.min_by("anchor", "rank").alias("anchor"))
 
 
 def first_of(html: Column, *patterns: str) -> Column:
