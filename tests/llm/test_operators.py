@@ -626,3 +626,31 @@ def test_pipeline_stages_by_brute_force(spark, sf, docs):
             assert set(after) == set(before) - hits
         at = out
     assert p.run(spark, sf).count() == at.count()
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "minhash_dedup", "decontamination", "bpe"])
+def test_stage_edges(spark, sf, tmp_path, name):
+    """Nulls, empty and long texts, repeated rows, clashing columns with values of their own, and empty tables."""
+    import corpus_pipeline as p
+
+    stage = dict(p.STAGES)[name]
+    mine = {c: F.lit(f"my {c}") for c in ("matches", "n_lines", "n_dropped", "is_toxic", "p_toxic", "row", "th", "gone", "keys", "_id", "ids", "class_id", "n_tokens")}
+    rows = [(1, None), (2, ""), (None, "a b c d e f g"), (None, None), (3, "one two three four five six\n" * 2_000), (4, "same text of six words here"), (4, "same text of six words here"), (5, "same text of six words here"), (6, "?!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).withColumns(mine)
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    out = stage(spark, spark.read.parquet(f"file://{tmp_path}/docs"), sf)
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    every = sorted((i is None, i or 0) for i, _ in rows)
+    assert stage(spark, spark.read.parquet(f"file://{tmp_path}/docs").limit(0), sf).count() == 0
+    if name == "bpe":
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and ids == every
+        return
+    assert out.columns == docs.columns and all(out.where(f"`{c}` <> 'my {c}' or `{c}` is null").isEmpty() for c in mine)
+    if name == "minhash_dedup":
+        assert ids == [e for e in every if e != (False, 5)]
+    else:
+        assert ids == every
+    if name == "line_dedup":
+        kept = [s for r in out.collect() for s in (r.text or "").split("\n") if s.strip()]
+        assert sorted(kept) == sorted(["a b c d e f g", "one two three four five six", "same text of six words here", "same text of six words here", "?!"])
+        assert out.where("n_chars <> length(text)").isEmpty()

@@ -28,6 +28,15 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _upper_bound(values: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where key comes after what isn't above it in values[low:high], sorted, for rows side by side."""
+    while (low < high).any():
+        middle = (low + high) >> 1
+        after = (values[middle] <= key) & (low < high)
+        low, high = np.where(after, middle + 1, low), np.where(after, high, np.minimum(middle, high))
+    return low
+
+
 class Automaton:
     """The deterministic automaton whose paths are the tokenizations BPE gives, compiled merge by merge into tables.
 
@@ -38,12 +47,13 @@ class Automaton:
 
     What a gadget takes out in the end is a rectangle: all copies of state u made after it, and all labels that are made
     after it from v on. When tokens are ranked by a walk over the tree of left parts, the latest children first, these
-    labels are a run of ranks. So a state's table is a sorted list of runs of labels that have no arc (out_begin,
-    out_end, both plus the state times the number of ranks), and a transition is one binary search.
+    labels are a run of ranks. So a state's table is a sorted list of runs of labels that have no arc (from
+    out_at[state] on, out_begin and out_end), and a transition is one binary search in it.
 
     The automaton has exactly one path over the bytes of a word; its labels are the encoding. Every beginning of a word
-    has one path too, so the path grows byte by byte: `goto` leads to the longest text that some label begins with and
-    that the bytes read so far end with, `longest` names the longest label at its end, `shorter` the next one, and the
+    has one path too, so the path grows byte by byte: step() leads to the longest text that some label begins with and
+    that the bytes read so far end with (the table of steps lists those that make such a text longer; a place without one
+    steps as its longest end inside it), `longest` names the longest label at its end, `shorter` the next one, and the
     one of them is taken that has an arc from the state where it begins.
     """
 
@@ -116,44 +126,66 @@ class Automaton:
         b, upto = b[order], np.maximum.accumulate(e[order])
         new = np.ones(len(b), bool)
         new[1:] = b[1:] > upto[:-1]
-        self.out_begin, self.out_end = b[new], upto[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)] if len(b) else upto
+        begin, end = b[new], upto[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)] if len(b) else upto
+        self.out_at = np.searchsorted(begin, np.arange(self.size + 1) * self.size).astype(np.int32)
+        state = np.repeat(np.arange(self.size), np.diff(self.out_at)) * self.size
+        self.out_begin, self.out_end = np.append(begin - state, 0).astype(np.int32), np.append(end - state, 0).astype(np.int32)
+        self.rank = self.rank.astype(np.int32)
 
     def _reading(self, tokens: dict[int, bytes]) -> None:
-        """The table over bytes (goto) and the labels that end at its places: a trie with the longest suffix inside it."""
+        """The table of steps and the labels that end at its places: a trie with the longest end of each place inside it."""
         child: dict[tuple[int, int], int] = {}
         ends_at: dict[int, int] = {}
+        depth = [0]
         for i, t in tokens.items():
             self.length[i] = len(t)
             node = 0
-            for x in t:
-                node = child.setdefault((node, x), len(child) + 1)
+            for n, x in enumerate(t):
+                to = child.setdefault((node, x), len(child) + 1)
+                if to == len(depth):
+                    depth.append(n + 1)
+                node = to
             ends_at[node] = i
-        below: list[list[tuple[int, int]]] = [[] for _ in range(len(child) + 1)]
-        for (node, x), to in child.items():
-            below[node].append((x, to))
-        self.goto = np.zeros((len(below), 256), np.int32)
-        self.longest = np.full(len(below), -1, np.int32)
+        steps = np.array([(node << 8 | x, to) for (node, x), to in child.items()], np.int64).reshape(-1, 2)
+        order = np.argsort(steps[:, 0])
+        nodes = len(depth)
+        before = steps[order, 0] >> 8
+        self.step_at = np.searchsorted(before, np.arange(nodes + 1)).astype(np.int32)
+        self.step_byte, self.step_to = np.append(steps[order, 0] & 255, 0).astype(np.uint8), np.append(steps[order, 1], 0).astype(np.int32)
+        self.inside = np.zeros(nodes, np.int32)
+        self.longest = np.full(nodes, -1, np.int32)
         self.shorter = np.full(self.size, -1, np.int32)
-        suffix = [0] * len(below)
-        todo = collections.deque([0])
-        while todo:
-            node = todo.popleft()
-            if node:
-                self.goto[node] = self.goto[suffix[node]]
-                self.longest[node] = self.longest[suffix[node]]
-                if node in ends_at:
-                    self.shorter[ends_at[node]] = self.longest[node]
-                    self.longest[node] = ends_at[node]
-            for x, to in below[node]:
-                suffix[to] = int(self.goto[node, x]) if node else 0
-                self.goto[node, x] = to
-                todo.append(to)
+        own = np.full(nodes, -1, np.int32)
+        own[list(ends_at)] = list(ends_at.values())
+        # Level by level: where a place's longest end is follows from that of the place before it.
+        level = np.array(depth)[self.step_to[:-1]]
+        for n in range(1, max(depth) + 1):
+            of = np.flatnonzero(level == n)
+            to = self.step_to[of]
+            if n > 1:
+                self.inside[to] = self.step(self.inside[before[of]], self.step_byte[of])
+            label = own[to] >= 0
+            self.shorter[own[to[label]]] = self.longest[self.inside[to[label]]]
+            self.longest[to] = np.where(label, own[to], self.longest[self.inside[to]])
+
+    def step(self, place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The places after one byte more. A byte that no label begins with leads to the first place."""
+        out = np.zeros(len(place), np.int32)
+        todo = np.arange(len(place))
+        while len(todo):
+            low = self.step_at[place]
+            at = _upper_bound(self.step_byte, low, self.step_at[place + 1], byte) - 1
+            hit = (at >= low) & (self.step_byte[at] == byte)
+            out[todo[hit]] = self.step_to[at[hit]]
+            on = ~hit & (place > 0)
+            todo, place, byte = todo[on], self.inside[place[on]], byte[on]
+        return out
 
     def has_arc(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Whether there is an arc `label` from each state, for states and labels side by side."""
-        key = state.astype(np.int64) * self.size + self.rank[label]
-        run = np.searchsorted(self.out_begin, key, "right") - 1
-        return (run < 0) | (self.out_end[run] <= key)
+        rank, low = self.rank[label], self.out_at[state]
+        run = _upper_bound(self.out_begin, low, self.out_at[state + 1], rank) - 1
+        return (run < low) | (self.out_end[run] <= rank)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """The labels of the one path over each word. Words of like length are read side by side, a byte at a time."""
@@ -179,7 +211,7 @@ class Automaton:
         place = np.zeros(len(words), np.int32)
         for n in range(1, width + 1):
             on = int(np.searchsorted(-lengths, -n, "right"))
-            place = self.goto[place[:on], text[:on, n - 1]]
+            place = self.step(place[:on], text[:on, n - 1])
             label = self.longest[place]
             todo = np.arange(on)
             while len(todo):
@@ -199,7 +231,7 @@ class Automaton:
 class Codec:
     """Whole texts: specials are cut out first, then words are looked up among those encoded before, or encoded."""
 
-    def __init__(self, spec: bytes, most_words: int = 400_000):
+    def __init__(self, spec: bytes, most_words: int = 200_000):
         self.automaton = Automaton(spec)
         self.words = regex.compile(WORDS)
         specials = self.automaton.specials

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -87,41 +88,51 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, n
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per line that isn't blank: where it stands, two hashes, and, where it comes first in a batch, its band keys."""
+    """A row per line that isn't blank: where it stands, two hashes, and band keys, which a line gets where the task meets
+    it first (it remembers a bounded number of lines, so some get them again)."""
+    seen: set[int] = set()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        text = batch.column("text").cast(pa.large_string())
-        (_, data, offsets), *_ = tv.slices(text, len(text) + text.nbytes)
-        breaks = np.flatnonzero(data == 10)
-        start = np.sort(np.concatenate([offsets[:-1], breaks + 1]))  # a null text is an empty line
-        end = np.sort(np.concatenate([breaks, offsets[1:]]))
-        per_text = 1 + np.diff(np.searchsorted(breaks, offsets))
-        upto = np.append(0, np.cumsum(per_text))
-        raw = data.tobytes()
-        filled = end > start
-        filled[filled] = [bool(raw[s:e].strip(_SPACE)) if b else True for s, e, b in zip(start[filled].tolist(), end[filled].tolist(), _IS_SPACE[data[start[filled]]].tolist())]
-        kept = np.flatnonzero(filled)
-        row = np.repeat(np.arange(len(text)), per_text)[kept]
-        names = np.frombuffer(b"".join([xxh3_128_digest(raw[s:e]) for s, e in zip(start[kept].tolist(), end[kept].tolist())]), ">i8").reshape(-1, 2).astype(np.int64)
-        first = np.sort(np.unique(names[:, 0], return_index=True)[1])  # repeated lines of the batch are hashed once
-        low = tv.lower(text)
-        keys = []
-        for a, b in _runs(np.diff(offsets)):
-            wanted = kept[first[slice(*np.searchsorted(kept[first], (upto[a], upto[b])))]] - upto[a]
-            if len(wanted):
-                points = code_points([t or "" for t in low.slice(a, b - a).to_pylist()])
-                s, e = spans(points)
-                keys.append(band_keys(signatures(*char_shingles(points, s[wanted], e[wanted]), len(wanted))[1]))
-        has = np.zeros(len(kept), bool)
-        has[first] = True
-        flat = np.concatenate(keys).ravel().view(np.int64) if keys else np.empty(0, np.int64)
-        ends = pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32), mask=np.append(~has, False))
-        of = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc").take(of), batch.column("th").take(of), pa.array((kept - upto[row]).astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.ListArray.from_arrays(ends, pa.array(flat))],
-            ["doc", "th", "no", "id", "id2", "keys"],
-        )
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+        for a, b in _runs(sizes, 1 << 22) if len(sizes) else ():
+            if len(seen) > 200_000:
+                seen.clear()
+            yield _lines_of(batch.slice(a, b - a), seen)
+
+
+def _lines_of(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+    text = batch.column("text").cast(pa.large_string())
+    (_, data, offsets), *_ = tv.slices(text, len(text) + text.nbytes)
+    breaks = np.flatnonzero(data == 10)
+    start = np.sort(np.concatenate([offsets[:-1], breaks + 1]))  # a null text is an empty line
+    end = np.sort(np.concatenate([breaks, offsets[1:]]))
+    per_text = 1 + np.diff(np.searchsorted(breaks, offsets))
+    upto = np.append(0, np.cumsum(per_text))
+    raw = data.tobytes()
+    filled = end > start
+    filled[filled] = [bool(raw[s:e].strip(_SPACE)) if b else True for s, e, b in zip(start[filled].tolist(), end[filled].tolist(), _IS_SPACE[data[start[filled]]].tolist())]
+    kept = np.flatnonzero(filled)
+    row = np.repeat(np.arange(len(text)), per_text)[kept]
+    names = np.frombuffer(b"".join([xxh3_128_digest(raw[s:e]) for s, e in zip(start[kept].tolist(), end[kept].tolist())]), ">i8").reshape(-1, 2).astype(np.int64)
+    first = np.sort(np.unique(names[:, 0], return_index=True)[1])
+    first = first[[i not in seen for i in names[first, 0].tolist()]]
+    seen.update(names[first, 0].tolist())
+    low = tv.lower(text)
+    keys = []
+    for a, b in _runs(np.diff(offsets)):
+        wanted = kept[first[slice(*np.searchsorted(kept[first], (upto[a], upto[b])))]] - upto[a]
+        if len(wanted):
+            points = code_points([t or "" for t in low.slice(a, b - a).to_pylist()])
+            s, e = spans(points)
+            keys.append(band_keys(signatures(*char_shingles(points, s[wanted], e[wanted]), len(wanted))[1]))
+    has = np.zeros(len(kept), bool)
+    has[first] = True
+    flat = np.concatenate(keys).ravel().view(np.int64) if keys else np.empty(0, np.int64)
+    ends = pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32), mask=np.append(~has, False))
+    of = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc").take(of), batch.column("th").take(of), pa.array((kept - upto[row]).astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.ListArray.from_arrays(ends, pa.array(flat))],
+        ["doc", "th", "no", "id", "id2", "keys"],
+    )
 
 
 def _runs(sizes: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
@@ -145,21 +156,23 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines of texts, in lower case, with sketches of their shingles."""
     for batch in batches:
-        lines, ids, ids2 = [], [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-            parts = text.split("\n")
-            for w in wanted:
-                lines.append(parts[w["no"]])
-                ids.append(w["id"])
-                ids2.append(w["id2"])
-        low = tv.lower(pa.array(lines, pa.large_string()))
-        for first, end in _runs(np.array([len(x) for x in lines], int)):
-            rows, of = end - first, slice(first, end)
-            h, row = _elements(low.slice(first, rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[of]), pa.array(ids2[of]), pa.array(np.bincount(row, minlength=rows)), *parity_sketch(h, row, rows, SKETCH_WORDS), low.slice(first, rows).cast(pa.string())],
-                ["id", "id2", "n", *sketch_columns(SKETCH_WORDS), "payload"],
-            )
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            lines, ids, ids2 = [], [], []
+            for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
+                parts = text.split("\n")
+                for w in wanted:
+                    lines.append(parts[w["no"]])
+                    ids.append(w["id"])
+                    ids2.append(w["id2"])
+            low = tv.lower(pa.array(lines, pa.large_string()))
+            for first, end in _runs(np.array([len(x) for x in lines], int)):
+                rows, of = end - first, slice(first, end)
+                h, row = _elements(low.slice(first, rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[of]), pa.array(ids2[of]), pa.array(np.bincount(row, minlength=rows)), *parity_sketch(h, row, rows, SKETCH_WORDS), low.slice(first, rows).cast(pa.string())],
+                    ["id", "id2", "n", *sketch_columns(SKETCH_WORDS), "payload"],
+                )
 
 
 def _elements(payload: pa.Array) -> tuple[np.ndarray, np.ndarray]:
