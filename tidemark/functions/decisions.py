@@ -197,7 +197,24 @@ def projection(bars: DataFrame, forecasts: DataFrame, by: str = "symbol", at: st
     return history.unionByName(point)
 
 
-# Notices, the map, task records
+# Notices, the map, task records, model calls
+
+
+def usage_share(total: Column, n: Column, i: Column) -> Column:
+    """The part of a batch's tokens that item i (from 0) of n answers for: equal parts, the remainder one each to the first."""
+    total = F.coalesce(total, F.lit(0)).cast("long")
+    return F.floor(total / n) + F.when(i < total % n, 1).otherwise(0)
+
+
+def ranked_models(models: DataFrame, excluded: tuple[str, ...] = (), least_context: int = 16_000) -> DataFrame:
+    """Free text models (id, prompt_price, completion_price, modalities, context) with context enough, the largest first; a
+    null price is free, and null modalities are text. Names that hold an excluded word are left out."""
+    free = (F.coalesce("prompt_price", F.lit(0.0)) == 0) & (F.coalesce("completion_price", F.lit(0.0)) == 0)
+    named = F.coalesce(F.col("id"), F.lit("")) != ""
+    for word in excluded:
+        named = named & ~F.contains(F.lower("id"), F.lit(word))
+    text = F.contains(F.coalesce("modalities", F.lit("text")), F.lit("text"))
+    return models.where(named & free & text & (F.coalesce("context", F.lit(0)) >= least_context)).orderBy(F.desc("context"), "id")
 
 
 def notice(number: Column, facility: Column, q: Column, fallback: Column, begin: Column, end: Column, now: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapters import cte, load
+from ..functions import decisions as D
 from ..functions import parsing as P
 from ..functions import routing as R
 from ..functions import text as T
@@ -83,9 +84,11 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.size(items).cast("long").alias("n"), total.alias("k"))
 
 
-@query("c26_usage_split", "select o_orderkey as id, o_custkey // 4 + case when o_orderkey % 4 < o_custkey % 4 then 1 else 0 end as tokens from orders")
+@query("c26_usage_split", "select o_orderkey as id, i, o_custkey // (1 + o_orderkey % 5) + case when i < o_custkey % (1 + o_orderkey % 5) then 1 else 0 end as tokens from (select *, unnest(range(0, 1 + o_orderkey % 5)) as i from orders)")
 def _(spark, d):
-    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.expr("o_custkey div 4") + F.when(F.col("o_orderkey") % 4 < F.col("o_custkey") % 4, 1).otherwise(0)).alias("tokens"))
+    n = 1 + F.col("o_orderkey") % 5
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    return o.select("id", "i", D.usage_share(F.col("o_custkey"), F.col("n"), F.col("i")).alias("tokens"))
 
 
 @query("c27_status_merge", EV + " select id, case when id % 2 = 0 then 'ok' else 'failed' end as route, 'ok' as tag, case when id % 2 = 1 then 'late' end as error from events_")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import cte, load
 from ..functions import text as T
+from ..functions.decisions import ranked_models
 from ..operators.vectors import merged
 from ..registry import query
 
@@ -135,7 +136,14 @@ def _(spark, d):
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(F.slice(kw, 1, 25)), ",").alias("kw"))
 
 
-@query("t18_t20_ranked_page", "select p_partkey as id, (select count(*) from part where p_size >= 16) as total from part where p_size >= 16 order by p_retailprice desc, p_partkey limit 12")
+@query("t18_ranked_models", """select p_name || '#' || p_partkey::varchar as id, p_partkey % 40 * 1000 as context from part where p_partkey % 3 <> 1 and p_partkey % 7 <> 2 and p_partkey % 40 * 1000 >= 16000 and not contains(lower(p_name || '#' || p_partkey::varchar), '#1') order by context desc, id limit 12""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    m = load(spark, d, "part").select(F.concat("p_name", F.lit("#"), k.cast("string")).alias("id"), F.when(k % 3 == 1, 0.5).when(k % 3 == 2, 0.0).alias("prompt_price"), F.lit(None).cast("double").alias("completion_price"), F.when(k % 7 == 2, "image").when(k % 7 == 3, "text+image").alias("modalities"), (k % 40 * 1000).alias("context"))
+    return ranked_models(m, ("#1",)).limit(12).select("id", "context")
+
+
+@query("t20_ranked_page", "select p_partkey as id, (select count(*) from part where p_size >= 16) as total from part where p_size >= 16 order by p_retailprice desc, p_partkey limit 12")
 def _(spark, d):
     p = load(spark, d, "part").where("p_size >= 16")
     return p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(12).select(F.col("p_partkey").alias("id")).crossJoin(F.broadcast(p.agg(F.count("*").alias("total"))))  # one row

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import cte, load
@@ -63,8 +64,38 @@ def _(spark, d):
     return e.select("id", F.size(F.map_concat(old, new)).alias("n_topics"))
 
 
-@query("r16_topic_refresh", "select c_custkey as slug, case when c_custkey % 3 = 0 then 'current' when c_custkey % 5 = 0 then 'grace' else 'stale' end as state from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
+def refresh_topics(stored: DataFrame, scraped: DataFrame, now, grace_hours: int = 48) -> DataFrame:
+    """Topics (slug, name, source_ids, is_current, is_active, is_pinned, started_s, ended_s) after a refresh by scraped ones
+    (slug, name, source_ids, started_s): those scraped are current and active, keep their start, have the ids of both and
+    no end; new ones begin when they say, or now. Other current ones end now if they haven't, unless they are pinned or
+    were discovered within the last two days. Slugs are trimmed; rows without one are left out; of a slug scraped twice the
+    greatest row counts."""
+    fresh = scraped.withColumn("slug", F.trim("slug")).where("slug <> ''").groupBy("slug").agg(F.max(F.struct("name", "source_ids", "started_s")).alias("new"))
+    old = stored.select("slug", F.struct(*[c for c in stored.columns if c != "slug"]).alias("old"))
+    j = old.join(fresh, "slug", "full_outer")
+    seen, o, n = F.col("new").isNotNull(), F.col("old"), F.col("new")
+    none = F.array().cast("array<string>")
+    discovered = F.array_contains(F.coalesce(o["source_ids"], none), "event-discovery")
+    in_grace = discovered & ~F.coalesce(now - o["started_s"] > grace_hours * 3_600, F.lit(False))
+    stale = ~seen & o["is_current"] & o["is_active"] & ~F.coalesce(o["is_pinned"], F.lit(False)) & ~in_grace
+    return j.select(
+        "slug", F.when(seen, F.substring(F.coalesce(n["name"], "slug"), 1, 255)).otherwise(o["name"]).alias("name"),
+        F.array_sort(F.array_union(F.coalesce(o["source_ids"], none), F.coalesce(n["source_ids"], none))).alias("source_ids"),
+        F.when(seen, True).when(stale, False).otherwise(o["is_current"]).alias("is_current"), F.when(seen, True).otherwise(o["is_active"]).alias("is_active"), F.coalesce(o["is_pinned"], F.lit(False)).alias("is_pinned"),
+        F.when(o.isNull(), F.coalesce(n["started_s"], now)).otherwise(o["started_s"]).alias("started_s"), F.when(seen, None).when(stale, F.coalesce(o["ended_s"], now)).otherwise(o["ended_s"]).alias("ended_s"),
+    )
+
+
+@query("r16_topic_refresh", """with o as (select 's' || c_custkey::varchar as slug, c_name as name, case when c_custkey % 5 = 0 then ['event-discovery'] else ['feed'] end as ids, c_custkey % 7 <> 0 as is_current, c_custkey % 11 <> 0 as is_active, c_custkey % 13 = 0 as is_pinned, 1000000 - (c_custkey % 4) * 86400 as started_s, case when c_custkey % 17 = 0 then 5 end as ended_s from customer where c_custkey % 2 = 0),
+n as (select 's' || c_custkey::varchar as slug, c_name || '!' as name, ['feed', 'web'] as ids, case when c_custkey % 9 <> 0 then 77 end as started_s from customer where c_custkey % 3 = 0), j as (select coalesce(o.slug, n.slug) as slug, o.slug is not null as was, n.slug is not null as seen, o.*exclude(slug), n.name as n_name, n.ids as n_ids, n.started_s as n_started from o full join n on o.slug = n.slug),
+k as (select *, not seen and is_current and is_active and not is_pinned and not (list_contains(ids, 'event-discovery') and 1000000 - started_s <= 172800) as stale from j)
+select slug, coalesce(n_name, name) as name, array_to_string(list_sort(list_distinct(list_concat(coalesce(ids, []), coalesce(n_ids, [])))), ',') as source_ids, case when seen then true when stale then false else is_current end as is_current, seen or is_active as is_active, coalesce(is_pinned, false) as is_pinned,
+ case when was then started_s else coalesce(n_started, 1000000) end as started_s, case when seen then null when stale then coalesce(ended_s, 1000000) else ended_s end as ended_s from k""")
 def _(spark, d):
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("slug"))
-    j = c.where("slug % 2 = 0").withColumn("old", F.lit(True)).join(c.where("slug % 3 = 0").withColumn("seen", F.lit(True)), "slug", "full_outer")
-    return j.select("slug", F.when(F.col("seen"), "current").when(F.col("slug") % 5 == 0, "grace").otherwise("stale").alias("state"))
+    c = load(spark, d, "customer")
+    k = F.col("c_custkey")
+    slug = F.concat(F.lit("s"), k.cast("string")).alias("slug")
+    ids = lambda *names: F.array(*map(F.lit, names))
+    stored = c.where("c_custkey % 2 = 0").select(slug, F.col("c_name").alias("name"), F.when(k % 5 == 0, ids("event-discovery")).otherwise(ids("feed")).alias("source_ids"), (k % 7 != 0).alias("is_current"), (k % 11 != 0).alias("is_active"), (k % 13 == 0).alias("is_pinned"), (1_000_000 - k % 4 * 86_400).alias("started_s"), F.when(k % 17 == 0, F.lit(5).cast("long")).alias("ended_s"))
+    scraped = c.where("c_custkey % 3 = 0").select(F.concat(F.lit(" "), slug).alias("slug"), F.concat("c_name", F.lit("!")).alias("name"), ids("feed", "web").alias("source_ids"), F.when(k % 9 != 0, F.lit(77).cast("long")).alias("started_s"))
+    return refresh_topics(stored, scraped, F.lit(1_000_000).cast("long")).withColumn("source_ids", F.array_join("source_ids", ","))

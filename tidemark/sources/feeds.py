@@ -81,11 +81,24 @@ def latest_observation(rates: DataFrame, observations: str) -> DataFrame:
 
 
 def nearest_noon(captures: DataFrame, by: list[str], at: str) -> DataFrame:
-    """Per key the capture nearest to noon, the earlier one of equals."""
+    """Per key the capture nearest to noon, the earlier one of equals. With the day in the key, what is nearest lies in that
+    day: every capture of another day is farther from its noon."""
     minutes = F.abs(F.hour(at) * 60 + F.minute(at) - 720)
     return captures.groupBy(*by).agg(F.min_by(F.struct(*[c for c in captures.columns if c not in by]), F.struct(minutes, at)).alias("r")).select(*by, "r.*")
 
 
+def daily_bars(raw: DataFrame, stored: DataFrame | None = None, by: str = "symbol", at: str = "d", back_days: int = 3) -> DataFrame:
+    """Bars (by, at, open, high, low, close, volume) to be written: those with a close, other values that aren't numbers
+    null, at whole days. With the stored bars only the tail is taken, from three days before the last one of a symbol;
+    symbols without stored bars, and a full pull without `stored`, are taken whole."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    bars = raw.where("close is not null and not isnan(close)").select(by, F.to_date(at).alias(at), *[number(c) for c in ("open", "high", "low", "close", "volume")])
+    if stored is None:
+        return bars
+    last = stored.groupBy(by).agg(F.date_sub(F.max(at), back_days).alias("_from"))  # a row per symbol
+    return bars.join(last, by, "left").where(f"_from is null or {at} >= _from").drop("_from")
+
+
 READERS: dict[str, Callable[..., DataFrame]] = {"rss": rss_entries, "sitemap": urlset, "earthquakes": quakes, "front_page": anchors}
 
 
