@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import components, map_arrow, sized, table, written
 
 COSINE = 0.93
-SUBSPACES, CODEWORDS, LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 16, 64, 1_000, 1_024, 2_048
+SUBSPACES, CODEWORDS, LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 16, 64, 1_000, 16_384, 2_048
 
 
 @dataclass
@@ -45,11 +45,17 @@ class Quantiser:
         return np.stack([((parts[:, k, None, :] - self.books[k]) ** 2).sum(2) for k in range(m)])
 
 
+def _runs(rows: int, columns: int) -> list[tuple[int, int]]:
+    """Runs of rows whose matrix with so many columns has 4 million values at most."""
+    step = max(64, (1 << 22) // columns)
+    return [(a, min(a + step, rows)) for a in range(0, rows, step)]
+
+
 def _k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     means = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        d = (means**2).sum(1) - 2 * x @ means.T
-        of = d.argmin(1)
+        length = (means**2).sum(1)
+        of = np.concatenate([(length - 2 * x[a:b] @ means.T).argmin(1) for a, b in _runs(len(x), len(means))])
         n = np.bincount(of, minlength=len(means))
         for j in range(x.shape[1]):
             means[:, j] = np.where(n > 0, np.bincount(of, x[:, j], minlength=len(means)) / np.maximum(n, 1), means[:, j])
@@ -74,8 +80,9 @@ def fit(vectors: DataFrame, rows: int, levels: list[int], width: int, sample_row
     rng = np.random.default_rng(seed)
     out = {}
     for lists in levels:
-        centroids = _k_means(x, min(lists, len(x)), 10, rng)
-        nearest, _ = Quantiser(centroids, np.zeros((1, 1, width))).nearest(x)
+        centroids = _k_means(x, min(lists, len(x)), 10 if lists <= 1_024 else 2, rng)
+        coarse = Quantiser(centroids, np.zeros((1, 1, width)))
+        nearest = np.concatenate([coarse.nearest(x[a:b])[0] for a, b in _runs(len(x), len(centroids))])
         parts = (x - centroids[nearest]).reshape(len(x), SUBSPACES, -1)
         out[lists] = Quantiser(centroids, np.stack([_k_means(parts[:, k], min(CODEWORDS, len(x)), 10, rng) for k in range(SUBSPACES)]))
     return out
@@ -105,7 +112,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
     their number. Rows that repeat a vec_id are vectors of their own. Rows with a null vec_id get no links and a null
     component. No rows, no result; other columns don't matter.
 
-    A label has about as many inverted lists as thousands of vectors (1, 4, 16 up to 1,024). A vector is kept in the list
+    A label has about as many inverted lists as thousands of vectors (1, 4, 16 up to 16,384; beyond, lists get longer). A vector is kept in the list
     of its nearest centroid as residual codes. It looks for partners in its own list and in every later list whose border
     (the plane half-way between the centroids) isn't farther than two linked vectors can be, so no linked pair is missed.
     There, distances from code tables drop a partner only if they exceed that distance by more than its code has lost;
@@ -125,29 +132,33 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
     width = -(-width // SUBSPACES) * SUBSPACES
     of_size = F.least(F.lit(MOST_LISTS), F.pow(4, F.floor(F.log(4.0, F.greatest(F.lit(1.0), F.col("size") / LIST_ROWS)) + 0.5))).cast("int")
     labels = sized(groups.groupBy("label").agg(F.count("*").alias("size")).select("label", of_size.alias("lists")), "labels")
-    levels = sorted(r.lists for r in labels.select("lists").distinct().collect())  # six at most
+    levels = sorted(r.lists for r in labels.select("lists").distinct().collect())  # eight at most
     shared = embeddings.sparkSession.sparkContext.broadcast(fit(groups, total, levels, width))
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantisers = shared.value
-        between = {k: np.sqrt(np.maximum(((q.centroids[:, None] - q.centroids[None]) ** 2).sum(2), 1e-24)) for k, q in quantisers.items()}
         raw = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
         for batch in batches:
             of = batch.column("lists").to_numpy()
             for level in np.unique(of).tolist():
-                part = batch.filter(pa.array(of == level))
+                of_level = batch.filter(pa.array(of == level))
                 q = quantisers[level]
-                x = unit_vectors(part.column("values"), width)
-                own, d = q.nearest(x)
-                codes, lost = q.codes(x - q.centroids[own])
-                here = d[np.arange(len(x)), own]
-                border = (d - here[:, None]) / (2 * between[level][own])
-                probes = [np.flatnonzero((border[i] <= reach) & (np.arange(len(q.centroids)) > own[i])).astype(np.int32) for i in range(len(x))]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in ("g", "label", "n", "lists")], pa.array(own.astype(np.int32)), pa.array(probes, pa.list_(pa.int32())), raw(x), raw(codes), pa.array(lost)],
-                    ["g", "label", "n", "lists", "list", "probes", "x", "codes", "lost"],
-                )
+                length = (q.centroids**2).sum(1)
+                for a, b in _runs(of_level.num_rows, len(q.centroids)):
+                    part = of_level.slice(a, b - a)
+                    x = unit_vectors(part.column("values"), width)
+                    own, d = q.nearest(x)
+                    codes, lost = q.codes(x - q.centroids[own])
+                    homes, of_home = np.unique(own, return_inverse=True)
+                    apart = np.sqrt(np.maximum(length[homes][:, None] + length - 2 * q.centroids[homes] @ q.centroids.T, 1e-12))
+                    border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart[of_home])
+                    border[apart[of_home] < 1e-4] = 0  # too near to tell
+                    probes = [np.flatnonzero((border[i] <= reach) & (np.arange(len(q.centroids)) > own[i])).astype(np.int32) for i in range(len(x))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c) for c in ("g", "label", "n", "lists")], pa.array(own.astype(np.int32)), pa.array(probes, pa.list_(pa.int32())), raw(x), raw(codes), pa.array(lost)],
+                        ["g", "label", "n", "lists", "list", "probes", "x", "codes", "lost"],
+                    )
 
     label_kind = groups.schema["label"].dataType.simpleString()
     index = map_arrow(groups.join(labels, "label").select("g", "label", "n", "lists", "values"), assign, f"g long, label {label_kind}, n long, lists int, list int, probes array<int>, x binary, codes binary, lost double")
