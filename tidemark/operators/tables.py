@@ -60,11 +60,16 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, _paths.pop(df))
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default of 64 MB: a batch stands in the JVM and in Python, once
+#: on its way in and once on its way out, in every task of an executor.
+BATCH_BYTES, _BATCH_BYTES_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application."""
+    """Sends this package to the executors, once per application, and has batches of texts small."""
+    if spark.conf.get(_BATCH_BYTES_KEY, "").rstrip("b") in ("64MB", "64m", str(64 << 20)):
+        spark.conf.set(_BATCH_BYTES_KEY, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
