@@ -9,3 +9,9 @@ from ..operators.tables import components, forget, map_arrow, shared_folder, shi
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(docs with numbered column names, own name to number), so that nothing an operator adds meets a column of docs."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from . import textvec as tv
-from .common import map_arrow, sized, table, written
+from .common import map_arrow, numbered, sized, table, written
 from .lsh import classes, parity_sketch, shared_keys_once, sketch_columns
 from .textvec import U
 
@@ -202,9 +202,12 @@ def _classes(rows: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return classes(shared, sets, SKETCH_WORDS, _elements).join(sets.select("id", "id2"), "id")
 
 
-def _deduplicated(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, Column, Column, Column]:
-    """(rows, text left, lines that aren't blank, lines dropped): rows hold each row of docs as `row`."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(text).alias("th"))
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str], Column, Column, Column]:
+    """(rows, the names of docs in them, text left, lines that aren't blank, lines dropped)."""
+    own, names = numbered(docs)
+    doc, text = names[id_col], names[text_col]
+    own = own.withColumn("th", F.xxhash64(text))
+    rows = own.select(F.col(doc).alias("doc"), F.col(text).alias("text"), "th")
     kind = rows.schema["doc"].dataType.simpleString()
     lines = written(map_arrow(rows.select("doc", "text", "th"), _lines, f"doc {kind}, th long, no int, id long, id2 long, keys array<long>"), "lines")
     at = F.struct("doc", "th", "no")
@@ -218,12 +221,13 @@ def _deduplicated(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, C
     dropped = lines.select("id", "id2", at.alias("at")).join(sized(keepers, "keepers"), ["id", "id2"]).where("not (at <=> keeper)")
     per_doc = sized(dropped.groupBy("at.doc", "at.th").agg(F.collect_set("at.no").alias("gone")), "dropped", 4_000_000, F.size("gone"))
     per_doc = per_doc.select(F.col("doc").alias("d"), F.col("th").alias("t"), "gone")
-    rows = rows.join(per_doc, F.expr("doc <=> d and th = t"), "left")
-    all_lines = F.split("text", "\n")
+    own = own.join(per_doc, F.expr(f"{doc} <=> d and th = t"), "left")
+    all_lines = F.split(text, "\n")
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return (
-        rows,
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
+        own,
+        names,
+        F.when(F.col("gone").isNull(), F.col(text)).otherwise(left),
         F.coalesce(F.size(F.filter(all_lines, lambda x: ~_is_blank(x))), F.lit(0)).cast("long"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
     )
@@ -244,17 +248,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     of the result. Joins back to the documents broadcast only what is counted small.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    rows, left, n_lines, n_dropped = _deduplicated(docs, id_col, text)
-    return rows.select(*[left.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    rows, names, left, n_lines, n_dropped = _deduplicated(docs, id_col, text)
+    return rows.select(*[(left if c == text else F.col(n)).alias(c) for c, n in names.items()], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """As dedup_lines(), with the columns of docs alone; those of dropped lines get the new length of their text in `length`."""
-    rows, left, _, n_dropped = _deduplicated(docs, id_col, text)
-    own = {text: left}
+    rows, names, left, _, n_dropped = _deduplicated(docs, id_col, text)
+    new = {text: left}
     if length is not None:
-        own[length] = F.when(n_dropped > 0, F.length(left).cast(docs.schema[length].dataType)).otherwise(F.col(f"row.`{length}`"))
-    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        new[length] = F.when(n_dropped > 0, F.length(left).cast(docs.schema[length].dataType)).otherwise(F.col(names[length]))
+    return rows.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

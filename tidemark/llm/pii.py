@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import numbered, table, written
 
 # Honorifics by gender, given names by gender and script.
 MALE = "Mr|Herr|Señor|Sr|Monsieur|г-н|господин"
@@ -184,11 +184,11 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     added one are replaced, all others stay whatever their names.
     """
     docs = docs.drop("n_entities", "text_before_sha256")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own, columns = numbered(docs)
+    body = F.col(columns[text])
     none = F.array().cast("array<string>")
-    found = F.when(may_have_entity(F.col("text")), F.regexp_extract_all("text", F.lit(ENTITY), 0)).when(F.col("text").isNotNull(), none)
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").alias("text")).withColumn("mentions", found)
-    hash_ = F.sha2(F.col("text"), 256)
+    rows = own.withColumn("mentions", F.when(may_have_entity(body), F.regexp_extract_all(body, F.lit(ENTITY), 0)).when(body.isNotNull(), none))
+    hash_ = F.sha2(body, 256)
     hit = rows.where(F.size("mentions") > 0).withColumn("hash", hash_)
     texts = hit.groupBy("hash").agg(F.first("mentions").alias("mentions"))
     mention = texts.select("hash", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
@@ -200,15 +200,15 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
         .select("hash", F.struct("pos", shown.alias("out"), F.col("kind").isNotNull().cast("long").alias("is_entity")).alias("m"))
         .groupBy("hash").agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["out"]).alias("new"), F.sum("m.is_entity").alias("n_entities"))
     )
-    gaps = F.split("text", ENTITY, -1)
+    gaps = F.split(body, ENTITY, -1)
     new = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("new").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
 
     def result(d: DataFrame, new_text: Column, n: Column) -> DataFrame:
-        own = [new_text.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]
-        return d.select(*own, n.cast("long").alias("n_entities"), hash_.alias("text_before_sha256"))
+        shown = [(new_text if c == text else F.col(i)).alias(c) for c, i in columns.items()]
+        return d.select(*shown, n.cast("long").alias("n_entities"), hash_.alias("text_before_sha256"))
 
-    rest = rows.where("size(mentions) = 0 or text is null")
-    return result(hit.join(drawn, "hash"), new, F.col("n_entities")).unionByName(result(rest, F.col("text"), F.when(F.col("text").isNotNull(), 0)))
+    rest = rows.where((F.size("mentions") == 0) | body.isNull())
+    return result(hit.join(drawn, "hash"), new, F.col("n_entities")).unionByName(result(rest, body, F.when(body.isNotNull(), 0)))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, lines, minhash, toxicity
-from .common import sized, table
+from .common import numbered, sized, table
+
+
+def _own(names: dict[str, str]) -> list[Column]:
+    return [F.col(n).alias(c) for c, n in names.items()]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier chain, fitted on the labelled ones of docs, finds toxic."""
     chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return toxicity.classify(rows, chain).where("not is_toxic").select("row.*")
+    rows, names = numbered(docs)
+    return toxicity.classify(rows, chain, names["text"]).where("not is_toxic").select(*_own(names))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = decontamination.screen(docs.select(F.struct(*columns).alias("row"), "text"), table(spark, sf_dir, "benchmark"))
-    return found.where("size(matches) = 0").select("row.*")
+    rows, names = numbered(docs)
+    return decontamination.screen(rows, table(spark, sf_dir, "benchmark"), names["text"]).where("size(matches) = 0").select(*_own(names))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
     return Chain(names, known, weights, threshold)
 
 
-def classify(docs: DataFrame, chain: Chain | None) -> DataFrame:
+def classify(docs: DataFrame, chain: Chain | None, text: str = "text") -> DataFrame:
     """docs plus p_<category> for each category of the chain and is_toxic: the last one reaches the threshold.
 
     Whole texts are scored, row by row and without a shuffle. A null or empty text has no features and gets what the
@@ -198,7 +198,7 @@ def classify(docs: DataFrame, chain: Chain | None) -> DataFrame:
         model = shared.value
         find = _known(model.features)
         for batch in batches:
-            for first, data, offsets in tv.slices(tv.lower(batch.column("text"))):
+            for first, data, offsets in tv.slices(tv.lower(batch.column(text))):
                 n = len(offsets) - 1
                 h, row = features(data, offsets)
                 at, of = find(h)
