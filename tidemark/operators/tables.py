@@ -68,7 +68,7 @@ _shipped: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, and has batches of texts small."""
-    if (spark.conf.get(_BATCH_BYTES_KEY, None) or "").rstrip("bB") in ("64m", "64M", str(64 << 20)):
+    if spark.conf.get(_BATCH_BYTES_KEY) == f"{64 << 20}b":
         spark.conf.set(_BATCH_BYTES_KEY, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
