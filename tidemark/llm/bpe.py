@@ -149,21 +149,31 @@ class Automaton:
         steps = np.array([(node << 8 | x, to) for (node, x), to in child.items()], np.int64).reshape(-1, 2)
         order = np.argsort(steps[:, 0])
         nodes = len(depth)
-        before = steps[order, 0] >> 8
-        self.step_at = np.searchsorted(before, np.arange(nodes + 1)).astype(np.int32)
-        self.step_byte, self.step_to = np.append(steps[order, 0] & 255, 0).astype(np.uint8), np.append(steps[order, 1], 0).astype(np.int32)
+        key, target = steps[order].T
+        before = key >> 8
+        # The table of steps by hash: a step is in the first free slot from its own on.
+        self.slots = max(2, 1 << int(4 * len(key)).bit_length() >> 1)
+        self.step_key = np.full(self.slots + len(key) + 1, -1, np.int32)
+        self.step_to = np.zeros(self.slots + len(key) + 1, np.int32)
+        slot, todo = self._slot(key), np.arange(len(key))
+        while len(todo):
+            free = todo[self.step_key[slot[todo]] < 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.step_key[slot[free]], self.step_to[slot[free]] = key[free], target[free]
+            todo = np.setdiff1d(todo, free, assume_unique=True)
+            slot[todo] += 1
         self.inside = np.zeros(nodes, np.int32)
         self.longest = np.full(nodes, -1, np.int32)
         self.shorter = np.full(self.size, -1, np.int32)
         own = np.full(nodes, -1, np.int32)
         own[list(ends_at)] = list(ends_at.values())
         # Level by level: where a place's longest end is follows from that of the place before it.
-        level = np.array(depth)[self.step_to[:-1]]
+        level = np.array(depth)[target]
         for n in range(1, max(depth) + 1):
             of = np.flatnonzero(level == n)
-            to = self.step_to[of]
+            to = target[of]
             if n > 1:
-                self.inside[to] = self.step(self.inside[before[of]], self.step_byte[of])
+                self.inside[to] = self.step(self.inside[before[of]], (key[of] & 255).astype(np.uint8))
             label = own[to] >= 0
             self.shorter[own[to[label]]] = self.longest[self.inside[to[label]]]
             self.longest[to] = np.where(label, own[to], self.longest[self.inside[to]])
@@ -172,15 +182,22 @@ class Automaton:
         """The places after one byte more. A byte that no label begins with leads to the first place."""
         out = np.zeros(len(place), np.int32)
         todo = np.arange(len(place))
+        key = place << 8 | byte
+        slot = self._slot(key)
         while len(todo):
-            low = self.step_at[place]
-            at = _upper_bound(self.step_byte, low, self.step_at[place + 1], byte) - 1
-            hit = (at >= low) & (self.step_byte[at] == byte)
-            out[todo[hit]] = self.step_to[at[hit]]
-            on = ~hit & (place > 0)
-            todo, place, byte = todo[on], self.inside[place[on]], byte[on]
+            there = self.step_key[slot]
+            hit = there == key
+            out[todo[hit]] = self.step_to[slot[hit]]
+            # No such step: on from the longest end inside; another step in the slot: on to the next slot.
+            on = ~hit & ((there >= 0) | (key > 255))
+            todo, key, slot, none = todo[on], key[on], slot[on] + 1, there[on] < 0
+            key[none] = self.inside[key[none] >> 8] << 8 | (key[none] & 255)
+            slot[none] = self._slot(key[none])
         return out
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(33 - self.slots.bit_length())).astype(np.int32)
+
     def has_arc(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Whether there is an arc `label` from each state, for states and labels side by side."""
         rank, low = self.rank[label], self.out_at[state]
@@ -218,14 +235,27 @@ class Automaton:
                 arc = self.has_arc(reached[n - self.length[label], todo], label)
                 reached[n, todo[arc]] = label[arc]
                 todo, label = todo[~arc], self.shorter[label[~arc]]
-        out = []
-        for i, n in enumerate(lengths.tolist()):
-            ids, column = [], reached[: n + 1, i].tolist()
-            while n:
-                ids.append(column[n])
-                n -= int(self.length[column[n]])
-            out.append(ids[::-1])
-        return out
+        # Each path from its end, side by side: the last label, then the one where that begins.
+        word, place, path = np.arange(len(words)), lengths, []
+        while (place > 0).any():
+            label = np.where(place > 0, reached[place, word], -1)
+            path.append(label)
+            place = np.where(place > 0, place - self.length[label], 0)
+        steps = np.array(path).T[:, ::-1]
+        return [ids[skip:] for ids, skip in zip(steps.tolist(), (steps < 0).sum(1).tolist())]
+
+
+class _Known(dict):
+    """Encoded words. A word that isn't there gets an empty list, to be filled, and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> list[int]:
+        self.new.append(word)
+        ids = self[word] = []
+        return ids
 
 
 class Codec:
@@ -236,31 +266,36 @@ class Codec:
         self.words = regex.compile(WORDS)
         specials = self.automaton.specials
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
-        self.known: dict[str, list[int]] = {}
+        self.labels = [self.automaton.label.get(i, b"") for i in range(self.automaton.size)]
+        self.numbers = [str(i) for i in range(self.automaton.size)]
+        self.known = _Known()
         self.most_words = most_words
 
     def _pieces(self, text: str) -> list[str]:
-        if self.cut is None or not self.cut.search(text):
+        if not any(s in text for s in self.automaton.specials):
             return self.words.findall(text)
         return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self.words.findall(part))]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        pieces = [self._pieces(t) for t in texts]
-        if len(self.known) > self.most_words:
-            self.known.clear()
         known = self.known
-        known |= {s: [i] for s, i in self.automaton.specials.items()}
-        new = list({w for ws in pieces for w in ws}.difference(known))
-        known |= zip(new, self.automaton.encode_words([w.encode() for w in new]))
-        out = [list(itertools.chain.from_iterable(map(known.__getitem__, ws))) for ws in pieces]
-        for w in new:
+        if len(known) > self.most_words:
+            known.clear()
+        known.update((s, [i]) for s, i in self.automaton.specials.items())
+        parts = [list(map(known.__getitem__, self._pieces(t))) for t in texts]
+        new, known.new = known.new, []
+        for w, ids in zip(new, self.automaton.encode_words([w.encode() for w in new])):
+            known[w] += ids
             if len(w) >= 64:  # long ones hardly come again
                 del known[w]
-        return out
+        return [list(itertools.chain.from_iterable(p)) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the path one after the other; bytes that aren't UTF-8 become replacement characters."""
-        return b"".join(map(self.automaton.label.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+
+    def written(self, ids: list[int]) -> str:
+        """Decimal numbers with commas."""
+        return ",".join(map(self.numbers.__getitem__, ids))
 
 
 _codecs: dict[int, Codec] = {}
@@ -332,7 +367,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 tokens = c.encode([t or "" for t in part.column(text).to_pylist()])
-                of_ids = [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for ids in tokens]
+                of_ids = [hashlib.sha256(c.written(ids).encode()).hexdigest() for ids in tokens]
                 of_text = [hashlib.sha256(c.decode(ids).encode()).hexdigest() for ids in tokens]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), pa.array([len(ids) for ids in tokens], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
