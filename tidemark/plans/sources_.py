@@ -38,6 +38,21 @@ def _(spark, d):
     return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.unix_timestamp(S.fetch_start(last, now)).alias("start_s"))
 
 
+@query("s09_sitemap_candidates", """select s_suppkey as id, array_to_string(list_concat(case when s_suppkey % 3 = 0 then ['http://o/' || s_suppkey::varchar] else [] end, case when s_suppkey % 2 = 0 then ['http://r/a', 'http://s/sitemap.xml'] else [] end, case when s_suppkey % 2 = 0 then [] else ['http://s/sitemap.xml'] end, ['http://s/sitemap_index.xml', 'http://s/news-sitemap.xml']), ' ') as urls from supplier""")
+def _(spark, d):
+    i = F.col("s_suppkey")
+    robots = F.when(i % 2 == 0, "User-agent: *\nSitemap: http://r/a\nsitemap:  http://s/sitemap.xml \nSitemap:\nsitemap: http://r/a")
+    urls = S.sitemap_candidates(F.lit("http://s"), F.when(i % 3 == 0, F.concat(F.lit("http://o/"), i.cast("string"))), robots)
+    return load(spark, d, "supplier").select(i.alias("id"), F.array_join(urls, " ").alias("urls"))
+
+
+@query("s09_merged_entries", """with e as (select user_id % 20 as source, event_id % 97 as url, event_id % 4 as candidate, event_id as rank, value, user_id % 20 % 5 = 0 as once from events), f as (select *, row_number() over (partition by source, url order by candidate, rank) as r, min(candidate) over (partition by source) as first from e)
+select source, url, candidate, rank from f where r = 1 and (not once or candidate = first)""")
+def _(spark, d):
+    e = load(spark, d, "events").select((F.col("user_id") % 20).alias("source"), (F.col("id") % 97).alias("url"), (F.col("id") % 4).alias("candidate"), F.col("id").alias("rank"), (F.col("user_id") % 20 % 5 == 0).alias("once"))
+    return S.merged_entries(e, "source", "url", "candidate", "rank", "once").select("source", "url", "candidate", "rank")
+
+
 @query("s10_s11_sitemaps", "select 'http://x.example/a/' || o_orderkey::varchar as url, epoch(o_orderdate)::bigint as s from orders where o_orderdate >= timestamp '1996-03-01' and o_orderdate < timestamp '1996-04-01'")
 def _(spark, d):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")

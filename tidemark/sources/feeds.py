@@ -44,6 +44,27 @@ def urlset(sitemaps: DataFrame, xml: str, start: Column, end: Column) -> DataFra
     return out.where((F.col("published") >= start) & (F.col("published") < end) & (url_path(F.col("url")) != ""))
 
 
+#: Where sitemaps usually are.
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/news-sitemap.xml")
+
+
+def sitemap_candidates(base: Column, override: Column, robots: Column) -> Column:
+    """array<string>: where a source's sitemaps may be, each once: its own address if it has one, those that robots.txt
+    names, the usual paths."""
+    own = F.when(F.coalesce(override, F.lit("")) != "", F.array(override)).otherwise(F.array().cast("array<string>"))
+    named = F.filter(F.transform(F.regexp_extract_all(F.coalesce(robots, F.lit("")), F.lit(r"(?im)^sitemap:(.*)$"), F.lit(1)), lambda u: F.trim(u)), lambda u: u != "")
+    return F.array_distinct(F.concat(own, named, F.array(*[F.concat(base, F.lit(p)) for p in SITEMAP_PATHS])))
+
+
+def merged_entries(entries: DataFrame, source: str, url: str, candidate: str, rank: str, first_only: str) -> DataFrame:
+    """Entries of all candidates of a source, each URL once, as the first candidate that has it tells it; where first_only
+    holds, of the first candidate alone that has entries. candidate: its place in the list, rank: the place in it."""
+    best = F.min(F.struct(candidate, rank, *[c for c in entries.columns if c not in (source, url, candidate, rank)])).alias("_e")
+    merged = entries.groupBy(source, url).agg(best).select(source, url, "_e.*")
+    first = entries.groupBy(source).agg(F.min(candidate).alias("_first"))  # a row per source
+    return merged.join(first, source).where(F.col(candidate).eqNullSafe(F.col("_first")) | ~F.coalesce(F.col(first_only), F.lit(False))).drop("_first")
+
+
 def prune_sitemaps(index: DataFrame, lastmod: str, day: Column, most: int = MAX_SITEMAPS) -> DataFrame:
     """The sitemaps nearest to a day, undated ones last; those last changed over a week before it can't matter."""
     near = F.abs(F.datediff(F.to_date(lastmod), day))
