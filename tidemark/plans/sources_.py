@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import cte, load
 from ..registry import query
 from ..sources import feeds as S
+from ..sources.portal import portal_events, portal_items, portal_topics
 from ..sources.sinks import merge_state
 
 EV = cte("events")
@@ -113,3 +114,35 @@ def _(spark, d):
 def _(spark, d):
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return merge_state(c.where("id % 2 = 0").withColumn("is_active", F.lit(True)), c.where("id % 3 = 0").select("id", F.concat("name", F.lit("!")).alias("name")), "id")
+
+
+SECTIONS = {"conflict": "Armed conflicts and attacks", "economic": "Business and economy", "political": "Politics and elections", "disaster": "Disasters and accidents", "health": "Arts and culture"}
+
+
+def portal_pages(spark, d):
+    """A page per day, of the events: a section per category, a topic per sub-category, a leaf per event; events without a
+    place are too short, and one in six has no citation."""
+    e = load(spark, d, "events").withColumn("day", F.to_date("started_at").cast("string"))
+    text = F.concat(F.lit("Event "), F.col("id").cast("string"), F.when(F.col("location_name").isNotNull(), F.concat(F.lit(" is told from "), "location_name")).otherwise(""))
+    cite = F.when(F.col("id") % 6 != 0, F.concat(F.lit(' <a class="external text" href="http://x.example/'), F.col("id").cast("string"), F.lit('">(Reuters)</a>'))).otherwise("")
+    joined = lambda key, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, c))), lambda x: x[c]), "")
+    leaves = e.withColumn("li", F.concat(F.lit("<li>"), text, cite, F.lit("</li>"))).groupBy("day", "category", "sub_category").agg(joined("id", "li").alias("lis"))
+    topics = leaves.withColumn("ul", F.concat(F.lit('<li><a href="/t">'), "sub_category", F.lit("</a><ul>"), "lis", F.lit("</ul></li>"))).groupBy("day", "category").agg(joined("sub_category", "ul").alias("uls"))
+    heading = F.create_map(*[x for k, v in SECTIONS.items() for x in (F.lit(k), F.lit(v))])[F.col("category")]
+    parts = topics.withColumn("part", F.concat(F.lit("<p><b>"), heading, F.lit("</b></p><ul>"), "uls", F.lit("</ul>"))).groupBy("day").agg(joined("category", "part").alias("parts"))
+    return parts.select(F.to_date("day").alias("day"), F.concat(F.lit('<div class="current-events-main" id="'), "day", F.lit('"><div class="current-events-content"><p><b>Contents</b></p>'), "parts", F.lit("</div></div>")).alias("html"))
+
+
+MAPPED = "case category when 'health' then 'general' else category end"
+
+
+@query("s16_portal_events", EV + f" select started_at::date::varchar as day, id, {MAPPED} as category, sub_category as topic, 'Event ' || id::varchar || ' is told from ' || location_name as text from events_ where location_name is not null and id % 6 <> 0")
+def _(spark, d):
+    e = portal_events(portal_items(portal_pages(spark, d).withColumnRenamed("day", "page"), "page", "html"))
+    return e.select("day", F.substring_index(F.get("cites", F.lit(0)), "/", -1).cast("long").alias("id"), "category", F.get("topics", F.lit(0)).alias("topic"), "text")
+
+
+@query("s17_portal_topics", EV + f""", t as (select sub_category, started_at::date as day, max(category) as c from events_ group by 1, 2), l as (select sub_category, max(day) as day, arg_max(c, day) as category from t group by 1) select sub_category as slug, sub_category as name, {MAPPED} as category, day from l""")
+def _(spark, d):
+    items = portal_items(portal_pages(spark, d).withColumnRenamed("day", "page"), "page", "html")
+    return portal_topics(items, "page").select("slug", "name", "category", F.col("page").alias("day"))
