@@ -261,7 +261,7 @@ class _Known(dict):
 class Codec:
     """Whole texts: specials are cut out first, then words are looked up among those encoded before, or encoded."""
 
-    def __init__(self, spec: bytes, most_words: int = 200_000):
+    def __init__(self, spec: bytes, most_words: int = 100_000):
         self.automaton = Automaton(spec)
         self.words = regex.compile(WORDS)
         specials = self.automaton.specials

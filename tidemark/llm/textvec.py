@@ -28,14 +28,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the multiplier and of its inverse modulo 2**64, n or more of each."""
     global _powers
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         one, inverse = np.full(n, _M, U), np.full(n, _MINV, U)
         one[0] = inverse[0] = 1
         _powers = np.multiply.accumulate(one), np.multiply.accumulate(inverse)
     return _powers
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about `most` bytes each; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
