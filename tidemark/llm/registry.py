@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, lines, minhash, pii, sharding, toxicity, urls, vectors
+from . import bpe, chat, decontamination, exponion, lines, minhash, pii, sharding, spelling, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": vectors.op8,
     "op9_line_dedup": lines.op9,
     "op10_url_filters": urls.op10,
+    "op11_spelling_variants": spelling.op11,
+    "op13_vector_codes": exponion.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op8_vectors": vectors.OP8_SQL,
     "op10_url_filters": urls.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
+    "op13_vector_codes": exponion.OP13_SQL,
 }
