@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, exponion, lines, minhash, pii, sharding, spelling, toxicity, urls, vectors
+from . import bpe, chat, decontamination, exponion, lines, minhash, ngram, pii, sharding, spelling, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": lines.op9,
     "op10_url_filters": urls.op10,
     "op11_spelling_variants": spelling.op11,
+    "op12_lm_scoring": ngram.op12,
     "op13_vector_codes": exponion.op13,
 }
 
