@@ -24,13 +24,12 @@ def unescape(text: Column) -> Column:
 
 
 def _role_out(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    r"""A backslash becomes \s and a newline \n, so that neither can be taken for the other."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def _role_in(role: Column) -> Column:
-    # Single backslashes come in pairs or before n; a pair is taken out of the way first.
-    role = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def reconstruct(log: DataFrame, block: int = 64) -> DataFrame:
@@ -105,17 +104,43 @@ def with_loss_mask(conversations: DataFrame, trained: str = "assistant") -> Data
     formatted that hold a text of the trained role."""
     pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
 
-    def span(acc: Column, x: Column) -> Column:
+    def measured(x: Column) -> Column:
         end = F.locate("\n", x)
-        begin = acc["at"] + len(START) + end
-        masked = F.array(F.struct(begin.cast("long").alias("start"), (F.length(x) - end - len(END)).cast("long").alias("length")))
         return F.struct(
-            (acc["at"] + len(START) + F.length(x)).cast("long").alias("at"),
-            F.when(_role_in(F.substring(x, F.lit(1), end - 1)) == trained, F.concat(acc["spans"], masked)).otherwise(acc["spans"]).alias("spans"),
+            (F.length(x) + len(START)).cast("long").alias("length"),
+            (end + len(START)).cast("long").alias("skip"),
+            (F.length(x) - end - len(END)).cast("long").alias("text"),
+            (_role_in(F.substring(x, F.lit(1), end - 1)) == trained).alias("trained"),
         )
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans"))
-    return conversations.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_spans", F.aggregate(pieces, zero, span)["spans"])
+    empty = F.expr("cast(array() as array<bigint>)")
+
+    def starts(lengths: Column, at: Column) -> Column:
+        """What comes before each length, from `at` on; the list grows by copying, so it has to be short."""
+        zero = F.struct(at.cast("long").alias("at"), empty.alias("all"))
+        return F.aggregate(lengths, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+
+    def let(value: Column, of) -> Column:
+        """of(value), with the value computed once."""
+        return F.get(F.transform(F.array(value), of), 0)
+
+    def spans(turns: Column) -> Column:
+        # Turns are added up in runs, then the runs: the lists that grow have the square root of all turns' number.
+        run = F.greatest(F.ceil(F.sqrt(F.size(turns))), F.lit(1)).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(turns) - 1) / run).cast("int")), lambda k: F.slice(turns, k * run + 1, run))
+
+        def within(runs: Column) -> Column:
+            total = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda acc, t: acc + t["length"]))
+            at = lambda before: F.flatten(F.transform(runs, lambda r, k: starts(F.transform(r, lambda t: t["length"]), F.get(before, k))))
+            return let(starts(total, F.lit(0)), lambda before: F.arrays_zip(at(before).alias("at"), F.flatten(runs).alias("t")))
+
+        return let(runs, within)
+
+    masked = lambda z: F.struct((z["at"] + z["t"]["skip"]).alias("start"), z["t"]["text"].alias("length"))
+    every = let(F.transform(pieces, measured), lambda turns: F.when(F.size(turns) > 0, spans(turns)))
+    none = F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)")
+    spans_of = F.when(F.col("formatted").isNotNull(), F.coalesce(F.transform(F.filter(every, lambda z: z["t"]["trained"]), masked), none))
+    return conversations.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_spans", spans_of)
 
 
 def format_chats(log: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def char_shingles(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of all N_CHARS-character shingles of spans, in order; a shorter span is one shingle, an empty one none."""
     c = points.astype(U)
-    width, factor = 1, U(_FACTOR)
+    width, factor = 1, np.array([_FACTOR], U)  # an array: its products wrap without a warning
     while width < N_CHARS and len(c) > width:  # c: hashes of all runs of so many characters
         c = c[:-width] * factor + c[width:]
         width, factor = 2 * width, factor * factor
@@ -223,7 +223,9 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     per_doc = per_doc.select(F.col("doc").alias("d"), F.col("th").alias("t"), "gone")
     own = own.join(per_doc, F.expr(f"{doc} <=> d and th = t"), "left")
     all_lines = F.split(text, "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # A set's difference, then a lookup each, so that the time grows with the lines alone; the lines are split once.
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    left = F.get(F.transform(F.array(all_lines), lambda parts: F.array_join(F.transform(stay(parts), lambda i: F.get(parts, i)), "\n")), 0)
     return (
         own,
         names,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_arrow, sized, table, written
+from .common import forget, map_arrow, sized, table, written
 from .lsh import classes, parity_sketch, shared_keys, sketch_columns
 from .textvec import U
 
@@ -134,24 +134,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     The elements are five-word shingles (lower case, words of letters and digits) and their weights the number of times
     they stand in the text; a text of fewer words is one shingle. Equal texts are one class whatever they hold. Texts
     without a word, and null texts, equal nothing but themselves: each such row keeps its own doc_id, except equal
-    texts that aren't null. Rows with a null doc_id are kept with a null class; rows that repeat a doc_id are one
-    document. Empty docs give no rows; other columns of docs don't matter.
+    texts that aren't null. Rows with a null doc_id are kept with a null class. Rows that repeat a doc_id are classed by
+    their own texts. Empty docs give no rows; other columns of docs don't matter.
     """
+    return classified(docs, id_col, text).select("doc_id", "class_id")
+
+
+def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_duplicates() with two hashes of the row's text, h1 and h2."""
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     prints = written(map_arrow(own.where("doc_id is not null and text is not null"), _bands, f"doc_id {kind}, h1 long, h2 long, keys array<long>"), "prints")
-    texts = written(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
+    texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     shared = written(shared_keys(texts.select("id", F.explode("keys").alias("key"))), "bands")
-    wanted = sized(texts.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2"), "wanted")
-    sets = written(
-        map_arrow(own.select(F.col("doc_id").alias("id"), "text", "h1", "h2").join(wanted, ["id", "h1", "h2"]).select("id", "text"), _sets, f"id {kind}, n long, " + "".join(f"{c} long, " for c in sketch_columns(SKETCH_WORDS)) + "payload array<long>"), "sets",
-    )
-
-    linked = classes(shared, sets, SKETCH_WORDS, _elements)
-    of_text = texts.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("class_id"))
+    wanted = sized(texts.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "h1", "h2"), "wanted")
+    found = own.select("doc_id", "text", "h1", "h2").join(wanted, ["doc_id", "h1", "h2"]).select("id", "text")
+    sets = written(map_arrow(found, _sets, "id long, n long, " + "".join(f"{c} long, " for c in sketch_columns(SKETCH_WORDS)) + "payload array<long>"), "sets")
+    linked = written(classes(shared, sets, SKETCH_WORDS, _elements), "classes")
+    forget(shared, sets, wanted)
+    least = texts.join(linked, "id").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    of_text = texts.join(linked, "id", "left").join(least, "component", "left").select("h1", "h2", F.coalesce("class_id", "doc_id").alias("class_id"))
     # Copies of a text may be a third of all rows: the join is on the text's hash, unique on the right.
-    named = prints.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id")
-    rest = own.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    named = prints.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id")
+    rest = own.where("doc_id is null or text is null").select("doc_id", "h1", "h2", F.col("doc_id").alias("class_id"))
     return named.unionByName(rest)
 
 

@@ -26,9 +26,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class; documents without a doc_id stay."""
-    gone = sized(minhash.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of the smallest doc_id of each class of texts, with a text of that class; rows without a doc_id or a text stay."""
+    gone = sized(minhash.classified(docs).where("doc_id <> class_id").select("doc_id", "h1", "h2").distinct(), "copies")
+    rows, names = numbered(docs)
+    doc, text = names["doc_id"], names["text"]
+    same = (F.col(doc) == F.col("doc_id")) & (F.xxhash64(text) == F.col("h1")) & (F.xxhash64(F.lit(1), text) == F.col("h2"))
+    return rows.join(gone, same, "left_anti").select(*_own(names))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, table
 
 BLOCK_SECONDS = 3600
 
@@ -84,9 +84,11 @@ def as_of_lists(captures: DataFrame, entries: DataFrame, block_seconds: int = BL
     verdict = met.groupBy("url", F.col("at").alias("ts")).agg(
         F.count("*").alias("matches"), F.max("entry.listed").alias("blocked"), F.max(F.when(F.col("entry.listed"), best)).alias("best")
     )
-    own = captures.drop("host", "matches", "blocked", "pattern", "entry_id", "valid_from", "valid_to")
-    return own.withColumn("host", host_of(F.col("url"))).join(verdict, ["url", "ts"], "left").select(
-        *[own[c] for c in own.columns], "host", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("blocked", F.lit(False)).alias("blocked"),
+    own, names = numbered(captures.drop("host", "matches", "blocked", "pattern", "entry_id", "valid_from", "valid_to"))
+    url, ts = names["url"], names["ts"]
+    met = own.join(verdict, (F.col(url) == F.col("url")) & (F.col(ts) == F.col("ts")), "left")
+    return met.select(
+        *[F.col(n).alias(c) for c, n in names.items()], host_of(F.col(url)).alias("host"), F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("blocked", F.lit(False)).alias("blocked"),
         "best.pattern", "best.entry.entry_id", "best.entry.valid_from", "best.entry.valid_to",
     )
 
