@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -65,25 +65,41 @@ def near_in_list(rows: list[tuple[str, int, bool, int]], length: int, apart: boo
     for j in kept:
         for p, gram in enumerate(grams(rows[j][0])):
             postings.setdefault((gram, p), []).append(j)
-    bound = length - Q + 1 - LOST
+    sets: dict[int, set[int]] = {}
+
+    def holds(lists: list[list[int]], j: int) -> bool:
+        for x in lists:
+            if id(x) not in sets:
+                sets[id(x)] = set(x)
+            if j in sets[id(x)]:
+                return True
+        return False
+
+    bound = max(length - Q + 1 - LOST, 1)
     for i, (word, _, longer, block) in enumerate(rows):
-        least = 1 if longer else 2  # a word of the index is in its own postings
         slots = []
         for p, gram in enumerate(grams(word)):
-            lists = [postings.get((gram, p), ()), postings.get((gram, p + 1), ())] if longer else [postings[gram, p]]
-            if sum(map(len, lists)) >= least:
+            here = postings.get((gram, p), ())
+            lists = [x for x in (here, postings.get((gram, p + 1), ())) if x] if longer else [here] if here[-1] > i else []
+            if lists:
                 slots.append(lists)
         if len(slots) < bound:
             continue
-        slots.sort(key=lambda lists: sum(map(len, lists)))
-        merged, longest = slots[: len(slots) - max(bound, 1) + 1], slots[len(slots) - max(bound, 1) + 1 :]
-        for j, run in groupby(heapq.merge(*[x for lists in merged for x in lists])):
-            if (not longer and j <= i) or (apart and rows[j][3] == block):
+        slots.sort(key=lambda lists: len(lists[0]) if len(lists) == 1 else len(lists[0]) + len(lists[1]))
+        some = len(slots) - bound + 1
+        # Words of one length meet from the side of the first, so only what comes after it is merged.
+        merged = [x if longer else x[bisect_right(x, i) :] for lists in slots[:some] for x in lists]
+        for j, run in groupby(heapq.merge(*merged)):
+            if apart and rows[j][3] == block:
                 continue
-            shared = len(list(run))
-            for lists in longest:
-                shared += any((k := bisect_left(x, j)) < len(x) and x[k] == j for x in lists)
-            if shared >= bound and one_edit(word, rows[j][0]):
+            missing = bound - sum(1 for _ in run)
+            left = bound - 1
+            for lists in slots[some:]:
+                if missing <= 0 or missing > left:
+                    break
+                missing -= holds(lists, j)
+                left -= 1
+            if missing <= 0 and one_edit(word, rows[j][0]):
                 yield i, j
 
 
