@@ -5,6 +5,7 @@ import random
 import re
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,25 +173,32 @@ def test_similar_sets_equal_brute_force(spark):
         assert got == {(i, j) for i, a in sets for j, b in sets if i < j and a and b and den * len(set(a) & set(b)) >= num * len(set(a) | set(b))}
 
 
-def test_communities_of_a_large_bucket(spark, monkeypatch):
+def greedy_communities(vectors, threshold):
+    """The sequential algorithm: candidate communities by size, each taking what is left."""
+    x = np.array(vectors)
+    x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    near = x @ x.T >= threshold
+    taken, out = set(), {}
+    for centre in sorted(range(len(x)), key=lambda i: -near[i].sum()):
+        for i in np.flatnonzero(near[centre]).tolist():
+            if i not in taken:
+                taken.add(i)
+                out[i] = centre
+    return {i: out.get(i, i) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("block_rows", [1_024, 16])
+def test_communities_equal_the_sequential_algorithm(spark, monkeypatch, block_rows):
+    """Overlapping communities of equal sizes, copies, a zero and a null vector, two buckets; small blocks cut a bucket."""
     from tidemark.operators import vectors as V
 
-    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
-    rng = random.Random(6)
-    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
-    rows = [(i, 0 if i % 5 else 1, [x + rng.gauss(0, 0.1) for x in base[i % 20]]) for i in range(150)] + [(200, None, base[0]), (201, 0, None), (202, 0, [0.0] * 8)]
+    monkeypatch.setattr(V, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(7)
+    vectors = [[math.cos(a / 10), math.sin(a / 10), 0.0] for a in rng.integers(0, 60, 120).tolist()] + [[0.0, 0.0, 0.0]] + rng.standard_normal((80, 3)).tolist()
+    rows = [(i, 0, v) for i, v in enumerate(vectors)] + [(1_000 + i, 1, v) for i, v in enumerate(vectors[:50])] + [(5_000, 0, None), (5_001, None, [1.0, 0.0, 0.0])]
     got = {r.id: r.community for r in V.communities(spark.createDataFrame(rows, "id long, bucket int, vector array<double>"), 0.9).collect()}
-    norm = lambda v: sum(x * x for x in v) ** 0.5
-    of = {i: i for i, *_ in rows}
-    for _ in range(len(rows)):
-        before = dict(of)
-        for i, b, v in rows:
-            for j, c, w in rows:
-                if b is not None and b == c and v and w and norm(v) * norm(w) > 0 and sum(map(lambda x, y: x * y, v, w)) / norm(v) / norm(w) >= 0.9:
-                    of[i] = of[j] = min(of[i], of[j])
-        if of == before:
-            break
-    assert got == of
+    expected = greedy_communities(vectors, 0.9) | {1_000 + i: 1_000 + c for i, c in greedy_communities(vectors[:50], 0.9).items()} | {5_000: 5_000, 5_001: 5_001}
+    assert got == expected and len({c for c in got.values()}) > 5
 
 
 def test_body_of_pages(spark):

@@ -30,10 +30,12 @@ TSUNAMI_COLOUR, PLAIN_COLOUR = "#e05252", "#7c6ef8"
 
 #: Parts of a page that aren't its text.
 CHROME_TAG = r"(?is)<(nav|header|footer|aside)\b[^>]*>.*?</\1>"
-CHROME_CLASS = (
-    r"""(?is)<(\w+)(?=[^>]*\b(?:class|id)\s*=\s*["'][^"']*(?:nav|menu|sidebar|breadcrumb|cookie|subscribe|newsletter-signup|social-share|share-bar"""
-    r"""|related-(?:links|articles|content)|advert|promo|byline-social|site-header|site-footer|masthead)[^"']*["'])[^>]*>.*?</\1>"""
+#: Names that classes and ids of chrome hold.
+CHROME_NAMES = (
+    "nav|menu|sidebar|breadcrumb|cookie|subscribe|newsletter-signup|social-share|share-bar"
+    "|related-(?:links|articles|content)|advert|promo|byline-social|site-header|site-footer|masthead"
 )
+CHROME_CLASS = rf"""(?is)<(\w+)(?=[^>]*\b(?:class|id)\s*=\s*["'][^"']*(?:{CHROME_NAMES})[^"']*["'])[^>]*>.*?</\1>"""
 
 
 # Stages
@@ -100,9 +102,11 @@ def run_status(status: Column, started: Column, now: Column, limit_hours: int) -
 # Pages and feeds
 
 
-def body_of(html: Column) -> Column:
-    """The paragraphs of a page's article that aren't chrome, up to 4,000 characters; null for a wall or for nothing."""
-    page = F.regexp_replace(F.substring(html, 1, 200_000), r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
+def body_of(html: Column, most_chars: int = 200_000) -> Column:
+    """The paragraphs of a page's article that aren't chrome, up to 4,000 characters; null for a wall or for nothing. A
+    chrome element ends at the first end tag of its name. Only the first `most_chars` characters of a page are read: these
+    rules stand in where the blocks of the whole page (sources.html.main_text) give nothing."""
+    page = F.regexp_replace(F.substring(html, 1, most_chars), r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
     page = F.regexp_replace(F.regexp_replace(page, CHROME_TAG, " "), CHROME_CLASS, " ")
     main = r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)>"
     page = F.when(page.rlike(main), F.regexp_extract(page, main, 1)).otherwise(page)

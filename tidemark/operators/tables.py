@@ -50,6 +50,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return again
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As written(), with the rows of a column's hash in files of their own, so that joins on it deal only their other side.
+
+    As many buckets as the session has shuffle partitions; a task writes a file per bucket it has rows of, so this is
+    for few large rows."""
+    spark = df.sparkSession
+    table = f"tidemark_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark/{table}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
+    atexit.register(_delete, spark, path)
+    again = spark.table(table)
+    _paths[again] = path
+    return again
+
+
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -79,7 +94,7 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Memory that was freed goes back to the system: workers wait between tasks, and live as long as the executor."""
     pa.default_memory_pool().release_unused()
     try:
@@ -93,7 +108,7 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        _give_back()
+        give_back()
 
     ship_package(df.sparkSession)
     return df.mapInArrow(work, schema)

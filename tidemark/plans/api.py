@@ -183,8 +183,8 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", title_of_slug(F.col("url")).alias("title"))
 
 
-@query("u05_communities", """with t as (select vec_id as id, label as g, embedding::double[] as v from embeddings where label is not null), l as materialized (select a.id as a, b.id as b from t a join t b on a.g = b.g and a.id <> b.id where list_cosine_similarity(a.v, b.v) >= 0.55),
-r as (with recursive w(a, b) as (select id, id from t union select w.a, l.b from w join l on w.b = l.a where l.b < w.a or l.b > w.a) select a, min(b) as c from w group by a) select t.id, t.g as bucket, r.c as community from t join r on r.a = t.id""")
+@query("u05_communities", """with t as (select vec_id as id, label as g, embedding::double[] as v from embeddings where label is not null), l as materialized (select a.id as a, b.id as b from t a join t b on a.g = b.g where list_cosine_similarity(a.v, b.v) >= 0.55),
+n as (select a, count(*) as n from l group by a), c as (select l.a, arg_min(l.b, (-n.n, l.b)) as c from l join n on n.a = l.b group by l.a) select t.id, t.g as bucket, coalesce(c.c, t.id) as community from t left join c on c.a = t.id""")
 def _(spark, d):
     t = load(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"))
     return communities(t).join(t.select("id", "bucket"), "id").select("id", "bucket", "community")

@@ -11,6 +11,7 @@ from ..functions import parsing as P
 from ..functions import text as T
 from ..operators.joins import cosine
 from ..registry import query
+from ..sources.html import page_bodies
 from ..streaming import windows as W
 from .filters import capped
 
@@ -117,7 +118,7 @@ def _(spark, d):
 
 @query("s18_page_bodies")
 def _(spark, d):
-    return load(spark, d, "pages").select("page_id", D.body_of(F.col("html")).alias("body"))
+    return page_bodies(load(spark, d, "pages"), "page_id", "html")
 
 
 @query("s19_rehydration", STAGED.replace(", x as", ", x0 as", 1) + f""", x as (select *, lower(regexp_extract(content, '(?i){T.PAYWALL}')) as m, case when id % 9 = 0 then '' else 'http://x' end as url, case id % 6 when 0 then 'ft-world' else source_code end as src from x0)

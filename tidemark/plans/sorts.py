@@ -108,14 +108,17 @@ def _(spark, d):
     return load(spark, d, "part").groupBy(F.col("p_brand").alias("slug")).agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("id"))
 
 
-@query("t12_merge_similar", """with t as (select vec_id as id, label as g, list_distinct(list_transform(range(1, 2 + (vec_id % 4)::int), lambda i: 'k' || (vec_id * i % 23)::varchar)) as kw, embedding::double[] as v from embeddings),
-l as (select a.id as a, b.id as b from t a join t b on a.g = b.g and list_cosine_similarity(a.v, b.v) >= 0.85 where a.id <> b.id), r as (with recursive w(a, b) as (select id, id from t union select w.a, l.b from w join l on w.b = l.a) select a as id, min(b) as c from w group by 1),
-m as (select r.c, arg_max(t.id, (len(kw), -t.id)) as canonical, list_sort(list_distinct(flatten(list(kw)))) as kws from t join r using (id) group by 1) select id, canonical, case when id = canonical then array_to_string(kws, ',') end as keywords from t join r using (id) join m using (c)""")
+@query("t12_merge_similar", """with t as (select vec_id as id, label as g, list_distinct(list_transform(range(1, 2 + (vec_id % 4)::int), lambda i: 'k' || (vec_id * i % 23)::varchar)) as kw, ['s' || (vec_id % 3)::varchar] as ids, embedding::double[] as v from embeddings),
+l as materialized (select a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as cos from t a join t b on a.g = b.g where list_cosine_similarity(a.v, b.v) >= 0.85), n as (select a, count(*) as n from l group by a),
+c as (select l.a as id, arg_min((l.b, l.cos), (-n.n, l.b)) as x from l join n on n.a = l.b group by l.a), r as (select t.id, coalesce(x[1], t.id) as c, -round(coalesce(x[2], 1.0), 9) as far from t left join c on c.id = t.id),
+m as (select r.c, arg_min(t.id, (-len(kw), far, t.id)) as canonical, list_sort(list_distinct(flatten(list(kw)))) as kws, list_sort(list_distinct(flatten(list(ids)))) as sids from t join r using (id) group by 1)
+select id, canonical, case when id = canonical then array_to_string(kws, ',') end as keywords, case when id = canonical then array_to_string(sids, ',') end as source_ids from t join r using (id) join m using (c)""")
 def _(spark, d):
     v = F.col("vec_id")
     words = F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), 1 + v % 4), lambda i: F.concat(F.lit("k"), (v * i % 23).cast("string"))))
-    t = load(spark, d, "embeddings").select(v.alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"), words.alias("keywords"))
-    return merged(t).select("id", "canonical", F.array_join(F.array_sort("keywords"), ",").alias("keywords"))
+    ids = F.array(F.concat(F.lit("s"), (v % 3).cast("string")))
+    t = load(spark, d, "embeddings").select(v.alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"), words.alias("keywords"), ids.alias("source_ids"))
+    return merged(t).select("id", "canonical", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("keywords", "source_ids")])
 
 
 @query("t13_greedy_titles")

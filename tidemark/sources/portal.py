@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.decisions import section_category
 from ..functions.text import collapse, slug, strip_citations
 from ..operators.tables import map_arrow
+from .html import Elements
 
 LEAST_CHARS, TOPIC_DEPTH = 20, 2
 
@@ -19,7 +19,7 @@ LEAST_CHARS, TOPIC_DEPTH = 20, 2
 SKIPPED = {"contents", "navigation", "references", "notes", "see also", "external links", "further reading", "footnotes"}
 
 
-class _Items(HTMLParser):
+class _Items(Elements):
     """The list items of a page, each with its section's heading and the items around it."""
 
     def __init__(self) -> None:
@@ -31,13 +31,12 @@ class _Items(HTMLParser):
         self.in_paragraph = False
         self.words: list[str] | None = None  # of a heading that is being read
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: v or "" for k, v in attrs}
-        classes = a.get("class", "").split()
+    def opened(self, tag: str, attrs: dict[str, str]) -> None:
+        classes = attrs.get("class", "").split()
         if tag == "div":
             self.divs.append("heading" if "current-events-content-heading" in classes else "")
             if "current-events-main" in classes:
-                self.day, self.heading = a.get("id", ""), ""
+                self.day, self.heading = attrs.get("id", ""), ""
             if self.divs[-1]:
                 self.words = []
         elif tag == "p":
@@ -48,16 +47,16 @@ class _Items(HTMLParser):
             self.open[-1]["nested"] = True
         elif tag == "li":
             self.open.append({"words": [], "cites": [], "nested": False})
-        elif tag == "a" and self.open and "external" in classes and a.get("href", "").startswith("http"):
-            self.open[-1]["cites"].append(a["href"])
+        elif tag == "a" and self.open and "external" in classes and attrs.get("href", "").startswith("http"):
+            self.open[-1]["cites"].append(attrs["href"])
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if self.words is not None:
             self.words.append(data)
         elif self.open and not self.open[-1]["nested"]:
             self.open[-1]["words"].append(data)
 
-    def handle_endtag(self, tag: str) -> None:
+    def closed(self, tag: str) -> None:
         ends_heading = tag == "div" and bool(self.divs) and self.divs.pop() == "heading"
         if self.words is not None and (ends_heading or tag in ("b", "p")):
             text = " ".join("".join(self.words).split())
@@ -76,7 +75,7 @@ class _Items(HTMLParser):
 
 
 def portal_items(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, day, seq, heading, depth, topics, text, cites, nested): the list items of pages, a page a row of the input; day
+    """(key, day, seq, heading, depth, topics, text, cites, nested): the list items of pages, also unclosed ones, a page a row of the input; day
     is the id of the part of the page, topics are the items around, text is that before a nested list. Null pages have none."""
     kind = pages.schema[key].dataType.simpleString()
     item = pa.struct([("day", pa.string()), ("seq", pa.int32()), ("heading", pa.string()), ("depth", pa.int32()), ("topics", pa.list_(pa.string())), ("text", pa.string()), ("cites", pa.list_(pa.string())), ("nested", pa.bool_())])
@@ -86,8 +85,7 @@ def portal_items(pages: DataFrame, key: str, html: str) -> DataFrame:
             found = []
             for page in batch.column(html).to_pylist():
                 parser = _Items()
-                parser.feed(page or "")
-                parser.close()
+                parser.read(page or "")
                 found.append(parser.items)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(item))], [key, "items"])
 
