@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.tables import components, forget, map_arrow, shared_folder, ship_package, sized, written  # noqa: F401
+from ..operators.tables import bucketed, components, forget, give_back, map_arrow, shared_folder, ship_package, sized, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import textvec as tv
-from .common import map_arrow, ship_package, table, written
+from .common import bucketed, forget, give_back, map_arrow, ship_package, table, written
 from .eliasfano import STEPS, EliasFano, Lists, Trie, codes
 
 U = np.uint64
 START, END, UNKNOWN, FIRST = 0, 1, 2, 3
 BLOCK_BYTES = 8 << 20
 #: About so many words of blocks, or trigrams of blocks, go to one task's group.
-SHARD_WORDS, SHARD_GRAMS = 2_000_000, 2_000_000
+SHARD_WORDS, SHARD_GRAMS = 2_000_000, 1 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -124,6 +124,8 @@ def _count_words(shards: int, hot: int):
         replies = [pack(ids[of[a:b]], c[of[a:b]]) for a, b in zip(cuts, cuts[1:])]
         much = np.flatnonzero(c > hot)
         n = len(asked)
+        del asked, of
+        give_back()
         return pa.table({
             "shard": pa.array([shard] * (n + 1), pa.int32()),
             "block": pa.array([*group.column("block").to_pylist(), None], pa.int64()),
@@ -287,28 +289,27 @@ def _hot_grams(n_ends: int, hot: _Hot):
 
 
 def build(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray, p1: np.ndarray, pairs: tuple[np.ndarray, ...] | None = None) -> Trie:
-    """The trie of trigrams (ids, with repeats) that occur n times, p1 being their last words' own probabilities.
+    """The trie of trigrams (numbers of words, with repeats) that occur n times; p1: every word's own probability, by number.
 
     Witten-Bell: p(w | h) = (c(h w) + t(h) p(w | shorter h)) / (c(h) + t(h)), t counting the distinct words after h.
-    pairs: (w2, w3, n, p1) of all bigrams of the middle words that have only some of their trigrams here."""
-    q2, q3, qn, q1 = pairs or (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    words, at = np.unique(np.concatenate([w2, q2]), return_inverse=True)
-    ids, place = np.unique(np.concatenate([w1, w3, q3]), return_inverse=True)
-    at2, at1, at3 = at[: len(w2)], place[: len(w1)], place[len(w1) : len(w1) + len(w3)]
-    own = np.zeros(len(ids))
-    own[place[len(w1) :]] = np.append(p1, q1)
-    b2, b3, of = _distinct_pairs(at, place[len(w1) :])
-    bigrams = np.bincount(of, np.append(np.where(np.isin(w2, q2), 0, n), qn), len(b2))
+    pairs: (w2, w3, n) of all bigrams of the middle words that have only some of their trigrams here."""
+    none = np.empty(0, np.int32)
+    q2, q3, qn = pairs or (none, none, none)
+    words, at = np.unique(np.append(w2, q2), return_inverse=True)
+    b2, b3, of = _distinct_pairs(at, np.append(w3, q3))
+    partly = np.zeros(len(p1), bool)
+    partly[q2] = True
+    bigrams = np.bincount(of, np.append(np.where(partly[w2], 0, n), qn), len(b2))
     total, kinds = np.bincount(b2, bigrams, len(words)), np.bincount(b2, minlength=len(words))
-    p2 = (bigrams + kinds[b2] * own[b3]) / (total + kinds)[b2]
+    p2 = (bigrams + kinds[b2] * p1[b3]) / (total + kinds)[b2]
     first = np.append(0, np.cumsum(kinds))
-    c2, c1, context = _distinct_pairs(at2, at1)
-    g, pair, gram = _distinct_pairs(context, of[: len(at2)])
+    c2, c1, context = _distinct_pairs(at[: len(w2)], w1)
+    g, pair, gram = _distinct_pairs(context, of[: len(w2)])
     times = np.bincount(gram, n, len(g))
     total_c, kinds_c = np.bincount(g, times, len(c2)), np.bincount(g, minlength=len(c2))
     p3 = (times + kinds_c[g] * p2[pair]) / (total_c + kinds_c)[g]
     return Trie(
-        EliasFano.of(words), Lists.of(kinds, ids[b3]), Lists.of(np.bincount(c2, minlength=len(words)), ids[c1]), Lists.of(kinds_c, pair - first[c2[g]]),
+        EliasFano.of(words), Lists.of(kinds, b3), Lists.of(np.bincount(c2, minlength=len(words)), c1), Lists.of(kinds_c, pair - first[c2[g]]),
         codes(kinds / (total + kinds)), codes(p2), codes(kinds_c / (total_c + kinds_c)), codes(p3),
     )
 
@@ -319,43 +320,45 @@ def _answer_grams(probability, hot: _Hot):
     def answer(group: pa.Table) -> pa.Table:
         blocks = group.filter(pc.is_valid(group.column("block")))
         sides = [unpack(d) for d in group.filter(pc.is_null(group.column("block"))).column("data").to_pylist()]
-        asked = [unpack(d) if d is not None else [np.empty(0, np.int64)] * 8 for d in blocks.column("data").to_pylist()]
-        size = [len(a[2]) for a in asked]
-        w1, w2, w3, c3 = _columns(asked)
-        trained = np.concatenate([a[5] for a in asked]) if asked else np.empty(0, np.int64)
-        known = np.flatnonzero(trained)
-        p1 = probability(c3)
+        empty = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.int32)] * 6
+        asked = [unpack(d) if d is not None else empty for d in blocks.column("data").to_pylist()]
+        # The shard's words are numbered; the trie's first level is of these numbers.
+        ids = np.unique(np.concatenate([np.empty(0, np.int64), *[a[0] for a in asked], *[x for s in sides for x in s[:-2]]]))
+        number = lambda x: np.searchsorted(ids, x).astype(np.int32)
+        counts = np.zeros(len(ids), np.int64)
+        for some, c in [(a[0], a[1]) for a in asked] + [(s[-3], s[-2]) for s in sides]:
+            counts[number(some)] = c
+        w1, w2, w3 = (np.concatenate([np.empty(0, np.int32), *[number(a[0])[a[k]] for a in asked]]) for k in (2, 3, 4))
+        trained = np.concatenate([np.empty(0, np.int32), *[a[5] for a in asked]])
+        p1 = probability(counts)
         code = codes(p1)
-        pairs = [np.concatenate(x) for x in zip(*[s for s in sides if len(s) == 4])] or None
-        whole = [np.concatenate(x) for x in zip(*[s for s in sides if len(s) == 5])]
+        known = np.flatnonzero(trained)
         if len(known) or sides:
-            rows = w1[known], w2[known], w3[known], trained[known], p1[known]
+            rows = w1[known], w2[known], w3[known], trained[known]
+            pairs, whole = ([np.concatenate(x) for x in zip(*[s for s in sides if len(s) == n])] for n in (4, 5))
             if whole:
-                some = ~hot.is_context(w1[known], w2[known])
-                rows = [np.append(x[some], y) for x, y in zip(rows, [*whole[:3], whole[4], probability(whole[3])])]
-            if pairs:
-                pairs = pairs[0], pairs[1], pairs[3], probability(pairs[2])
-            trie = Trie.mapped(build(*rows, pairs).tobytes())
-            scored = [trie.score(w1[a : a + (1 << 19)], w2[a : a + (1 << 19)], w3[a : a + (1 << 19)], code[a : a + (1 << 19)]) for a in range(0, len(w1), 1 << 19)]
-            code = np.concatenate(scored)
-        cuts = np.append(0, np.cumsum(size)).tolist()
+                some = ~hot.is_context(ids[rows[0]], ids[rows[1]])
+                rows = [np.append(x[some], y) for x, y in zip(rows, [*map(number, whole[:3]), whole[4]])]
+            trie = Trie.mapped(build(*rows, p1, (number(pairs[0]), number(pairs[1]), pairs[3]) if pairs else None).tobytes())
+            del rows
+            step = 1 << 18
+            scored = [trie.score(*(w[a : a + step].astype(np.int64) for w in (w1, w2, w3)), code[w3[a : a + step]]).astype(np.int32) for a in range(0, len(w1), step)]
+            code = np.concatenate([np.empty(0, np.int32), *scored])
+        else:
+            code = code[w3]
+        del w1, w2, w3
+        cuts = np.append(0, np.cumsum([len(a[2]) for a in asked], dtype=np.int64)).tolist()
         sums = [
             pack(np.bincount(a[7], np.repeat(code[i:j], a[6]), docs).astype(np.int64)) if j > i else None
             for a, i, j, docs in zip(asked, cuts, cuts[1:], blocks.column("docs").to_pylist())
         ]
+        del asked
+        give_back()
         return pa.table({"block": blocks.column("block"), "sums": pa.array(sums, pa.binary()), "stats": blocks.column("stats"), "ids": blocks.column("ids")})
 
     return answer
 
 
-def _columns(asked: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """(w1, w2, w3, count of w3) of all trigrams asked for."""
-    if not asked:
-        return (np.empty(0, np.int64),) * 4
-    w1, w2, w3 = (np.concatenate([a[0][a[k]] for a in asked]) for k in (2, 3, 4))
-    return w1, w2, w3, np.concatenate([a[1][a[4]] for a in asked])
-
-
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -375,7 +378,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     null `train` is false. Rows count as often as they are repeated. Without training rows every token has the base's
     probability. No rows, no result; other columns don't matter. Words go by a 64-bit hash.
 
-    Texts become blocks of 8 MB, written once with their words numbered. A block asks every shard of words for ids and
+    Texts become blocks of 8 MB, written once with their words numbered, in buckets, so that what shards answer goes to them. A block asks every shard of words for ids and
     counts, then every shard of middle words for its trigrams: a shard's task counts those of the training texts, maps
     their trie and returns one sum per text. A block asks once for all that its texts have in common, so a frequent
     trigram is a row per block. A middle word with more occurrences than a shard holds is split by the word before it,
@@ -385,7 +388,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = written(map_arrow(rows, _blocks, f"block long, ids array<{kind}>, data binary, n_words long, n_tokens long, n_train long"), "blocks")
+    blocks = bucketed(map_arrow(rows, _blocks, f"block long, ids array<{kind}>, data binary, n_words long, n_tokens long, n_train long"), "blocks", "block")
     n_words, n_tokens, n_ends = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first())
     word_shards, gram_shards = max(1, -(-n_words // shard_words)), max(1, -(-n_tokens // shard_grams))
     asked = map_arrow(blocks.select("block", "data"), _ask_words(word_shards), "shard int, block long, data binary")
