@@ -243,15 +243,6 @@ def test_unknown_reader():
         feeds.reader("telegraph")
 
 
-def test_upsert_sink_repeats(spark, tmp_path):
-    from tidemark.streaming.windows import upsert_sink
-
-    sink = upsert_sink(spark, f"file://{tmp_path}/t", ["k"], "v")
-    a, b = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("a", 2)], [("a", 5), ("b", 1)]))
-    sink(a, 0), sink(b, 1), sink(b, 1)
-    assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/t/v=1").select("k", "v").collect()} == {("a", 5), ("b", 1)}
-
-
 def test_model_is_judged_on_later_rows(spark):
     """A direction that one feature tells: held-out rows only, each once, after the rows of their fit."""
     rng = random.Random(7)

@@ -2,56 +2,21 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import cte, load
-from ..functions import text as T
 from ..functions.decisions import ranked_models
 from ..operators.vectors import merged
 from ..registry import query
+from ..streaming.state import kept_titles
 
 EV, AR, BA = cte("events"), cte("articles"), cte("bars")
 
 
 def greedy_titles(articles: DataFrame, by: str, title: str, at: str, order: str, threshold: float = 0.75, memory: int = 2_000, ttl: int = 86_400) -> DataFrame:
-    """Rows of each key, by time and `order`, unless their title is that similar to one of the last `memory` titles kept
-    before; all are forgotten `ttl` seconds after the last one was kept.
-
-    A suppressed title suppresses nothing itself, so this can't be a self anti-join. Rows of a key come as a sorted stream;
-    what is remembered of it is bounded, however many rows the key has, and found by its tokens. Titles without tokens are
-    always kept."""
-    schema = articles.schema
-    sets = articles.withColumn("_tokens", T.tokens(F.col(title)))
-    sets = sets.repartition(by).sortWithinPartitions(by, at, order)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last, kept, holders, n = None, None, {}, {}, 0
-        for f in frames:
-            keep = []
-            for k, t, tokens in zip(f[by], f[at], f["_tokens"]):
-                if k != key or (last is not None and t - last > ttl):
-                    key, last, kept, holders = k, None, {}, {}
-                s = frozenset(tokens)
-                common = Counter(i for w in s for i in holders.get(w, ()))
-                near = any(c >= threshold * (len(s) + len(kept[i]) - c) for i, c in common.items())
-                keep.append(not near)
-                if s and not near:
-                    kept[n], last = s, t
-                    for w in s:
-                        holders.setdefault(w, set()).add(n)
-                    n += 1
-                    if len(kept) > memory:
-                        i = next(iter(kept))
-                        for w in kept.pop(i):
-                            holders[w].discard(i)
-            yield f.loc[keep].drop(columns="_tokens")
-
-    return sets.mapInPandas(work, schema)
+    """kept_titles() of a whole table, by one key."""
+    return kept_titles(articles, [by], title, at, order, threshold, memory, ttl)
 
 
 def streaks(rows: DataFrame, by: str, at: str, empty: str) -> DataFrame:

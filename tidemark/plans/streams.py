@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..adapters import cte, load
 from ..registry import query
 from ..streaming import windows as W
+from ..streaming.state import gated_sources, kept_titles
 
 EV = cte("events")
 
@@ -35,7 +36,12 @@ def _stream(spark, d):
 @query("r03_r05_tumbling_windows", "select floor(epoch(ts) / 259200)::bigint * 259200 as start_s, event_type, count(*) as n, sum(1 + event_id % 9)::bigint as articles, floor(max(epoch(ts)))::bigint as last_s from events group by 1, 2")
 def _(spark, d):
     w = W.event_windows(_stream(spark, d), "started_at", ["event_type"])
-    return W.run(w, _folder(spark, "windows"), "complete")
+    return W.run(w, _folder(spark, "windows"), "update", ["start_s", "event_type"])
+
+
+@query("r03_closed_windows", "select * from (select floor(epoch(ts) / 259200)::bigint * 259200 as start_s, event_type, count(*) as n, sum(1 + event_id % 9)::bigint as articles, floor(max(epoch(ts)))::bigint as last_s from events group by 1, 2) where start_s + 259200 <= (select floor(max(epoch(ts)) * 1000) / 1000 - 7 * 86400 from events)")
+def _(spark, d):
+    return W.run(W.event_windows(_stream(spark, d), "started_at", ["event_type"]), _folder(spark, "closed"))
 
 
 @query("r06_first_seen", "select user_id, event_type, true as seen from events group by 1, 2")
@@ -44,6 +50,28 @@ def _(spark, d):
     return W.run(s, _folder(spark, "seen")).select("user_id", "event_type", F.lit(True).alias("seen"))
 
 
+@query("r06_kept_titles")
+def _(spark, d):
+    """The titles of articles by source, as a stream of files; equal to t13_greedy_titles."""
+    path = f"{d}/documents.parquet"
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    titles = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_code"), F.substring("text", 1, 60).alias("title"), (1704067200 + F.col("doc_id") * 1200).alias("published_s"))
+    titles = titles.withColumn("published_at", F.timestamp_seconds("published_s"))
+    return W.run(kept_titles(titles, ["source_code"], "title", "published_s", "id", event_time="published_at"), _folder(spark, "titles")).drop("published_at")
+
+
+def fetches(events: DataFrame) -> DataFrame:
+    """Events as fetches of 20 sources: errors time out, clicks find something, signups fail otherwise, others nothing."""
+    outcome = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "signup", "failed").otherwise("empty")
+    return events.select("id", (F.col("user_id") % 20).alias("source"), outcome.alias("outcome"), F.unix_timestamp("started_at").alias("at"), "started_at")
+
+
+@query("r07_source_gate")
+def _(spark, d):
+    gated = gated_sources(fetches(_stream(spark, d)), ["source"], "outcome", "at", "id", event_time="started_at")
+    return W.run(gated, _folder(spark, "gate")).drop("started_at")
+
+
 @query("r08_checkpoint", "select distinct user_id as source, ts::date as day from events where not (user_id % 2 = 0 and day(ts) % 3 = 0)")
 def _(spark, d):
     days = load(spark, d, "events").select(F.col("user_id").alias("source"), F.to_date("started_at").alias("day")).distinct()
