@@ -8,14 +8,19 @@ import numpy as np
 
 U = np.uint64
 #: Codes of a probability are its -log10 in steps of 1 / STEPS, in 16 bits.
-STEPS = 2_048
+STEPS, UNSEEN = 2_048, 65_535
 _BITS = np.array([[k for k in range(8) if b >> k & 1] + [0] * (8 - b.bit_count()) for b in range(256)], np.int64)
 _COUNT = np.array([b.bit_count() for b in range(256)], np.uint8)
 
 
 def codes(p: np.ndarray) -> np.ndarray:
     """Quantised probabilities; an error of half a step at most down to 10 ** -31."""
-    return np.minimum(np.rint(-np.log10(p) * STEPS), 65_535).astype(np.uint16)
+    return np.minimum(np.rint(-np.log10(p) * STEPS), UNSEEN - 1).astype(np.uint16)
+
+
+def values(code: np.ndarray) -> np.ndarray:
+    """The probabilities of codes, 0 of UNSEEN."""
+    return np.where(code == UNSEEN, 0.0, 10.0 ** (code / -STEPS))
 
 
 class EliasFano:
@@ -123,44 +128,47 @@ class Lists:
         return cls(EliasFano.of(starts), EliasFano.of(values + np.repeat(shift, sizes)))
 
     def find(self, of: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index over all lists, rank within the list) of x in list `of`; index -1 where it isn't."""
-        first, end = self.starts[of], self.starts[of + 1]
-        shift = np.zeros(len(of), np.int64)
+        """(index over all lists, rank within the list) of x in list `of`; index -1 where it isn't. Lists are opened once
+        for neighbours that ask for the same one."""
+        new = np.diff(of, prepend=-1) != 0
+        lists = of[new]
+        first, end = self.starts[lists], self.starts[lists + 1]
+        shift = np.zeros(len(lists), np.int64)
         after = np.flatnonzero(first > 0)
         shift[after] = self.values[first[after] - 1]
-        at = self.values.find(x + shift, first, end)
+        run = np.cumsum(new) - 1
+        first = first[run]
+        at = self.values.find(x + shift[run], first, end[run])
         return at, at - first
 
 
 class Trie:
-    """Words; each word's successors with the bigram's probability; each word's contexts (the words before it) with what
-    they leave to the bigram; each context's successors, as ranks among the word's successors, with the trigram's."""
+    """Words; each word's successors, ascending, with a code each. With trigrams: each word's contexts (the words before
+    it), and each context's successors as ranks among the word's, with a code each. What leads on (the words, or the
+    contexts) has a second code, of what it leaves to the shorter context. Codes are quantised probabilities."""
 
-    def __init__(self, words: EliasFano, followers: Lists, contexts: Lists, grams: Lists, leave: np.ndarray, p2: np.ndarray, leave2: np.ndarray, p3: np.ndarray) -> None:
-        self.words, self.followers, self.contexts, self.grams = words, followers, contexts, grams
-        self.leave, self.p2, self.leave2, self.p3 = leave, p2, leave2, p3
-
-    def _levels(self) -> list[EliasFano]:
-        return [self.words, *[e for x in (self.followers, self.contexts, self.grams) for e in (x.starts, x.values)]]
+    def __init__(self, words: EliasFano, followers: Lists, p: np.ndarray, leave: np.ndarray, contexts: Lists | None = None, grams: Lists | None = None) -> None:
+        self.words, self.followers, self.p, self.leave, self.contexts, self.grams = words, followers, p, leave, contexts, grams
 
     def tobytes(self) -> bytes:
-        arrays = [a for e in self._levels() for a in e.arrays()] + [self.leave, self.p2, self.leave2, self.p3]
+        levels = [self.words] + [e for x in (self.followers, self.contexts, self.grams) if x is not None for e in (x.starts, x.values)]
+        arrays = [a for e in levels for a in e.arrays()] + [self.p, self.leave]
         raw = [a.tobytes() for a in arrays]
-        head = np.array([[len(r), a.itemsize] for a, r in zip(arrays, raw)], np.int64)
+        head = np.array([len(levels), *map(len, raw)], np.int64)
         return b"".join([head.tobytes(), *[r + bytes(-len(r) % 8) for r in raw]])
 
     @classmethod
     def frombuffer(cls, buffer) -> Trie:
         """The trie over a buffer, which may be a mapped file; nothing is copied."""
-        n = 7 * 4 + 4
-        head = np.frombuffer(buffer, np.int64, 2 * n).reshape(n, 2)
-        at, arrays = 16 * n, []
-        for k, (size, item) in enumerate(head.tolist()):
-            kind = np.uint16 if item == 2 else U if k < 28 and k % 4 in (1, 2) else np.int64
-            arrays.append(np.frombuffer(buffer, kind, size // item, at))
+        levels = int(np.frombuffer(buffer, np.int64, 1)[0])
+        sizes = np.frombuffer(buffer, np.int64, 4 * levels + 2, 8).tolist()
+        at, arrays = 8 * (1 + len(sizes)), []
+        for k, size in enumerate(sizes):
+            kind = np.dtype(np.uint16 if k >= 4 * levels else U if k % 4 in (1, 2) else np.int64)
+            arrays.append(np.frombuffer(buffer, kind, size // kind.itemsize, at))
             at += size + -size % 8
-        e = [EliasFano.from_arrays(arrays[4 * k : 4 * k + 4]) for k in range(7)]
-        return cls(e[0], Lists(*e[1:3]), Lists(*e[3:5]), Lists(*e[5:7]), *arrays[28:])
+        e = [EliasFano.from_arrays(arrays[4 * k : 4 * k + 4]) for k in range(levels)]
+        return cls(e[0], Lists(*e[1:3]), *arrays[-2:], *[Lists(*e[k : k + 2]) for k in range(3, levels, 2)])
 
     @classmethod
     def mapped(cls, raw: bytes) -> Trie:
@@ -169,19 +177,35 @@ class Trie:
         memory.write(raw)
         return cls.frombuffer(memory)
 
-    def score(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """Codes of the probabilities of w3 after (w1, w2); p1: codes of w3's own."""
-        out = p1.astype(np.int64)
-        n = len(w1)
-        node = self.words.find(w2, np.zeros(n, np.int64), np.full(n, self.words.n))
+    def _node(self, word: np.ndarray) -> np.ndarray:
+        return self.words.find(word, np.zeros(len(word), np.int64), np.full(len(word), self.words.n))
+
+    @staticmethod
+    def _along(of: np.ndarray, look) -> np.ndarray:
+        """look() of the distinct values of an ascending array, for each of its places."""
+        first = np.flatnonzero(np.diff(of, prepend=of[0] - 1)) if len(of) else np.empty(0, np.int64)
+        return look(of[first])[np.cumsum(np.diff(of, prepend=of[0] - 1) != 0) - 1] if len(of) else of
+
+    def pairs(self, word: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of pairs, UNSEEN for others; codes that the words leave, UNSEEN for unknown ones), by ascending word."""
+        p, leave = np.full(len(word), UNSEEN, np.uint16), np.full(len(word), UNSEEN, np.uint16)
+        node = self._along(word, self._node)
         known = np.flatnonzero(node >= 0)
-        node = node[known]
-        pair, rank = self.followers.find(node, w3[known])
-        out[known] = np.where(pair >= 0, self.p2[pair], out[known] + self.leave[node])
-        context, _ = self.contexts.find(node, w1[known])
-        inside = np.flatnonzero(context >= 0)
-        out[known[inside]] += self.leave2[context[inside]]
-        both = inside[pair[inside] >= 0]
-        gram, _ = self.grams.find(context[both], rank[both])
-        out[known[both[gram >= 0]]] = self.p3[gram[gram >= 0]]
-        return out
+        leave[known] = self.leave[node[known]]
+        pair, _ = self.followers.find(node[known], follower[known])
+        p[known[pair >= 0]] = self.p[pair[pair >= 0]]
+        return p, leave
+
+    def trigrams(self, before: np.ndarray, word: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of trigrams, codes that their contexts leave; UNSEEN for others), by ascending word."""
+        p, leave = np.full(len(word), UNSEEN, np.uint16), np.full(len(word), UNSEEN, np.uint16)
+        node = self._along(word, self._node)
+        known = np.flatnonzero(node >= 0)
+        context, _ = self.contexts.find(node[known], before[known])
+        known, context = known[context >= 0], context[context >= 0]
+        leave[known] = self.leave[context]
+        pair, rank = self.followers.find(node[known], follower[known])
+        known, context, rank = known[pair >= 0], context[pair >= 0], rank[pair >= 0]
+        gram, _ = self.grams.find(context, rank)
+        p[known[gram >= 0]] = self.p[gram[gram >= 0]]
+        return p, leave

@@ -1,4 +1,4 @@
-"""Language-model scoring: Witten-Bell trigrams in Elias-Fano tries, a trie per shard of middle words."""
+"""Language-model scoring: Witten-Bell trigrams in Elias-Fano tries, a trie per shard of contexts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import uuid
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import textvec as tv
-from .common import bucketed, forget, give_back, map_arrow, ship_package, table, written
-from .eliasfano import STEPS, EliasFano, Lists, Trie, codes
+from .common import bucketed, give_back, map_arrow, ship_package, table, written
+from .eliasfano import EliasFano, Lists, Trie, codes, values
 
 U = np.uint64
 START, END, UNKNOWN, FIRST = 0, 1, 2, 3
 BLOCK_BYTES = 8 << 20
-#: About so many words of blocks, or trigrams of blocks, go to one task's group.
+#: About so many distinct words of blocks, or distinct pairs and trigrams of blocks, go to one task's group.
 SHARD_WORDS, SHARD_GRAMS = 2_000_000, 1 << 20
 
 
@@ -139,10 +140,10 @@ def _count_words(shards: int, hot: int):
 
 
 class _Text:
-    """A block's tokens with the ids and counts of its words, and its trigrams."""
+    """A block's tokens with the ids and counts of its words."""
 
     def __init__(self, data: bytes, replies: list[bytes] | None, n_ends: int) -> None:
-        names, tokens, self.ends, self.train = unpack(data)
+        _, tokens, self.ends, self.train = unpack(data)
         known = [unpack(r) for r in replies or []]
         # Places of the block's words: START, END and UNKNOWN before its own.
         self.ids = np.concatenate([[START, END, UNKNOWN], *[k[0] for k in known]]).astype(np.int64)
@@ -156,218 +157,248 @@ class _Text:
         self.w2 = np.where(first, START, np.append(START, self.w3[:-1]))
         second = first | np.append(False, first[:-1])
         self.w1 = np.where(second, START, np.append([START, START], self.w3)[: len(self.w3)])
-
-
-class _Hot:
-    """What is more frequent than a shard holds: middle words, dealt to parts by the word before, and contexts (a word and
-    the one before it), dealt by block. Their bigrams and trigrams, added up first, go to all of their parts."""
-
-    def __init__(self, words: dict[int, int], contexts: dict[tuple[int, int], int]) -> None:
-        self.words = np.array(sorted(words), np.int64)
-        self.word_parts = np.array([words[i] for i in self.words.tolist()], np.int64)
-        self.contexts = contexts
-        w1, w2 = (np.array([c[k] for c in contexts], np.int64) for k in (0, 1))
-        order = np.argsort(keys := self._key(w1, w2))
-        self.keys, self.context_parts = keys[order], np.array(list(contexts.values()), np.int64)[order]
-
-    @staticmethod
-    def _key(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return tv.mix(w1.astype(U) + tv.mix(w2.astype(U) + U(1)))
-
-    @staticmethod
-    def _parts(sorted_values: np.ndarray, parts: np.ndarray, x: np.ndarray) -> np.ndarray:
-        if not len(sorted_values):
-            return np.ones(len(x), np.int64)
-        at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-        return np.where(sorted_values[at] == x, parts[at], 1)
-
-    def is_context(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return np.isin(self._key(w1, w2), self.keys)
-
-    def shard(self, w1: np.ndarray, w2: np.ndarray, block: np.ndarray | int, shards: int) -> np.ndarray:
-        key = self._key(w1, w2)
-        by_word = (tv.mix(w1.astype(U) + U(1)) >> U(32)) % self._parts(self.words, self.word_parts, w2).astype(U)
-        of_context = self._parts(self.keys, self.context_parts, key)
-        salt = np.where(of_context > 1, key + np.asarray(block % of_context).astype(U), by_word)
-        return (((tv.mix(w2.astype(U) + tv.mix(salt)) >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
-
-    def shards_of_context(self, w1: int, w2: int, shards: int) -> np.ndarray:
-        n = self.contexts[w1, w2]
-        return np.unique(self.shard(np.full(n, w1), np.full(n, w2), np.arange(n), shards))
-
-    def shards_of_word(self, w2: int, shards: int) -> np.ndarray:
-        n = int(self.word_parts[np.searchsorted(self.words, w2)])
-        salts = np.arange(n, dtype=U)
-        own = (((tv.mix(U(w2) + tv.mix(salts)) >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
-        return np.unique(np.concatenate([own, *[self.shards_of_context(a, b, shards) for a, b in self.contexts if b == w2]]))
-
-
-def _ask_grams(shards: int, n_ends: int, base, hot: _Hot):
-    """Of each block: per shard the distinct trigrams that have a known middle word, how often training texts hold them,
-    and where they occur; with one of these rows, what the block's texts have without them."""
+        self.trained = self.train[self.doc]
+
+
+def _key(*ids: np.ndarray) -> np.ndarray:
+    """One number of several; the same for the same ones."""
+    key = np.zeros(len(ids[0]), U)
+    for x in ids:
+        key = tv.mix(key * U(31) + np.asarray(x).astype(U))
+    return key
+
+
+class _Split:
+    """Contexts with more occurrences than a shard holds: they are dealt by their successors. What each shard says of its
+    part (occurrences and distinct successors) gives the context's sums, and by them the parts' probabilities their due."""
+
+    def __init__(self, contexts: dict[tuple[int, ...], int], limit: int, width: int) -> None:
+        self.keys = _key(*np.array(list(contexts), np.int64).reshape(-1, width).T)
+        order = np.argsort(self.keys)
+        self.keys, self.parts = self.keys[order], np.array([-(-n // limit) for n in contexts.values()], np.int64)[order]
+        self.pieces = self.wholes = np.empty(0, U)
+
+    def parts_of(self, *context: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(context[0]), np.int64)
+        key = _key(*context)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.parts[at], 1)
+
+    def settle(self, rows: list[tuple]) -> _Split:
+        """rows: (context, shard, occurrences, distinct successors) of all parts."""
+        if rows:
+            of = np.array([r[0] for r in rows], np.int64).T
+            shard, c, t = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+            self.wholes, context = np.unique(_key(*of), return_inverse=True)
+            all_c, all_t = np.bincount(context, c), np.bincount(context, t)
+            self.leave = all_t / (all_c + all_t)
+            pieces = _key(*of, shard)
+            order = np.argsort(pieces)
+            self.pieces, self.factor = pieces[order], ((c + t) / (all_c + all_t)[context])[order]
+        return self
+
+    def settled(self, p: np.ndarray, leave: np.ndarray, shard: np.ndarray, *context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities that shards gave, and what contexts leave (all of it, those that no training text has), of whole
+        contexts."""
+        p, leave = p.copy(), np.where(leave > 0, leave, 1.0)
+        for keys, values_, out, of in ((self.pieces, "factor", p, (*context, shard)), (self.wholes, "leave", leave, context)):
+            if len(keys):
+                some = np.flatnonzero(self.parts_of(*context) > 1)
+                key = _key(*[x[some] for x in of])
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                there = keys[at] == key
+                found = getattr(self, values_)[at[there]]
+                out[some[there]] = found * p[some[there]] if values_ == "factor" else found
+        return p, leave
+
+
+class _Grams:
+    """The distinct n-grams of a block that its shards are asked for, in the order of the shards."""
+
+    def __init__(self, columns: list[np.ndarray], of: np.ndarray, shard: np.ndarray, shards: int) -> None:
+        order = np.argsort(shard, kind="stable")
+        self.columns, self.shard = [c[order] for c in columns], shard[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.of = rank[of]  # of each token asked for
+        self.cuts = np.searchsorted(self.shard, np.arange(shards + 1))
+        self.some = np.flatnonzero(np.diff(self.cuts))
+
+    def requests(self, ids: np.ndarray, trained: np.ndarray) -> list[bytes]:
+        n = np.bincount(self.of, trained, len(self.shard)).astype(np.int32)
+        out = []
+        for s in self.some:
+            a, b = self.cuts[s], self.cuts[s + 1]
+            words, place = np.unique(np.concatenate([c[a:b] for c in self.columns]), return_inverse=True)
+            out.append(pack(ids[words], *place.astype(np.int32).reshape(len(self.columns), -1), n[a:b]))
+        return out
+
+    def answers(self, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(probability, what the context leaves) of each n-gram, as its shard sees it."""
+        said = [unpack(r) for r in replies or []]
+        p, leave = (np.concatenate([np.empty(0, np.uint16), *[x[k].view(np.uint16) for x in said]]) for k in (0, 1))
+        return values(p), values(leave)
+
+
+@dataclass
+class _Plan:
+    """What every pass over the blocks needs."""
+
+    n_ends: int
+    tokens: int  # of all training texts
+    vocabulary: int
+    shards: int
+    words: _Split
+    contexts: _Split | None = None
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return (c + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
+
+    def pairs(self, t: _Text) -> tuple[np.ndarray, _Grams]:
+        """(tokens after a known word, their pairs)."""
+        there = t.counts > 0
+        there[START] = self.n_ends > 0
+        at = np.flatnonzero(there[t.w2])
+        x, y, of = _distinct_pairs(t.w2[at], t.w3[at])
+        parts = self.words.parts_of(t.ids[x])
+        salt = np.where(parts > 1, tv.mix(t.ids[y].astype(U) + U(1)) % parts.astype(U), U(0))
+        shard = (((_key(t.ids[x], salt) >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64)
+        return at, _Grams([x, y], of, shard, self.shards)
+
+    def after_pairs(self, t: _Text, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each token after the word before it, whether training texts hold that pair)."""
+        p = self.base(t.counts)[t.w3]
+        seen = np.zeros(len(p), bool)
+        at, grams = self.pairs(t)
+        of_pair, leave = self.words.settled(*grams.answers(replies), grams.shard, t.ids[grams.columns[0]])
+        seen[at] = of_pair[grams.of] > 0
+        p[at] = of_pair[grams.of] + leave[grams.of] * p[at]
+        return p, seen
+
+    def trigrams(self, t: _Text, seen: np.ndarray) -> tuple[np.ndarray, _Grams]:
+        """(tokens after a known pair, their trigrams)."""
+        starts = np.diff(t.doc, prepend=-1) > 0
+        known = np.where(starts, self.n_ends > 0, np.append(False, seen[:-1]))
+        at = np.flatnonzero(known)
+        w2, w1, context = _distinct_pairs(t.w2[at], t.w1[at])
+        context, w3, of = _distinct_pairs(context, t.w3[at])
+        w1, w2 = w1[context], w2[context]
+        parts, split = self.words.parts_of(t.ids[w2]), self.contexts.parts_of(t.ids[w1], t.ids[w2])
+        salt = np.where(parts > 1, tv.mix(t.ids[w1].astype(U) + U(1)) % parts.astype(U), U(0))
+        salt = salt + np.where(split > 1, _key(t.ids[w1]) + tv.mix(t.ids[w3].astype(U) + U(1)) % split.astype(U), U(0))
+        shard = (((_key(t.ids[w2], salt) >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64)
+        return at, _Grams([w1, w2, w3], of, shard, self.shards)
+
+    def after_trigrams(self, t: _Text, p: np.ndarray, seen: np.ndarray, replies: list[bytes] | None) -> np.ndarray:
+        at, grams = self.trigrams(t, seen)
+        of_gram, leave = self.contexts.settled(*grams.answers(replies), grams.shard, t.ids[grams.columns[0]], t.ids[grams.columns[1]])
+        p = p.copy()
+        p[at] = of_gram[grams.of] + leave[grams.of] * p[at]
+        return p
+
+
+def _ask(work):
+    """Rows (shard, block, data) of what work(text, row) asks the shards for."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("block", "data", "replies")}
-                t = _Text(row["data"], row["replies"], n_ends)
-                docs = len(t.ends)
-                base_log, p1 = base(t.counts)
-                n_tokens = np.bincount(t.doc, minlength=docs)
-                n_known = np.bincount(t.doc, t.counts[t.w3] > 0, docs).astype(np.int64)
-                of_base = np.bincount(t.doc, base_log[t.w3], docs)
-                alone = t.w2 == UNKNOWN
-                done = np.bincount(t.doc[alone], p1[t.w3[alone]], docs).astype(np.int64)
-                stats = pack(t.train, n_tokens, n_known, of_base.view(np.int64), done)
-                sent = np.flatnonzero(~alone)
-                l2, l1, pair = _distinct_pairs(t.w2[sent], t.w1[sent])
-                pair, l3, of = _distinct_pairs(pair, t.w3[sent])
-                l2, l1 = l2[pair], l1[pair]
-                n = np.bincount(of, minlength=len(l3))
-                trained = np.bincount(of, t.train[t.doc[sent]], len(l3)).astype(np.int32)
-                shard = hot.shard(t.ids[l1], t.ids[l2], row["block"], shards)
-                order = np.argsort(shard, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                docs_of = t.doc[sent][np.argsort(rank[of], kind="stable")].astype(np.int32)
-                upto = np.append(0, np.cumsum(n[order]))
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                blobs = []
-                for s in some:
-                    a, b = cuts[s], cuts[s + 1]
-                    these = order[a:b]
-                    words, place = np.unique(np.concatenate([l1[these], l2[these], l3[these]]), return_inverse=True)
-                    blobs.append(pack(t.ids[words], t.counts[words], *place.astype(np.int32).reshape(3, -1), trained[these], n[these].astype(np.int32), docs_of[upto[a] : upto[b]]))
-                if not blobs:
-                    some, blobs = [row["block"] % shards], [None]
-                m = len(blobs)
-                ids = batch.column("ids").slice(k, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some, pa.int32()),
-                        pa.array([row["block"]] * m),
-                        pa.array(blobs, pa.binary()),
-                        pa.array([docs] * m, pa.int32()),
-                        pa.array([stats] + [None] * (m - 1), pa.binary()),
-                        pa.concat_arrays([ids, pa.nulls(m - 1, ids.type)]) if m > 1 else ids,
-                    ],
-                    ["shard", "block", "data", "docs", "stats", "ids"],
-                )
+            for row in batch.to_pylist():
+                grams, ids, trained = work(row)
+                data = pa.array(grams.requests(ids, trained), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(grams.some, pa.int32()), pa.array(np.full(len(data), row["block"])), data], ["shard", "block", "data"])
+                give_back()
 
     return ask
 
 
-def _hot_pairs(n_ends: int, hot: _Hot):
-    """(w2, w3, count of w3, occurrences) of the block's training bigrams behind hot words."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, replies in zip(batch.column("data").to_pylist(), batch.column("replies").to_pylist()):
-                t = _Text(data, replies, n_ends)
-                some = np.flatnonzero(np.isin(t.ids[t.w2], hot.words) & (t.train[t.doc] > 0))
-                a, b, of = _distinct_pairs(t.w2[some], t.w3[some])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t.ids[a], t.ids[b], t.counts[b], np.bincount(of, minlength=len(a)))], ["w2", "w3", "c3", "n"])
-
-    return pairs
+def pair_trie(word: np.ndarray, follower: np.ndarray, n: np.ndarray) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray]:
+    """(trie of distinct pairs that occur n times, ascending; the words, their occurrences and distinct successors).
 
+    Witten-Bell: p(w | h) = (c(h w) + t(h) p(w | shorter h)) / (c(h) + t(h)), t counting the distinct words after h; the
+    trie has c(h w) / (c(h) + t(h)) of the pair and t(h) / (c(h) + t(h)) of the word."""
+    words, at = np.unique(word, return_inverse=True)
+    c, t = np.bincount(at, n, len(words)), np.bincount(at, minlength=len(words))
+    return Trie(EliasFano.of(words), Lists.of(t, follower), codes(n / (c + t)[at]), codes(t / (c + t))), words, c, t
 
-def _hot_grams(n_ends: int, hot: _Hot):
-    """(w1, w2, w3, count of w3, occurrences) of the block's training trigrams behind hot contexts."""
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, replies in zip(batch.column("data").to_pylist(), batch.column("replies").to_pylist()):
-                t = _Text(data, replies, n_ends)
-                some = np.flatnonzero(hot.is_context(t.ids[t.w1], t.ids[t.w2]) & (t.train[t.doc] > 0))
-                a, b, pair = _distinct_pairs(t.w1[some], t.w2[some])
-                pair, c, of = _distinct_pairs(pair, t.w3[some])
-                columns = t.ids[a[pair]], t.ids[b[pair]], t.ids[c], t.counts[c], np.bincount(of, minlength=len(c))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["w1", "w2", "w3", "c3", "n"])
-
-    return grams
-
-
-def build(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray, p1: np.ndarray, pairs: tuple[np.ndarray, ...] | None = None) -> Trie:
-    """The trie of trigrams (numbers of words, with repeats) that occur n times; p1: every word's own probability, by number.
-
-    Witten-Bell: p(w | h) = (c(h w) + t(h) p(w | shorter h)) / (c(h) + t(h)), t counting the distinct words after h.
-    pairs: (w2, w3, n) of all bigrams of the middle words that have only some of their trigrams here."""
-    none = np.empty(0, np.int32)
-    q2, q3, qn = pairs or (none, none, none)
-    words, at = np.unique(np.append(w2, q2), return_inverse=True)
-    b2, b3, of = _distinct_pairs(at, np.append(w3, q3))
-    partly = np.zeros(len(p1), bool)
-    partly[q2] = True
-    bigrams = np.bincount(of, np.append(np.where(partly[w2], 0, n), qn), len(b2))
-    total, kinds = np.bincount(b2, bigrams, len(words)), np.bincount(b2, minlength=len(words))
-    p2 = (bigrams + kinds[b2] * p1[b3]) / (total + kinds)[b2]
+def trigram_trie(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(trie of distinct trigrams, ascending by w2, w1, w3, that occur n times; w1 and w2 of the contexts, their
+    occurrences and distinct successors); as pair_trie()."""
+    words, at = np.unique(w2, return_inverse=True)
+    f2, f3, of = _distinct_pairs(at, w3)
+    kinds = np.bincount(f2, minlength=len(words))
     first = np.append(0, np.cumsum(kinds))
-    c2, c1, context = _distinct_pairs(at[: len(w2)], w1)
-    g, pair, gram = _distinct_pairs(context, of[: len(w2)])
-    times = np.bincount(gram, n, len(g))
-    total_c, kinds_c = np.bincount(g, times, len(c2)), np.bincount(g, minlength=len(c2))
-    p3 = (times + kinds_c[g] * p2[pair]) / (total_c + kinds_c)[g]
-    return Trie(
-        EliasFano.of(words), Lists.of(kinds, b3), Lists.of(np.bincount(c2, minlength=len(words)), c1), Lists.of(kinds_c, pair - first[c2[g]]),
-        codes(kinds / (total + kinds)), codes(p2), codes(kinds_c / (total_c + kinds_c)), codes(p3),
+    c2, c1, context = _distinct_pairs(at, w1)
+    c, t = np.bincount(context, n, len(c2)), np.bincount(context, minlength=len(c2))
+    trie = Trie(
+        EliasFano.of(words), Lists.of(kinds, f3), codes(n / (c + t)[context]), codes(t / (c + t)),
+        Lists.of(np.bincount(c2, minlength=len(words)), c1), Lists.of(t, of - first[c2[context]]),
     )
+    return trie, c1, words[c2], c, t
 
 
-def _answer_grams(probability, hot: _Hot):
-    """Of a shard of trigrams: its trie from what training texts hold, then each block's texts' sums of codes through it."""
+def _answer(order: int, plan: _Plan, limit: int):
+    """Of a shard: the trie of what training texts hold, then each block's n-grams through it, and a row of what others need
+    to know: split contexts' parts and, of pairs, those with more occurrences than a shard holds."""
 
     def answer(group: pa.Table) -> pa.Table:
-        blocks = group.filter(pc.is_valid(group.column("block")))
-        sides = [unpack(d) for d in group.filter(pc.is_null(group.column("block"))).column("data").to_pylist()]
-        empty = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.int32)] * 6
-        asked = [unpack(d) if d is not None else empty for d in blocks.column("data").to_pylist()]
-        # The shard's words are numbered; the trie's first level is of these numbers.
-        ids = np.unique(np.concatenate([np.empty(0, np.int64), *[a[0] for a in asked], *[x for s in sides for x in s[:-2]]]))
-        number = lambda x: np.searchsorted(ids, x).astype(np.int32)
-        counts = np.zeros(len(ids), np.int64)
-        for some, c in [(a[0], a[1]) for a in asked] + [(s[-3], s[-2]) for s in sides]:
-            counts[number(some)] = c
-        w1, w2, w3 = (np.concatenate([np.empty(0, np.int32), *[number(a[0])[a[k]] for a in asked]]) for k in (2, 3, 4))
-        trained = np.concatenate([np.empty(0, np.int32), *[a[5] for a in asked]])
-        p1 = probability(counts)
-        code = codes(p1)
-        known = np.flatnonzero(trained)
-        if len(known) or sides:
-            rows = w1[known], w2[known], w3[known], trained[known]
-            pairs, whole = ([np.concatenate(x) for x in zip(*[s for s in sides if len(s) == n])] for n in (4, 5))
-            if whole:
-                some = ~hot.is_context(ids[rows[0]], ids[rows[1]])
-                rows = [np.append(x[some], y) for x, y in zip(rows, [*map(number, whole[:3]), whole[4]])]
-            trie = Trie.mapped(build(*rows, p1, (number(pairs[0]), number(pairs[1]), pairs[3]) if pairs else None).tobytes())
-            del rows
-            step = 1 << 18
-            scored = [trie.score(*(w[a : a + step].astype(np.int64) for w in (w1, w2, w3)), code[w3[a : a + step]]).astype(np.int32) for a in range(0, len(w1), step)]
-            code = np.concatenate([np.empty(0, np.int32), *scored])
-        else:
-            code = code[w3]
-        del w1, w2, w3
-        cuts = np.append(0, np.cumsum([len(a[2]) for a in asked], dtype=np.int64)).tolist()
-        sums = [
-            pack(np.bincount(a[7], np.repeat(code[i:j], a[6]), docs).astype(np.int64)) if j > i else None
-            for a, i, j, docs in zip(asked, cuts, cuts[1:], blocks.column("docs").to_pylist())
-        ]
+        shard = group.column("shard")[0].as_py()
+        asked = [unpack(d) for d in group.column("data").to_pylist()]
+        # The shard's words are numbered; the trie is of these numbers.
+        ids = np.unique(np.concatenate([a[0] for a in asked]))
+        columns = [np.concatenate([np.searchsorted(ids, a[0]).astype(np.int32)[a[1 + k]] for a in asked]) for k in range(order)]
+        n = np.concatenate([a[-1] for a in asked])
+        cuts = np.append(0, np.cumsum([len(a[-1]) for a in asked])).tolist()
         del asked
+        if order == 2:
+            x, y, of = _distinct_pairs(*columns)
+            n = np.bincount(of, n, len(x)).astype(np.int64)
+            known = np.flatnonzero(n)
+            trie, *context, c, t = pair_trie(x[known], y[known], n[known])
+            much = known[n[known] > limit]
+            hot = list(zip(ids[x[much]].tolist(), ids[y[much]].tolist(), n[much].tolist(), [-1] * len(much)))
+            split = np.flatnonzero(plan.words.parts_of(ids[context[0]]) > 1) if len(known) else []
+            hot += [(int(ids[context[0][k]]), -1, int(c[k]), int(t[k])) for k in split]
+            p, leave = Trie.mapped(trie.tobytes()).pairs(x, y)
+            runs = [x]
+        else:
+            y, x, of = _distinct_pairs(columns[1], columns[0])
+            context, z, gram = _distinct_pairs(of, columns[2])
+            x, y, of = x[context], y[context], gram
+            n = np.bincount(of, n, len(x)).astype(np.int64)
+            known = np.flatnonzero(n)
+            trie, *context, c, t = trigram_trie(x[known], y[known], z[known], n[known])
+            split = np.flatnonzero(plan.contexts.parts_of(ids[context[0]], ids[context[1]]) > 1) if len(known) else []
+            hot = [(int(ids[context[0][k]]), int(ids[context[1][k]]), int(c[k]), int(t[k])) for k in split]
+            p, leave = Trie.mapped(trie.tobytes()).trigrams(x, y, z)
+        replies = [pack(p[of[a:b]].view(np.int16), leave[of[a:b]].view(np.int16)) for a, b in zip(cuts, cuts[1:])]
+        del columns, of, p, leave, trie
         give_back()
-        return pa.table({"block": blocks.column("block"), "sums": pa.array(sums, pa.binary()), "stats": blocks.column("stats"), "ids": blocks.column("ids")})
+        some = pa.array([None] * len(replies) + [[dict(zip(("a", "b", "n", "t"), h)) for h in hot]], pa.list_(pa.struct([(f, pa.int64()) for f in ("a", "b", "n", "t")])))
+        return pa.table({"shard": pa.array([shard] * (len(replies) + 1), pa.int32()), "block": pa.array([*group.column("block").to_pylist(), None], pa.int64()), "reply": pa.array([*replies, None], pa.binary()), "hot": some})
 
     return answer
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            train, n_tokens, n_known, base, codes_ = unpack(batch.column("stats")[k].as_py())
-            codes_ = sum([unpack(s)[0] for s in batch.column("sums")[k].as_py()], codes_)
-            ids = batch.column("ids").slice(k, 1).flatten()
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(train > 0), pa.array(n_tokens), pa.array(n_known), pa.array(base.view(float)), pa.array(-codes_ / STEPS)], ["id", "train", "n_tokens", "n_known", "base_score", "score"]
-            )
+def _totals(plan: _Plan):
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, row in enumerate(batch.select(["data", "replies", "replies2", "replies3"]).to_pylist()):
+                t = _Text(row["data"], row["replies"], plan.n_ends)
+                docs = len(t.ends)
+                of_base = np.log10(plan.base(t.counts))[t.w3]
+                p, seen = plan.after_pairs(t, row["replies2"])
+                p = plan.after_trigrams(t, p, seen, row["replies3"])
+                total = lambda x: pa.array(np.bincount(t.doc, x, docs))  # noqa: B023, E731
+                n_known = np.bincount(t.doc, t.counts[t.w3] > 0, docs).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("ids").slice(k, 1).flatten(), pa.array(t.train > 0), pa.array(np.bincount(t.doc, minlength=docs)), pa.array(n_known), total(of_base), total(np.log10(p))],
+                    ["id", "train", "n_tokens", "n_known", "base_score", "score"],
+                )
+                give_back()
+
+    return totals
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS, shard_grams: int = SHARD_GRAMS) -> DataFrame:
@@ -378,76 +409,57 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     null `train` is false. Rows count as often as they are repeated. Without training rows every token has the base's
     probability. No rows, no result; other columns don't matter. Words go by a 64-bit hash.
 
-    Texts become blocks of 8 MB, written once with their words numbered, in buckets, so that what shards answer goes to them. A block asks every shard of words for ids and
-    counts, then every shard of middle words for its trigrams: a shard's task counts those of the training texts, maps
-    their trie and returns one sum per text. A block asks once for all that its texts have in common, so a frequent
-    trigram is a row per block. A middle word with more occurrences than a shard holds is split by the word before it,
-    a pair of words with as many by block; their bigrams and trigrams, added up first, go to all their parts. Nothing is
-    dropped, however rare.
-    """
+    Texts become blocks of 8 MB, written once with their words numbered, in buckets, so that answers alone are dealt to
+    them. A block asks shards of words for ids and counts, shards of words for the pairs that follow them, and shards of
+    pairs for the trigrams, each distinct n-gram once, together with its number in the block's training texts. A shard's
+    task counts them, maps their trie and answers through it. A word or pair with more occurrences than a shard holds is
+    dealt by what follows it; there are no more of these than shards, and their parts' sums go to all blocks. Nothing is
+    dropped, however rare."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
     blocks = bucketed(map_arrow(rows, _blocks, f"block long, ids array<{kind}>, data binary, n_words long, n_tokens long, n_train long"), "blocks", "block")
     n_words, n_tokens, n_ends = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first())
     word_shards, gram_shards = max(1, -(-n_words // shard_words)), max(1, -(-n_tokens // shard_grams))
+    ship_package(spark)
     asked = map_arrow(blocks.select("block", "data"), _ask_words(word_shards), "shard int, block long, data binary")
     counted = asked.groupBy("shard").applyInArrow(_count_words(word_shards, shard_grams), "shard int, block long, reply binary, total long, known long, hot array<struct<id: long, n: long>>")
     counted = written(counted, "words")
     n, v = (x or 0 for x in counted.agg(F.sum("total"), F.sum("known")).first())
-    n, v = n + n_ends, v + (n_ends > 0)
-    # A hot word has more than shard_grams occurrences, so there are no more of them than shards.
-    words = {r["id"]: r["n"] for r in counted.where("size(hot) > 0").select(F.explode("hot").alias("h")).select("h.*").collect()}
-    words |= {START: n_ends} if n_ends > shard_grams else {}
-    hot = _Hot({i: -(-c // shard_grams) for i, c in words.items()}, {})
-
-    def probability(c: np.ndarray) -> np.ndarray:
-        return (c + 0.5) / (n + 0.5 * (v + 1))
-
-    def base(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = probability(c)
-        return np.log10(p), codes(p)
-
-    replies = counted.where("block is not null").groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "reply"))), lambda r: r["reply"]).alias("replies"))
-    known = blocks.select("block", "ids", "data").join(replies, "block", "left")
-    ship_package(spark)
-    sides = None
-    if words:
-        hot, sides = _sides(known, n_ends, hot, gram_shards, shard_grams, word_shards)
-    grams = map_arrow(known, _ask_grams(gram_shards, n_ends, base, hot), f"shard int, block long, data binary, docs int, stats binary, ids array<{kind}>")
-    if sides is not None:
-        grams = grams.unionByName(sides, allowMissingColumns=True)
-    answers = grams.groupBy("shard").applyInArrow(_answer_grams(probability, hot), f"block long, sums binary, stats binary, ids array<{kind}>")
-    whole = answers.groupBy("block").agg(F.collect_list("sums").alias("sums"), F.first("stats", ignorenulls=True).alias("stats"), F.first("ids", ignorenulls=True).alias("ids"))
-    out = map_arrow(whole, _totals, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
-
-
-def _sides(known: DataFrame, n_ends: int, hot: _Hot, shards: int, most: int, pieces: int) -> tuple[_Hot, DataFrame]:
-    """(hot with its contexts, rows (shard, data) with all bigrams of hot words and all trigrams of hot contexts, for each
-    of the shards that have a part of them)."""
-    of = lambda columns, work: map_arrow(known.select("data", "replies"), work, "".join(f"{c} long, " for c in columns) + "c3 long, n long").groupBy(*columns).agg(F.first("c3").alias("c3"), F.sum("n").alias("n"))
-    pairs = written(of(["w2", "w3"], _hot_pairs(n_ends, hot)), "hot_pairs")
-    # A context's count is that of its two words as a bigram, the first of which is hot then.
-    contexts = {(r["w2"], r["w3"]): -(-r["n"] // most) for r in pairs.where(F.col("n") > most).collect()}
-    contexts |= {(START, START): -(-n_ends // most)} if START in hot.words else {}
-    hot = _Hot(dict(zip(hot.words.tolist(), hot.word_parts.tolist())), contexts)
-
-    def packed(columns: list[str], to):
-        def pack_group(group: pa.Table) -> pa.Table:
-            shards_of = to(group)
-            data = pack(*[group.column(c).to_numpy() for c in (*columns, "c3", "n")])
-            return pa.table({"shard": pa.array(shards_of, pa.int32()), "data": pa.array([data] * len(shards_of), pa.binary())})
-
-        return pack_group
-
-    value = lambda group, c: group.column(c)[0].as_py()
-    piece = F.pmod(F.xxhash64("w3"), F.lit(pieces)).alias("piece")
-    sides = pairs.groupBy("w2", piece).applyInArrow(packed(["w2", "w3"], lambda g: hot.shards_of_word(value(g, "w2"), shards)), "shard int, data binary")
-    if contexts:
-        grams = of(["w1", "w2", "w3"], _hot_grams(n_ends, hot))
-        sides = sides.unionByName(grams.groupBy("w1", "w2", piece).applyInArrow(packed(["w1", "w2", "w3"], lambda g: hot.shards_of_context(value(g, "w1"), value(g, "w2"), shards)), "shard int, data binary"))
-    return hot, sides
+    hot = {(r["id"],): r["n"] for r in counted.where("size(hot) > 0").select(F.explode("hot").alias("h")).select("h.*").collect()}
+    hot |= {(START,): n_ends} if n_ends > shard_grams else {}
+    plan = _Plan(n_ends, n + n_ends, v + (n_ends > 0), gram_shards, _Split(hot, shard_grams, 1))
+
+    def with_replies(table_: DataFrame, replies: DataFrame, name: str) -> DataFrame:
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("shard", "reply"))), lambda r: r["reply"])
+        return table_.join(replies.where("block is not null").groupBy("block").agg(ordered.alias(name)), "block", "left")
+
+    def through_shards(asked: DataFrame, order: int) -> tuple[DataFrame, list]:
+        said = asked.groupBy("shard").applyInArrow(_answer(order, plan, shard_grams), "shard int, block long, reply binary, hot array<struct<a: long, b: long, n: long, t: long>>")
+        said = written(said, f"answers{order}")
+        return said, said.where("size(hot) > 0").select("shard", F.explode("hot").alias("h")).select("shard", "h.*").collect()
+
+    def of_pairs(row: dict) -> tuple[_Grams, np.ndarray, np.ndarray]:
+        t = _Text(row["data"], row["replies"], plan.n_ends)
+        at, grams = plan.pairs(t)
+        return grams, t.ids, t.trained[at]
+
+    def of_trigrams(row: dict) -> tuple[_Grams, np.ndarray, np.ndarray]:
+        t = _Text(row["data"], row["replies"], plan.n_ends)
+        at, grams = plan.trigrams(t, plan.after_pairs(t, row["replies2"])[1])
+        return grams, t.ids, t.trained[at]
+
+    known = with_replies(blocks, counted, "replies")
+    pairs, hot = through_shards(map_arrow(known.select("block", "data", "replies"), _ask(of_pairs), "shard int, block long, data binary"), 2)
+    plan.words.settle([((r.a,), r.shard, r.n, r.t) for r in hot if r.t >= 0])
+    contexts = {(r.a, r.b): r.n for r in hot if r.t < 0}
+    contexts |= {(START, START): n_ends} if n_ends > shard_grams else {}
+    plan.contexts = _Split(contexts, shard_grams, 2)
+    known = with_replies(known, pairs, "replies2")
+    trigrams, hot = through_shards(map_arrow(known.select("block", "data", "replies", "replies2"), _ask(of_trigrams), "shard int, block long, data binary"), 3)
+    plan.contexts.settle([((r.a, r.b), r.shard, r.n, r.t) for r in hot])
+    out = map_arrow(with_replies(known, trigrams, "replies3"), _totals(plan), f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(plan.tokens).cast("long"))
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
