@@ -93,3 +93,57 @@ def merged(topics: DataFrame, threshold: float = 0.85) -> DataFrame:
     groups = of.join(canonical, "community").groupBy("community").agg(F.first("canonical").alias("canonical"), ranked.alias("ranked")).select("community", "canonical", union("keywords").alias("k"), union("source_ids").alias("s"))
     own = F.col("id") == F.col("canonical")
     return of.join(groups, "community").select("id", "canonical", F.when(own, F.col("k")).alias("keywords"), F.when(own, F.col("s")).alias("source_ids"))
+
+
+MATCH_ROWS = 4_096
+
+
+def best_matches(left: DataFrame, right: DataFrame, threshold: float, general=None) -> DataFrame:
+    """(id, best, score, specific, specific_score, matches) of every row of left (id, vector) against all rows of right (key,
+    vector): the key of the greatest cosine, of equal ones the smallest; the same among keys other than `general`; and how
+    many keys have a cosine of threshold or more. Null, empty and zero vectors match nothing: such rows of left have nulls
+    and 0. ids and keys are unique; all vectors have one width.
+
+    Both sides are cut into blocks of 4,096 rows, and every block of one meets every block of the other in a group of its
+    own by one matrix product, which returns a row per left row. No side is broadcast, and no pair leaves its group."""
+    lk, rk = left.schema["id"].dataType.simpleString(), right.schema["key"].dataType.simpleString()
+    good = lambda d: d.where("size(vector) > 0").withColumn("vector", F.col("vector").cast("array<double>"))
+    blocks = lambda d: max(1, -(-d.count() // MATCH_ROWS))
+    n_left, n_right = blocks(left), blocks(right)
+    none = lambda kind: F.lit(None).cast(kind)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = good(left).select(own("id", n_left).alias("i"), every(n_right).alias("j"), "id", none(rk).alias("key"), "vector")
+    dealt = dealt.unionByName(good(right).select(every(n_left).alias("i"), own("key", n_right).alias("j"), none(lk).alias("id"), "key", "vector"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        id_type, key_type = group.schema.field("id").type, group.schema.field("key").type
+        names = ["id", "best", "score", "specific", "specific_score", "matches"]
+        types = [id_type, key_type, pa.float64(), key_type, pa.float64(), pa.int64()]
+        is_left = np.asarray(group.column("id").is_valid())
+        ids, keys = (group.column(c).filter(pa.array(m)).to_pylist() for c, m in (("id", is_left), ("key", ~is_left)))
+        if not ids or not keys:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        x = np.array(group.column("vector").to_pylist())
+        length = np.linalg.norm(x, axis=1)
+        x = x / np.where(length > 0, length, np.nan)[:, None]
+        order = sorted(range(len(keys)), key=lambda k: keys[k])  # argmax gives the first of equal ones
+        keys = [keys[k] for k in order]
+        cosine = x[is_left] @ x[~is_left][order].T
+        cosine = np.where(np.isnan(cosine), -np.inf, cosine)
+        special = np.array([k != general for k in keys])
+        columns: list = [ids]
+        for c in (cosine, np.where(special, cosine, -np.inf)):
+            best = c.argmax(1)
+            score = c[np.arange(len(c)), best]
+            columns += [[keys[k] if s > -np.inf else None for k, s in zip(best.tolist(), score.tolist())], [s if s > -np.inf else None for s in score.tolist()]]
+        columns.append((cosine >= threshold).sum(1).tolist())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    ship_package(left.sparkSession)
+    part = dealt.groupBy("i", "j").applyInArrow(compare, f"id {lk}, best {rk}, score double, specific {rk}, specific_score double, matches long")
+    top = lambda key, score: F.min(F.when(F.col(key).isNotNull(), F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))))
+    found = part.groupBy("id").agg(top("best", "score").alias("b"), top("specific", "specific_score").alias("s"), F.sum("matches").alias("matches"))
+    return left.select("id").join(found, "id", "left").select(
+        "id", F.col("b.k").alias("best"), (-F.col("b.s")).alias("score"), F.col("s.k").alias("specific"), (-F.col("s.s")).alias("specific_score"), F.coalesce("matches", F.lit(0)).alias("matches")
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..adapters import cte, load
 from ..functions import routing as R
 from ..functions.numbers import places
+from ..operators.ranks import exact_quantiles, ordinal_ranks
 from ..registry import query
 
 EV, AR, FC = cte("events"), cte("articles"), cte("forecasts")
@@ -155,9 +156,10 @@ def _(spark, d):
 
 @query("a25_latency_percentiles", """select l_returnflag as k, quantile_cont(l_quantity, 0.5) as p50, quantile_cont(l_quantity, 0.95) as p95, quantile_cont(l_quantity, 0.99) as p99, avg(l_quantity) as mean from lineitem group by 1""")
 def _(spark, d):
-    p = F.percentile("l_quantity", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = load(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(p.alias("p"), F.avg("l_quantity").alias("mean"))
-    return g.select("k", *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "mean")
+    rows = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), "l_quantity")
+    q = exact_quantiles(rows, "k", "l_quantity", [0.5, 0.95, 0.99]).select(F.col("k").alias("_k"), F.col("q0").alias("p50"), F.col("q1").alias("p95"), F.col("q2").alias("p99"))
+    means = rows.groupBy("k").agg(F.avg("l_quantity").alias("mean"))
+    return means.join(q, F.col("k").eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def metrics(df: DataFrame, by: list[str], y: str, p: str, pred: str) -> DataFrame:
@@ -238,8 +240,8 @@ def _(spark, d):
 select category, count(*) as n, 1 - 6 * sum((a - b) * (a - b)) / (count(*)::double * (count(*) * count(*) - 1)) as rho from r group by 1 having count(*) >= 4""")
 def _(spark, d):
     e = load(spark, d, "events").where("sentiment is not null and intensity is not null")
-    rank = lambda c: F.row_number().over(Window.partitionBy("category").orderBy(c, "id"))
-    r = e.select("category", (rank("sentiment") - rank("intensity")).alias("x"))
+    e = e.select("category", "id", "sentiment", "intensity")
+    r = ordinal_ranks(ordinal_ranks(e, "category", ["sentiment", "id"], "a"), "category", ["intensity", "id"], "b").select("category", (F.col("a") - F.col("b")).alias("x"))
     g = r.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("long") * F.col("x")).alias("s")).where("n >= 4")
     return g.select("category", "n", (1 - 6 * F.col("s") / (F.col("n").cast("double") * (F.col("n") * F.col("n") - 1))).alias("rho"))
 
@@ -294,12 +296,26 @@ def _(spark, d):
     return r.withColumn("level", F.when(F.col("share") >= 0.92, 3).when(F.col("share") >= 0.75, 2).when(F.col("share") >= 0.25, 1).otherwise(0))
 
 
-@query("a41_a42_map_clusters", EV + """, g as (select floor(floor(latitude + 0.5) / 10)::bigint as y, floor(floor(longitude + 0.5) / 10)::bigint as x, category, count(*) as n, sum(latitude) as la, sum(longitude) as lo from events_ group by 1, 2, 3)
-select y, x, sum(n)::bigint as n, sum(la) / sum(n) as lat, sum(lo) / sum(n) as lon, arg_max(category, (n, category)) as dominant from g group by 1, 2""")
+#: Decimals by which the map's five zooms round.
+ZOOM_DECIMALS = (0, 1, 2, 3, 10)
+
+
+@query("a41_a42_map_clusters", EV + """, z as (select unnest([0, 1, 2, 3, 10]) as decimals), p as (select decimals, floor(latitude * 10::double ** decimals + 0.5)::bigint as y, floor(longitude * 10::double ** decimals + 0.5)::bigint as x, latitude, longitude, category, id from events_, z where latitude is not null and longitude is not null),
+g as (select decimals, y, x, category, count(*) as n, sum(latitude) as la, sum(longitude) as lo, min(id) as fst from p group by all)
+select decimals, y, x, sum(n)::bigint as n, sum(la) / sum(n) as lat, sum(lo) / sum(n) as lon, arg_max(category, (n, -fst)) as dominant, least(52, 30 + log2(sum(n) + 1) * 5)::double as size from g group by all""")
 def _(spark, d):
-    cell = lambda c: F.floor(F.floor(F.col(c) + 0.5) / 10)
-    g = load(spark, d, "events").groupBy(cell("latitude").alias("y"), cell("longitude").alias("x"), "category").agg(F.count("*").alias("n"), F.sum("latitude").alias("la"), F.sum("longitude").alias("lo"))
-    return g.groupBy("y", "x").agg(F.sum("n").alias("n"), (F.sum("la") / F.sum("n")).alias("lat"), (F.sum("lo") / F.sum("n")).alias("lon"), F.max_by("category", F.struct("n", "category")).alias("dominant"))
+    e = load(spark, d, "events").select("id", "latitude", "longitude", "category", F.explode(F.array(*map(F.lit, ZOOM_DECIMALS))).alias("decimals"))
+    return map_clusters(e)
+
+
+def map_clusters(points: DataFrame) -> DataFrame:
+    """Markers of points (id, latitude, longitude, category, decimals): one per cell of coordinates rounded half up to so many
+    decimals (points without both are left out), at the mean of its points, with their number, the category of most of them (of equal ones that of the first
+    id) and the marker's size in pixels."""
+    cell = lambda c: F.floor(F.col(c) * F.pow(F.lit(10.0), "decimals") + 0.5)
+    g = points.where("latitude is not null and longitude is not null").groupBy("decimals", cell("latitude").alias("y"), cell("longitude").alias("x"), "category").agg(F.count("*").alias("n"), F.sum("latitude").alias("la"), F.sum("longitude").alias("lo"), F.min("id").alias("first"))
+    c = g.groupBy("decimals", "y", "x").agg(F.sum("n").alias("n"), (F.sum("la") / F.sum("n")).alias("lat"), (F.sum("lo") / F.sum("n")).alias("lon"), F.max_by("category", F.struct("n", -F.col("first"))).alias("dominant"))
+    return c.withColumn("size", F.least(F.lit(52.0), 30 + F.log2(F.col("n") + 1) * 5))
 
 
 @query("a44_grouped_symbols", "select p_brand as grp, string_agg(p_name, ',' order by p_partkey) as symbols from part group by 1")

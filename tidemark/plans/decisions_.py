@@ -9,7 +9,7 @@ from ..adapters import cte, load
 from ..functions import decisions as D
 from ..functions import parsing as P
 from ..functions import text as T
-from ..operators.joins import cosine
+from ..operators.vectors import best_matches
 from ..registry import query
 from ..sources.html import page_bodies
 from ..streaming import windows as W
@@ -173,15 +173,13 @@ s as (select e.vec_id, p.cat, list_cosine_similarity(e.embedding::double[], p.pr
 g as (select vec_id, arg_max(cat, (s, -cat)) as best, max(s) as score, arg_max(cat, (s, -cat)) filter (where cat <> 0) as spec, max(s) filter (where cat <> 0) as spec_s from s group by 1)
 select vec_id, case when best = 0 and spec_s >= 0.30 and score - spec_s <= 0.04 then spec when best = 0 then 0 else best end::varchar as category, case when score >= 0.25 then best::varchar else 'other' end as sub, case when score >= 0.42 then round_even(least(1, 0.5 + (score - 0.42)), 3) end as confidence from g""")
 def _(spark, d):
-    e = load(spark, d, "embeddings")
-    proto = e.where("label is not null").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("p"))
-    protos = proto.agg(F.collect_list(F.struct("label", "p")).alias("protos"))  # one row: a vector for each of a fixed set of labels
-    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(protos)).select("vec_id", F.transform("protos", lambda p: F.struct(cosine(F.col("embedding"), p["p"]).alias("s"), (-p["label"]).alias("k"))).alias("s"))
-    top, specific = F.array_max("s"), F.array_max(F.filter("s", lambda x: x["k"] != 0))
-    name = lambda x: F.when(x["k"] == 0, "general").otherwise((-x["k"]).cast("string"))
-    category = D.tie_break(name(top), top["s"], name(specific), specific["s"])
-    sub = D.sub_category((-top["k"]).cast("string"), top["s"])
-    return s.select("vec_id", F.when(category == "general", "0").otherwise(category).alias("category"), sub.alias("sub"), D.match_confidence(top["s"]).alias("confidence"))
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    proto = e.where("label is not null").groupBy(F.col("label").alias("key")).agg(F.min_by("vector", "id").alias("vector"))
+    s = best_matches(e.select("id", "vector"), proto, 0.42, general=0)
+    name = lambda c: F.when(F.col(c) == 0, "general").otherwise(F.col(c).cast("string"))
+    category = D.tie_break(name("best"), F.col("score"), name("specific"), F.col("specific_score"))
+    sub = D.sub_category(F.col("best").cast("string"), F.col("score"))
+    return s.select(F.col("id").alias("vec_id"), F.when(category == "general", "0").otherwise(category).alias("category"), sub.alias("sub"), D.match_confidence(F.col("score")).alias("confidence"))
 
 
 @query("c38_forecast_decision", FC + """, x as (select id, 100 + id % 50 as close, direction_prob as p, coalesce(realized_return, 0) / 10 as r from forecasts_)
@@ -230,11 +228,11 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.array_join(D.shortened(words), "|").alias("shown"))
 
 
-@query("t21_sampled_days", """with m as (select (y::varchar || '-' || lpad(m::varchar, 2, '0') || '-01')::date as month from range(1995, 2027) t(y), (values (1), (4), (7), (10)) u(m)), n as (select c_custkey as id, date '1995-06-15' + (c_custkey * 7)::int as now from customer where c_custkey <= (select count(*) from nation))
+@query("t21_sampled_days", """with m as (select (y::varchar || '-' || lpad(m::varchar, 2, '0') || '-01')::date as month from range(1995, 2027) t(y), (values (1), (4), (7), (10)) u(m)), n as (select c_custkey as id, date '1995-06-15' + (c_custkey * 7 % 9000)::int as now from customer)
 select id, month, month + ((date_diff('day', date '2000-01-01', month) * 7919 + 5) % w + case when (date_diff('day', date '2000-01-01', month) * 7919 + 5) % w < 0 then w else 0 end)::int as day from (select *, greatest(1, date_diff('day', month, least((month + interval 1 month)::date, now))) as w from n join m on month < now)""")
 def _(spark, d):
-    n = load(spark, d, "customer").join(F.broadcast(load(spark, d, "nation").agg(F.count("*").alias("most"))), F.col("c_custkey") <= F.col("most"))
-    now = F.date_add(F.lit("1995-06-15").cast("date"), (F.col("c_custkey") * 7).cast("int"))
+    n = load(spark, d, "customer")
+    now = F.date_add(F.lit("1995-06-15").cast("date"), (F.col("c_custkey") * 7 % 9000).cast("int"))
     return n.select(F.col("c_custkey").alias("id"), F.explode(D.sampled_days(1995, 2026, 4, now, 5)).alias("s")).select("id", "s.*")
 
 

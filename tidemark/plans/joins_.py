@@ -9,7 +9,8 @@ from ..adapters import cte, load
 from ..functions import routing as R
 from ..functions import text as T
 from ..functions.numbers import places
-from ..operators.joins import as_of, cosine, insert_new, interval_join, overlap_pairs, similar_sets, upsert
+from ..operators.joins import as_of, insert_new, interval_join, overlap_pairs, similar_sets, upsert
+from ..operators.vectors import best_matches
 from ..registry import query
 
 EV, AR, BA, HO = cte("events"), cte("articles"), cte("bars"), cte("hours")
@@ -145,13 +146,9 @@ def _(spark, d):
 @query("j14_j15_prototypes", """with p as (select arg_min(embedding, vec_id)::double[] as proto, label as cat from embeddings where label is not null group by label),
 s as (select e.vec_id, p.cat, list_cosine_similarity(e.embedding::double[], p.proto) as s from embeddings e, p) select vec_id, arg_max(cat, (s, -cat)) as best, round(max(s), 6) as score, count(*) filter (where s >= 0.42) as matches from s group by 1""")
 def _(spark, d):
-    e = load(spark, d, "embeddings")
-    proto = e.where("label is not null").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("p"))
-    # One row: all prototypes, a vector for each of a fixed set of labels.
-    protos = proto.agg(F.sort_array(F.collect_list(F.struct("label", "p"))).alias("protos"))
-    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(protos)).select("vec_id", F.transform("protos", lambda p: F.struct(cosine(F.col("embedding"), p["p"]).alias("s"), (-p["label"]).alias("k"))).alias("s"))
-    top = F.array_max("s")
-    return s.select("vec_id", (-top["k"]).alias("best"), F.round(top["s"], 6).alias("score"), F.size(F.filter("s", lambda x: x["s"] >= 0.42)).cast("long").alias("matches"))
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    proto = e.where("label is not null").groupBy(F.col("label").alias("key")).agg(F.min_by("vector", "id").alias("vector"))
+    return best_matches(e.select("id", "vector"), proto, 0.42).select(F.col("id").alias("vec_id"), "best", F.round("score", 6).alias("score"), "matches")
 
 
 @query("j16_gazetteer", "select s.s_suppkey, coalesce(n.n_name, 'unknown') as country, coalesce(r.r_name, 'unknown') as region from supplier s left join nation n on n.n_nationkey = s.s_nationkey + 3 left join region r on r.r_regionkey = n.n_regionkey")
