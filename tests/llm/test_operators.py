@@ -541,6 +541,35 @@ def test_vectors_of_a_large_label(spark):
     assert linked == {100: [(1, 100)], 4_000: [(1, 100)], 7: [(1, 7), (1, 7)], 8: [(0, 8), (1, 8)], 9: [(1, 8)]} and sum(map(len, got.values())) == len(rows)
 
 
+@pytest.mark.parametrize("kind", ["random", "topical"])
+def test_vectors_of_many_lists(spark, monkeypatch, kind):
+    """One label of 20,000 vectors in 256 lists, with pairs at and above the threshold: asks are bounded, few links are missed,
+    none is wrong."""
+    monkeypatch.setattr(vectors, "LIST_ROWS", 80)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.standard_normal((19_000, 64)))
+    if kind == "topical":
+        x = unit(unit(rng.standard_normal((40, 64)))[rng.integers(0, 40, 19_000)] + 0.6 * x)
+    side = rng.standard_normal((1_000, 64))
+    side = unit(side - (side * x[:1_000]).sum(1)[:, None] * x[:1_000])
+    cos = rng.uniform(0.9305, 0.99, 1_000)[:, None]
+    x = np.concatenate([x, cos * x[:1_000] + np.sqrt(1 - cos**2) * side])
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>, label int")
+    asked = []
+    written = vectors.written
+    monkeypatch.setattr(vectors, "written", lambda d, name: (t := written(d, name), asked.append(t) if name == "index" else None)[0])
+    got = {r.vec_id: r for r in vectors.near_duplicates(frame).collect()}
+    x32 = unit(x.astype(np.float32).astype(float))
+    expected = np.zeros(len(x), int)
+    for a in range(0, len(x), 2_000):
+        expected[a : a + 2_000] = (x32[a : a + 2_000] @ x32.T >= 0.93).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert expected.sum() >= 2_000 and (found <= expected).all() and found.sum() >= 0.99 * expected.sum()
+    probes, most, lists = asked[0].agg(F.avg(F.size("probes")), F.max(F.size("probes")), F.max("lists")).first()
+    assert lists == 256 and most <= vectors.PROBES and probes <= vectors.PROBES / 2 + 1
+
+
 # 9 Lines
 
 
