@@ -68,11 +68,12 @@ def json_reply(text: Column, schema: str) -> Column:
 
 def json_items(text: Column, schema: str) -> Column:
     """The items of a reply that is one object or an array of them; those that aren't objects are left out, and a reply that
-    isn't JSON has none."""
+    isn't JSON, or is cut off, has none."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-z]*\s*", ""), r"\s*```$", ""))
-    one = F.from_json(bare, schema)
-    items = F.when(bare.startswith("["), F.from_json(bare, f"array<struct<{schema.replace(' ', ': ', 1)}>>")).when(bare.startswith("{") & one.isNotNull(), F.array(one))
-    return F.coalesce(F.filter(items, lambda x: x.isNotNull()), F.array().cast(f"array<struct<{schema.replace(' ', ': ', 1)}>>"))
+    kind = f"array<struct<{schema.replace(' ', ': ', 1)}>>"
+    whole = F.try_parse_json(bare).isNotNull()  # from_json alone makes an item of nulls of what isn't JSON
+    items = F.when(whole & bare.rlike(r"(?s)^\[.*\]$"), F.from_json(bare, kind)).when(whole & bare.rlike(r"(?s)^\{.*\}$"), F.array(F.from_json(bare, schema)))
+    return F.coalesce(F.filter(items, lambda x: x.isNotNull()), F.array().cast(kind))
 
 
 def merge_status(status: Column, stage: Column, ok: Column, at: Column, error: Column) -> Column:

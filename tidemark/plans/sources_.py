@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import cte, load
 from ..registry import query
 from ..sources import feeds as S
+from ..sources.rss import rss_entries
 from ..sources.portal import portal_events, portal_items, portal_topics
 from ..sources.sinks import merge_state
 
@@ -14,7 +15,7 @@ EV = cte("events")
 #: The text of an HTML fragment, in DuckDB.
 STRIPPED = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
-FEED_SQL = f"select doc_id from (select doc_id, {STRIPPED.format('text')} as t from documents) where t <> '' and len(string_split(t, ' ')) + 1 >= 30 and doc_id >= 100"
+FEED_SQL = f"select doc_id, 'http://x.example/' || doc_id::varchar as link, 1704067200 + doc_id * 60 as published_s, case when doc_id % 3 = 2 then 'http://i.example/' || doc_id::varchar || '.jpg' end as image from (select doc_id, {STRIPPED.format('text')} as t from documents) where t <> '' and len(string_split(t, ' ')) + 1 >= 30 and doc_id >= 100"
 
 
 @query("s03_iteration", "select count(*) as n, sum(n_chars)::bigint as chars from documents")
@@ -25,11 +26,17 @@ def _(spark, d):
 @query("s04_s05_rss", FEED_SQL)
 def _(spark, d):
     t = load(spark, d, "documents")
+    k = F.col("doc_id").cast("string")
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    day = F.date_format(F.timestamp_seconds(1704067200 + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    feed = F.concat(F.lit("<rss><channel><item><title>Headline</title><link>http://x.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), escaped, F.lit("</description><pubDate>"), day, F.lit("</pubDate></item></channel></rss>"))
+    at = lambda hours, form: F.date_format(F.timestamp_seconds(1704067200 + F.col("doc_id") * 60 - hours * 3600), form)
+    part = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    rss = part("<?xml version='1.0' encoding='utf-8'?><rss><channel><item><title><![CDATA[Headline]]></title><link>http://x.example/", k, "</link><description>", escaped, "</description><pubDate>", at(5, "EEE, dd MMM yyyy HH:mm:ss"), " EST</pubDate></item></channel></rss>")
+    atom = part("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title type='text'>Headline</title><link rel='self' href='http://y.example'/><link href='http://x.example/", k, "'/><id>tag:", k, "</id><summary type='html'>", escaped, "</summary><updated>", at(0, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "</updated></entry></feed>")
+    media = part("<rss xmlns:content='http://purl.org/rss/1.0/modules/content/' xmlns:media='http://search.yahoo.com/mrss/'><channel><item><title>Headline</title><media:title>Not this</media:title><link>http://x.example/", k, "</link><description>Short</description><content:encoded>", escaped, "</content:encoded><media:content url='http://i.example/", k, ".jpg'/><pubDate>", at(-2, "dd MMM yyyy HH:mm:ss"), " +0200</pubDate></item></channel></rss>")
+    feed = F.when(F.col("doc_id") % 3 == 0, rss).when(F.col("doc_id") % 3 == 1, atom).otherwise(media)
     start = F.timestamp_seconds(F.lit(1704067200 + 99 * 60))
-    return S.rss_entries(t.select("doc_id", feed.alias("xml")), "xml", start, F.current_timestamp()).select("doc_id")
+    e = rss_entries(t.select("doc_id", feed.alias("xml")), "xml", start, F.current_timestamp())
+    return e.select("doc_id", "link", F.unix_timestamp("published_on").alias("published_s"), "image")
 
 
 @query("s08_fetch_window", "select c_custkey as id, greatest(coalesce(case when c_custkey % 3 > 0 then 1704067200 + c_custkey * 100 end, 1704067200), 1704067200)::bigint as start_s from customer")
@@ -64,6 +71,22 @@ def _(spark, d):
     return S.urlset(near, "xml", at("1996-03-01"), at("1996-04-01")).select("url", F.unix_timestamp("published").alias("s"))
 
 
+@query("s10_nested_sitemaps", "select 'http://x.example/a/' || o_orderkey::varchar as url, epoch(o_orderdate)::bigint as s from orders where o_orderdate >= timestamp '1996-03-01' and o_orderdate < timestamp '1996-04-01'")
+def _(spark, d):
+    """Orders of a month, found over an index of years, their indexes of months and the months' sitemaps; the years list their
+    root again."""
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderdate", F.date_format("o_orderdate", "yyyy").alias("y"), F.date_format("o_orderdate", "yyyy-MM").alias("m"), F.last_day("o_orderdate").alias("last"))
+    entry = F.concat(F.lit("<url><loc>http://x.example/a/"), F.col("o_orderkey").cast("string"), F.lit("</loc><lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
+    child = lambda url, day: F.concat(F.lit("<sitemap><loc>"), url, F.lit("</loc><lastmod>"), F.date_format(day, "yyyy-MM-dd"), F.lit("</lastmod></sitemap>"))
+    many = lambda c, tag, more="": F.concat(F.lit(f"<{tag}>{more}"), F.array_join(F.array_sort(F.collect_set(c)), ""), F.lit(f"</{tag}>")).alias("xml")
+    months = o.groupBy(F.col("m").alias("url")).agg(many(entry, "urlset"))
+    years = o.groupBy(F.col("y").alias("url")).agg(many(child(F.col("m"), F.col("last")), "sitemapindex", "<sitemap><loc>root</loc></sitemap>"))
+    root = o.groupBy(F.lit("root").alias("url")).agg(many(child(F.col("y"), F.make_date(F.year("last"), F.lit(12), F.lit(31))), "sitemapindex"))
+    at = lambda x: F.lit(x).cast("timestamp")
+    found = S.entries_in(months.unionByName(years).unionByName(root), "xml", root.select("url"), at("1996-03-01"), at("1996-04-01"))
+    return found.select("url", F.unix_timestamp("published").alias("s"))
+
+
 @query("s13_anchors", r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href=["''][^"'']*["''][^>]*>.*?</a>')) as a from pages),
 t as (select page_id, regexp_extract(a, '(?i)href=["'']([^"'']*)["'']', 1) as href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(a, '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as x from a)
 select distinct page_id, href from t where length(x) >= 8""")

@@ -4,31 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, strip_html, url_path
+from ..functions.text import strip_html, url_path
+from ..operators.tables import written
+from .rss import rss_entries
 
-MIN_WORDS, MIN_ANCHOR_CHARS, MAX_SITEMAPS = 30, 25, 40
-RSS_ITEM = "title string, link string, description string, pubDate string, updated string"
+MIN_ANCHOR_CHARS, MAX_SITEMAPS = 25, 40
 QUAKES = "features array<struct<id: string, properties: struct<mag: double, place: string, time: bigint, tsunami: int, alert: string>, geometry: struct<coordinates: array<double>>>>"
 
 
-def entry_time(published: Column, updated: Column) -> Column:
-    """Published, else updated; RFC 822 or ISO."""
-    rfc = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC)$", "+0000")
-    parse = lambda c: F.coalesce(F.try_to_timestamp(rfc(c), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c))
-    return F.coalesce(parse(published), parse(updated))
-
-
-def rss_entries(feeds: DataFrame, xml: str, start: Column, now: Column) -> DataFrame:
-    """Entries of feed documents after start, with title and link and 30 words or more in title and description."""
-    items = feeds.select("*", F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)<item\b.*?</item>"), F.lit(0))).alias("_item"))
-    e = items.withColumn("_e", F.from_xml("_item", RSS_ITEM)).select(*feeds.columns, F.trim("_e.title").alias("title"), F.trim("_e.link").alias("link"), strip_html(F.coalesce("_e.description", F.lit(""))).alias("content"), F.coalesce(entry_time(F.col("_e.pubDate"), F.col("_e.updated")), now).alias("published_on"))
-    words = F.size(F.split(collapse(F.concat_ws(" ", "title", "content")), " "))
-    return e.where((F.col("title") != "") & (F.col("link") != "") & (F.col("content") != "") & (F.col("published_on") > start) & (words >= MIN_WORDS))
-
-
 def fetch_start(last_fetched: Column, now: Column) -> Column:
     """Where an incremental scan begins: the cursor, a day back at most."""
     floor = now - F.expr("interval 24 hours")
@@ -71,6 +57,49 @@ def prune_sitemaps(index: DataFrame, lastmod: str, day: Column, most: int = MAX_
     return index.where(F.col(lastmod).isNull() | (F.datediff(F.to_date(lastmod), day) >= -7)).orderBy(near.asc_nulls_last(), *index.columns).limit(most)
 
 
+def listed_sitemaps(indexes: DataFrame, xml: str, start: Column, end: Column, most: int = MAX_SITEMAPS) -> DataFrame:
+    """(index, url, lastmod) of the sitemaps that each of the indexes (url, document) lists: the `most` nearest to [start, end)
+    by when they were last changed, then in their order; undated ones after all dated; those last changed over a week
+    before it are left out. Documents that aren't indexes list none; a url listed twice counts once."""
+    one = lambda tag: F.nullif(F.regexp_extract("_s", rf"(?s)<(?:\w+:)?{tag}>\s*(.*?)\s*</(?:\w+:)?{tag}>", 1), F.lit(""))
+    found = indexes.select(F.col("url").alias("index"), F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?sitemap>.*?</(?:\w+:)?sitemap>"), F.lit(0))).alias("_rank", "_s"))
+    s = found.select("index", "_rank", one("loc").alias("url"), F.try_to_timestamp(one("lastmod")).alias("lastmod")).where("url is not null")
+    at, first, last = F.unix_timestamp("lastmod"), F.unix_timestamp(start), F.unix_timestamp(end)
+    far = F.when(at < first, first - at).when(at >= last, at - last).when(at.isNotNull(), 0)
+    s = s.where(at.isNull() | (at >= first - 7 * 86_400)).withColumn("_far", F.coalesce(far, F.lit(1 << 62)))
+    best = s.groupBy("index", "url").agg(F.min(F.struct("_far", "_rank", "lastmod")).alias("b"))
+    place = F.row_number().over(Window.partitionBy("index").orderBy("b._far", "b._rank"))  # a document's entries
+    return best.withColumn("_place", place).where(F.col("_place") <= most).select("index", "url", "b.lastmod")
+
+
+def reached_sitemaps(stored: DataFrame, xml: str, roots: DataFrame, start: Column, end: Column, most: int = MAX_SITEMAPS, max_depth: int = 10) -> DataFrame:
+    """(url, document, depth) of the stored documents (url, document) that roots (url) lead to over indexes of sitemaps, each
+    once, at its least depth: the frontier of urls not met before goes on until nothing is new, or max_depth is reached
+    (an error, as indexes of indexes have few levels). Cycles end, as what was met isn't taken again; sitemaps that aren't
+    stored are passed over."""
+    frontier = written(roots.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
+    met = [frontier]
+    for depth in range(1, max_depth + 1):
+        listed = listed_sitemaps(stored.join(frontier.select("url"), "url", "left_semi"), xml, start, end, most).select("url").distinct()
+        for level in met:
+            listed = listed.join(level.select("url"), "url", "left_anti")
+        frontier = written(listed.withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            break
+        met.append(frontier)
+    else:
+        raise RuntimeError(f"sitemaps lie deeper than {max_depth} levels")
+    every = met[0]
+    for level in met[1:]:
+        every = every.unionByName(level)
+    return stored.join(every, "url").select("url", xml, "depth")
+
+
+def entries_in(stored: DataFrame, xml: str, roots: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(url, published) of the entries in [start, end) of all sitemaps that roots lead to, each url once, with its first time."""
+    return urlset(reached_sitemaps(stored, xml, roots, start, end), xml, start, end).groupBy("url").agg(F.min("published").alias("published"))
+
+
 def anchors(pages: DataFrame, html: str = "html", url: str = "url", least: int = MIN_ANCHOR_CHARS) -> DataFrame:
     """Links of front pages with a headline of 25 characters (`least`) or more, in page order, the first of equal ones."""
     found = pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*href=["'][^"']*["'][^>]*>.*?</a>"""), F.lit(0))).alias("rank", "_a"))
