@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import mmap
+from functools import cached_property
 
 import numpy as np
 
 U = np.uint64
 #: Codes of a probability are its -log10 in steps of 1 / STEPS, in 16 bits.
 STEPS, UNSEEN = 2_048, 65_535
-_BITS = np.array([[k for k in range(8) if b >> k & 1] + [0] * (8 - b.bit_count()) for b in range(256)], np.int64)
-_COUNT = np.array([b.bit_count() for b in range(256)], np.uint8)
 
 
 def codes(p: np.ndarray) -> np.ndarray:
@@ -24,20 +23,19 @@ def values(code: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence: the low bits of each value side by side, the high bits in unary, with ones counted per word."""
+    """A monotone sequence: the low bits of each value side by side, the high bits in unary. Where the ones and zeros of
+    the unary part are is found once, when it is first asked."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
-        self.zeros = None
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.int64)
         n, top = len(v), int(v[-1]) if len(v) else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        high = np.zeros((n + (top >> low_bits)) // 64 + 1, U)
-        at = (v >> low_bits) + np.arange(n)
-        np.bitwise_or.at(high, at >> 6, U(1) << (at & 63).astype(U))
+        bits = np.zeros(((n + (top >> low_bits)) // 64 + 1) * 64, np.uint8)
+        bits[(v >> low_bits) + np.arange(n)] = 1
         low = np.zeros(n * low_bits // 64 + 2, U)
         if low_bits:
             bit = np.arange(n) * low_bits
@@ -45,16 +43,29 @@ class EliasFano:
             np.bitwise_or.at(low, bit >> 6, x << shift)
             over = np.flatnonzero((bit & 63) + low_bits > 64)
             np.bitwise_or.at(low, (bit[over] >> 6) + 1, x[over] >> (U(64) - shift[over]))
-        ones = np.append(0, np.cumsum(np.bitwise_count(high), dtype=np.int64))
-        return cls(n, low_bits, low, high, ones)
+        return cls(n, low_bits, low, np.packbits(bits, bitorder="little").view(U))
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ones]
+        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high]
 
     @classmethod
     def from_arrays(cls, arrays: list[np.ndarray]) -> EliasFano:
-        (n, low_bits), low, high, ones = arrays
-        return cls(int(n), int(low_bits), low, high, ones)
+        (n, low_bits), low, high = arrays
+        return cls(int(n), int(low_bits), low, high)
+
+    @cached_property
+    def _bits(self) -> np.ndarray:
+        return np.unpackbits(self.high.view(np.uint8), bitorder="little").view(bool)
+
+    @cached_property
+    def _ones(self) -> np.ndarray:
+        return np.flatnonzero(self._bits)
+
+    @cached_property
+    def _before_zero(self) -> np.ndarray:
+        """How many values have a high part of at most h."""
+        zeros = np.flatnonzero(~self._bits)
+        return zeros - np.arange(len(zeros))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -62,54 +73,44 @@ class EliasFano:
         bit = i * self.low_bits
         at, shift = bit >> 6, (bit & 63).astype(U)
         x = self.low[at] >> shift
-        split = shift > 0
+        split = np.flatnonzero((bit & 63) + self.low_bits > 64)
         x[split] |= self.low[at[split] + 1] << (U(64) - shift[split])
         return (x & U((1 << self.low_bits) - 1)).astype(np.int64)
 
-    @staticmethod
-    def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Place of the rank-th one in each word."""
-        octets = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_COUNT[octets], axis=1, dtype=np.int64)
-        k = (upto <= rank[:, None]).sum(1)
-        row = np.arange(len(word))
-        before = np.where(k > 0, upto[row, np.maximum(k - 1, 0)], 0)
-        return 8 * k + _BITS[octets[row, k], rank - before]
-
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.ones, i, "right") - 1
-        place = 64 * at + self._select(self.high[at], i - self.ones[at])
-        return ((place - i) << self.low_bits) | self._low(i)
+        return ((self._ones[i] - i) << self.low_bits) | self._low(i)
 
     def _below(self, h: np.ndarray) -> np.ndarray:
         """How many values have a high part below h."""
-        if self.zeros is None:
-            self.zeros = 64 * np.arange(len(self.ones), dtype=np.int64) - self.ones
-        out = np.zeros(len(h), np.int64)
-        some = np.flatnonzero(h > 0)
-        rank = h[some] - 1
-        past = rank >= self.zeros[-1]
-        out[some[past]] = self.n
-        some, rank = some[~past], rank[~past]
-        at = np.searchsorted(self.zeros, rank, "right") - 1
-        out[some] = np.minimum(64 * at + self._select(~self.high[at], rank - self.zeros[at]) - rank, self.n)
-        return out
+        upto = self._before_zero
+        return np.where(h > 0, upto[np.clip(h - 1, 0, len(upto) - 1)], 0)
 
     def find(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Index of the first value >= x within [first, end) if that is x, else -1: successor search over the values that
-        share x's high part."""
+        share x's high part, a few in general, which are tried in turn, then by halves."""
         h, want = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         a, b = np.maximum(self._below(h), first), np.minimum(self._below(h + 1), end)
+        out = np.full(len(x), -1, np.int64)
+        some = np.flatnonzero(a < b)
+        for _ in range(3):
+            low = self._low(a[some])
+            out[some[low == want[some]]] = a[some[low == want[some]]]
+            some = some[low < want[some]]
+            a[some] += 1
+            some = some[a[some] < b[some]]
+            if not len(some):
+                return out
         last = b.copy()
-        while (some := np.flatnonzero(a < b)).size:
+        while len(some):
             mid = (a[some] + b[some]) >> 1
             less = self._low(mid) < want[some]
             a[some[less]] = mid[less] + 1
             b[some[~less]] = mid[~less]
-        hit = np.flatnonzero(a < last)
-        hit = hit[self._low(a[hit]) == want[hit]]
-        out = np.full(len(x), -1, np.int64)
-        out[hit] = a[hit]
+            done = a[some] >= b[some]
+            ended = some[done & (a[some] < last[some])]
+            hit = ended[self._low(a[ended]) == want[ended]]
+            out[hit] = a[hit]
+            some = some[~done]
         return out
 
 
@@ -161,13 +162,13 @@ class Trie:
     def frombuffer(cls, buffer) -> Trie:
         """The trie over a buffer, which may be a mapped file; nothing is copied."""
         levels = int(np.frombuffer(buffer, np.int64, 1)[0])
-        sizes = np.frombuffer(buffer, np.int64, 4 * levels + 2, 8).tolist()
+        sizes = np.frombuffer(buffer, np.int64, 3 * levels + 2, 8).tolist()
         at, arrays = 8 * (1 + len(sizes)), []
         for k, size in enumerate(sizes):
-            kind = np.dtype(np.uint16 if k >= 4 * levels else U if k % 4 in (1, 2) else np.int64)
+            kind = np.dtype(np.uint16 if k >= 3 * levels else U if k % 3 else np.int64)
             arrays.append(np.frombuffer(buffer, kind, size // kind.itemsize, at))
             at += size + -size % 8
-        e = [EliasFano.from_arrays(arrays[4 * k : 4 * k + 4]) for k in range(levels)]
+        e = [EliasFano.from_arrays(arrays[3 * k : 3 * k + 3]) for k in range(levels)]
         return cls(e[0], Lists(*e[1:3]), *arrays[-2:], *[Lists(*e[k : k + 2]) for k in range(3, levels, 2)])
 
     @classmethod

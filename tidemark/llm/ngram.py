@@ -49,7 +49,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a and b of the distinct pairs, in order, which of them each row is); values are below 2**31."""
     keys, of = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
-    return keys >> 32, keys & 0xFFFFFFFF, of
+    return (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), of.astype(np.int32)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +153,17 @@ class _Text:
         # Places of the block's words: START, END and UNKNOWN before its own.
         self.ids = np.concatenate([[START, END, UNKNOWN], *[k[0] for k in known]]).astype(np.int64)
         self.counts = np.concatenate([[0, n_ends, 0], *[k[1] for k in known]]).astype(np.int64)
-        own = tokens.astype(np.int64) + FIRST
-        own[self.ids[own] == UNKNOWN] = UNKNOWN
-        self.doc = np.append(_of_text(self.ends), np.arange(len(self.ends)))  # the ends come last, then go to their places
-        order = np.argsort(self.doc, kind="stable")
-        self.doc, self.w3 = self.doc[order], np.append(own, np.full(len(self.ends), END))[order]
+        place = np.arange(len(self.ids), dtype=np.int32)
+        place[self.ids == UNKNOWN] = UNKNOWN
+        texts = len(self.ends)
+        self.doc = np.repeat(np.arange(texts, dtype=np.int32), np.diff(self.ends, prepend=0) + 1)
+        self.w3 = np.full(len(self.doc), END, np.int32)
+        words = np.ones(len(self.doc), bool)
+        words[self.ends + np.arange(texts)] = False
+        self.w3[words] = place[tokens + FIRST]
         first = np.diff(self.doc, prepend=-1) > 0
-        self.w2 = np.where(first, START, np.append(START, self.w3[:-1]))
-        second = first | np.append(False, first[:-1])
-        self.w1 = np.where(second, START, np.append([START, START], self.w3)[: len(self.w3)])
+        self.w2 = np.where(first, np.int32(START), np.append(np.int32(START), self.w3[:-1]))
+        self.w1 = np.where(first, np.int32(START), np.append(np.int32(START), self.w2[:-1]))
         self.trained = self.train[self.doc]
 
 
@@ -227,11 +234,12 @@ class _Grams:
 
     def requests(self, ids: np.ndarray, trained: np.ndarray) -> list[bytes]:
         n = np.bincount(self.of, trained, len(self.shard)).astype(np.int32)
-        out = []
+        number, out = np.empty(len(ids), np.int32), []
         for s in self.some:
             a, b = self.cuts[s], self.cuts[s + 1]
-            words, place = np.unique(np.concatenate([c[a:b] for c in self.columns]), return_inverse=True)
-            out.append(pack(ids[words], *place.astype(np.int32).reshape(len(self.columns), -1), n[a:b]))
+            words = _distinct(np.concatenate([c[a:b] for c in self.columns]))
+            number[words] = np.arange(len(words))
+            out.append(pack(ids[words], *[number[c[a:b]] for c in self.columns], n[a:b]))
         return out
 
     def answers(self, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +354,7 @@ def _answer(order: int, plan: _Plan, limit: int):
         shard = group.column("shard")[0].as_py()
         asked = [unpack(d) for d in group.column("data").to_pylist()]
         # The shard's words are numbered; the trie is of these numbers.
-        ids = np.unique(np.concatenate([a[0] for a in asked]))
+        ids = _distinct(np.concatenate([a[0] for a in asked]))
         columns = [np.concatenate([np.searchsorted(ids, a[0]).astype(np.int32)[a[1 + k]] for a in asked]) for k in range(order)]
         n = np.concatenate([a[-1] for a in asked])
         cuts = np.append(0, np.cumsum([len(a[-1]) for a in asked])).tolist()
