@@ -186,6 +186,59 @@ def test_whole_table_by_brute_force(spark):
     assert all(n_kinds[k] for k in ("email", "ip", "secret", "phone", "card", None))
 
 
+def test_one_person_in_a_text(spark):
+    """Titles, partial names and bare mentions of one person; others of the same surname; further kinds of numbers."""
+    rows = [
+        "Frau Anna Schmidt kam. Dr Anna Schmidt sprach; Frau Schmidt ging. Anna Schmidt und Schmidt. Schmidtchen blieb. Herr Bruno Schmidt",
+        "Dr Anna Schmidt allein, Anna Schmidt, Schmidt; Frau OTTO und Otto",
+        "IBAN DE89 3704 0044 0532 0130 00 und GB82WEST12345698765432, nicht DE89 3704 0044 0532 0130 01; 123-45-6789; 2001:db8::8a2e:370:7334 std::vector a::b 12:30; 030 1234567, 0.5",
+    ]
+    got = {r.i: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), "k").collect()}
+    m = re.fullmatch(r"Frau (\w+) (\w+) kam\. Dr (\w+) (\w+) sprach; Frau (\w+) ging\. (\w+) (\w+) und (\w+)\. Schmidtchen blieb\. Herr (\w+) (\w+)", got[0].text)
+    a, s, *rest = m.groups()
+    assert rest[:6] == [a, s, s, a, s, s] and rest[7] == s and rest[6] != a and a in pii.GIVEN["f", "latin"] and rest[6] in pii.GIVEN["m", "latin"]
+    m = re.fullmatch(r"Dr ([\w-]+) (\w+) allein, ([\w-]+) (\w+), Schmidt; Frau ([A-Z]+) und Otto", got[1].text)  # neither `Schmidt` nor `Otto` stands behind a title so
+    assert m and m[1] == m[3] and m[2] == m[4] == s and m[1] in pii.GIVEN["n", "latin"]
+    text = got[2].text
+    assert got[2].n_entities == 5 and all(x not in text for x in ("3704 0044 0532 0130 00", "WEST12345698765432", "123-45-6789", "8a2e", "030 1234567")) and "0130 01" in text and "std::vector a::b 12:30" in text
+    number = lambda i: int("".join(str(int(c, 36)) for c in i[4:] + i[:4]))
+    ibans = re.findall(r"DE\d\d(?: \d{4}){4} \d\d|GB\d\d[A-Z]{4}\d{14}", text)
+    assert [number(i.replace(" ", "")) % 97 for i in ibans] == [1, 1, number("DE89370400440532013001") % 97][: len(ibans)] or sum(number(i.replace(" ", "")) % 97 == 1 for i in ibans) == 2
+    assert re.search(r"; \d{3}-\d{2}-\d{4}; [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} std.*; 0\d\d \d{7}, 0\.5", text)
+
+
+def test_names_of_the_whole_table_by_brute_force(spark, sf):
+    """Names woven into every document, found again by plain code: one surrogate for each surname everywhere, none that is a
+    surname itself, the same person throughout a text, and no name left in its own text."""
+    titles = pii.TITLE.split("|")
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    first, last = ["Anna", "Bruno", "Иван", "Zoë"], ["Schmidt", "O'Neill", "Müller-Lang", "Петров", "Vega", "Li"]
+    texts = {}
+    for r in docs:
+        i = r.doc_id
+        title, other, given, surname = titles[i % len(titles)], titles[i * 7 % len(titles)], first[i % 4], f"{last[i % 6]}{'abcdefgh'[i % 8]}"
+        words = (r.text or "").split(" ")
+        woven = [f"{title} {given} {surname},", *words[: len(words) // 2], f"{other}. {surname};", *words[len(words) // 2 :], f"({given} {surname})", f"von {surname}."]
+        texts[i] = " ".join(woven if i % 3 else [w for w in woven if w != f"{other}. {surname};"])
+    out = pii.pseudonymise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "k")
+    word = r"[^\W\d_](?:[^\W\d_]|['’-])+"
+    titled = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(titles)})\.?[ \xa0]({word})(?:[ \xa0]({word}))?")
+    upper = lambda w: w is not None and w[0].isupper()
+    named = lambda t: [(m[1], m[2] if upper(m[2]) else None) for m in titled.finditer(t) if upper(m[1])]
+    alone = lambda full, t: re.search(rf"(?<![^\W\d_]){re.escape(full)}(?![^\W\d_])", t)
+    surnames, n = {}, 0
+    for r in out.collect():
+        before, after = named(texts[r.doc_id]), named(r.text)
+        assert len(before) == len(after) >= 1
+        for (a, b), (c, d) in zip(before, after):
+            assert (b is None) == (d is None) and surnames.setdefault((b or a).lower(), (d or c).lower()) == (d or c).lower()
+            assert not alone(a if b is None else f"{a} {b}", r.text) and alone(c if d is None else f"{c} {d}", re.sub(rf"(?:{'|'.join(titles)})\.? ", "", r.text))
+            n += 1
+        (given, surname), *rest = after
+        assert r.text.endswith(f"({given} {surname}) von {surname if rest else before[0][1]}.")
+    assert n > 300 and len(set(surnames.values())) == len(surnames) and not set(surnames.values()) & set(surnames)
+
+
 # 3 Toxicity
 
 
@@ -415,6 +468,18 @@ def test_automaton_tables():
         assert len(ends) == 1
 
 
+def test_vocabularies_that_ask_for_more():
+    rules = json.loads(open(bpe.public_vocabulary(), "rb").read())
+    assert bpe.unmet(rules) == []
+    changes = [
+        ("normalizer", {"type": "NFC"}), ("pre_tokenizer", rules["pre_tokenizer"] | {"add_prefix_space": True}), ("pre_tokenizer", rules["pre_tokenizer"] | {"use_regex": False}), ("pre_tokenizer", {"type": "Whitespace"}),
+        ("pre_tokenizer", None), ("decoder", {"type": "WordPiece"}), ("model", rules["model"] | {"ignore_merges": True}), ("model", rules["model"] | {"byte_fallback": True}), ("added_tokens", [rules["added_tokens"][0] | {"lstrip": True}]),
+    ]
+    for key, value in changes:
+        with pytest.raises(ValueError):
+            bpe.Automaton(json.dumps(rules | {key: value}).encode())
+
+
 def test_bpe_edges(spark, odd):
     v = bpe.public_vocabulary()
     r = {x.doc_id: x for x in bpe.decode(bpe.encode(odd, v), v).collect()}

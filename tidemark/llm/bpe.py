@@ -37,6 +37,20 @@ def _upper_bound(values: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.
     return low
 
 
+def unmet(rules: dict) -> list[str]:
+    """What a vocabulary's file asks for that isn't carried out here, so that ids would be others than its library's."""
+    model, before, after = rules["model"], rules.get("pre_tokenizer") or {}, rules.get("decoder") or {}
+    asked = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "a normalizer": rules.get("normalizer") is not None,
+        "a pre-tokenizer other than ByteLevel with its pattern and without a space before the text": (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) != ("ByteLevel", False, True),
+        "a decoder other than ByteLevel": after.get("type", "ByteLevel") != "ByteLevel",
+        **{f"the model's {k}": bool(model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+        **{f"added tokens with {k}": any(a.get(k) for a in rules["added_tokens"]) for k in ("single_word", "lstrip", "rstrip")},
+    }
+    return [what for what, is_asked in asked.items() if is_asked]
+
+
 class Automaton:
     """The deterministic automaton whose paths are the tokenizations BPE gives, compiled merge by merge into tables.
 
@@ -55,10 +69,16 @@ class Automaton:
     that the bytes read so far end with (the table of steps lists those that make such a text longer; a place without one
     steps as its longest end inside it), `longest` names the longest label at its end, `shorter` the next one, and the
     one of them is taken that has an arc from the state where it begins.
+
+    So gadgets are compiled as what they leave out in the end, in closed form, and a word is read through the table of
+    steps, which proposes labels, and the tables of arcs, which decide. Vocabularies that ask for more than byte-level
+    BPE with the usual pattern (see unmet()) are an error.
     """
 
     def __init__(self, spec: bytes):
         rules = json.loads(spec)
+        if wrong := unmet(rules):
+            raise ValueError(f"this vocabulary asks for what isn't done here: {'; '.join(wrong)}")
         self.specials = {a["content"]: a["id"] for a in rules["added_tokens"]}
         byte = _byte_of_symbol()
         vocab = rules["model"]["vocab"]
