@@ -17,9 +17,12 @@ def codes(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-np.log10(p) * STEPS), UNSEEN - 1).astype(np.uint16)
 
 
+_VALUES = np.append(10.0 ** (np.arange(UNSEEN) / -STEPS), 0.0)
+
+
 def values(code: np.ndarray) -> np.ndarray:
     """The probabilities of codes, 0 of UNSEEN."""
-    return np.where(code == UNSEEN, 0.0, 10.0 ** (code / -STEPS))
+    return _VALUES[code]
 
 
 class EliasFano:

@@ -269,6 +269,8 @@ class _Plan:
         there[START] = self.n_ends > 0
         at = np.flatnonzero(there[t.w2])
         x, y, of = _distinct_pairs(t.w2[at], t.w3[at])
+        t.pair_of, t.pairs = np.full(len(t.w3), -1, np.int32), (x, y)
+        t.pair_of[at] = of
         parts = self.words.parts_of(t.ids[x])
         salt = np.where(parts > 1, tv.mix(t.ids[y].astype(U) + U(1)) % parts.astype(U), U(0))
         shard = (((_key(t.ids[x], salt) >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64)
@@ -285,13 +287,15 @@ class _Plan:
         return p, seen
 
     def trigrams(self, t: _Text, seen: np.ndarray) -> tuple[np.ndarray, _Grams]:
-        """(tokens after a known pair, their trigrams)."""
+        """(tokens after a known pair, their trigrams), after pairs()."""
         starts = np.diff(t.doc, prepend=-1) > 0
         known = np.where(starts, self.n_ends > 0, np.append(False, seen[:-1]))
         at = np.flatnonzero(known)
-        w2, w1, context = _distinct_pairs(t.w2[at], t.w1[at])
-        context, w3, of = _distinct_pairs(context, t.w3[at])
-        w1, w2 = w1[context], w2[context]
+        # A token's context is the pair of the token before it; the last number is that of no token.
+        x, y = (np.append(c, np.int32(START)) for c in t.pairs)
+        context = np.where(starts, np.int32(len(x) - 1), np.append(np.int32(-1), t.pair_of[:-1]))
+        context, w3, of = _distinct_pairs(context[at], t.w3[at])
+        w1, w2 = x[context], y[context]
         parts, split = self.words.parts_of(t.ids[w2]), self.contexts.parts_of(t.ids[w1], t.ids[w2])
         salt = np.where(parts > 1, tv.mix(t.ids[w1].astype(U) + U(1)) % parts.astype(U), U(0))
         salt = salt + np.where(split > 1, _key(t.ids[w1]) + tv.mix(t.ids[w3].astype(U) + U(1)) % split.astype(U), U(0))
@@ -315,7 +319,6 @@ def _ask(work):
                 grams, ids, trained = work(row)
                 data = pa.array(grams.requests(ids, trained), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(grams.some, pa.int32()), pa.array(np.full(len(data), row["block"])), data], ["shard", "block", "data"])
-                give_back()
 
     return ask
 
@@ -404,7 +407,6 @@ def _totals(plan: _Plan):
                     [batch.column("ids").slice(k, 1).flatten(), pa.array(t.train > 0), pa.array(np.bincount(t.doc, minlength=docs)), pa.array(n_known), total(of_base), total(np.log10(p))],
                     ["id", "train", "n_tokens", "n_known", "base_score", "score"],
                 )
-                give_back()
 
     return totals
 
