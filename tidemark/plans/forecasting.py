@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import cte, load
 from ..functions import routing as R
+from ..functions.decisions import decision
 from ..functions.numbers import places
 from ..operators.joins import interval_join
+from ..operators.model import assembled, forecast, train
 from ..operators.tables import written
 from ..registry import query
 from .joins_ import ROUTE
@@ -116,44 +121,27 @@ def leaks(folded: DataFrame, at: str) -> DataFrame:
     return g.where("last > origin or first <= origin")
 
 
-def _assembled(frame: DataFrame, features: list[str], label: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(frame.withColumn("label", F.col(label).cast("double")))
-
-
-def fit_direction(frame: DataFrame, features: list[str], label: str, at: str = "t", trees: int = 10, seed: int = 7):
-    """Boosted trees for the direction, fitted on the first three fifths of the time, and isotonic calibration of their
-    probability on the fourth; the last fifth is seen by neither: (model, calibration, where it begins)."""
+def walk_forward(frame: DataFrame, features: list[str], label: str, origins: list[int], window: int, at: str = "t", least: int = 50, trees: int = 5, seed: int = 7, side_by_side: int = 4) -> DataFrame:
+    """(origin, symbol, at, y, p) of the rows after each origin up to the next, from trees fitted on the window before it.
+    Origins with too few rows, or rows of one direction, are left out; no rows if all are. One fit per origin: origins are
+    few, rows may be many; a few fits run side by side, so that one's small steps don't leave the cluster idle."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
 
-    rows = _assembled(frame, features, label)
-    first, second = rows.agg(F.percentile_approx(at, F.array(F.lit(0.6), F.lit(0.8)))).first()[0]
-    model = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed).fit(rows.where(F.col(at) <= first))
-    held = model.transform(rows.where((F.col(at) > first) & (F.col(at) <= second))).select(vector_to_array("probability")[1].alias("p"), "label")
-    return model, IsotonicRegression(featuresCol="p").fit(held), second
+    rows = written(assembled(frame, features).select("symbol", at, "features", F.col(label).cast("double").alias("label"), F.col(label).alias("y")), "walk")
+    of = lambda origin: (F.col(at) > origin - window) & (F.col(at) <= origin)
+    counts = rows.agg(*[F.struct(F.count_if(of(o)).alias("n"), F.min(F.when(of(o), F.col("label"))).alias("lo"), F.max(F.when(of(o), F.col("label"))).alias("hi")).alias(f"o{k}") for k, o in enumerate(origins[:-1])]).first() if len(origins) > 1 else ()
+    wanted = [(o, after) for o, after, c in zip(origins, origins[1:], counts) if c["n"] >= least and c["lo"] < c["hi"]]
 
+    def one(fold: tuple[int, int]) -> DataFrame:
+        origin, following = fold
+        p = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed).fit(rows.where(of(origin))).transform(rows.where((F.col(at) > origin) & (F.col(at) <= following)))
+        return p.select(F.lit(origin).cast("long").alias("origin"), "symbol", at, "y", vector_to_array("probability")[1].alias("p"))
 
-def walk_forward(frame: DataFrame, features: list[str], label: str, origins: list[int], window: int, at: str = "t", least: int = 50, trees: int = 5, seed: int = 7) -> DataFrame | None:
-    """(origin, by, at, label, p) of the rows after each origin up to the next, from trees fitted on the window before it.
-    Origins with too few rows, or rows of one direction, are left out; None if all are. One fit per origin: origins are
-    few, rows may be many."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-
-    rows, out = _assembled(frame, features, label), None
-    for origin, following in zip(origins, origins[1:]):
-        train = rows.where((F.col(at) > origin - window) & (F.col(at) <= origin))
-        n, directions = train.agg(F.count("*"), F.count_distinct("label")).first()
-        if n < least or directions < 2:
-            continue
-        test = rows.where((F.col(at) > origin) & (F.col(at) <= following))
-        p = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed).fit(train).transform(test)
-        p = p.select(F.lit(origin).alias("origin"), "symbol", at, F.col(label).alias("y"), vector_to_array("probability")[1].alias("p"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    with ThreadPoolExecutor(side_by_side) as pool:
+        parts = list(pool.map(one, wanted))
+    none = rows.limit(0).select(F.lit(0).cast("long").alias("origin"), "symbol", at, "y", F.lit(0.0).alias("p"))
+    return functools.reduce(DataFrame.unionByName, parts, none)
 
 
 @query("w01_w07_price_features", BA + """, w as (select *, row_number() over s - 1 as pos, close - lag(close) over s as diff, ln(close / lag(close) over s) as lr from bars_ window s as (partition by symbol order by d)),
@@ -310,12 +298,13 @@ def _frame(spark, d) -> tuple[DataFrame, list[str]]:
 
 @query("u15_u16_direction_model")
 def _(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
+    """Decisions for the last fifth of the time by a model of the four before it, with its own band."""
     frame, features = _frame(spark, d)
-    model, calibration, begin = fit_direction(frame, features, "y_dir_1")
-    p = model.transform(_assembled(frame.where(F.col("t") > begin), features, "y_dir_1")).select("symbol", "t", "y_dir_1", vector_to_array("probability")[1].alias("p"))
-    return calibration.setFeaturesCol("p").transform(p).select("symbol", "t", "y_dir_1", F.col("prediction").alias("direction_prob"))
+    begin = frame.agg(F.percentile_approx("t", 0.8)).first()[0]
+    model = train(frame.where(F.col("t") <= begin), features, "y_dir_1", "y_ret_1", ["t", "symbol"])
+    out = forecast(frame.where(F.col("t") > begin), model)
+    x = decision(F.col("close"), F.col("proba_up"), F.col("change"), F.lit(model.resid_std))
+    return out.select("symbol", "t", "y_dir_1", x.alias("x")).select("symbol", "t", "y_dir_1", "x.*")
 
 
 @query("u17_walk_forward_model")

@@ -10,6 +10,7 @@ from ..functions import decisions as D
 from ..functions import parsing as P
 from ..functions import routing as R
 from ..functions import text as T
+from ..operators.sentiment import fitted_lexicon, lexicon_sentiment
 from ..registry import query
 from .joins_ import TOK
 
@@ -164,3 +165,16 @@ def _(spark, d):
     line = F.concat(F.lit("- "), "sub_category", F.lit(" in "), F.coalesce(F.nullif("location_name", F.lit("")), F.lit("unknown")), F.lit(" ("), F.col("article_count").cast("string"), F.lit(")"))
     g = e.groupBy("category").agg(F.sort_array(F.collect_list(F.struct((-F.col("article_count")).alias("o"), "id", line.alias("line")))).alias("l"))
     return g.select("category", F.concat(F.lit("## "), F.initcap("category"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("body"))
+
+
+def labelled_lexicon(spark, d):
+    """A lexicon fitted from the labels' quality, in which some words turn, raise, lower or oppose, by a hash of theirs."""
+    docs = load(spark, d, "documents").select("doc_id", "text").join(load(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    h = F.crc32(F.encode("word", "UTF-8")) % 40
+    kind = F.when(h == 0, "negation").when(h <= 2, "booster").when(h == 3, "contrast").otherwise("valence")
+    return fitted_lexicon(docs, "quality").select("word", kind.alias("kind"), F.when(h == 1, 1.0).when(h == 2, -1.0).otherwise(F.col("value")).alias("value"))
+
+
+@query("u02_lexicon_sentiment")
+def _(spark, d):
+    return lexicon_sentiment(load(spark, d, "documents").select("doc_id", "text"), "text", labelled_lexicon(spark, d)).select("doc_id", "sentiment")
