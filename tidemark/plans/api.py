@@ -33,7 +33,7 @@ def price_range(ticks: DataFrame, symbol: str, start, end, limit=None) -> DataFr
 
 def bars(all_bars: DataFrame, symbol: str, limit=None) -> DataFrame:
     """The newest n bars, in ascending order."""
-    return all_bars.where(F.col("symbol") == symbol).orderBy(F.desc("d")).limit(capped(limit, 365, 5_000)).orderBy("d")
+    return all_bars.where(F.col("symbol") == symbol).orderBy(F.desc("d")).limit(capped(limit, 1_000, 5_000)).orderBy("d")
 
 
 def notices(zones: DataFrame, country: str | None = None, active: str | None = None) -> DataFrame:
