@@ -143,6 +143,31 @@ def _(spark, d):
     return p.where("common >= 1 and frac >= 0.1").select("id", "topic", places(F.least(F.lit(1.0), 0.3 + F.col("frac")), 3).alias("score"))
 
 
+def retroactive_tags(events: DataFrame, topics: DataFrame, since) -> DataFrame:
+    """Events (id, started_s, tokens, topics as a map, topics_source) after topics (slug, tokens) are looked for in those that
+    began at `since` or later: a topic whose tokens an event shares a tenth of is added with its score, unless the event has
+    it already; the others stay, and so do their scores. An event that got one has the source `keyword`."""
+    wanted = topics.where(F.size("tokens") > 0).select("slug", "tokens")
+    pairs = overlap_pairs(events.where(F.col("started_s") >= since), wanted, "id", "slug", "tokens").withColumn("frac", F.col("common") / F.col("n_right")).where("frac >= 0.1")
+    scored = pairs.select(F.col("id").alias("_id"), F.struct("slug", places(F.least(F.lit(1.0), 0.3 + F.col("frac")), 3).alias("score")).alias("t")).groupBy("_id").agg(F.map_from_entries(F.array_sort(F.collect_list("t"))).alias("found"))
+    new = F.map_filter("found", lambda k, _: ~F.map_contains_key("topics", k))
+    merged = events.join(scored, F.col("id") == F.col("_id"), "left").withColumn("new", F.coalesce(new, F.expr("cast(map() as map<string, double>)")))
+    return merged.withColumns({"topics": F.map_concat("topics", "new"), "topics_source": F.when(F.size("new") > 0, "keyword").otherwise(F.col("topics_source"))}).drop("_id", "found", "new")
+
+
+@query("r15_retroactive_tags", AR + f""", e as (select id, unnest({TOK.format("title")}) as w from articles_ where published_s >= 1704187200), s as (select source_code as topic, arg_min(title, id) || ' ' || source_code as name from articles_ where title is not null group by 1), k as (select topic, unnest({TOK.format("name")}) as w, len({TOK.format("name")}) as n from s),
+m as (select id, topic, round_even(least(1.0, 0.3 + count(*) / any_value(n))::double, 3) as score from e join k using (w) group by 1, 2 having count(*) / any_value(n) >= 0.1), x as (select m.* from m join articles_ a using (id) where not (id % 2 = 0 and topic = a.source_code)), g as (select id, count(*) as n, sum(score) as total from x group by 1)
+select id, case when id % 2 = 0 and source_code is not null then 1 else 0 end + coalesce(n, 0) as n_topics, round(coalesce(total, 0), 6) as added, case when n > 0 then 'keyword' else 'feed' end as topics_source from articles_ left join g using (id)""")
+def _(spark, d):
+    a = load(spark, d, "articles")
+    names = a.where("title is not null").groupBy(F.col("source_code").alias("slug")).agg(F.min_by("title", "id").alias("name"))
+    topics = names.where("slug is not null").select("slug", T.tokens(F.concat_ws(" ", "name", "slug")).alias("tokens"))
+    own = F.when((F.col("id") % 2 == 0) & F.col("source_code").isNotNull(), F.create_map("source_code", F.lit(0.0))).otherwise(F.expr("cast(map() as map<string, double>)"))
+    e = a.select("id", F.col("published_s").alias("started_s"), T.tokens(F.col("title")).alias("tokens"), own.alias("topics"), F.lit("feed").alias("topics_source"))
+    out = retroactive_tags(e, topics, 1704187200)
+    return out.select("id", F.size("topics").cast("long").alias("n_topics"), F.round(F.aggregate(F.map_values("topics"), F.lit(0.0), lambda s, x: s + x), 6).alias("added"), "topics_source")
+
+
 @query("j14_j15_prototypes", """with p as (select arg_min(embedding, vec_id)::double[] as proto, label as cat from embeddings where label is not null group by label),
 s as (select e.vec_id, p.cat, list_cosine_similarity(e.embedding::double[], p.proto) as s from embeddings e, p) select vec_id, arg_max(cat, (s, -cat)) as best, round(max(s), 6) as score, count(*) filter (where s >= 0.42) as matches from s group by 1""")
 def _(spark, d):
