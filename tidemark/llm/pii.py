@@ -66,7 +66,8 @@ def kind_of(m: Column) -> Column:
 
 def canonical(kind: Column, m: Column) -> Column:
     """What mentions of one entity share: digits of a number, lower case of the rest, a name's last word with its script."""
-    name = F.concat(F.lit("n|"), script(m), F.lit("|"), F.lower(F.regexp_extract(m, r"([^ \x{A0}]+)$", 1)))
+    last = F.regexp_extract(m, r"([^ \x{A0}]+)$", 1)
+    name = F.concat(F.lit("n|"), script(last), F.lit("|"), F.lower(last))
     return F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(m, r"\D", "")).when(kind == "name", name).when(kind == "iban", F.replace(m, F.lit(" "))).otherwise(F.lower(m))
 
 
@@ -258,7 +259,7 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     of_name, of_surname = Window.partitionBy("hash", "canon", "given"), Window.partitionBy("hash", "canon")  # within one text
     alike = F.when(F.min("g").over(of_surname) == F.max("g").over(of_surname), F.min("g").over(of_surname))
     mention = mention.withColumn("g", F.coalesce("g", F.min("g").over(of_name), alike, F.lit("n")))
-    given = F.when(F.col("given").isNotNull(), F.concat_ws("|", "g", script(F.col("mention")), "given"))
+    given = F.when(F.col("given").isNotNull(), F.concat_ws("|", "g", script(F.col("given")), "given"))
     mention = written(mention.select("hash", "pos", "mention", "kind", "canon", given.alias("given")), "mentions")
     entities = mention.where("kind is not null").select("kind", "canon").unionByName(mention.where("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("canon")))
     names = written(dictionary(entities, key), "dictionary")
