@@ -238,8 +238,9 @@ class _Grams:
         for s in self.some:
             a, b = self.cuts[s], self.cuts[s + 1]
             words = _distinct(np.concatenate([c[a:b] for c in self.columns]))
+            words = words[np.argsort(ids[words])]  # frequent words first: small numbers, small steps between ids
             number[words] = np.arange(len(words))
-            out.append(pack(ids[words], *[number[c[a:b]] for c in self.columns], n[a:b]))
+            out.append(pack(np.diff(ids[words], prepend=0), *[number[c[a:b]] for c in self.columns], n[a:b]))
         return out
 
     def answers(self, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -356,6 +357,7 @@ def _answer(order: int, plan: _Plan, limit: int):
     def answer(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         asked = [unpack(d) for d in group.column("data").to_pylist()]
+        asked = [[np.cumsum(a[0]), *a[1:]] for a in asked]
         # The shard's words are numbered; the trie is of these numbers.
         ids = _distinct(np.concatenate([a[0] for a in asked]))
         columns = [np.concatenate([np.searchsorted(ids, a[0]).astype(np.int32)[a[1 + k]] for a in asked]) for k in range(order)]
