@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import map_arrow, written
+
 
 def _time_block(at: Column, kind: str, width: float) -> Column:
     """Number of the block of `width` days (dates and timestamps) or units (numbers) that holds a time."""
@@ -60,8 +66,9 @@ def overlap_pairs(left: DataFrame, right: DataFrame, id_left: str, id_right: str
     return a.join(b, "_w").groupBy(id_left, id_right).agg(F.count("*").alias("common"), F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"))
 
 
-def similar_sets(rows: DataFrame, id_: str, tokens: str, num: int, den: int) -> DataFrame:
-    """(a, b) with a < b: rows whose sets of tokens have a Jaccard similarity of num/den or more.
+def similar_sets(rows: DataFrame, id_: str, tokens: str, num: int, den: int, least: int = 0) -> DataFrame:
+    """(a, b) with a < b: rows whose sets of tokens have a Jaccard similarity of num/den or more, one of them with `least`
+    tokens at least.
 
     Of two such sets, one has a token among the n - ceil(n * num/den) + 1 rarest of either: only those meet in an equality
     join, so a common word brings no pairs; sizes must fit, and then the whole sets decide. Empty sets meet nothing."""
@@ -69,14 +76,69 @@ def similar_sets(rows: DataFrame, id_: str, tokens: str, num: int, den: int) ->
     words = rows.select(F.col(id_).alias("_id"), F.size(tokens).alias("_size"), F.explode(tokens).alias("_w")).join(seen, "_w")
     ranked = words.groupBy("_id", "_size").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_ws"))
     rare = ranked.select("_id", "_size", F.explode(F.slice("_ws", 1, F.expr(f"cast(_size - ceil(_size * {num} / {den}) + 1 as int)"))).alias("_x")).select("_id", "_size", "_x._w")
-    left = rare.select("_w", F.col("_id").alias("a"), F.col("_size").alias("na"))
+    left = rare.where(F.col("_size") >= least).select("_w", F.col("_id").alias("a"), F.col("_size").alias("na"))
     right = rare.select("_w", F.col("_id").alias("b"), F.col("_size").alias("nb"))
-    pairs = left.join(right, "_w").where(f"a < b and {den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b").distinct()
+    pairs = left.join(right, "_w").where(f"(a < b or a > b and nb < {least}) and {den} * least(na, nb) >= {num} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda x: rows.select(F.col(id_).alias(x), F.col(tokens).alias(f"t{x}"))
     common = "size(array_intersect(ta, tb))"
     return pairs.join(of("a"), "a").join(of("b"), "b").where(f"{den} * {common} >= {num} * (size(ta) + size(tb) - {common})").select("a", "b")
 
 
+#: Sets of more tokens have too many subsets; they meet others as pairs.
+SUBSET_TOKENS = 12
+
+
+def _subsets(num: int, den: int):
+    """Of rows (id, tokens: hashes), the subsets that a set of num/den similarity can have in common with it, as two sums of
+    hashes, with the subset's and the set's number of tokens."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes, flat = np.diff(tokens.offsets.to_numpy()), tokens.flatten().to_numpy().view(np.uint64)
+            begin = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                bits = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+                bits = bits[bits.sum(1) * den >= num * n].astype(np.uint64)
+                of = np.flatnonzero(sizes == n)
+                for some in np.array_split(of, -(-len(of) * len(bits) // (1 << 18))):
+                    h = flat[begin[some][:, None] + np.arange(n)]
+                    other = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    sums = [(x @ bits.T).reshape(-1).view(np.int64) for x in (h, other ^ (other >> np.uint64(32)))]
+                    common = np.tile(bits.sum(1).astype(np.int32), len(some))
+                    ids = batch.column("id").take(pa.array(np.repeat(some, len(bits))))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), n, np.int32)), pa.array(common), *map(pa.array, sums)], ["id", "n", "common", "h1", "h2"])
+
+    return work
+
+
+def near_labels(rows: DataFrame, id_: str, tokens: str, labels: str, num: int, den: int, most: int, subset_tokens: int = SUBSET_TOKENS) -> DataFrame:
+    """(id_, labels): the distinct labels of the rows whose sets of tokens have a Jaccard similarity of num/den or more to a
+    row's, its own too; of those with more than `most`, that many at least. Sets are distinct and not empty.
+
+    Two sets of a and b tokens are that similar if they share a subset of c tokens with num * (a + b) <= (num + den) * c. So
+    each set goes to the keys of its subsets that are large enough, a key gathers the labels of each size of set, `most` at
+    most, and a set takes from its keys: no pair is formed, however many sets are near each other, and no set is
+    compared. Larger sets than subset_tokens meet others in similar_sets()."""
+    rows = rows.select(F.col(id_).alias("id"), F.col(tokens).alias("tokens"), F.col(labels).alias("labels"))
+    small, kind = rows.where(F.size("tokens") <= subset_tokens), rows.schema["id"].dataType.simpleString()
+    # A set has some 60 keys: as many tasks make them as the session shuffles to.
+    hashed = small.select("id", F.transform("tokens", lambda w: F.xxhash64(w)).alias("tokens")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    keys = map_arrow(hashed, _subsets(num, den), f"id {kind}, n int, common int, h1 long, h2 long")
+    shared = keys.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2")
+    held = written(keys.join(shared, ["h1", "h2"]), "subsets")
+    told = held.join(small.select("id", "labels"), "id").select("h1", "h2", "n", F.explode("labels").alias("label")).groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("n", "label"))).alias("told"))
+    told = told.withColumn("told", F.filter("told", lambda x, i: (i < most) | (F.get("told", i - most)["n"] != x["n"])))
+    fits = F.filter("told", lambda x: num * (x["n"] + F.col("n")) <= (num + den) * F.col("common"))
+    near = held.join(told, ["h1", "h2"]).select("id", F.explode(F.slice(F.array_distinct(F.transform(fits, lambda x: x["label"])), 1, most)).alias("label"))
+    found = near.unionByName(rows.select("id", F.explode("labels").alias("label")))
+    if not rows.where(F.size("tokens") > subset_tokens).isEmpty():
+        pairs = similar_sets(rows, "id", "tokens", num, den, subset_tokens + 1)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        found = found.unionByName(both.join(rows.select(F.col("id").alias("b"), "labels"), "b").select(F.col("a").alias("id"), F.explode("labels").alias("label")))
+    return found.groupBy("id").agg(F.collect_set("label").alias("labels")).withColumnRenamed("id", id_)
+
+
 def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """current plus the incoming rows whose key it doesn't have; the first of an incoming key by its whole row."""
     fresh = incoming.dropDuplicates().groupBy(*keys).agg(F.min(F.struct(*incoming.columns)).alias("r")).select("r.*")

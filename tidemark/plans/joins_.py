@@ -9,7 +9,8 @@ from ..adapters import cte, load
 from ..functions import routing as R
 from ..functions import text as T
 from ..functions.numbers import places
-from ..operators.joins import as_of, insert_new, interval_join, overlap_pairs, similar_sets, upsert
+from ..operators.joins import as_of, insert_new, interval_join, near_labels, overlap_pairs, upsert
+from ..operators.tables import written
 from ..operators.vectors import best_matches
 from ..registry import query
 
@@ -118,17 +119,13 @@ def _(spark, d):
 
 def corroboration(articles: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id, bonus): 0.5 for each other source with a title that similar, 2 at most. Equal token sets are one row
-    before the join, so that a title filed a thousand times meets others once."""
-    sets = articles.withColumn("key", F.sort_array("tokens")).where(F.size("tokens") > 0)
-    sources = sets.select("key", "source_code").distinct()
-    kinds = sets.groupBy("key").agg(F.min("id").alias("kind"))
-    pairs = similar_sets(kinds, "kind", "key", *threshold.as_integer_ratio())
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(kinds.select(F.col("kind").alias("a"), F.col("kind").alias("b")))
-    of = kinds.join(sources, "key").select("kind", "source_code")
-    # The sources of what a kind is near to, its own too, are counted once per kind; five tell as much as more.
-    near = both.join(of, F.col("b") == F.col("kind")).groupBy("a").agg(F.count_distinct("source_code").alias("n"), F.collect_set("source_code").alias("sources"))
-    mine = sets.join(kinds, "key").join(near, F.col("kind") == F.col("a"))
-    others = F.col("n") - F.array_contains("sources", F.col("source_code")).cast("int")
+    before they meet others, so that a title filed a thousand times meets others once."""
+    sets = written(articles.select("id", "source_code", F.sort_array("tokens").alias("key")), "titles")
+    kinds = written(sets.where(F.size("key") > 0).groupBy("key").agg(F.min("id").alias("kind"), F.collect_set("source_code").alias("sources")), "kinds")
+    # Five sources of what a kind is near to, its own too, tell as much as more.
+    near = near_labels(kinds, "kind", "key", "sources", *threshold.as_integer_ratio(), 5)
+    mine = sets.join(kinds.select("key", "kind"), "key").join(near, "kind")
+    others = F.size("labels") - F.array_contains("labels", F.col("source_code")).cast("int")
     return mine.select("id", F.least(0.5 * others, F.lit(2.0)).alias("bonus")).where("bonus > 0")
 
 
