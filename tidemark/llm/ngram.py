@@ -47,11 +47,34 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a and b of the distinct pairs, in order, which of them each row is); values are below 2**31."""
+    """(a and b of the distinct pairs, in order, which of them each row is); values are below 2**31.
+
+    Where a pair and the row's number fit 64 bits they are sorted as one number, without an order beside it."""
+    if len(a) and int(a.min()) >= 0 and int(b.min()) >= 0:
+        wide, row = int(b.max()).bit_length(), (len(a) - 1).bit_length()
+        if int(a.max()).bit_length() + wide + row <= 63:
+            keys = a.astype(np.int64)
+            for x, bits in ((b, wide), (np.arange(len(a), dtype=np.int32), row)):
+                keys <<= bits
+                keys |= x
+            keys.sort()
+            of = np.empty(len(a), np.int32)
+            rows = (keys & ((1 << row) - 1)).astype(np.int32)
+            keys >>= row
+            new = np.append(True, keys[1:] != keys[:-1])
+            of[rows] = np.cumsum(new, dtype=np.int32) - 1
+            keys = keys[new]
+            return (keys >> wide).astype(np.int32), (keys & ((1 << wide) - 1)).astype(np.int32), of
     keys, of = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
     return (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), of.astype(np.int32)
 
 
+def _sliced(look, *columns: np.ndarray, most: int = 1 << 17) -> list[np.ndarray]:
+    """look(*columns), arrays as long as the columns, from slices of them, so that what it needs on the way stays small."""
+    parts = [look(*[c[a : a + most] for c in columns]) for a in range(0, max(len(columns[0]), 1), most)]
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
@@ -224,10 +247,11 @@ class _Grams:
     """The distinct n-grams of a block that its shards are asked for, in the order of the shards."""
 
     def __init__(self, columns: list[np.ndarray], of: np.ndarray, shard: np.ndarray, shards: int) -> None:
-        order = np.argsort(shard, kind="stable")
+        shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard  # numbers of 16 bits are sorted by their digits
+        order = np.argsort(shard, kind="stable").astype(np.int32)
         self.columns, self.shard = [c[order] for c in columns], shard[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.of = rank[of]  # of each token asked for
         self.cuts = np.searchsorted(self.shard, np.arange(shards + 1))
         self.some = np.flatnonzero(np.diff(self.cuts))
@@ -272,10 +296,13 @@ class _Plan:
         x, y, of = _distinct_pairs(t.w2[at], t.w3[at])
         t.pair_of, t.pairs = np.full(len(t.w3), -1, np.int32), (x, y)
         t.pair_of[at] = of
-        parts = self.words.parts_of(t.ids[x])
-        salt = np.where(parts > 1, tv.mix(t.ids[y].astype(U) + U(1)) % parts.astype(U), U(0))
-        shard = (((_key(t.ids[x], salt) >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64)
-        return at, _Grams([x, y], of, shard, self.shards)
+
+        def shard_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray]:
+            parts = self.words.parts_of(t.ids[x])
+            salt = np.where(parts > 1, tv.mix(t.ids[y].astype(U) + U(1)) % parts.astype(U), U(0))
+            return ((((_key(t.ids[x], salt) >> U(32)) * U(self.shards)) >> U(32)).astype(np.int32),)
+
+        return at, _Grams([x, y], of, *_sliced(shard_of, x, y), self.shards)
 
     def after_pairs(self, t: _Text, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
         """(probability of each token after the word before it, whether training texts hold that pair)."""
@@ -297,11 +324,14 @@ class _Plan:
         context = np.where(starts, np.int32(len(x) - 1), np.append(np.int32(-1), t.pair_of[:-1]))
         context, w3, of = _distinct_pairs(context[at], t.w3[at])
         w1, w2 = x[context], y[context]
-        parts, split = self.words.parts_of(t.ids[w2]), self.contexts.parts_of(t.ids[w1], t.ids[w2])
-        salt = np.where(parts > 1, tv.mix(t.ids[w1].astype(U) + U(1)) % parts.astype(U), U(0))
-        salt = salt + np.where(split > 1, _key(t.ids[w1]) + tv.mix(t.ids[w3].astype(U) + U(1)) % split.astype(U), U(0))
-        shard = (((_key(t.ids[w2], salt) >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64)
-        return at, _Grams([w1, w2, w3], of, shard, self.shards)
+
+        def shard_of(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray]:
+            parts, split = self.words.parts_of(t.ids[w2]), self.contexts.parts_of(t.ids[w1], t.ids[w2])
+            salt = np.where(parts > 1, tv.mix(t.ids[w1].astype(U) + U(1)) % parts.astype(U), U(0))
+            salt = salt + np.where(split > 1, _key(t.ids[w1]) + tv.mix(t.ids[w3].astype(U) + U(1)) % split.astype(U), U(0))
+            return ((((_key(t.ids[w2], salt) >> U(32)) * U(self.shards)) >> U(32)).astype(np.int32),)
+
+        return at, _Grams([w1, w2, w3], of, *_sliced(shard_of, w1, w2, w3), self.shards)
 
     def after_trigrams(self, t: _Text, p: np.ndarray, seen: np.ndarray, replies: list[bytes] | None) -> np.ndarray:
         at, grams = self.trigrams(t, seen)
@@ -373,7 +403,7 @@ def _answer(order: int, plan: _Plan, limit: int):
             hot = list(zip(ids[x[much]].tolist(), ids[y[much]].tolist(), n[much].tolist(), [-1] * len(much)))
             split = np.flatnonzero(plan.words.parts_of(ids[context[0]]) > 1) if len(known) else []
             hot += [(int(ids[context[0][k]]), -1, int(c[k]), int(t[k])) for k in split]
-            p, leave = Trie.mapped(trie.tobytes()).pairs(x, y)
+            p, leave = _sliced(Trie.mapped(trie.tobytes()).pairs, x, y)
             runs = [x]
         else:
             y, x, of = _distinct_pairs(columns[1], columns[0])
@@ -384,7 +414,7 @@ def _answer(order: int, plan: _Plan, limit: int):
             trie, *context, c, t = trigram_trie(x[known], y[known], z[known], n[known])
             split = np.flatnonzero(plan.contexts.parts_of(ids[context[0]], ids[context[1]]) > 1) if len(known) else []
             hot = [(int(ids[context[0][k]]), int(ids[context[1][k]]), int(c[k]), int(t[k])) for k in split]
-            p, leave = Trie.mapped(trie.tobytes()).trigrams(x, y, z)
+            p, leave = _sliced(Trie.mapped(trie.tobytes()).trigrams, x, y, z)
         replies = [pack(p[of[a:b]].view(np.int16), leave[of[a:b]].view(np.int16)) for a, b in zip(cuts, cuts[1:])]
         del columns, of, p, leave, trie
         give_back()
