@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from ..operators.tables import map_arrow
 from .html import Elements
 
 LEAST_CHARS, TOPIC_DEPTH = 20, 2
+#: Bytes of a page that are read at once, and items that leave a task at once.
+READ_BYTES, BATCH_ITEMS = 1 << 16, 4_096
 
 #: Headings that aren't sections.
 SKIPPED = {"contents", "navigation", "references", "notes", "see also", "external links", "further reading", "footnotes"}
@@ -25,6 +28,7 @@ class _Items(Elements):
     def __init__(self) -> None:
         super().__init__()
         self.items: list[dict] = []
+        self.seq = 0
         self.open: list[dict] = []
         self.divs: list[str] = []
         self.day = self.heading = ""
@@ -69,28 +73,56 @@ class _Items(Elements):
             item = self.open.pop()
             above = ["".join(o["words"]).strip() for o in self.open]
             self.items.append({
-                "day": self.day, "seq": len(self.items), "heading": self.heading, "depth": len(above) + 1, "topics": [t for t in above if t],
+                "day": self.day, "seq": self.seq, "heading": self.heading, "depth": len(above) + 1, "topics": [t for t in above if t],
                 "text": "".join(item["words"]), "cites": item["cites"], "nested": item["nested"],
             })
+            self.seq += 1
+
+    def taken(self) -> list[dict]:
+        """The items since it was last asked."""
+        items, self.items = self.items, []
+        return items
+
+
+def _read(parser: _Items, page: pa.Scalar) -> Iterator[list[dict]]:
+    """The items of a page, which is read a piece at a time; what is still open (a long comment) is read again with as
+    much more of the page."""
+    if (raw := page.cast(pa.large_binary()).as_buffer()) is not None:
+        decoder, data, at = codecs.getincrementaldecoder("utf-8")(), memoryview(raw), 0
+        while at < len(data):
+            end = at + max(READ_BYTES, len(parser.rawdata))
+            parser.feed(decoder.decode(data[at:end]))
+            at = end
+            yield parser.taken()
+    parser.end()
+    yield parser.taken()
 
 
 def portal_items(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, day, seq, heading, depth, topics, text, cites, nested): the list items of pages, also unclosed ones, a page a row of the input; day
     is the id of the part of the page, topics are the items around, text is that before a nested list. Null pages have none."""
     kind = pages.schema[key].dataType.simpleString()
-    item = pa.struct([("day", pa.string()), ("seq", pa.int32()), ("heading", pa.string()), ("depth", pa.int32()), ("topics", pa.list_(pa.string())), ("text", pa.string()), ("cites", pa.list_(pa.string())), ("nested", pa.bool_())])
+    item = [("day", pa.string()), ("seq", pa.int32()), ("heading", pa.string()), ("depth", pa.int32()), ("topics", pa.list_(pa.string())), ("text", pa.string()), ("cites", pa.list_(pa.string())), ("nested", pa.bool_())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for page in batch.column(html).to_pylist():
-                parser = _Items()
-                parser.read(page or "")
-                found.append(parser.items)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(item))], [key, "items"])
-
-    schema = f"`{key}` {kind}, items array<struct<day: string, seq: int, heading: string, depth: int, topics: array<string>, text: string, cites: array<string>, nested: boolean>>"
-    return map_arrow(pages.select(key, html), work, schema).select(key, F.explode("items").alias("i")).select(key, "i.*")
+            keys, kept = [], []
+
+            def out() -> pa.RecordBatch:
+                of = batch.column(key).take(pa.array(keys, pa.int32()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([of, *[pa.array([i[c] for i in kept], t) for c, t in item]], ["_key", *[c for c, _ in item]])  # noqa: B023
+
+            for k in range(batch.num_rows):
+                for some in _read(_Items(), batch.column(html)[k]):
+                    kept += some
+                    keys += [k] * len(some)
+                    if len(kept) >= BATCH_ITEMS:
+                        yield out()
+                        keys, kept = [], []
+            yield out()
+
+    schema = f"`_key` {kind}, day string, seq int, heading string, depth int, topics array<string>, text string, cites array<string>, nested boolean"
+    return map_arrow(pages.select(key, html), work, schema).withColumnRenamed("_key", key)
 
 
 def portal_events(items: DataFrame) -> DataFrame:
