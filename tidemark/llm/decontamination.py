@@ -21,7 +21,8 @@ WINDOW, STRIDE = 48, 24
 BLOCK_PARTS, RANK, PASS_PARTS = 256, 128, 2_048
 #: Passes whose words are counted in one reading of the documents.
 COUNTED_PASSES = 16
-SAMPLE_DOCS = 5_000
+#: Pairs of words that a task sorts at once, and distinct ones it holds before it gives them out.
+SORTED_PAIRS, HELD_PAIRS = 1 << 21, 1 << 20
 COSINE, COVER, LCS, ANSWER = 0.35, 0.4, 0.6, 0.5
 
 
@@ -109,33 +110,103 @@ def _sum_of_parts(table_: pa.Table) -> pa.Table:
     return pa.table({"part": table_.column("part").slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
 
 
-def randomised_svd(rows: DataFrame, own: np.ndarray, rank: int, more: np.ndarray, passes: int = 2, seed: int = 4) -> np.ndarray:
-    """The leading right singular vectors (terms, rank) of a matrix A with the sparse rows (at array<int>, x array<float>),
-    whose column c is column own[c] of A or, where that is -1, left out, and the dense rows `more`.
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*counts))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _window_pairs(term: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+    """Of windows over the terms of words (-1: none), term << 20 | term, the smaller first, for each pair of places with a
+    term: a place with itself once, two places of one term twice, others once, which adds up to the products of counts."""
+    hits = np.flatnonzero(term >= 0)
+    at, upto = np.searchsorted(hits, start), np.searchsorted(hits, end)
+    of = term[hits].astype(np.int64)
+    for first in range(0, len(at), 512):
+        a, e = at[first : first + 512], upto[first : first + 512]
+        n = e - a
+        p = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        n = np.repeat(e, n) - p
+        q = np.repeat(p - np.cumsum(n) + n, n) + np.arange(n.sum())
+        p = np.repeat(p, n)
+        x, y = of[p], of[q]
+        keys = np.minimum(x, y) << 20 | np.maximum(x, y)
+        yield np.concatenate([keys, keys[(x == y) & (p < q)]])
+
+
+def products(texts: DataFrame, vocabulary: np.ndarray, owns: list[np.ndarray]) -> tuple[DataFrame, int]:
+    """(table (block, i, j, n), windows of all texts), in one reading: the sum over all windows of the counts of terms i and j
+    in it, both ways round, of each block, whose terms own[position in the vocabulary] numbers. At most the square of a
+    block's terms, however many texts; whole numbers, so the same in any order."""
+    find = _find(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, new, size, held = 0, [], 0, []
+        give = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
+
+        def fold() -> None:
+            nonlocal new, size, held
+            if new:
+                keys = np.sort(np.concatenate(new))
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+                held.append((keys[first], np.diff(np.append(first, len(keys)))))
+            if sum(len(k) for k, _ in held) > 2 * HELD_PAIRS:
+                held = [_summed(held)]
+            new, size = [], 0
 
-    Subspace iteration from a random start: every task multiplies its rows with the present basis and back, the partial
-    products (bounded: n_terms by rank) are summed by blocks of terms, and the driver orthonormalises their sum."""
-    spark, n_terms = rows.sparkSession, more.shape[1]
+        for batch in batches:
+            for _, n, h, row in _words(batch.column(0)):
+                t = find(h)
+                start, end, _ = _windows(t, row, n)
+                windows += len(start)
+                for b, own in enumerate(owns):
+                    for keys in _window_pairs(np.where(t >= 0, own[t], -1), start, end):
+                        new.append(keys | b << 40)
+                        size += len(keys)
+                        if size > SORTED_PAIRS:
+                            fold()
+                if len(held) == 1 and len(held[0][0]) > HELD_PAIRS:
+                    yield give(*held.pop())
+        fold()
+        yield from (give(*x) for x in ([_summed(held)] if held else []))
+        yield give(np.array([-1]), np.array([windows]))
+
+    sums = written(map_arrow(texts.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "sums")
+    windows = sums.where("key = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    i, j = F.expr("cast(key >> 20 & 1048575 as int)").alias("i"), F.expr("cast(key & 1048575 as int)").alias("j")
+    half = sums.where("key >= 0").select(F.expr("cast(key >> 40 as int)").alias("block"), i, j, "n")
+    both = half.unionByName(half.where("i < j").select("block", F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    rows = written(both.repartitionByRange("block", "i").sortWithinPartitions("block", "i"), "products")
+    forget(sums)
+    return rows, windows
+
+
+def randomised_svd(rows: DataFrame, weight: np.ndarray, rank: int, more: np.ndarray, passes: int = 2, seed: int = 4) -> np.ndarray:
+    """The leading right singular vectors (terms, rank) of a matrix A of counts times the terms' weights, of which `rows`
+    (i, j, n) are products() of counts, and of the dense rows `more` below it.
+
+    Subspace iteration from a random start: every task multiplies its rows of the products with the present basis, the
+    parts (bounded: n_terms by rank) are summed by blocks of terms, and the driver orthonormalises their sum."""
+    spark, n_terms, step = rows.sparkSession, more.shape[1], 256
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, rank)))[0]
     for _ in range(passes):
-        basis = spark.sparkContext.broadcast(q)
+        basis = spark.sparkContext.broadcast(q.astype(np.float32))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z = np.zeros((n_terms, rank))
+            z = {}
             for batch in batches:
-                lengths = np.diff(batch.column("at").offsets.to_numpy())
-                at = own[batch.column("at").flatten().to_numpy()]
-                row = np.repeat(np.arange(len(lengths)), lengths)[at >= 0]
-                x = batch.column("x").flatten().to_numpy()[at >= 0]
-                at = at[at >= 0]
-                for first in range(0, len(lengths), 512):
-                    a, b = np.searchsorted(row, (first, first + 512))
-                    dense = np.zeros((min(512, len(lengths) - first), n_terms), np.float32)
-                    dense[row[a:b] - first, at[a:b]] = x[a:b]
-                    z += dense.T @ (dense @ basis.value.astype(np.float32))
-            step = 256
-            for part in range(0, n_terms, step):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([z[part : part + step].tobytes()], pa.binary())], ["part", "z"])
+                i, j, n = (batch.column(c).to_numpy() for c in ("i", "j", "n"))
+                x = n * weight[i] * weight[j]
+                for part in np.unique(i // step).tolist():
+                    some = np.flatnonzero(i // step == part)
+                    dense = np.zeros((min(step, n_terms - part * step), n_terms), np.float32)
+                    dense[i[some] - part * step, j[some]] = x[some]
+                    z[part] = z.get(part, 0) + (dense @ basis.value).astype(np.float64)
+            for part, sums in z.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part * step], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "z"])
 
         parts = map_arrow(rows, multiply, "part int, z binary").groupBy("part").applyInArrow(_sum_of_parts, "part int, z binary").collect()
         z = more.T @ (more @ q)
@@ -180,36 +251,15 @@ def frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return df, int(n[at < 0].sum())
 
 
-def sample_texts(own: DataFrame, n_docs: int) -> DataFrame:
-    """The texts of the SAMPLE_DOCS rows (text, h) of the least h, rows of one h once; only hashes are sorted."""
-    some = own.where(F.pmod("h", F.lit(max(1, n_docs // (2 * SAMPLE_DOCS)))) == 0)
-    last = some.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    return written(some.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("text"), "sample")
-
-
-def build_index(sample: DataFrame, ids: list, hashes: list[np.ndarray], answers: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> list[Block]:
+def build_index(texts: DataFrame, ids: list, hashes: list[np.ndarray], answers: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> list[Block]:
     """What one reading of the documents needs of the items of one pass; see screen(). vocabulary: all words of these items,
     ascending, with their idf over all documents.
 
     Each block of 256 parts of items has a latent space of rank 128 (half as many dimensions as parts, or fewer) over the
-    words of its items. It is fitted on the TF-IDF passages of the sample's 5,000 documents and on the parts themselves,
-    which weigh as much as the sample, so that rare items get directions too. A block has 6 MB at most, for 256 parts of up
-    to 72 words."""
+    words of its items. It is fitted on the TF-IDF passages of all texts, by the products of their terms' counts, and on the
+    parts themselves, which weigh as much as the texts, so that rare items get directions too. A block has 6 MB at most, for
+    256 parts of up to 72 words."""
     find, n_terms = _find(vocabulary), len(vocabulary)
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, n, h, row in _words(batch.column(0)):
-                t = find(h)
-                at, x = [], []
-                for s, e in zip(*(a.tolist() for a in _windows(t, row, n)[:2])):
-                    u, c = np.unique(t[s:e][t[s:e] >= 0], return_counts=True)
-                    at.append(u)
-                    x.append(c * idf[u])
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], ["at", "x"])
-
-    rows = written(map_arrow(sample.repartition(F.xxhash64("text")), passages, "at array<int>, x array<float>"), "passages")
-    n_rows = rows.count()
     blocks = []
     words, keys, parts = {}, {}, []
     for i in range(len(ids)):
@@ -219,16 +269,23 @@ def build_index(sample: DataFrame, ids: list, hashes: list[np.ndarray], answers:
             keys[i] = {t for t in find(answers[i]).tolist() if t >= 0} or set(rare)
             parts += [(i, *p) for p in _parts(len(words[i]))]
     number = np.cumsum([0, *(fitted for *_, fitted in parts)])[:-1] // BLOCK_PARTS  # parts that aren't fitted stay with the next or a former one
-    for b in np.unique(number):
-        block = [p for p, at in zip(parts, number) if at == b]
+    of_block, owns = [[p for p, at in zip(parts, number) if at == b] for b in np.unique(number)], []
+    for block in of_block:
         terms = np.unique(np.concatenate([words[i] for i, *_ in block]))
-        mine = np.full(n_terms, -1, np.int32)
-        mine[terms] = np.arange(len(terms))
+        owns.append(np.full(n_terms, -1, np.int32))
+        owns[-1][terms] = np.arange(len(terms))
+        if len(terms) > 1 << 20:
+            raise ValueError("items of more than 2**20 distinct words aren't searched for")
+    if not owns:
+        return []
+    rows, n_rows = products(texts, vocabulary, owns)
+    for b, (block, mine) in enumerate(zip(of_block, owns)):
+        terms = np.flatnonzero(mine >= 0)
         tfidf = np.stack([np.bincount(mine[words[i][s:e]], minlength=len(terms)) * idf[terms] for i, s, e, _ in block])
         fitted = tfidf[[p[3] for p in block]]
         weight = np.sqrt(max(n_rows, 1) / max(len(fitted), 1))
         rank = min(len(terms), RANK, max(16, len(fitted) // 2))
-        basis = randomised_svd(rows, mine, rank, fitted * weight)
+        basis = randomised_svd(rows.where(F.col("block") == b), idf[terms], rank, fitted * weight)
         latent = tfidf @ basis
         norm = np.linalg.norm(latent, axis=1)
         term = (basis * idf[terms][:, None]).astype(np.float32)
@@ -264,10 +321,10 @@ def screen(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFra
     item has 0.6 or more of the item's words and half of the answer's words (without an answer: of the item's five
     rarest) are there. The best passage of each item counts.
 
-    There is no shuffle of texts, and no text is written but the sample's; each is read whole. Items are taken to the
+    There is no shuffle of texts, and no text is written; each is read whole. Items are taken to the
     driver and to the tasks in passes of about 2,048 parts, dealt by a hash of item_id, so that what is held there doesn't
-    grow with the benchmark. One pass takes one reading of docs and returns the matches under two hashes of the text; for
-    each 16 passes, one reading more counts the documents that hold their words. Items with a null id or no word are left
+    grow with the benchmark. One pass takes two readings of docs, one to fit its spaces on all of them and one that
+    returns the matches under two hashes of the text; for each 16 passes, one reading more counts the documents that hold their words. Items with a null id or no word are left
     out; item_id keeps its type; rows that repeat an item_id are one item with several texts. Null and empty texts match
     nothing. Empty docs give no rows; repeated rows get one result; a column named matches is replaced, all others stay."""
     item_kind = benchmark.schema["item_id"].dataType
@@ -275,14 +332,13 @@ def screen(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFra
     docs = docs.drop("matches")
     rows, names = numbered(docs)
     own_text = F.col(names[text])
-    row_hash = F.xxhash64(F.lit(4), *[f"`{names[f.name]}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])
-    own = rows.select(own_text.alias("text"), row_hash.alias("h"), F.xxhash64(own_text).alias("h1"), F.xxhash64(F.lit(1), own_text).alias("h2")).where("text is not null")
+    own = rows.select(own_text.alias("text"), F.xxhash64(own_text).alias("h1"), F.xxhash64(F.lit(1), own_text).alias("h2")).where("text is not null")
     answer = ["answer"] if "answer" in benchmark.columns else []
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text", *answer)
     parts = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) / STRIDE + 1), F.lit(0))).first()[0]
     passes = max(1, -(-int(parts) // PASS_PARTS))
     items = items.withColumn("pass", F.pmod(F.xxhash64("item_id"), F.lit(passes)).cast("int"))
-    found, sample = [], None
+    found = []
     for first in range(0, passes, COUNTED_PASSES):
         some = items.where(F.col("pass").between(first, first + COUNTED_PASSES - 1)).orderBy("pass", "item_id", "text").toArrow()
         hashes, answers = _item_words(some, "text"), _item_words(some, "answer")
@@ -291,12 +347,11 @@ def screen(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFra
             continue
         df, n_docs = frequencies(own, words)
         idf = np.log((n_docs + 1.0) / (df + 1.0)) + 0.1
-        sample = sample or sample_texts(own, n_docs)
         number, ids = some.column("pass").to_numpy(), some.column("item_id").to_pylist()
         for p in np.unique(number).tolist():
             a, b = np.searchsorted(number, (p, p + 1)).tolist()
             vocabulary = np.unique(np.concatenate([np.empty(0, U), *hashes[a:b], *answers[a:b]]))
-            blocks = build_index(sample, ids[a:b], hashes[a:b], answers[a:b], vocabulary, idf[np.searchsorted(words, vocabulary)]) if len(vocabulary) else []
+            blocks = build_index(own, ids[a:b], hashes[a:b], answers[a:b], vocabulary, idf[np.searchsorted(words, vocabulary)]) if len(vocabulary) else []
             if blocks:
                 found.append(written(_search(own, (vocabulary, blocks), kind, item_kind).withColumn("pass", F.lit(p)), "matches"))
     if not found:
