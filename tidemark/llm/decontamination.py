@@ -22,7 +22,7 @@ BLOCK_PARTS, RANK, PASS_PARTS = 256, 128, 2_048
 #: Passes whose words are counted in one reading of the documents.
 COUNTED_PASSES = 16
 #: Pairs of words that a task sorts at once, and distinct ones it holds before it gives them out.
-SORTED_PAIRS, HELD_PAIRS = 1 << 21, 1 << 20
+SORTED_PAIRS, HELD_PAIRS = 1 << 20, 1 << 19
 COSINE, COVER, LCS, ANSWER = 0.35, 0.4, 0.6, 0.5
 
 
