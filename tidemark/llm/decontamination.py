@@ -21,8 +21,10 @@ WINDOW, STRIDE = 48, 24
 BLOCK_PARTS, RANK, PASS_PARTS = 256, 128, 2_048
 #: Passes whose words are counted in one reading of the documents.
 COUNTED_PASSES = 16
-#: Pairs of words that a task sorts at once, and distinct ones it holds before it gives them out.
-SORTED_PAIRS, HELD_PAIRS = 1 << 20, 1 << 19
+#: Pairs of words that a task sorts at once, distinct ones it holds before it gives them out, and rows of a batch it gives.
+SORTED_PAIRS, HELD_PAIRS, GIVEN_PAIRS = 1 << 18, 1 << 19, 1 << 16
+#: Windows whose pairs, and passages whose latent vectors, a task makes at once.
+PAIRED_WINDOWS, PROJECTED_WINDOWS = 128, 256
 COSINE, COVER, LCS, ANSWER = 0.35, 0.4, 0.6, 0.5
 
 
@@ -111,10 +113,11 @@ def _sum_of_parts(table_: pa.Table) -> pa.Table:
 
 
 def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the sums of their counts."""
+    """Distinct keys, ascending, with the sums of their counts, which are taken out of the list."""
     keys, n = (np.concatenate(x) for x in zip(*counts))
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
+    counts.clear()
+    n = n[np.argsort(keys)]
+    keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return keys[first], np.add.reduceat(n, first)
 
@@ -125,8 +128,8 @@ def _window_pairs(term: np.ndarray, start: np.ndarray, end: np.ndarray) -> Itera
     hits = np.flatnonzero(term >= 0)
     at, upto = np.searchsorted(hits, start), np.searchsorted(hits, end)
     of = term[hits].astype(np.int64)
-    for first in range(0, len(at), 512):
-        a, e = at[first : first + 512], upto[first : first + 512]
+    for first in range(0, len(at), PAIRED_WINDOWS):
+        a, e = at[first : first + PAIRED_WINDOWS], upto[first : first + PAIRED_WINDOWS]
         n = e - a
         p = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
         n = np.repeat(e, n) - p
@@ -137,25 +140,29 @@ def _window_pairs(term: np.ndarray, start: np.ndarray, end: np.ndarray) -> Itera
         yield np.concatenate([keys, keys[(x == y) & (p < q)]])
 
 
-def products(texts: DataFrame, vocabulary: np.ndarray, owns: list[np.ndarray]) -> tuple[DataFrame, int]:
-    """(table (block, i, j, n), windows of all texts), in one reading: the sum over all windows of the counts of terms i and j
-    in it, both ways round, of each block, whose terms own[position in the vocabulary] numbers. At most the square of a
-    block's terms, however many texts; whole numbers, so the same in any order."""
-    find = _find(vocabulary)
+def _pair_counts(vocabulary: np.ndarray, owns: list[np.ndarray]):
+    """Of batches of texts: rows (block << 40 | i << 20 | j, number), each key several times, and one of key -1 with the
+    number of windows. The pairs held at once don't grow with a text or a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, new, size, held = 0, [], 0, []
-        give = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
+        find, windows, new, size, held = _find(vocabulary), 0, [], 0, []
 
-        def fold() -> None:
+        def give(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(keys), GIVEN_PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + GIVEN_PAIRS]) for x in (keys, n)], ["key", "n"])
+
+        def fold() -> Iterator[pa.RecordBatch]:
             nonlocal new, size, held
-            if new:
-                keys = np.sort(np.concatenate(new))
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-                held.append((keys[first], np.diff(np.append(first, len(keys)))))
+            if size:
+                keys = np.concatenate(new)
+                keys.sort()
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                held.append((keys[first], np.diff(first, append=len(keys))))
+            new, size = [], 0
             if sum(len(k) for k, _ in held) > 2 * HELD_PAIRS:
                 held = [_summed(held)]
-            new, size = [], 0
+                if len(held[0][0]) > HELD_PAIRS:
+                    yield from give(*held.pop())
 
         for batch in batches:
             for _, n, h, row in _words(batch.column(0)):
@@ -167,14 +174,20 @@ def products(texts: DataFrame, vocabulary: np.ndarray, owns: list[np.ndarray]) -
                         new.append(keys | b << 40)
                         size += len(keys)
                         if size > SORTED_PAIRS:
-                            fold()
-                if len(held) == 1 and len(held[0][0]) > HELD_PAIRS:
-                    yield give(*held.pop())
-        fold()
-        yield from (give(*x) for x in ([_summed(held)] if held else []))
-        yield give(np.array([-1]), np.array([windows]))
-
-    sums = written(map_arrow(texts.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "sums")
+                            yield from fold()
+        yield from fold()
+        if held:
+            yield from give(*_summed(held))
+        yield from give(np.array([-1]), np.array([windows]))
+
+    return count
+
+
+def products(texts: DataFrame, vocabulary: np.ndarray, owns: list[np.ndarray]) -> tuple[DataFrame, int]:
+    """(table (block, i, j, n), windows of all texts), in one reading: the sum over all windows of the counts of terms i and j
+    in it, both ways round, of each block, whose terms own[position in the vocabulary] numbers. At most the square of a
+    block's terms, however many texts; whole numbers, so the same in any order."""
+    sums = written(map_arrow(texts.select("text"), _pair_counts(vocabulary, owns), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "sums")
     windows = sums.where("key = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     i, j = F.expr("cast(key >> 20 & 1048575 as int)").alias("i"), F.expr("cast(key & 1048575 as int)").alias("j")
     half = sums.where("key >= 0").select(F.expr("cast(key >> 40 as int)").alias("block"), i, j, "n")
@@ -390,7 +403,7 @@ def _search(texts: DataFrame, index: tuple[np.ndarray, list[Block]], kind: str,
                     a, b = np.searchsorted(hits, start), np.searchsorted(hits, end)
                     # A sum of the most that each word can add, below what the least item asks, rules a passage out.
                     heavy = np.flatnonzero(has_keys[of] & (b > a) & (most[b] - most[a] >= COVER * block.norm.min() * (1 - 1e-5)))
-                    for some in np.array_split(heavy, max(1, len(heavy) // 2048)):
+                    for some in np.array_split(heavy, max(1, -(-len(heavy) // PROJECTED_WINDOWS))):
                         if not len(some):
                             continue
                         lengths = b[some] - a[some]
