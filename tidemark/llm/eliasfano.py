@@ -66,9 +66,14 @@ class EliasFano:
 
     @cached_property
     def _before_zero(self) -> np.ndarray:
-        """How many values have a high part of at most h."""
+        """How many values have a high part below h."""
         zeros = np.flatnonzero(~self._bits)
-        return zeros - np.arange(len(zeros))
+        return np.append(0, zeros - np.arange(len(zeros)))
+
+    @cached_property
+    def _lows(self) -> np.ndarray:
+        """The low bits of all values, where they are asked for several times."""
+        return np.concatenate([np.empty(0, np.int64), *[self._low(np.arange(a, min(a + (1 << 16), self.n))) for a in range(0, self.n, 1 << 16)]]).astype(np.int32 if self.low_bits < 31 else np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -83,35 +88,34 @@ class EliasFano:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self._ones[i] - i) << self.low_bits) | self._low(i)
 
-    def _below(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part below h."""
-        upto = self._before_zero
-        return np.where(h > 0, upto[np.clip(h - 1, 0, len(upto) - 1)], 0)
-
     def find(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Index of the first value >= x within [first, end) if that is x, else -1: successor search over the values that
         share x's high part, a few in general, which are tried in turn, then by halves."""
-        h, want = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
-        a, b = np.maximum(self._below(h), first), np.minimum(self._below(h + 1), end)
+        upto, lows = self._before_zero, self._lows
+        h, want = np.minimum(x >> self.low_bits, len(upto) - 1), (x & ((1 << self.low_bits) - 1)).astype(lows.dtype)
+        a, b = np.maximum(upto[h], first), np.minimum(upto[np.minimum(h + 1, len(upto) - 1)], end)
         out = np.full(len(x), -1, np.int64)
         some = np.flatnonzero(a < b)
         for _ in range(3):
-            low = self._low(a[some])
-            out[some[low == want[some]]] = a[some[low == want[some]]]
-            some = some[low < want[some]]
-            a[some] += 1
-            some = some[a[some] < b[some]]
+            at = a[some]
+            low, wanted = lows[at], want[some]
+            hit = low == wanted
+            out[some[hit]] = at[hit]
+            less = low < wanted
+            some, at = some[less], at[less] + 1
+            a[some] = at
+            some = some[at < b[some]]
             if not len(some):
                 return out
         last = b.copy()
         while len(some):
             mid = (a[some] + b[some]) >> 1
-            less = self._low(mid) < want[some]
+            less = lows[mid] < want[some]
             a[some[less]] = mid[less] + 1
             b[some[~less]] = mid[~less]
             done = a[some] >= b[some]
             ended = some[done & (a[some] < last[some])]
-            hit = ended[self._low(a[ended]) == want[ended]]
+            hit = ended[lows[a[ended]] == want[ended]]
             out[hit] = a[hit]
             some = some[~done]
         return out
@@ -205,7 +209,8 @@ class Trie:
         p, leave = np.full(len(word), UNSEEN, np.uint16), np.full(len(word), UNSEEN, np.uint16)
         node = self._along(word, self._node)
         known = np.flatnonzero(node >= 0)
-        context, _ = self.contexts.find(node[known], before[known])
+        asked = (node[known] << 32) | before[known]
+        context = self._along(asked, lambda pairs: self.contexts.find(pairs >> 32, pairs & 0xFFFFFFFF)[0])
         known, context = known[context >= 0], context[context >= 0]
         leave[known] = self.leave[context]
         pair, rank = self.followers.find(node[known], follower[known])

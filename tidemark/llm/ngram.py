@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +26,7 @@ SHARD_WORDS, SHARD_GRAMS = 2_000_000, 1 << 20
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value, bytes of equal weight side by side."""
-    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    planes = b"".join((a.view(f"u{a.itemsize}") >> 8 * k).astype(np.uint8).tobytes() for a in map(np.ascontiguousarray, arrays) for k in range(a.itemsize))
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), a.itemsize)]], np.int64).tobytes()
     raw = head + planes
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -41,7 +38,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     out, at = [], 8 + 16 * n
     for size, item in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist():
         planes = np.frombuffer(raw, np.uint8, size * item, at).reshape(item, size)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"i{item}"))
+        whole = planes[0].astype(f"u{item}")
+        for k in range(1, item):
+            if planes[k].any():
+                whole |= planes[k].astype(whole.dtype) << 8 * k
+        out.append(whole.view(f"i{item}"))
         at += size * item
     return out
 
@@ -80,22 +81,35 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, place of each token's word among them, end of each text's tokens): runs of anything but ASCII white
+    space, with only ASCII letters in lower case."""
+    runs = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    ends = runs.offsets.to_numpy()[1:].astype(np.int64) - runs.offsets[0].as_py()
+    words = runs.flatten().dictionary_encode()
+    flat, names = words.indices.to_numpy(), words.dictionary.cast(pa.large_binary())
+    cuts = np.frombuffer(names.buffers()[1], np.int64, names.offset + len(names) + 1)[names.offset :].tolist() if len(names) else [0]
+    raw = names.buffers()[2].to_pybytes() if len(names) and names.buffers()[2] else b""
+    index = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    if b"" in index:  # before white space that a text begins with, and after what it ends with
+        nothing = flat == index.index(b"")
+        ends -= np.append(0, np.cumsum(nothing))[ends]
+        flat = flat[~nothing]
+    return index, flat, ends
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per run of texts: the hashes of its distinct words, ascending, and each text's words as places among them."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
+        texts = batch.column("text")
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
         runs = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
         cuts = np.append(np.flatnonzero(np.diff(runs, prepend=-1)), len(sizes)).tolist()
         for a, b in zip(cuts, cuts[1:]):
-            index, flat, ends = defaultdict(count().__next__), array("i"), np.zeros(b - a, np.int64)
-            for k, text in enumerate(texts.slice(a, b - a)):
-                if (raw := text.as_py()) is not None:
-                    flat.extend(map(index.__getitem__, raw.lower().split()))  # ASCII alone, as bytes know no other letters
-                ends[k] = len(flat)
+            index, flat, ends = _words(texts.slice(a, b - a))
             names, place = np.unique(np.fromiter(map(xxh3_64_intdigest, index), U, len(index)), return_inverse=True)
             train = np.asarray(batch.column("train").slice(a, b - a))
-            tokens = place.astype(np.int32)[np.frombuffer(flat, np.int32)] if len(flat) else np.empty(0, np.int32)
+            tokens = place.astype(np.int32)[flat] if len(flat) else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid.uuid4().int >> 65]),
@@ -304,6 +318,14 @@ class _Plan:
 
         return at, _Grams([x, y], of, *_sliced(shard_of, x, y), self.shards)
 
+    def known_pairs(self, t: _Text, replies: list[bytes] | None) -> np.ndarray:
+        """Whether training texts hold each token with the word before it, as after_pairs() says."""
+        seen = np.zeros(len(t.w3), bool)
+        at, grams = self.pairs(t)
+        of_pair, _ = self.words.settled(*grams.answers(replies), grams.shard, t.ids[grams.columns[0]])
+        seen[at] = (of_pair > 0)[grams.of]
+        return seen
+
     def after_pairs(self, t: _Text, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
         """(probability of each token after the word before it, whether training texts hold that pair)."""
         p = self.base(t.counts)[t.w3]
@@ -488,7 +510,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
 
     def of_trigrams(row: dict) -> tuple[_Grams, np.ndarray, np.ndarray]:
         t = _Text(row["data"], row["replies"], plan.n_ends)
-        at, grams = plan.trigrams(t, plan.after_pairs(t, row["replies2"])[1])
+        at, grams = plan.trigrams(t, plan.known_pairs(t, row["replies2"]))
         return grams, t.ids, t.trained[at]
 
     known = with_replies(blocks, counted, "replies")
