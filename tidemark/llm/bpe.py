@@ -38,12 +38,13 @@ def _upper_bound(values: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.
 
 
 def unmet(rules: dict) -> list[str]:
-    """What a vocabulary's file asks for that isn't carried out here, so that ids would be others than its library's."""
+    """What a vocabulary's file asks for that isn't carried out here, so that ids would be others than its library's. A
+    model alone, without an entry for a pre-tokenizer, asks for none; whole texts need one (see Codec)."""
     model, before, after = rules["model"], rules.get("pre_tokenizer") or {}, rules.get("decoder") or {}
     asked = {
         "a model other than BPE": model.get("type", "BPE") != "BPE",
         "a normalizer": rules.get("normalizer") is not None,
-        "a pre-tokenizer other than ByteLevel with its pattern and without a space before the text": (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) != ("ByteLevel", False, True),
+        "a pre-tokenizer other than ByteLevel with its pattern and without a space before the text": "pre_tokenizer" in rules and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) != ("ByteLevel", False, True),
         "a decoder other than ByteLevel": after.get("type", "ByteLevel") != "ByteLevel",
         **{f"the model's {k}": bool(model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
         **{f"added tokens with {k}": any(a.get(k) for a in rules["added_tokens"]) for k in ("single_word", "lstrip", "rstrip")},
@@ -282,6 +283,8 @@ class Codec:
     """Whole texts: specials are cut out first, then words are looked up among those encoded before, or encoded."""
 
     def __init__(self, spec: bytes, most_words: int = 100_000):
+        if "pre_tokenizer" not in json.loads(spec):
+            raise ValueError("this vocabulary names no pre-tokenizer, without which whole texts aren't cut into words")
         self.automaton = Automaton(spec)
         self.words = regex.compile(WORDS)
         specials = self.automaton.specials
