@@ -23,8 +23,10 @@ BLOCK_PARTS, RANK, PASS_PARTS = 256, 128, 2_048
 COUNTED_PASSES = 16
 #: Pairs of words that a task sorts at once, distinct ones it holds before it gives them out, and rows of a batch it gives.
 SORTED_PAIRS, HELD_PAIRS, GIVEN_PAIRS = 1 << 18, 1 << 19, 1 << 16
-#: Windows whose pairs, and passages whose latent vectors, a task makes at once.
-PAIRED_WINDOWS, PROJECTED_WINDOWS = 128, 256
+#: Counters of pairs of frequent words in a task, for all blocks of a pass together.
+COUNTERS = 1 << 21
+#: Places of words whose pairs, and passages whose latent vectors, a task makes at once.
+PAIRED_PLACES, PROJECTED_WINDOWS = 2_048, 256
 COSINE, COVER, LCS, ANSWER = 0.35, 0.4, 0.6, 0.5
 
 
@@ -72,15 +74,15 @@ def _words(batch_column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 def _find(vocabulary: np.ndarray):
     """hashes -> their positions in the sorted vocabulary, -1 for others."""
-    bitmap = np.zeros(1 << 18, bool)
-    bitmap[(vocabulary & U(0x3FFFF)).astype(np.int64)] = True
+    slot = np.full(1 << 18, -1, np.int32)
+    slot[(vocabulary & U(0x3FFFF)).astype(np.int64)] = np.arange(len(vocabulary))
 
     def find(h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        of = np.flatnonzero(bitmap[(h & U(0x3FFFF)).astype(np.int64)])
+        out = slot[(h & U(0x3FFFF)).astype(np.int64)].astype(np.int64)
+        of = np.flatnonzero(out >= 0)
+        of = of[vocabulary[out[of]] != h[of]]  # another word's slot, which may have taken it from this one
         at = np.minimum(np.searchsorted(vocabulary, h[of]), len(vocabulary) - 1)
-        same = vocabulary[at] == h[of]
-        out[of[same]] = at[same]
+        out[of] = np.where(vocabulary[at] == h[of], at, -1)
         return out
 
     return find
@@ -122,35 +124,68 @@ def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(n, first)
 
 
-def _window_pairs(term: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
-    """Of windows over the terms of words (-1: none), term << 20 | term, the smaller first, for each pair of places with a
-    term: a place with itself once, two places of one term twice, others once, which adds up to the products of counts."""
+def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the span, place) of each place from first up to last of every span."""
+    n = last - first
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def _place_pairs(term: np.ndarray, row: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Of the windows of every text, over the terms of its words (-1: none): (terms of p, terms of q, number of windows that
+    hold both) for all pairs of places p <= q with a term, and the same again for p < q of one term, which adds up to the
+    products of counts.
+
+    A window is two halves of STRIDE words, and a half is in two windows but at the ends of a text: pairs within a half are
+    made once for both windows, besides those with the next half."""
+    begin = np.searchsorted(row, np.arange(rows + 1))
     hits = np.flatnonzero(term >= 0)
-    at, upto = np.searchsorted(hits, start), np.searchsorted(hits, end)
-    of = term[hits].astype(np.int64)
-    for first in range(0, len(at), PAIRED_WINDOWS):
-        a, e = at[first : first + PAIRED_WINDOWS], upto[first : first + PAIRED_WINDOWS]
-        n = e - a
-        p = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        n = np.repeat(e, n) - p
-        q = np.repeat(p - np.cumsum(n) + n, n) + np.arange(n.sum())
-        p = np.repeat(p, n)
-        x, y = of[p], of[q]
-        keys = np.minimum(x, y) << 20 | np.maximum(x, y)
-        yield np.concatenate([keys, keys[(x == y) & (p < q)]])
-
-
-def _pair_counts(vocabulary: np.ndarray, owns: list[np.ndarray]):
-    """Of batches of texts: rows (block << 40 | i << 20 | j, number), each key several times, and one of key -1 with the
-    number of windows. The pairs held at once don't grow with a text or a batch."""
+    of, text = term[hits], row[hits]
+    half = (hits - begin[text]) // STRIDE
+    end = np.minimum(begin[text] + (half + 1) * STRIDE, begin[text + 1])
+    own, both = np.searchsorted(hits, end), np.searchsorted(hits, np.minimum(end + STRIDE, begin[text + 1]))
+    windows = np.maximum(0, -(-(np.diff(begin) - WINDOW) // STRIDE)) + 1
+    twice = (half > 0) & (half < windows[text])
+    place = np.arange(len(hits))
+    for some, times in ((place[~twice], 1), (place[twice], 2)):
+        yield of[some], of[some], times
+    for a in range(0, len(hits), PAIRED_PLACES):
+        some = place[a : a + PAIRED_PLACES]
+        middle = some[twice[some]]
+        for p, first, last, times in ((middle, middle + 1, own[middle], 2), (some, np.where(twice[some], own[some], some + 1), both[some], 1)):
+            at, q = _spans(first, last)
+            x, y = of[p[at]], of[q]
+            yield x, y, times
+            same = np.flatnonzero(x == y)
+            yield x[same], y[same], times
+
+
+def _pair_counts(vocabulary: np.ndarray, owns: list[np.ndarray], often: np.ndarray | None = None):
+    """Of batches of texts: rows (block << 40 | i << 20 | j, number), a key several times at most if it is rare, and one of key
+    -1 with the number of windows. Pairs of a block's terms that are `often` in the texts have a counter each, the others
+    are sorted. What is held at once doesn't grow with a text or a batch."""
+    most = int(np.sqrt(2 * COUNTERS / len(owns)))
+    ranked = []  # of each block: its terms, frequent ones first, and the rank of each word of the vocabulary, -1 for others
+    for own in owns:
+        words = np.flatnonzero(own >= 0)
+        if often is not None:
+            words = words[np.argsort(-often[words], kind="stable")]
+        rank = np.full(len(own), -1, np.int32)
+        rank[words] = np.arange(len(words))
+        ranked.append((own[words].astype(np.int64), rank))
+    row_at = np.arange(most + 1, dtype=np.int64) * np.arange(1, most + 2) // 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, windows, new, size, held = _find(vocabulary), 0, [], 0, []
+        counters = [np.zeros(row_at[min(most, len(terms))], np.int64) for terms, _ in ranked]
 
         def give(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(keys), GIVEN_PAIRS):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + GIVEN_PAIRS]) for x in (keys, n)], ["key", "n"])
 
+        def key(b: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            terms, _ = ranked[b]
+            return b << 40 | np.minimum(terms[x], terms[y]) << 20 | np.maximum(terms[x], terms[y])
+
         def fold() -> Iterator[pa.RecordBatch]:
             nonlocal new, size, held
             if size:
@@ -167,27 +202,39 @@ def _pair_counts(vocabulary: np.ndarray, owns: list[np.ndarray]):
         for batch in batches:
             for _, n, h, row in _words(batch.column(0)):
                 t = find(h)
-                start, end, _ = _windows(t, row, n)
-                windows += len(start)
-                for b, own in enumerate(owns):
-                    for keys in _window_pairs(np.where(t >= 0, own[t], -1), start, end):
-                        new.append(keys | b << 40)
-                        size += len(keys)
-                        if size > SORTED_PAIRS:
-                            yield from fold()
+                windows += len(_windows(t, row, n)[0])
+                for b, (_, rank) in enumerate(ranked):
+                    for x, y, times in _place_pairs(np.where(t >= 0, rank[t], -1), row, n):
+                        less, more = np.minimum(x, y), np.maximum(x, y)
+                        frequent = more < most
+                        np.add.at(counters[b], row_at[more[frequent]] + less[frequent], times)
+                        if not frequent.all():
+                            keys = key(b, x[~frequent], y[~frequent])
+                            new += [keys] * times
+                            size += len(keys) * times
+                            if size > SORTED_PAIRS:
+                                yield from fold()
         yield from fold()
         if held:
             yield from give(*_summed(held))
+        for b, counter in enumerate(counters):
+            for a in range(0, len(counter), GIVEN_PAIRS):
+                cell = a + np.flatnonzero(counter[a : a + GIVEN_PAIRS])
+                x = np.searchsorted(row_at, cell, "right") - 1
+                yield from give(key(b, x, cell - row_at[x]), counter[cell])
         yield from give(np.array([-1]), np.array([windows]))
 
     return count
 
 
-def products(texts: DataFrame, vocabulary: np.ndarray, owns: list[np.ndarray]) -> tuple[DataFrame, int]:
+def products(texts: DataFrame, vocabulary: np.ndarray, owns: list[np.ndarray], often: np.ndarray | None = None) -> tuple[DataFrame, int]:
     """(table (block, i, j, n), windows of all texts), in one reading: the sum over all windows of the counts of terms i and j
     in it, both ways round, of each block, whose terms own[position in the vocabulary] numbers. At most the square of a
-    block's terms, however many texts; whole numbers, so the same in any order."""
-    sums = written(map_arrow(texts.select("text"), _pair_counts(vocabulary, owns), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "sums")
+    block's terms, however many texts; whole numbers, so the same in any order. often: how frequent the vocabulary's words
+    are, for speed alone."""
+    counts = map_arrow(texts.select("text"), _pair_counts(vocabulary, owns, often), "key long, n long")
+    # A task has added up its own counts, so a hash table of its keys before the shuffle would only hold them again.
+    sums = written(counts.repartition("key").groupBy("key").agg(F.sum("n").alias("n")), "sums")
     windows = sums.where("key = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     i, j = F.expr("cast(key >> 20 & 1048575 as int)").alias("i"), F.expr("cast(key & 1048575 as int)").alias("j")
     half = sums.where("key >= 0").select(F.expr("cast(key >> 40 as int)").alias("block"), i, j, "n")
@@ -291,7 +338,7 @@ def build_index(texts: DataFrame, ids: list, hashes: list[np.ndarray], answers:
             raise ValueError("items of more than 2**20 distinct words aren't searched for")
     if not owns:
         return []
-    rows, n_rows = products(texts, vocabulary, owns)
+    rows, n_rows = products(texts, vocabulary, owns, -idf)
     for b, (block, mine) in enumerate(zip(of_block, owns)):
         terms = np.flatnonzero(mine >= 0)
         tfidf = np.stack([np.bincount(mine[words[i][s:e]], minlength=len(terms)) * idf[terms] for i, s, e, _ in block])
